@@ -94,8 +94,9 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = F.size("bw")
     agree = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when((F.col("diag") + j >= 0) & (F.get("hs", F.greatest(F.col("diag") + j, F.lit(0))) == F.get("bw", j)), 1).otherwise(0))
     laid = hits.select("doc_id", "item_id", "diag", n.alias("n"), agree.alias("agree"))
-    best = laid.select("doc_id", "item_id", best_window(F.col("agree"), F.col("n")).alias("words"), F.least(F.lit(WINDOW), F.col("n")).alias("window"), F.greatest(F.col("diag"), F.lit(0)).alias("start_word"))
-    leaks = best.where(F.col("words") >= F.ceil(F.col("window") * AGREE))
+    # from a generator, so that the filter stays behind the join and the join keeps its generated code
+    best = F.struct(best_window(F.col("agree"), F.col("n")).alias("words"), F.least(F.lit(WINDOW), F.col("n")).alias("window"), F.greatest(F.col("diag"), F.lit(0)).alias("start_word"))
+    leaks = laid.select("doc_id", "item_id", F.explode_outer(F.array(best)).alias("b")).select("doc_id", "item_id", "b.*").where(F.col("words") >= F.ceil(F.col("window") * AGREE))
     top = F.max(F.struct("words", (-F.col("start_word")).alias("back"), "window"))
     return leaks.groupBy("doc_id", "item_id").agg(top.alias("t")).select("doc_id", "item_id", F.col("t.words").alias("words"), F.col("t.window").alias("window"), (-F.col("t.back")).alias("start_word"))
 
