@@ -5,9 +5,10 @@ word beginnings of four to six letters), also after common disguises are undone;
 words stand to lexicon words; shares of capitals, shouted words, exclamation and question marks, other
 punctuation and digits; rates of disguised words; length.
 
-The labelled sample (at most ``sample`` rows, drawn by a hash of the id; a documented bound) is split three
-ways by another hash: one part gives the lexicon, one the trees, one the calibration, so none is fitted to
-what another has seen.  Only text is an input.
+The labelled sample (at most ``sample`` rows, drawn by a hash of the id; a documented bound) is split into
+parts by another hash.  A row's features are made with the lexicon of the other parts, and the calibration
+sees margins of trees that were grown on the other parts, so none is fitted to what another has seen; the
+final lexicon and trees use all of the sample.  Only text is an input.
 
 How it scales.  Scoring is one pass over whole texts without a shuffle; lexicon (at most ``LEXICON`` entries) and trees go to the
 tasks.  The fit collects counts of the sample's words above a floor, and one dense row per sampled text.
@@ -29,10 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit_isotonic, fit_trees
-from .common import labelled_sample, map_batches
+from .common import labelled_sample, map_batches, materialize
 
 SAMPLE = 18_000
 LEXICON = 4_000
+PARTS = 3
+HEADS = (4, 5, 6)
 #: Insults that count before any label is seen.
 SEED_WORDS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash garbage clown clowns disgusting filth filthy vermin ugly hate "
@@ -48,7 +51,7 @@ NAMES = ("seed", "learnt", "begin", "any", "undone", "near_you", "you", "caps",
 
 
 def beginnings(w: str) -> list[str]:
-    return [w[:n] + "*" for n in (4, 5, 6) if len(w) > n]
+    return [w[:n] + "*" for n in HEADS if len(w) > n]
 
 
 @dataclass(frozen=True)
@@ -107,42 +110,56 @@ class ToxicityModel:
         return np.clip(np.interp(self.trees.margin(x), self.knots, self.values), 0.0, 1.0)
 
 
-def learn_lexicon(part: DataFrame, label: str, size: int = LEXICON, floor: int = 5, purity: float = 0.9) -> Lexicon:
-    """Words and word beginnings that stand in at least ``floor`` rows, ``purity`` of them with label 1."""
+def word_counts(sample: DataFrame, label: str) -> DataFrame:
+    """w, part, tox, clean: in how many rows of each part a word or word beginning stands, by label."""
+    ws = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 2))
+    df = sample.select("part", F.col(label).alias("y"), ws.alias("ws"))
+    heads = [F.array_distinct(F.transform(F.filter("ws", _longer(n)), _head(n))) for n in HEADS]
+    each = df.select("part", "y", F.explode(F.concat("ws", *heads)).alias("w"))
+    return each.groupBy("w", "part").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("tox"), F.sum(F.when(F.col("y") > 0, 0).otherwise(1)).alias("clean"))
 
-    def count(b: pa.RecordBatch) -> dict:
-        tox, clean = Counter(), Counter()
-        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ws = {w for w in _WORD.findall(t.lower()) if len(w) > 2}
-            (tox if y else clean).update(ws | {x for w in ws for x in beginnings(w)})
-        keys = list(tox.keys() | clean.keys())
-        return {"w": keys, "tox": [tox[w] for w in keys], "clean": [clean[w] for w in keys]}
 
-    counted = map_batches(part.select("text", label), "w string, tox long, clean long", count).groupBy("w").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
-    good = counted.where((F.col("tox") >= floor) & (F.col("tox") >= purity * (F.col("tox") + F.col("clean"))))
-    top = [r["w"] for r in good.orderBy(F.desc("tox"), "clean", "w").limit(size).collect()]
-    return Lexicon(frozenset(w for w in top if not w.endswith("*")), frozenset(w for w in top if w.endswith("*")))
+def _longer(n: int):
+    return lambda w: F.length(w) > n
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, sample: int = SAMPLE) -> ToxicityModel:
-    from .common import materialize
+def _head(n: int):
+    return lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
+
+
+def learn_lexicons(counts: DataFrame, parts: int, size: int = LEXICON, floor: int = 4, purity: float = 0.9) -> list[Lexicon]:
+    """For each part the lexicon of the others, and last that of all: entries in at least ``floor`` rows, ``purity`` of them with label 1."""
+    own = [F.sum(F.when(F.col("part") != p, F.col(c)).otherwise(0)).alias(f"{c}{p}") for p in range(parts) for c in ("tox", "clean")]
+    sums = counts.groupBy("w").agg(*own, F.sum("tox").alias(f"tox{parts}"), F.sum("clean").alias(f"clean{parts}"))
+    sums = materialize(sums.where(F.col(f"tox{parts}") >= floor), "words")
+    out = []
+    for p in range(parts + 1):
+        tox, clean = F.col(f"tox{p}"), F.col(f"clean{p}")
+        top = [r["w"] for r in sums.where((tox >= floor) & (tox >= purity * (tox + clean))).orderBy(tox.desc(), clean, "w").limit(size).collect()]
+        out.append(Lexicon(frozenset(w for w in top if not w.endswith("*")), frozenset(w for w in top if w.endswith("*"))))
+    return out
 
-    drawn = materialize(labelled_sample(docs, labels, [label], sample, where, salt=9), "labelled")
-    third = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))
-    lex = learn_lexicon(drawn.where(third == 0), label)
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, sample: int = SAMPLE) -> ToxicityModel:
+    drawn = labelled_sample(docs, labels, [label], sample, where, salt=9)
+    drawn = materialize(drawn.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int")).repartition(24), "labelled")
+    *others, lex = learn_lexicons(word_counts(drawn, label), PARTS)
 
     def make(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column(0), "y": b.column(2), "part": b.column(3), "x": [features(t, lex) for t in b.column(1).to_pylist()]}
+        part = b.column(3).to_pylist()
+        return {"doc_id": b.column(0), "y": b.column(2), "part": part, "x": [features(t, others[p]) for t, p in zip(b.column(1).to_pylist(), part)]}
 
-    rows = map_batches(drawn.where(third > 0).select("doc_id", "text", F.col(label).cast("int").alias("y"), third.cast("int").alias("part")), "doc_id long, y int, part int, x array<double>", make).collect()
+    rows = map_batches(drawn.select("doc_id", "text", F.col(label).cast("int").alias("y"), "part"), "doc_id long, y int, part int, x array<double>", make).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y, part = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=np.float64), np.array([r["part"] for r in rows])
     base = float(y.mean()) if len(y) else 0.0
-    if len(set(y.tolist())) < 2 or len(set(y[part == 1].tolist())) < 2 or len(set(y[part == 2].tolist())) < 2:
+    if any(len(set(y[part != p].tolist())) < 2 for p in range(PARTS)):
         return ToxicityModel(lex, None, np.zeros(1), np.zeros(1), base)
-    trees = fit_trees(x[part == 1], y[part == 1])
-    knots, values = fit_isotonic(trees.margin(x[part == 2]), y[part == 2])
-    return ToxicityModel(lex, trees, knots, values, base)
+    margin = np.zeros(len(y))
+    for p in range(PARTS):  # each part's margins come from trees that have not seen it
+        margin[part == p] = fit_trees(x[part != p], y[part != p]).margin(x[part == p])
+    knots, values = fit_isotonic(margin, y)
+    return ToxicityModel(lex, fit_trees(x, y), knots, values, base)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
