@@ -1 +1 @@
-"""Spark-native analytics for high-content screens."""
+"""Column expressions and small numerics shared by the operators."""

@@ -1 +1 @@
-"""Spark-native analytics for high-content screens."""
+"""Relational and statistical operators over object tables."""

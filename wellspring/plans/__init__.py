@@ -1 +1 @@
-"""Spark-native analytics for high-content screens."""
+"""Standard tables seen as screens, the registered queries and the analysis pipeline."""

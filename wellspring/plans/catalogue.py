@@ -1,4 +1,654 @@
-"""Registered queries over the standard tables and their SQL."""
+"""Registered queries over the standard tables, each with SQL for the same rows where SQL can state it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import names, stats
+from ..operators import embedding, filters, joins, normalize, outliers, quality, sampling, selection
+from . import views
+from .views import CONTROL, EV, FEATURES, LONG, OBJ, VEC
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, ctes: str = ""):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = (f"WITH {ctes} " if ctes else "") + sql
+        return fn
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum does not show; -0.0 becomes 0.0."""
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# -- filters, projections, sets ---------------------------------------------------------------------------
+
+LOG = ("plate", "well", "condition", "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT plate, well, condition, l_orderkey, l_linenumber, 'price' AS step,
+    CASE WHEN l_extendedprice < 20000 THEN 'l_extendedprice < 20000' WHEN l_extendedprice > 80000 THEN 'l_extendedprice > 80000' END AS reason
+  FROM obj WHERE l_extendedprice < 20000 OR l_extendedprice > 80000""", OBJ)
+def filter_range_with_reason(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir)
+    return filters.split_by_reason(o, filters.range_reason("l_extendedprice", 20000, 80000), "price", LOG)[1]
+
+
+@query("""SELECT step, reason, count(*) AS n FROM (
+    SELECT 'price' AS step, CASE WHEN l_extendedprice < 20000 THEN 'l_extendedprice < 20000' ELSE 'l_extendedprice > 80000' END AS reason FROM obj WHERE l_extendedprice < 20000 OR l_extendedprice > 80000
+    UNION ALL SELECT 'quantity', CASE WHEN l_quantity < 5 THEN 'l_quantity < 5' ELSE 'l_quantity > 45' END FROM obj WHERE l_extendedprice BETWEEN 20000 AND 80000 AND (l_quantity < 5 OR l_quantity > 45))
+  GROUP BY step, reason""", OBJ)
+def removed_by_step_counts(spark, sf_dir):
+    kept, log = filters.split_by_reason(views.objects_li(spark, sf_dir), filters.range_reason("l_extendedprice", 20000, 80000), "price", LOG)
+    _, more = filters.split_by_reason(kept, filters.range_reason("l_quantity", 5, 45), "quantity", LOG)
+    return filters.append_removed(log, more).groupBy("step", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT plate, is_control, count(*) AS n FROM obj GROUP BY plate, is_control""", OBJ)
+def control_mask(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir).withColumn("is_control", filters.control_mask(CONTROL))
+    return o.groupBy("plate", "is_control").agg(F.count("*").alias("n"))
+
+
+@query("SELECT medium || ' | ' || cell_line || ' | ' || coalesce(nullif(other, '1995'), 'nan') AS label, count(*) AS n FROM obj GROUP BY 1", OBJ)
+def condition_labels(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir).withColumn("other", F.nullif(F.col("other"), F.lit("1995")))
+    return o.groupBy(names.condition_label("medium", "cell_line", "other").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT feature FROM (SELECT feature, CASE WHEN feature = 'l_tax' AND value > 0.07 THEN NULL ELSE value END AS value FROM long) GROUP BY feature HAVING count(value) = count(*)", LONG)
+def complete_features(spark, sf_dir):
+    long = views.long_li(spark, sf_dir)
+    return filters.complete_features(long.withColumn("value", F.when(~((F.col("feature") == "l_tax") & (F.col("value") > 0.07)), F.col("value"))))
+
+
+@query("""SELECT plate, count(*) AS n_cut, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons FROM (
+    SELECT plate, concat_ws(', ', CASE WHEN x_um <= 30 THEN 'left' END, CASE WHEN y_um <= 30 THEN 'top' END, CASE WHEN x_um + len_x_um >= width - 30 THEN 'right' END, CASE WHEN y_um + len_y_um >= height - 30 THEN 'bottom' END) AS reason
+    FROM (SELECT *, max(x_um + len_x_um) OVER (PARTITION BY plate) AS width, max(y_um + len_y_um) OVER (PARTITION BY plate) AS height FROM obj)) WHERE reason <> '' GROUP BY plate""", OBJ)
+def cut_objects_by_border(spark, sf_dir):
+    cut = filters.remove_cut_objects(views.objects_li(spark, sf_dir), 30.0, log_columns=("plate", "well"))[1]
+    return cut.groupBy("plate").agg(F.count("*").alias("n_cut"), F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"))
+
+
+@query("""SELECT t.plate, u.well, count(e.object_id) AS organoid_no, CAST(20 AS BIGINT) AS cells_seeded, round(count(e.object_id) * 100.0 / 20, 6) AS pct_outgrowth
+  FROM (SELECT DISTINCT plate FROM ev) t CROSS JOIN (SELECT DISTINCT well FROM ev) u LEFT JOIN ev e ON e.plate = t.plate AND e.well = u.well AND e.value >= 20 GROUP BY t.plate, u.well""", EV)
+def outgrowth_with_empty_wells(spark, sf_dir):
+    e = views.long_ev(spark, sf_dir)
+    plates = e.select("plate").distinct().agg(F.collect_list("plate").alias("p"))  # plates of a screen
+    layout = e.select("well").distinct().join(F.broadcast(plates)).select("well", F.explode("p").alias("plate"))
+    out = filters.outgrowth(e.where("value >= 20"), layout, 20, keys=("well", "plate"))
+    return rounded(out)
+
+
+@query("""SELECT well, plate_row, plate_col FROM (SELECT DISTINCT well, ascii(well[1]) - 65 AS plate_row, CAST(well[2:] AS INTEGER) - 1 AS plate_col FROM obj)""", OBJ)
+def well_name_geometry(spark, sf_dir):
+    w = views.objects_li(spark, sf_dir).select("well").distinct()
+    return w.select("well", names.well_row(F.col("well")).alias("plate_row"), names.well_col(F.col("well")).alias("plate_col"))
+
+
+@query("""SELECT p_name, regexp_extract(p_type, '^(\\S+)', 1) AS stain, p_size % 4 AS round_no, 'R' || (p_size % 4) || '__' || regexp_extract(p_type, '^(\\S+)', 1) || '_mean' AS feature FROM part""")
+def feature_name_parse(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part")
+    made = p.select("p_name", F.concat(F.lit("R"), (F.col("p_size") % 4).cast("string"), F.lit("__"), F.regexp_extract("p_type", r"^(\S+)", 1), F.lit("_mean")).alias("feature"))
+    parsed = names.parse_feature(F.col("feature"))
+    return made.select("p_name", parsed["stain"].alias("stain"), parsed["round"].alias("round_no"), "feature")
+
+
+@query("SELECT p_name, p_brand, lpad(regexp_extract(p_brand, '(\\d+)', 1), 12, '0') AS digits FROM part")
+def natural_sort_keys(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part")
+    return p.select("p_name", "p_brand", F.regexp_extract(names.natural_key(F.col("p_brand")), r"(\d+)", 1).alias("digits"))
+
+
+@query("SELECT plate, well, label, uid FROM (SELECT DISTINCT plate || '-' || well || '-' || CAST(l_linenumber AS VARCHAR) AS uid, plate, well, CAST(l_linenumber AS VARCHAR) AS label FROM obj)", OBJ)
+def object_id_parts(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir).select(names.object_id(F.col("plate"), F.col("well"), F.col("l_linenumber").cast("string")).alias("uid")).distinct()
+    plate, well, label = names.object_parts(F.col("uid"))
+    return o.select(plate.alias("plate"), well.alias("well"), label.alias("label"), "uid")
+
+
+@query("SELECT plate, status, count(*) AS n FROM (SELECT plate, CASE WHEN l_quantity > 45 THEN 'too large' WHEN l_quantity < 3 THEN 'too small' ELSE 'measured' END AS status FROM obj) GROUP BY plate, status", OBJ)
+def skip_accounting(spark, sf_dir):
+    q = F.col("l_quantity")
+    o = views.objects_li(spark, sf_dir).withColumn("status", F.when(q > 45, "too large").when(q < 3, "too small").otherwise("measured"))
+    return filters.status_counts(o, "plate")
+
+
+@query("SELECT DISTINCT plate FROM obj WHERE medium = 'ASIA' OR abs = 'ASIA' OR cell_line = 'ASIA' OR other = 'ASIA'", OBJ)
+def plates_with_value(spark, sf_dir):
+    return filters.plates_with_value(views.objects_li(spark, sf_dir), "ASIA")
+
+
+def _panel(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part")
+    return p.select(F.col("p_brand").alias("mix"), (F.col("p_size") % 3).alias("round"), F.regexp_extract("p_type", r"^(\S+)", 1).alias("stain")).distinct()
+
+
+PANEL = "panel AS (SELECT DISTINCT p_brand AS mix, p_size % 3 AS round, regexp_extract(p_type, '^(\\S+)', 1) AS stain FROM part)"
+
+
+@query("SELECT DISTINCT mix FROM panel WHERE stain = 'SMALL'", PANEL)
+def mixes_with_stain(spark, sf_dir):
+    return filters.mixes_with_stain(_panel(spark, sf_dir), "SMALL")
+
+
+def _thresholds(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part")
+    return p.groupBy((F.col("p_size") % 3).alias("round"), F.regexp_extract("p_type", r"^(\S+)", 1).alias("stain")).agg(F.percentile(F.col("p_retailprice").cast("double"), 0.25).alias("final"))
+
+
+THRESHOLDS = "thr AS (SELECT p_size % 3 AS round, regexp_extract(p_type, '^(\\S+)', 1) AS stain, quantile_cont(CAST(p_retailprice AS DOUBLE), 0.25) AS final FROM part GROUP BY 1, 2)"
+
+
+@query("SELECT round, stain, round(CASE WHEN round = 1 THEN 7.0 ELSE final END, 6) AS final FROM thr", THRESHOLDS)
+def threshold_override(spark, sf_dir):
+    t = _thresholds(spark, sf_dir)
+    changes = t.where("round = 1").select("round", "stain", F.lit(7.0).alias("final"))
+    return rounded(filters.threshold_override(t, changes))
+
+
+@query("SELECT DISTINCT round, stain FROM panel WHERE (round, stain) NOT IN (SELECT (round, stain) FROM thr WHERE final >= 1000)", PANEL + ", " + THRESHOLDS)
+def missing_thresholds(spark, sf_dir):
+    return filters.missing_thresholds(_panel(spark, sf_dir), _thresholds(spark, sf_dir).withColumn("final", F.when(F.col("final") >= 1000, F.col("final"))))
+
+
+# -- joins ------------------------------------------------------------------------------------------------
+
+
+def _orders(spark, sf_dir, flag):
+    o = views.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == flag)
+    return o.groupBy(F.col("o_custkey").alias("object_id")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+ROUNDS = """r1 AS (SELECT o_custkey AS object_id, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+ r2 AS (SELECT o_custkey AS object_id, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)"""
+ROUND_COLS = "coalesce(r1.object_id, r2.object_id) AS object_id, r1.n AS \"R1__n\", r1.total AS \"R1__total\", r2.n AS \"R2__n\", r2.total AS \"R2__total\""
+
+
+@query(f"SELECT {ROUND_COLS} FROM r1 FULL JOIN r2 ON r1.object_id = r2.object_id", ROUNDS)
+def rounds_full_outer(spark, sf_dir):
+    return joins.merge_rounds({1: _orders(spark, sf_dir, "F"), 2: _orders(spark, sf_dir, "O")})
+
+
+@query(f"SELECT {ROUND_COLS} FROM r1 JOIN r2 ON r1.object_id = r2.object_id", ROUNDS)
+def rounds_inner(spark, sf_dir):
+    return joins.merge_rounds({1: _orders(spark, sf_dir, "F"), 2: _orders(spark, sf_dir, "O")}, "inner")
+
+
+@query("SELECT CAST('N' AS VARCHAR) AS source, plate, count(*) AS n, count(extra) AS n_extra FROM (SELECT plate, NULL AS extra FROM obj WHERE plate = 'N' UNION ALL SELECT plate, l_tax FROM obj WHERE plate <> 'N') GROUP BY plate", OBJ)
+def union_by_name_plates(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir)
+    both = o.where("plate = 'N'").select("plate").unionByName(o.where("plate <> 'N'").select("plate", F.col("l_tax").alias("extra")), allowMissingColumns=True)
+    return both.groupBy(F.lit("N").alias("source"), "plate").agg(F.count("*").alias("n"), F.count("extra").alias("n_extra"))
+
+
+def _layout(spark, sf_dir):
+    """Layout of screen LI: wells of even suppliers only."""
+    o = views.objects_li(spark, sf_dir)
+    return o.where(names.well_col(F.col("well")) % 2 == 0).select("plate", "well", "medium", "cell_line").distinct()
+
+
+LAYOUT = OBJ + ", layout AS (SELECT DISTINCT plate, well, medium, cell_line FROM obj WHERE (CAST(well[2:] AS INTEGER) - 1) % 2 = 0)"
+
+
+@query("SELECT plate, well, count(*) AS n FROM obj SEMI JOIN layout USING (plate, well) GROUP BY plate, well", LAYOUT)
+def semi_layout_wells(spark, sf_dir):
+    o = joins.only_layout_wells(views.objects_li(spark, sf_dir).select("plate", "well"), _layout(spark, sf_dir))
+    return o.groupBy("plate", "well").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT plate, well FROM obj ANTI JOIN layout USING (plate, well)", LAYOUT)
+def anti_unmeasured_wells(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir).select("plate", "well").distinct()
+    return o.join(_layout(spark, sf_dir), ["plate", "well"], "left_anti")
+
+
+@query("SELECT medium, cell_line, count(*) AS n FROM (SELECT l.medium, l.cell_line FROM obj o LEFT JOIN layout l ON o.plate = l.plate AND o.well = l.well) GROUP BY 1, 2", LAYOUT)
+def dimension_lookup(spark, sf_dir):
+    o = joins.dimension_lookup(views.objects_li(spark, sf_dir).select("plate", "well"), _layout(spark, sf_dir))
+    return o.groupBy("medium", "cell_line").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_name AS plate, CASE WHEN count(*) = 1 THEN min(folder) END AS folder, CASE WHEN count(folder) = 0 THEN 'no folder' WHEN count(*) > 1 THEN 'several folders' END AS problem
+  FROM nation LEFT JOIN (SELECT '/data/run/' || replace(lower(n_name), ' ', '_') || '_A1.zarr' AS folder, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') || 'a1zarr' AS key FROM nation) f
+    ON contains(f.key, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g')) GROUP BY n_name""")
+def theta_folder_resolution(spark, sf_dir):
+    n = views.table(spark, sf_dir, "nation")
+    folders = n.select(F.concat(F.lit("/data/run/"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")), F.lit("_A1.zarr")).alias("folder"))
+    return joins.resolve_folders(n.select(F.col("n_name").alias("plate"), F.lit(None).cast("string").alias("hint")), folders)
+
+
+def _customers(spark, sf_dir):
+    return views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("plate"), F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("x"), F.lit(0.0).alias("y"))
+
+
+def _suppliers(spark, sf_dir):
+    return views.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("plate"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("double").alias("x"), F.lit(0.0).alias("y"))
+
+
+@query("""SELECT c_nationkey AS plate, c_custkey AS id1, s_suppkey AS id2, round(abs(c_acctbal - s_acctbal), 6) AS distance FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 500""")
+def range_match_pairs(spark, sf_dir):
+    return rounded(joins.range_pairs(_customers(spark, sf_dir), _suppliers(spark, sf_dir), 500.0, keys=("plate",)))
+
+
+@query()
+def greedy_match(spark, sf_dir):
+    pairs = joins.range_pairs(_customers(spark, sf_dir), _suppliers(spark, sf_dir), 500.0, keys=("plate",))
+    return rounded(joins.greedy_match(pairs))
+
+
+@query("""SELECT src, dst, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS rank FROM vec a JOIN vec b ON a.id <> b.id) WHERE rank <= 10""", VEC)
+def knn_edges(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    return rounded(joins.knn_edges(v, v, 10, same=True).select("src", "dst", "distance", "rank"))
+
+
+@query("""SELECT id, label, round(n / total, 6) AS share FROM (
+    SELECT src AS id, label, n, sum(n) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS r FROM (
+      SELECT src, label, count(*) AS n FROM (SELECT a.id AS src, b.label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS k FROM vec a JOIN vec b ON a.id % 2 = 1 AND b.id % 2 = 0) WHERE k <= 15 GROUP BY src, label)) WHERE r = 1""", VEC)
+def knn_label_transfer(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    return rounded(joins.knn_label_transfer(v.where("id % 2 = 0"), v.where("id % 2 = 1"), "label"))
+
+
+@query("""SELECT plate, a, b, round(cosine, 6) AS cosine FROM (
+    SELECT x.label AS plate, x.id AS a, y.id AS b, list_cosine_similarity(x.vec, y.vec) AS cosine, row_number() OVER (PARTITION BY x.id ORDER BY list_cosine_similarity(x.vec, y.vec) DESC, y.id) AS r FROM vec x JOIN vec y ON x.label = y.label AND x.id <> y.id) WHERE r <= 3""", VEC)
+def cosine_topk(spark, sf_dir):
+    pairs = joins.cosine_pairs(views.vectors(spark, sf_dir).select(F.col("label").alias("plate"), F.col("id").alias("well"), "vec"))
+    w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    return rounded(pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r"))
+
+
+@query("""SELECT object_id, a, b, CASE WHEN stddev_pop(va) > 0 AND stddev_pop(vb) > 0 THEN round(corr(va, vb), 6) END AS r, a || '--' || b || '_PearsonR' AS feature FROM (
+    SELECT x.plate AS object_id, x.feature AS a, y.feature AS b, x.value AS va, y.value AS vb FROM (SELECT plate, l_orderkey AS k, 'disc' AS feature, avg(l_discount) AS value FROM obj GROUP BY 1, 2 UNION ALL SELECT plate, l_orderkey, 'qty', avg(l_quantity) FROM obj GROUP BY 1, 2) x
+    JOIN (SELECT plate, l_orderkey AS k, 'disc' AS feature, avg(l_discount) AS value FROM obj GROUP BY 1, 2 UNION ALL SELECT plate, l_orderkey, 'qty', avg(l_quantity) FROM obj GROUP BY 1, 2) y ON x.plate = y.plate AND x.k = y.k AND x.feature < y.feature) GROUP BY 1, 2, 3""", OBJ)
+def pair_correlations(spark, sf_dir):
+    g = views.objects_li(spark, sf_dir).groupBy(F.col("plate").alias("object_id"), F.col("l_orderkey").alias("y")).agg(F.avg("l_discount").alias("disc"), F.avg("l_quantity").alias("qty"))
+    return rounded(joins.pair_correlations(g.unpivot(["object_id", "y"], ["disc", "qty"], "channel", "value"), pixel=("y",)))
+
+
+@query("""SELECT coalesce(m.plate, c.plate) AS plate, coalesce(m.well, c.well) AS well, coalesce(condition, 'unknown') AS condition, coalesce(control, false) AS control, coalesce(n_measured, 0) AS n_measured, coalesce(organoid_no, n_measured, 0) AS n_organoids
+  FROM (SELECT plate, well, min(condition) AS condition, bool_or(is_control) AS control, count(*) AS n_measured FROM ev WHERE value < 90 GROUP BY 1, 2) m FULL JOIN (SELECT plate, well, count(*) AS organoid_no FROM ev WHERE value >= 10 GROUP BY 1, 2) c ON m.plate = c.plate AND m.well = c.well""", EV)
+def well_table_full_outer(spark, sf_dir):
+    e = views.long_ev(spark, sf_dir)
+    return quality.well_table(e.where("value < 90"), e.where("value >= 10").groupBy("plate", "well").agg(F.count("*").alias("organoid_no")))
+
+
+# -- quality ----------------------------------------------------------------------------------------------
+
+DELTAS = LONG + """, ranked AS (SELECT *, rank() OVER (PARTITION BY plate, condition, feature ORDER BY value) + (count(*) OVER (PARTITION BY plate, condition, feature, value) - 1) / 2.0 AS r FROM long WHERE value IS NOT NULL),
+ per AS (SELECT plate, condition, well, feature, count(*) AS n, sum(r) AS ranks FROM ranked GROUP BY ALL),
+ sized AS (SELECT *, sum(n) OVER (PARTITION BY plate, condition, feature) - n AS rest FROM per),
+ deltas AS (SELECT plate, condition, well, feature, n, CAST(rest AS BIGINT) AS rest, CASE WHEN n >= 5 AND rest >= 5 THEN 2.0 * (ranks - n * (n + 1) / 2.0) / (CAST(n AS DOUBLE) * rest) - 1.0 END AS delta,
+   CASE WHEN n >= 5 AND rest >= 5 THEN (n + rest + 1) / (3.0 * n * rest) END AS variance FROM sized),
+ dm AS (SELECT *, median(delta) OVER (PARTITION BY plate, feature) AS m, median(variance) OVER (PARTITION BY plate, feature) AS v FROM deltas),
+ ds AS (SELECT *, 1.4826 * median(abs(delta - m)) OVER (PARTITION BY plate, feature) AS s FROM dm),
+ scores AS (SELECT plate, condition, well, feature, n, rest, delta, variance, CASE WHEN variance + greatest(0.0, s * s - v) > 0 THEN delta / sqrt(variance + greatest(0.0, s * s - v)) END AS z FROM ds)"""
+
+
+@query("SELECT plate, condition, well, feature, n, rest, round(delta, 6) + 0.0 AS delta, round(variance, 6) AS variance FROM deltas", DELTAS)
+def cliffs_delta(spark, sf_dir):
+    return rounded(quality.well_deltas(views.long_li(spark, sf_dir)))
+
+
+@query("SELECT plate, condition, well, feature, n, rest, round(delta, 6) + 0.0 AS delta, round(variance, 6) AS variance, round(z, 6) + 0.0 AS z FROM scores", DELTAS)
+def deviation_z(spark, sf_dir):
+    return rounded(quality.deviation_scores(quality.well_deltas(views.long_li(spark, sf_dir))))
+
+
+COUNTS = """wells AS (SELECT plate, condition, well, count(*) AS n FROM {src} GROUP BY 1, 2, 3),
+ lc AS (SELECT *, ln(1 + n) AS v FROM wells), res AS (SELECT a.plate, a.condition, a.well, any_value(a.v) - median(b.v) AS residual FROM lc a JOIN lc b ON a.plate = b.plate AND a.condition = b.condition AND a.well <> b.well GROUP BY 1, 2, 3),
+ rm AS (SELECT *, median(residual) OVER (PARTITION BY plate) AS m FROM res), rs AS (SELECT *, 1.4826 * median(abs(residual - m)) OVER (PARTITION BY plate) AS s FROM rm)"""
+
+
+@query("SELECT plate, well, CASE WHEN s > 0 THEN round(residual / s, 6) + 0.0 END AS count_z FROM rs", EV + ", " + COUNTS.format(src="ev"))
+def count_z(spark, sf_dir):
+    return rounded(quality.count_scores(quality.well_table(views.long_ev(spark, sf_dir))))
+
+
+@query("""SELECT w.plate, w.well, w.condition, w.condition = 'AFRICA' AS control, w.n AS n_organoids, CASE WHEN rs.s > 0 THEN round(rs.residual / rs.s, 6) + 0.0 END AS count_z, coalesce(f.assessed, 0) AS features_assessed,
+    round(f.deviating / nullif(f.assessed, 0), 6) AS deviating_fraction, concat_ws('; ', CASE WHEN abs(CASE WHEN rs.s > 0 THEN rs.residual / rs.s END) >= 1.5 THEN 'count' END, CASE WHEN f.deviating / nullif(f.assessed, 0) >= 0.1 THEN 'deviating features' END) AS reasons
+  FROM wells w LEFT JOIN rs ON w.plate = rs.plate AND w.well = rs.well LEFT JOIN (SELECT plate, well, count(z) AS assessed, count_if(abs(z) >= 1.5) AS deviating FROM scores GROUP BY 1, 2) f ON w.plate = f.plate AND w.well = f.well""", DELTAS + ", " + COUNTS.format(src="obj"))
+def well_flags(spark, sf_dir):
+    long = views.long_li(spark, sf_dir)
+    wells = quality.well_table(long.where(F.col("feature") == FEATURES[0]))
+    flags = quality.well_flags(long, wells, z_threshold=1.5)
+    return rounded(flags.select("plate", "well", "condition", "control", "n_organoids", "count_z", "features_assessed", "deviating_fraction", "reasons"))
+
+
+@query("""SELECT plate, well, string_agg(feature, ',' ORDER BY r) AS top FROM (SELECT plate, well, feature, row_number() OVER (PARTITION BY plate, well ORDER BY abs(z) DESC, feature) AS r FROM scores WHERE z IS NOT NULL) WHERE r <= 3 GROUP BY 1, 2""", DELTAS)
+def top_features_per_well(spark, sf_dir):
+    top = quality.top_features(quality.deviation_scores(quality.well_deltas(views.long_li(spark, sf_dir))))
+    return top.select("plate", "well", F.regexp_replace(F.regexp_replace("top_features", r" \([^)]*\)", ""), ", ", ",").alias("top"))
+
+
+@query("""SELECT feature, CAST(count(*) AS BIGINT) AS n_wells, round(sum(x), 6) + 0.0 AS s_row, round(sum(y), 6) + 0.0 AS s_col, round(sum(x * delta), 6) + 0.0 AS s_row_delta FROM (
+    SELECT feature, delta, (ascii(well[1]) - 65) / 15.0 - 0.5 AS x, (CAST(well[2:] AS INTEGER) - 1) / 23.0 - 0.5 AS y FROM deltas WHERE delta IS NOT NULL AND CAST(well[2:] AS INTEGER) <= 24) GROUP BY feature""", DELTAS)
+def position_sums(spark, sf_dir):
+    d = quality.well_deltas(views.long_li(spark, sf_dir)).where("delta IS NOT NULL").where(names.well_col(F.col("well")) < 24)
+    d = d.withColumn("x", names.well_row(F.col("well")) / 15.0 - 0.5).withColumn("y", names.well_col(F.col("well")) / 23.0 - 0.5)
+    return rounded(d.groupBy("feature").agg(F.count("*").alias("n_wells"), F.sum("x").alias("s_row"), F.sum("y").alias("s_col"), F.sum(F.col("x") * F.col("delta")).alias("s_row_delta")))
+
+
+@query()
+def position_effects(spark, sf_dir):
+    long = views.long_li(spark, sf_dir)
+    return rounded(quality.position_effects(quality.well_deltas(long), quality.well_geometry(long)))
+
+
+SAT = EV + ", mx AS (SELECT *, 'value' AS channel, floor(value / 10) * 10 AS v FROM ev), ceil AS (SELECT channel, max(v) AS ceiling FROM mx GROUP BY 1)"
+
+
+@query("SELECT channel, ceiling, round(count_if(v >= ceiling - 30) / count(v), 6) AS saturated_fraction, count(v) AS organoids_measured, count_if(v >= ceiling - 30) / count(v) > 0.05 AS flagged FROM mx JOIN ceil USING (channel) GROUP BY 1, 2", SAT)
+def saturation_by_channel(spark, sf_dir):
+    e = views.long_ev(spark, sf_dir).withColumn("feature", F.lit("value_max")).withColumn("value", (F.floor(F.col("value") / 10) * 10).cast("double"))
+    return rounded(quality.saturation(e, tolerance=30.0))
+
+
+@query("SELECT plate, well, channel, ceiling, round(count_if(v >= ceiling - 30) / count(v), 6) AS saturated_fraction, count(v) AS organoids_measured, count_if(v >= ceiling - 30) / count(v) > 0.05 AS flagged FROM mx JOIN ceil USING (channel) GROUP BY 1, 2, 3, 4", SAT)
+def saturation_by_well(spark, sf_dir):
+    e = views.long_ev(spark, sf_dir).withColumn("feature", F.lit("value_max")).withColumn("value", (F.floor(F.col("value") / 10) * 10).cast("double"))
+    return rounded(quality.saturation(e, tolerance=30.0, keys=("plate", "well")))
+
+
+def _placed(spark, sf_dir):
+    o = filters.with_image_size(views.objects_li(spark, sf_dir))
+    return o.withColumn("cx_um", F.col("x_um") + F.col("len_x_um") / 2).withColumn("cy_um", F.col("y_um") + F.col("len_y_um") / 2)
+
+
+PLACED = OBJ + """, placed AS (SELECT *, x_um + len_x_um / 2 AS cx, y_um + len_y_um / 2 AS cy, max(x_um + len_x_um) OVER (PARTITION BY plate) AS width, max(y_um + len_y_um) OVER (PARTITION BY plate) AS height FROM obj),
+ tiles AS (SELECT w.plate, w.well, t.tile, count(p.tile) AS n FROM (SELECT DISTINCT plate, well FROM obj) w CROSS JOIN (SELECT unnest(range(64)) AS tile) t
+   LEFT JOIN (SELECT plate, well, greatest(0, least(7, CAST(floor(cy / height * 8) AS INTEGER))) * 8 + greatest(0, least(7, CAST(floor(cx / width * 8) AS INTEGER))) AS tile FROM placed) p ON p.plate = w.plate AND p.well = w.well AND p.tile = t.tile GROUP BY 1, 2, 3)"""
+
+
+@query("SELECT plate, well, CAST(tile AS INTEGER) AS tile, n FROM tiles", PLACED)
+def tile_crosstab(spark, sf_dir):
+    return quality.tile_counts(_placed(spark, sf_dir), 8)
+
+
+@query("""SELECT plate, well, CAST(any_value(nw) AS BIGINT) AS n_organoids, round(coalesce(max(CASE WHEN n = 0 THEN nw * share END), 0.0), 6) AS empty_region_expected, coalesce(max(CASE WHEN n = 0 THEN nw * share END), 0.0) >= -ln(0.2) AS flagged FROM (
+    SELECT *, sum(n) OVER (PARTITION BY plate, well) AS nw, sum(n) OVER (PARTITION BY plate, tile) / sum(n) OVER (PARTITION BY plate) AS share FROM tiles) GROUP BY 1, 2""", PLACED)
+def empty_tiles(spark, sf_dir):
+    return rounded(quality.empty_tiles(quality.tile_counts(_placed(spark, sf_dir), 8), 0.2))
+
+
+RADIAL = PLACED + """, rl AS (SELECT plate, well, sqrt(pow(cx - width / 2, 2) + pow(cy - height / 2, 2)) / (sqrt(width * width + height * height) / 2) AS radius, feature, CASE WHEN value > 0.09 AND feature = 'l_discount' THEN NULL ELSE value END AS value
+   FROM (SELECT *, 'l_discount' AS feature, l_discount AS value FROM placed UNION ALL SELECT *, 'l_tax', l_tax FROM placed)),
+ rr AS (SELECT *, rank() OVER (PARTITION BY plate, well, feature ORDER BY radius) + (count(*) OVER (PARTITION BY plate, well, feature, radius) - 1) / 2.0 AS a,
+   CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY plate, well, feature, value IS NULL ORDER BY value) + (count(*) OVER (PARTITION BY plate, well, feature, value) - 1) / 2.0 END AS b FROM rl),
+ rc AS (SELECT *, a - avg(a) OVER (PARTITION BY plate, well, feature) AS x, b - avg(b) OVER (PARTITION BY plate, well, feature) AS y FROM rr),
+ rho AS (SELECT plate, well, feature, count(value) AS n, CASE WHEN count(value) >= 10 AND sum(y * y) > 0 AND sum(CASE WHEN value IS NOT NULL THEN x * x END) > 0 THEN sum(x * y) / sqrt(sum(CASE WHEN value IS NOT NULL THEN x * x END) * sum(y * y)) END AS rho FROM rc GROUP BY 1, 2, 3)"""
+
+
+def _radial(spark, sf_dir):
+    o = quality.radial_position(_placed(spark, sf_dir))
+    long = o.unpivot(["plate", "well", "radius"], ["l_discount", "l_tax"], "feature", "value")
+    return quality.radial_rho(long.withColumn("value", F.when(~((F.col("feature") == "l_discount") & (F.col("value") > 0.09)), F.col("value"))))
+
+
+@query("SELECT plate, well, feature, n, round(rho, 6) + 0.0 AS rho FROM rho", RADIAL)
+def radial_spearman(spark, sf_dir):
+    return rounded(_radial(spark, sf_dir))
+
+
+@query("SELECT feature, count(*) AS n_wells, round(avg(atanh(greatest(-0.999, least(0.999, rho)))), 6) + 0.0 AS mean_z, round(stddev_samp(atanh(greatest(-0.999, least(0.999, rho)))), 6) AS sd_z FROM rho WHERE rho IS NOT NULL GROUP BY 1", RADIAL)
+def radial_fisher(spark, sf_dir):
+    return rounded(quality.fisher_mean(_radial(spark, sf_dir)))
+
+
+@query()
+def radial_effects(spark, sf_dir):
+    return rounded(quality.radial_effects(_radial(spark, sf_dir)))
+
+
+# -- normalisation ----------------------------------------------------------------------------------------
+
+FIT = LONG + """, fit AS (SELECT plate, feature, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS low, max(value) - min(value) AS span FROM long WHERE is_control GROUP BY 1, 2),
+ scaled AS (SELECT plate, well, condition, is_control, feature, value, (value - med) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END AS robust_scaled, (value - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS z_scaled, (value - low) / CASE WHEN span = 0 THEN 1 ELSE span END AS minmax_scaled FROM long LEFT JOIN fit USING (plate, feature))"""
+
+
+@query('SELECT plate, feature, round(med, 6) AS median, round(CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 6) AS iqr, round(mean, 6) AS mean, round(CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS sd, round(low, 6) AS low, round(CASE WHEN span = 0 THEN 1 ELSE span END, 6) AS span FROM fit', FIT)
+def group_scalers(spark, sf_dir):
+    return rounded(normalize.scaler_fit(views.long_li(spark, sf_dir)))
+
+
+def _layer(name: str):
+    sql = f"SELECT plate, feature, well, count(*) AS n, round(min({name}), 6) + 0.0 AS low, round(avg({name}), 6) + 0.0 AS mean, round(max({name}), 6) + 0.0 AS high FROM scaled GROUP BY 1, 2, 3"
+
+    def run(spark, sf_dir):
+        s = normalize.scale(views.long_li(spark, sf_dir))
+        return rounded(s.groupBy("plate", "feature", "well").agg(F.count("*").alias("n"), F.min(name).alias("low"), F.avg(name).alias("mean"), F.max(name).alias("high")))
+
+    run.__name__ = name
+    return query(sql, FIT)(run)
+
+
+z_scaled, robust_scaled, minmax_scaled = _layer("z_scaled"), _layer("robust_scaled"), _layer("minmax_scaled")
+
+
+@query("SELECT plate, max(m) < 1e-6 AND max(d) < 1e-6 AS ok, round(max(m), 6) AS max_abs_mean, round(max(d), 6) AS max_abs_median FROM (SELECT plate, feature, abs(avg(z_scaled)) AS m, abs(median(robust_scaled)) AS d FROM scaled WHERE is_control GROUP BY 1, 2) GROUP BY plate", FIT)
+def control_check(spark, sf_dir):
+    return rounded(normalize.control_check(normalize.scale(views.long_li(spark, sf_dir))))
+
+
+@query("SELECT plate, feature FROM long GROUP BY 1, 2 HAVING NOT bool_or(is_control)", LONG)
+def groups_without_controls(spark, sf_dir):
+    return normalize.groups_without_controls(views.long_li(spark, sf_dir))
+
+
+@query("SELECT plate, well, count(*) AS n, round(avg(ln(1 + greatest(value, 0))), 6) AS mean_log FROM ev GROUP BY 1, 2", EV)
+def log1p_transform(spark, sf_dir):
+    e = views.long_ev(spark, sf_dir)
+    return rounded(e.groupBy("plate", "well").agg(F.count("*").alias("n"), F.avg(stats.log1p_clipped(F.col("value"))).alias("mean_log")))
+
+
+def _skew(v: str, name: str) -> str:
+    return f""", {name}q AS (SELECT *, {v} AS v, quantile_cont({v}, 0.005) OVER (PARTITION BY plate) AS lo, quantile_cont({v}, 0.995) OVER (PARTITION BY plate) AS hi FROM ev WHERE is_control),
+ {name}m AS (SELECT plate, v, avg(v) OVER (PARTITION BY plate) AS m FROM {name}q WHERE v BETWEEN lo AND hi),
+ {name} AS (SELECT plate, CASE WHEN count(*) >= 20 THEN avg(pow(v - m, 3)) / nullif(pow(avg(pow(v - m, 2)), 1.5), 0) END AS skew FROM {name}m GROUP BY plate)"""
+
+
+@query("SELECT plate, 'value' AS feature, round(skew, 6) AS skew FROM raw", EV + _skew("value", "raw"))
+def trimmed_skewness(spark, sf_dir):
+    return rounded(normalize.skew_by_group(views.long_ev(spark, sf_dir)))
+
+
+@query("""SELECT 'value' AS feature, round(r, 6) AS skew_raw, round(t, 6) AS skew_transformed, n_groups, CASE WHEN r IS NULL THEN 'not testable' WHEN low < 0 THEN 'negative values' WHEN r < -0.5 THEN 'left-skewed' WHEN r <= 0.5 THEN 'not skewed' WHEN abs(t) < abs(r) THEN 'transform' ELSE 'no improvement' END AS decision
+  FROM (SELECT (SELECT median(skew) FROM raw) AS r, (SELECT median(skew) FROM lg) AS t, (SELECT count(skew) FROM raw) AS n_groups, (SELECT min(value) FROM ev) AS low)""", EV + _skew("value", "raw") + _skew("ln(1 + greatest(value, 0))", "lg"))
+def skew_decision(spark, sf_dir):
+    return rounded(normalize.skew_decision(views.long_ev(spark, sf_dir)))
+
+
+@query("""SELECT object_id, round(CASE WHEN x >= 0 THEN (pow(x + 1, 0.3) - 1) / 0.3 ELSE -(pow(1 - x, 1.7) - 1) / 1.7 END, 6) + 0.0 AS y FROM (SELECT object_id, value - 30 AS x FROM ev)""", EV)
+def yeo_johnson_fixed_lambda(spark, sf_dir):
+    return rounded(views.long_ev(spark, sf_dir).select("object_id", stats.yeo_johnson(F.col("value") - 30.0, F.lit(0.3)).alias("y")))
+
+
+@query()
+def yeo_johnson_fit(spark, sf_dir):
+    return rounded(normalize.yeo_johnson_decision(normalize.fit_yeo_johnson(views.long_ev(spark, sf_dir))), 4)
+
+
+@query(f"SELECT object_id, plate, round({stats.normal_ppf_sql('p')}, 6) + 0.0 AS score FROM (SELECT object_id, plate, (rank() OVER (PARTITION BY plate ORDER BY value) + (count(*) OVER (PARTITION BY plate, value) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY plate) AS p FROM ev)", EV)
+def normal_scores(spark, sf_dir):
+    return rounded(stats.normal_scores(views.long_ev(spark, sf_dir), "value", "plate").select("object_id", "plate", "score"))
+
+
+# -- well statistics --------------------------------------------------------------------------------------
+
+TRIM = LONG + """, tq AS (SELECT *, quantile_cont(value, 0.2) OVER (PARTITION BY plate, well, feature) AS lo, quantile_cont(value, 0.8) OVER (PARTITION BY plate, well, feature) AS hi FROM long),
+ tm AS (SELECT plate, well, feature, min(condition) AS condition, bool_or(is_control) AS is_control, avg(value) AS value FROM tq WHERE value BETWEEN lo AND hi GROUP BY 1, 2, 3)"""
+
+
+@query("SELECT plate, well, feature, condition, is_control, round(value + 1e-9, 6) AS value FROM tm", TRIM)
+def trimmed_well_means(spark, sf_dir):
+    # means of cents often end in a tie at the last digit; a nudge settles it alike everywhere
+    return rounded(quality.trimmed_well_means(views.long_li(spark, sf_dir)).withColumn("value", F.col("value") + 1e-9))
+
+
+@query("""SELECT condition, feature, round(sum(pow(pm - gm, 2)) / nullif(sum(pow(value - gm, 2)), 0), 6) AS eta2, count(*) AS n_wells, count(DISTINCT plate) AS n_plates FROM (
+    SELECT *, avg(value) OVER (PARTITION BY condition, feature) AS gm, avg(value) OVER (PARTITION BY condition, feature, plate) AS pm FROM tm) GROUP BY 1, 2""", TRIM)
+def eta_squared(spark, sf_dir):
+    return rounded(quality.plate_eta_squared(quality.trimmed_well_means(views.long_li(spark, sf_dir))))
+
+
+@query("""SELECT feature, round(greatest((msb - msw) / (msb + (n / wells - 1.0) * msw), 0.0), 6) AS well_effect FROM (
+    SELECT feature, ssb / nullif(wells - groups, 0) AS msb, ssw / nullif(n - wells, 0) AS msw, n, wells FROM (
+      SELECT feature, sum(k * pow(m - gm, 2)) AS ssb, sum(ss - k * m * m) AS ssw, sum(k) AS n, count(*) AS wells, count(DISTINCT plate || condition) AS groups FROM (
+        SELECT *, sum(s) OVER (PARTITION BY feature, plate, condition) / sum(k) OVER (PARTITION BY feature, plate, condition) AS gm, s / k AS m FROM (SELECT feature, plate, condition, well, count(*) AS k, sum(value) AS s, sum(value * value) AS ss FROM long GROUP BY 1, 2, 3, 4)) GROUP BY feature))""", LONG)
+def icc_well_effect(spark, sf_dir):
+    return rounded(selection.well_effect(views.long_li(spark, sf_dir)))
+
+
+@query()
+def split_half_reliability(spark, sf_dir):
+    return rounded(selection.split_half_reliability(views.long_li(spark, sf_dir)))
+
+
+@query("""SELECT feature, round(median(zp), 6) + 0.0 AS z_prime, round(median(sm), 6) + 0.0 AS ssmd, round(min(sm), 6) + 0.0 AS ssmd_min, round(max(sm), 6) + 0.0 AS ssmd_max, count(*) AS n_plates FROM (
+    SELECT plate, feature, CASE WHEN mp <> mn THEN 1.0 - 3.0 * (sp + sn) / abs(mp - mn) END AS zp, CASE WHEN vp + vn > 0 THEN (mp - mn) / sqrt(vp + vn) END AS sm FROM (
+      SELECT plate, feature, count(value) FILTER (condition = 'ASIA') AS np, count(value) FILTER (condition = 'AFRICA') AS nn, avg(value) FILTER (condition = 'ASIA') AS mp, avg(value) FILTER (condition = 'AFRICA') AS mn, stddev_samp(value) FILTER (condition = 'ASIA') AS sp, stddev_samp(value) FILTER (condition = 'AFRICA') AS sn,
+        var_samp(value) FILTER (condition = 'ASIA') AS vp, var_samp(value) FILTER (condition = 'AFRICA') AS vn FROM tm GROUP BY 1, 2) WHERE np >= 2 AND nn >= 2) GROUP BY feature""", TRIM)
+def z_prime_ssmd(spark, sf_dir):
+    return rounded(quality.assay_window(quality.trimmed_well_means(views.long_li(spark, sf_dir)), F.col("condition") == "ASIA", F.col("condition") == "AFRICA"))
+
+
+@query("""SELECT id, round(p, 6) AS p, round(least(1.0, min(q) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS fdr FROM (SELECT s_suppkey AS id, p, p * count(*) OVER () / max(r) OVER (PARTITION BY p) AS q FROM (SELECT s_suppkey, abs(s_acctbal) / 10000.0 AS p, row_number() OVER (ORDER BY abs(s_acctbal)) AS r FROM supplier))""")
+def bh_fdr(spark, sf_dir):
+    s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.abs("s_acctbal") / 10000.0).alias("p"))
+    return rounded(stats.bh_fdr(s, "p"))
+
+
+@query("""SELECT label, a, round(avg(h / r), 6) AS ap FROM (SELECT *, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY a ORDER BY r) AS h FROM (
+    SELECT x.label, x.id AS a, x.label = y.label AS hit, row_number() OVER (PARTITION BY x.id ORDER BY list_cosine_similarity(x.vec, y.vec) DESC, y.id) AS r FROM vec x JOIN vec y ON x.id <> y.id WHERE x.label > 0 AND (y.label = x.label OR y.label = 0))) WHERE hit GROUP BY 1, 2""", VEC)
+def average_precision(spark, sf_dir):
+    v = views.vectors(spark, sf_dir).select(F.lit("P").alias("plate"), F.col("id").alias("well"), F.col("label").alias("condition"), (F.col("label") == 0).alias("control"), "vec")
+    return rounded(quality.average_precisions(quality.activity_pairs(v), ("condition",)).withColumnRenamed("condition", "label"))
+
+
+@query("""SELECT a.label, a.id, round(d_own, 6) AS d_own, round(d_other, 6) AS d_other, closest FROM (
+    SELECT label, id, sqrt(sum(pow(x - loo, 2))) AS d_own FROM (SELECT label, id, x, (sum(x) OVER w - x) / (count(*) OVER w - 1) AS loo FROM (SELECT label, id, unnest(range(64)) AS i, unnest(vec) AS x FROM vec) WINDOW w AS (PARTITION BY label, i)) GROUP BY 1, 2) a JOIN (
+    SELECT id, arg_min(other, d * 1000 + other / 1e9) AS closest, min(d) AS d_other FROM (SELECT v.id, c.other, sqrt(sum(pow(v.x - c.c, 2))) AS d FROM (SELECT label, id, unnest(range(64)) AS i, unnest(vec) AS x FROM vec) v
+      JOIN (SELECT label AS other, i, avg(x) AS c FROM (SELECT label, unnest(range(64)) AS i, unnest(vec) AS x FROM vec) GROUP BY 1, 2) c ON v.i = c.i AND v.label <> c.other GROUP BY 1, 2) GROUP BY id) b USING (id)""", VEC)
+def label_distance(spark, sf_dir):
+    v = views.vectors(spark, sf_dir).select(F.lit("P").alias("plate"), F.col("id").alias("well"), F.col("label").alias("condition"), "vec")
+    d = quality.label_distances(v)
+    return rounded(d.select(F.col("condition").alias("label"), F.col("well").alias("id"), "d_own", "d_other", F.col("closest_other_condition").alias("closest")))
+
+
+@query()
+def label_consistency(spark, sf_dir):
+    v = views.vectors(spark, sf_dir).select(F.lit("P").alias("plate"), F.col("id").alias("well"), F.col("label").alias("condition"), "vec")
+    return rounded(quality.label_consistency(v))
+
+
+@query()
+def phenotypic_activity(spark, sf_dir):
+    vec = quality.profile_vectors(quality.well_profiles(views.long_li(spark, sf_dir)))
+    return rounded(quality.phenotypic_activity(vec, 200))
+
+
+@query()
+def batch_effects(spark, sf_dir):
+    return rounded(quality.batch_effects(normalize.scale(views.long_li(spark, sf_dir))))
+
+
+PROFILES = LONG + f""", pp AS (SELECT plate, well, condition, is_control, feature, (rank() OVER (PARTITION BY plate, feature ORDER BY value) + (count(*) OVER (PARTITION BY plate, feature, value) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY plate, feature) AS p FROM long),
+ prof AS (SELECT plate, well, feature, min(condition) AS condition, bool_or(is_control) AS control, count(*) AS n, avg({stats.normal_ppf_sql('p')}) AS profile FROM pp GROUP BY 1, 2, 3)"""
+
+
+@query("SELECT plate, well, feature, condition, control, n, round(profile, 6) + 0.0 AS profile FROM prof", PROFILES)
+def well_profiles(spark, sf_dir):
+    return rounded(quality.well_profiles(views.long_li(spark, sf_dir)))
+
+
+@query("SELECT feature, round(max(n) / sum(n), 6) AS mode_fraction FROM (SELECT feature, value, count(*) AS n FROM long GROUP BY 1, 2) GROUP BY feature", LONG)
+def mode_fraction(spark, sf_dir):
+    return rounded(selection.mode_fraction(views.long_li(spark, sf_dir)))
+
+
+@query()
+def select_features(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir)
+    return rounded(selection.select_features(views.melt(o), o, drop_names=("tax",)))
+
+
+# -- vectors, sampling ------------------------------------------------------------------------------------
+
+
+@query("""SELECT label, id, round(m / l, 6) AS lof FROM (SELECT n.label, n.src AS id, avg(b.lrd) AS m, any_value(a.lrd) AS l FROM nn n JOIN lrd b ON n.dst = b.id JOIN lrd a ON n.src = a.id GROUP BY 1, 2)""", VEC + """,
+ nn AS (SELECT * FROM (SELECT a.label, a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS r FROM vec a JOIN vec b ON a.label = b.label AND a.id <> b.id) WHERE r <= 10),
+ kd AS (SELECT src AS id, max(d) AS kd FROM nn GROUP BY 1), lrd AS (SELECT src AS id, 1.0 / (avg(greatest(kd, d)) + 1e-10) AS lrd FROM nn JOIN kd ON dst = id GROUP BY 1)""")
+def lof_scores(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    return rounded(outliers.lof(joins.knn_edges(v, v, 10, keys=("label",), same=True), ("label",)).select("label", "id", "lof"))
+
+
+@query()
+def outlier_objects(spark, sf_dir):
+    v = views.vectors(spark, sf_dir).select(F.lit("P").alias("plate"), F.col("label").alias("condition"), F.col("id").alias("object_id"), "vec")
+    return rounded(outliers.find_outliers(v, threshold=1.2).drop("vec"))
+
+
+@query("""SELECT src, dst, round(size / (20.0 - size), 6) AS weight FROM (SELECT p.src, p.dst, len(list_intersect(a.near, b.near)) AS size FROM (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM nn) p
+    JOIN (SELECT src, list(dst) AS near FROM nn GROUP BY 1) a ON p.src = a.src JOIN (SELECT src, list(dst) AS near FROM nn GROUP BY 1) b ON p.dst = b.src) WHERE size > 0""", VEC + """,
+ nn AS (SELECT * FROM (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS r FROM vec a JOIN vec b ON a.id <> b.id) WHERE r <= 10)""")
+def jaccard_graph(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    return rounded(embedding.jaccard_graph(joins.knn_edges(v, v, 10, same=True)))
+
+
+@query()
+def pca_scores(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir)
+    return rounded(embedding.pca_scores(o, embedding.pca_fit(o, list(FEATURES), 2)).select("plate", "well", F.get("x_pca", F.lit(0)).alias("pc1"), F.get("x_pca", F.lit(1)).alias("pc2")), 4)
+
+
+@query()
+def kmeans_labels(spark, sf_dir):
+    return embedding.kmeans(views.vectors(spark, sf_dir), 10, starts=3).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def phenograph_clusters(spark, sf_dir):
+    return embedding.phenograph(views.vectors(spark, sf_dir), 15, "id")
+
+
+@query()
+def diffusion_map(spark, sf_dir):
+    return embedding.diffusion_map(views.vectors(spark, sf_dir), 3, id_col="id").select("id", F.round(F.get("x_diffmap", F.lit(0)), 4).alias("dc1"))
+
+
+@query("SELECT plate, least(count(*), 7) AS n FROM ev GROUP BY plate", EV)
+def sample_per_cluster(spark, sf_dir):
+    return sampling.sample_per_group(views.long_ev(spark, sf_dir), 7, ["plate"]).groupBy("plate").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(round_even(count(*) * 0.35, 0) AS BIGINT) AS n FROM ev", EV)
+def sample_fraction(spark, sf_dir):
+    return sampling.sample_fraction(views.long_ev(spark, sf_dir), 0.35).agg(F.count("*").alias("n"))
+
+
+@query()
+def geometric_sketch(spark, sf_dir):
+    o = views.long_ev(spark, sf_dir).select("object_id", F.array("value", (F.col("object_id") % 97).cast("double")).alias("vec"))
+    return sampling.geometric_sketch(o, 200).select("object_id")
+
+
+@query(
+    "SELECT 'value' AS feature, 'value' AS layer, bin, count(*) AS n FROM (SELECT CAST(least(floor((value - lo) / (hi - lo) * 40), 39) AS INTEGER) AS bin FROM (SELECT value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM ev)) GROUP BY 3", EV)
+def transform_histogram(spark, sf_dir):
+    return normalize.transform_histograms(views.long_ev(spark, sf_dir), ("value",))

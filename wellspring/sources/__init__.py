@@ -1 +1 @@
-"""Spark-native analytics for high-content screens."""
+"""Readers and writers: tables, layouts, panels, plates."""
