@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, stats
-from ..operators import embedding, filters, joins, normalize, outliers, quality, sampling, selection
+from ..operators import embedding, filters, image, joins, normalize, outliers, presentation, quality, sampling, selection
+from ..sources import plates
 from . import views
-from .views import CONTROL, EV, FEATURES, LONG, OBJ, VEC
+from .views import CONTROL, EV, FEATURES, LONG, OBJ, PIXELS, VEC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,7 +175,7 @@ def _orders(spark, sf_dir, flag):
 
 ROUNDS = """r1 AS (SELECT o_custkey AS object_id, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
  r2 AS (SELECT o_custkey AS object_id, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)"""
-ROUND_COLS = "coalesce(r1.object_id, r2.object_id) AS object_id, r1.n AS \"R1__n\", r1.total AS \"R1__total\", r2.n AS \"R2__n\", r2.total AS \"R2__total\""
+ROUND_COLS = 'coalesce(r1.object_id, r2.object_id) AS object_id, r1.n AS "R1__n", r1.total AS "R1__total", r2.n AS "R2__n", r2.total AS "R2__total"'
 
 
 @query(f"SELECT {ROUND_COLS} FROM r1 FULL JOIN r2 ON r1.object_id = r2.object_id", ROUNDS)
@@ -652,3 +653,114 @@ def geometric_sketch(spark, sf_dir):
     "SELECT 'value' AS feature, 'value' AS layer, bin, count(*) AS n FROM (SELECT CAST(least(floor((value - lo) / (hi - lo) * 40), 39) AS INTEGER) AS bin FROM (SELECT value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM ev)) GROUP BY 3", EV)
 def transform_histogram(spark, sf_dir):
     return normalize.transform_histograms(views.long_ev(spark, sf_dir), ("value",))
+
+
+# -- images -----------------------------------------------------------------------------------------------
+
+GEO = PIXELS + """, m AS (SELECT DISTINCT object_id, y, x FROM px WHERE in_mask),
+ g AS (SELECT object_id, count(*) AS n, avg(y) AS cy, avg(x) AS cx, avg(y * y) - avg(y) * avg(y) + 1 / 12 AS a, avg(x * x) - avg(x) * avg(x) + 1 / 12 AS c, avg(y * x) - avg(y) * avg(x) AS b, min(y) AS top, min(x) AS lft, max(y) + 1 AS bot, max(x) + 1 AS rgt FROM m GROUP BY 1),
+ e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS big, greatest((a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b), 0.0) AS small FROM g)"""
+
+
+@query("""SELECT object_id, CAST(n AS DOUBLE) AS area, round(cy, 6) AS centroid_y, round(cx, 6) AS centroid_x, top AS bbox_top, lft AS bbox_left, bot AS bbox_bottom, rgt AS bbox_right, CAST((bot - top) * (rgt - lft) AS DOUBLE) AS bbox_area, round(n / ((bot - top) * (rgt - lft)), 6) AS extent,
+    round(4 * sqrt(big), 6) AS axis_major_length, round(4 * sqrt(small), 6) AS axis_minor_length, round(sqrt(1 - small / big), 6) AS eccentricity, round(sqrt(4 * n / pi()), 6) AS equivalent_diameter, round(sqrt(small) / sqrt(big), 6) AS "AxisRatio", round((rgt - lft) / (bot - top), 6) AS "aspectRatio" FROM e""", GEO)
+def mask_geometry(spark, sf_dir):
+    px = views.pixels(spark, sf_dir).select("object_id", "y", "x", "in_mask").distinct()
+    return rounded(image.mask_geometry(px))
+
+
+@query("""SELECT object_id, round, channel, round(min(value), 6) AS min, round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.25), 6) AS "Q25", round(quantile_cont(value, 0.95), 6) AS "Q95",
+    round(coalesce(avg(value) FILTER (value > 30), 0.0), 6) AS "T_mean", round(coalesce(max(value) FILTER (value > 30), 0.0), 6) AS "T_max", round(coalesce(quantile_cont(CASE WHEN value > 30 THEN value END, 0.25), 0.0), 6) AS "T_Q25",
+    CAST(count(*) FILTER (value > 30) AS DOUBLE) AS "area_T", round(count(*) FILTER (value > 30) / count(*), 6) AS "area_T_ratio", round(avg(value) * count(*) FILTER (value > 30), 6) AS potency,
+    round(coalesce(sqrt(pow(avg(y) - avg(y) FILTER (value > 30), 2) + pow(avg(x) - avg(x) FILTER (value > 30), 2)) / sqrt(count(*)), 1.0), 6) AS asymmetry FROM px WHERE in_mask GROUP BY 1, 2, 3""", PIXELS)
+def intensity_stats(spark, sf_dir):
+    st = image.intensity_stats(views.pixels(spark, sf_dir), (0.25, 0.95))
+    return rounded(st.select("object_id", "round", "channel", "min", "mean", "max", "std", "Q25", "Q95", "T_mean", "T_max", "T_Q25", "area_T", "area_T_ratio", "potency", "asymmetry"))
+
+
+@query("""SELECT object_id, sum(value) AS m00, sum((y - y0) * value) AS m10, sum((x - x0) * value) AS m01, sum((y - y0) * (x - x0) * value) AS m11, sum(pow(y - y0, 2) * value) AS m20 FROM (
+    SELECT *, min(y) OVER (PARTITION BY object_id) AS y0, min(x) OVER (PARTITION BY object_id) AS x0 FROM px WHERE in_mask AND channel = 1) GROUP BY 1""", PIXELS)
+def weighted_moments(spark, sf_dir):
+    m = image.raw_moments(views.pixels(spark, sf_dir).where("channel = 1"), 2, True)
+    return m.select("object_id", *[F.col(f"`moments_weighted-{p}-{q}`").alias(f"m{p}{q}") for p, q in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0))])
+
+
+@query("""SELECT object_id, round(nt / w, 6) AS "StraightEdge_top", round(nb / w, 6) AS "StraightEdge_bottom", round(nl / h, 6) AS "StraightEdge_left", round(nr / h, 6) AS "StraightEdge_right", round(greatest(nt / w, nb / w, nl / h, nr / h), 6) AS "StraightEdge_longest_fraction", round((nt + nb + nl + nr) / (2 * (h + w)), 6) AS "StraightEdge_total_fraction" FROM (
+    SELECT object_id, count_if(y = y0) AS nt, count_if(y = y1) AS nb, count_if(x = x0) AS nl, count_if(x = x1) AS nr, max(y1) - max(y0) + 1 AS h, max(x1) - max(x0) + 1 AS w FROM (
+      SELECT *, min(y) OVER w AS y0, max(y) OVER w AS y1, min(x) OVER w AS x0, max(x) OVER w AS x1 FROM m WINDOW w AS (PARTITION BY object_id)) GROUP BY 1)""", GEO)
+def straight_edges(spark, sf_dir):
+    px = views.pixels(spark, sf_dir).select("object_id", "y", "x", "in_mask").distinct()
+    return rounded(image.straight_edges(px))
+
+
+@query("""SELECT object_id, 'c1' AS a, 'c2' AS b, CASE WHEN stddev_pop(p) > 0 AND stddev_pop(q) > 0 THEN round(corr(p, q), 6) + 0.0 END AS r, 'c1--c2_PearsonR' AS feature FROM (SELECT object_id, y, x, max(value) FILTER (channel = 1) AS p, max(value) FILTER (channel = 2) AS q FROM px WHERE in_mask GROUP BY 1, 2, 3) GROUP BY 1""", PIXELS)
+def channel_correlations(spark, sf_dir):
+    px = views.pixels(spark, sf_dir).where("in_mask").withColumn("channel", F.concat(F.lit("c"), F.col("channel").cast("string")))
+    return rounded(joins.pair_correlations(px))
+
+
+@query("""SELECT object_id, 'R0__' || CASE channel WHEN 1 THEN 'DAPI' ELSE 'KRT7' END || '_mean' AS feature, round(avg(value), 6) AS value FROM px WHERE in_mask GROUP BY object_id, channel""", PIXELS)
+def wide_feature_names(spark, sf_dir):
+    stains = spark.createDataFrame([(0, 1, "DAPI"), (0, 2, "KRT7"), (0, 3, "")], "round int, channel int, stain string")
+    st = image.intensity_stats(views.pixels(spark, sf_dir), (0.5,)).select("object_id", "round", "channel", "mean")
+    return rounded(image.wide_features(st, stains))
+
+
+@query()
+def morphology(spark, sf_dir):
+    return rounded(image.morphology(views.pixels(spark, sf_dir).where("channel = 1"), skeleton=False), 4)
+
+
+@query()
+def crypt_features(spark, sf_dir):
+    return rounded(image.per_object(views.pixels(spark, sf_dir).where("channel = 1"), image.crypt_features, image.CRYPTS), 4)
+
+
+@query()
+def stain_thresholds(spark, sf_dir):
+    stains = spark.createDataFrame([(0, 1, "DAPI"), (0, 2, "KRT7")], "round int, channel int, stain string")
+    return image.estimate_thresholds(views.pixels(spark, sf_dir), stains).select("round", "stain", "channel", F.size("raw").alias("n"), F.round("final", 4).alias("final"))
+
+
+# -- sources ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT mix, round, string_agg(coalesce(stain, ''), '|' ORDER BY channel) AS stains FROM (SELECT g.mix, g.round, c.channel, p.stain FROM (SELECT p_brand AS mix, p_size % 3 AS round, max(p_size % 7 + 1) AS top FROM part GROUP BY 1, 2) g
+    CROSS JOIN (SELECT unnest(range(1, 8)) AS channel) c LEFT JOIN (SELECT DISTINCT p_brand AS mix, p_size % 3 AS round, p_size % 7 + 1 AS channel, 'S' || (p_size % 7) AS stain FROM part) p ON p.mix = g.mix AND p.round = g.round AND p.channel = c.channel WHERE c.channel <= g.top) GROUP BY 1, 2""")
+def staining_panel(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part")
+    rows = p.select(F.concat(F.lit("S"), (F.col("p_size") % 7).cast("string")).alias("target"), (F.col("p_size") % 7 + 1).cast("string").alias("channel"), F.col("p_brand").alias("mix"), (F.col("p_size") % 3).cast("string").alias("round"))
+    return plates.staining_panel(rows).withColumn("stains", F.array_join("stains", "|"))
+
+
+@query("SELECT plate, well, round, path FROM (SELECT 'P' || n_regionkey AS plate, chr(65 + CAST(n_nationkey % 8 AS INTEGER)) || lpad(CAST(n_nationkey % 12 + 1 AS VARCHAR), 2, '0') AS well, n_nationkey % 3 AS round, '/data/P' || n_regionkey || '.zarr/' || chr(65 + CAST(n_nationkey % 8 AS INTEGER)) || '/' || (n_nationkey % 12 + 1) || '/' || (n_nationkey % 3) AS path FROM nation)")
+def image_index(spark, sf_dir):
+    n = views.table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    path = F.concat(F.lit("/data/P"), F.col("n_regionkey").cast("string"), F.lit(".zarr/"), F.char(k % 8 + 65), F.lit("/"), (k % 12 + 1).cast("string"), F.lit("/"), (k % 3).cast("string"))
+    return plates.image_index(n.select(path.alias("path")))
+
+
+# -- tables for figures -----------------------------------------------------------------------------------
+
+
+@query("SELECT plate, CAST(ascii(well[1]) - 65 AS INTEGER) AS row, CAST(well[2:] AS INTEGER) - 1 AS col, count(*) AS value, bool_or(is_control) AS outlined FROM obj GROUP BY plate, well", OBJ)
+def plate_map(spark, sf_dir):
+    w = views.objects_li(spark, sf_dir).groupBy("plate", "well").agg(F.count("*").alias("value"), F.bool_or("is_control").alias("outlined"))
+    return presentation.plate_map(w)
+
+
+@query("SELECT plate, CAST(floor(cy / height * 40) AS INTEGER) AS row, CAST(floor(cx / width * 40) AS INTEGER) AS col, count(*) AS n FROM (SELECT plate, least(cy / height, 0.999999) * height AS cy, least(cx / width, 0.999999) * width AS cx, width, height FROM placed) GROUP BY 1, 2, 3", PLACED)
+def position_density(spark, sf_dir):
+    return presentation.position_density(_placed(spark, sf_dir))
+
+
+@query("SELECT feature, round(quantile_cont(value, 0.01), 6) AS low, round(quantile_cont(value, 0.99), 6) AS high FROM long GROUP BY 1", LONG)
+def colour_limits(spark, sf_dir):
+    return rounded(presentation.colour_limits(views.long_li(spark, sf_dir)))
+
+
+@query("SELECT condition, feature, round(eta2, 6) AS eta2, round(cume_dist() OVER (PARTITION BY feature ORDER BY eta2), 6) AS share FROM (SELECT condition, feature, round(sum(pow(pm - gm, 2)) / nullif(sum(pow(value - gm, 2)), 0), 6) AS eta2 FROM (SELECT *, avg(value) OVER (PARTITION BY condition, feature) AS gm, avg(value) OVER (PARTITION BY condition, feature, plate) AS pm FROM tm) GROUP BY 1, 2)", TRIM)
+def ecdf(spark, sf_dir):
+    e = rounded(quality.plate_eta_squared(quality.trimmed_well_means(views.long_li(spark, sf_dir))).select("condition", "feature", "eta2"))
+    return rounded(presentation.ecdf(e, "eta2", "feature"))

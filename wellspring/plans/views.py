@@ -76,3 +76,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VEC = "vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pixel table: each supplier is an object on a 21 x 21 crop with an elliptic mask and two channels."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("object_id"))
+    grid = s.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("channel", F.explode(F.array(F.lit(1), F.lit(2))))
+    k = F.col("object_id")
+    inside = F.pow((F.col("y") - 10) / (4 + k % 6), F.lit(2.0)) + F.pow((F.col("x") - 10) / (3 + k % 5), F.lit(2.0)) <= 1
+    value = ((F.col("x") * 7 * F.col("channel") + F.col("y") * 3 + k) % 50).cast("double")
+    return grid.select("object_id", F.lit(0).alias("round"), "channel", "y", "x", value.alias("value"), inside.alias("in_mask"), (inside & (value > 30)).alias("over_threshold"))
+
+
+PIXELS = """px AS (SELECT s_suppkey AS object_id, 0 AS round, c.channel, y.y, x.x, CAST((x.x * 7 * c.channel + y.y * 3 + s_suppkey) % 50 AS DOUBLE) AS value,
+    pow((y.y - 10) / (4 + s_suppkey % 6), 2) + pow((x.x - 10) / (3 + s_suppkey % 5), 2) <= 1 AS in_mask
+  FROM supplier, (SELECT CAST(unnest(range(21)) AS INTEGER) AS y) y, (SELECT CAST(unnest(range(21)) AS INTEGER) AS x) x, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS channel) c)"""

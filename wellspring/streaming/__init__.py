@@ -1 +1 @@
-"""Spark-native analytics for high-content screens."""
+"""Screens as they arrive: plates as micro-batches."""
