@@ -222,3 +222,24 @@ def test_decontamination_substitutions(spark, monkeypatch, carry):
     kept = {r["doc_id"] for r in decontaminate.clean(df, it).collect()}
     assert kept == ({*docs, None, 50} - {d for d, _ in got})
     assert decontaminate.overlaps(df, it.where("false")).count() == 0 and decontaminate.overlaps(df.where("false"), it).count() == 0
+
+
+def test_word_cache_is_exact(sf):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from wellspring.llm.packing import WordCache
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    letters = "ab'stdrelvm ,.!12 \n\t\x00\x1c\x85\xa0éÉßİıſ½²ªºŉǅ\u0301中😀Σς<|>_-"
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    odd += ["<|endoftext|>", "Don't we'LL", "ÉCOLE naïve", "", " ", "I'm he'd it's 12½", "x" * 5000, "\x7f\x80\xad¡"]
+    cache = WordCache(path, limit=500)
+    sample = list(texts(sf).values()) + odd
+    for at in range(0, len(sample), 50):
+        for t, got in zip(sample[at : at + 50], cache.encode(sample[at : at + 50])):
+            assert np.frombuffer(got, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)

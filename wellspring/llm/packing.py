@@ -20,7 +20,9 @@ from __future__ import annotations
 import math
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -42,35 +44,67 @@ PACKED = PIECES + ", sequence_id long, offset long"
 _PLAIN = re.compile("[^\x00-\x1b\x20-;=-įı-ɏ]")
 
 
+def _pattern() -> re.Pattern:
+    """The tokenizer's word pattern for plain texts: its letter and number classes below U+0250."""
+    of = lambda kind: "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of('L')}]+|[{of('N')}]|[^\\s{of('L')}{of('N')}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte to the letter that stands for it in byte-level vocabularies: itself if it prints, else the next free one from 256."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + n for n, b in enumerate(rest)}
+
+
 class WordCache:
     """Token ids of whole texts through a bounded cache of white-space words; exact for any text.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a plain text's ids are those
-    of its words in a row.  Any other text goes to the tokenizer as it is.
+    of its words in a row; a new word is cut by the tokenizer's pattern and its parts go to the tokenizer's
+    model.  Any other text goes to the tokenizer as it is.  The cache has two generations of ``limit`` words:
+    when the younger is full it becomes the older, and words still in use move back.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.words = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model, self.pattern, self.letters = self.tokenizer.model, _pattern(), _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _part(self, part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _learn(self, word: str) -> None:
+        if (found := self.older.get(word)) is None:
+            if word.isalpha():
+                found = self._part(word)
+            else:
+                found = b"".join([self.words.get(p) or self._part(p) for p in self.pattern.findall(word)])
+        self.words[word] = found
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split: list[list[str] | None] = [None if _PLAIN.search(t) else t.lower().split() for t in texts]
-        missing = list({w for s in split if s for w in s if w not in self.words})
-        if len(self.words) + len(missing) > self.limit:
-            self.words = {}
-            missing = list({w for s in split if s for w in s})
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            self.words.update(zip(part, self._raw(part)))
-        odd = iter(self._raw([t for t, s in zip(texts, split) if s is None]))
-        get = self.words.__getitem__
-        return [next(odd) if s is None else b"".join(map(get, s)) for s in split]
+        if len(self.words) > self.limit:
+            self.words, self.older = {}, self.words
+        out = []
+        for t in texts:
+            if _PLAIN.search(t):
+                out.append(self._whole(t))
+                continue
+            split = t.lower().split()
+            for w in set(split).difference(self.words):
+                self._learn(w)
+            out.append(b"".join(map(self.words.__getitem__, split)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS) -
     def cut(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        step = 512
+        step = 64
         for at in range(0, len(ids), step):
             for i, raw in zip(ids[at : at + step], _cache(tokenizer_path).encode([t or "" for t in texts[at : at + step]])):
                 raw += tail
