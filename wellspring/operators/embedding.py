@@ -112,28 +112,51 @@ def jaccard_graph(edges: DataFrame) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", w.alias("weight")).where("weight > 0")
 
 
-def graph_clusters(graph: DataFrame, nodes: DataFrame, min_size: int = 10, rounds: int = 20) -> DataFrame:
-    """id, cluster: weighted label propagation over (src, dst, weight); clusters below ``min_size`` become -1.
+def _move_nodes(both: DataFrame, total: float, rounds: int) -> DataFrame:
+    """id, label after local moves that raise modularity; ``both`` holds each edge in both directions, loops once.
 
-    Each round a node takes the label of largest weight among its neighbours (its own counts half its
-    degree; ties go to the smaller label); odd and even nodes move in turn.  Clusters are numbered by size.
+    Half of the nodes (by a hash that changes with the round) may move at a time, each to the neighbouring
+    label of largest gain; joins are on node ids and on labels, and each round is a stored table.
     """
-    both = materialize(graph.select("src", "dst", "weight").union(graph.select(F.col("dst"), F.col("src"), "weight")), "graph")
-    labels = materialize(nodes.select("id").distinct().withColumn("label", F.col("id")), "labels")
+    degree = materialize(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "degree")
+    labels = degree.select("id", F.col("id").alias("label"))
+    still = 0
     for r in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
-        w = Window.partitionBy("id")
-        near = near.join(labels.select("id", F.col("label").alias("own")), "id").withColumn("w", F.when(F.col("label") == F.col("own"), F.col("w") + 0.1 * F.max("w").over(w)).otherwise(F.col("w")))
-        best = near.groupBy("id").agg(F.max_by("label", F.struct("w", -F.xxhash64("label").cast("double"))).alias("new"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        after = labels.join(best, "id", "left").select("id", F.when(turn, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label"), (turn & (F.coalesce("new", "label") != F.col("label"))).alias("moved"))
-        after = materialize(after, "labels")
-        moved = after.where("moved").limit(1).count()
+        sizes = labels.join(degree, "id").groupBy("label").agg(F.sum("k").alias("tot"))
+        links = both.where("src <> dst").join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
+        own = labels.select("id", "label", F.lit(0.0).alias("w"))
+        options = links.unionByName(own).groupBy("id", "label").agg(F.sum("w").alias("w")).join(sizes, "label").join(degree, "id").join(labels.select("id", F.col("label").alias("own")), "id")
+        rest = F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - F.col("k") * rest / total, 9)
+        best = options.withColumn("gain", gain).groupBy("id").agg(F.max_by("label", F.struct("gain", F.col("label") == F.col("own"), F.xxhash64("label"))).alias("new"), F.max("own").alias("own"))
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        after = materialize(best.select("id", F.when(turn, F.col("new")).otherwise(F.col("own")).alias("label"), (F.col("new") != F.col("own")).alias("wants")), "labels")
         labels = after.select("id", "label")
-        if not moved and r % 2:
+        still = still + 1 if not after.where("wants").limit(1).count() else 0
+        if still:
+            break
+    return labels
+
+
+def graph_clusters(graph: DataFrame, nodes: DataFrame, min_size: int = 10, rounds: int = 12, levels: int = 6) -> DataFrame:
+    """id, cluster: Louvain's modularity clustering of (src, dst, weight) in parallel moves; clusters below ``min_size`` become -1.
+
+    After the moves of a level the graph is contracted to its labels, until nothing merges.  Clusters are
+    numbered by size.
+    """
+    both = materialize(graph.select("src", "dst", "weight").union(graph.select(F.col("dst"), F.col("src"), "weight")), "graph")
+    total = both.agg(F.sum("weight")).first()[0]
+    where = materialize(nodes.select("id").distinct().withColumn("label", F.col("id")), "labels")
+    for _ in range(levels if total else 0):
+        moved = _move_nodes(both, total, rounds)
+        n, k = moved.agg(F.count("*"), F.count_distinct("label")).first()
+        if n == k:
             break
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy(F.col("n") >= min_size).orderBy(F.desc("n"), "label")) - 1)
-    return labels.join(sizes, "label").select("id", F.when(F.col("n") >= min_size, F.col("k")).otherwise(-1).cast("string").alias("cluster"))
+        where = materialize(where.join(moved.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
+        a, b = moved.select(F.col("id").alias("src"), F.col("label").alias("la")), moved.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
+        both = materialize(both.join(a, "src").join(b, "dst").groupBy(F.col("la").alias("src"), F.col("lb").alias("dst")).agg(F.sum("weight").alias("weight")), "graph")
+    sizes = where.groupBy("label").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy(F.col("n") >= min_size).orderBy(F.desc("n"), "label")) - 1)
+    return where.join(sizes, "label").select("id", F.when(F.col("n") >= min_size, F.col("k")).otherwise(-1).cast("string").alias("cluster"))
 
 
 def modularity(graph: DataFrame, clusters: DataFrame) -> float:
@@ -147,7 +170,7 @@ def modularity(graph: DataFrame, clusters: DataFrame) -> float:
 
 
 def phenograph(df: DataFrame, k: int = 30, id_col: str = "object_id", vec: str = "vec", min_size: int = 10) -> DataFrame:
-    """id, cluster: nearest neighbours, Jaccard graph, label propagation."""
+    """id, cluster: nearest neighbours, Jaccard graph, Louvain clusters."""
     edges = materialize(knn_edges(df, df, k, id_col, id_col, vec, same=True), "edges")
     return graph_clusters(jaccard_graph(edges), df.select(F.col(id_col).alias("id")), min_size)
 

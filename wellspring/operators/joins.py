@@ -186,5 +186,5 @@ def pair_correlations(vectors: DataFrame, keys: Sequence[str] = ("object_id",),
     a = vectors.select(*keys, *pixel, F.col("channel").alias("a"), F.col("value").alias("va"))
     b = vectors.select(*keys, *pixel, F.col("channel").alias("b"), F.col("value").alias("vb"))
     both = a.join(b, [*keys, *pixel]).where("a < b")
-    flat = (F.stddev_pop("va") > 0) & (F.stddev_pop("vb") > 0)
-    return both.groupBy(*keys, "a", "b").agg(F.when(flat, F.corr("va", "vb")).alias("r")).withColumn("feature", F.concat("a", F.lit("--"), "b", F.lit("_PearsonR")))
+    r = F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop("va") * F.stddev_pop("vb"))
+    return both.groupBy(*keys, "a", "b").agg(r.alias("r")).withColumn("feature", F.concat("a", F.lit("--"), "b", F.lit("_PearsonR")))

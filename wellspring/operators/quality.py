@@ -200,7 +200,7 @@ def saturated_features(features: DataFrame, saturated: DataFrame) -> DataFrame:
 
 def tile_counts(objects: DataFrame, grid: int = 4, x: str = "cx_um", y: str = "cy_um") -> DataFrame:
     """plate, well, tile, n for every tile of every well, empty ones 0; needs width and height."""
-    at = lambda p, size: F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor(F.col(p) / F.col(size) * grid)))
+    at = lambda p, size: F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor(F.coalesce(F.try_divide(F.col(p), F.col(size)), F.lit(0.0)) * grid)))
     placed = objects.withColumn("tile", (at(y, "height") * grid + at(x, "width")).cast("int"))
     counts = placed.groupBy("plate", "well", "tile").agg(F.count("*").alias("n"))
     wells = objects.select("plate", "well").distinct().withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))))
@@ -218,7 +218,7 @@ def empty_tiles(tiles: DataFrame, gap_p: float = 0.001) -> DataFrame:
 
 def radial_position(objects: DataFrame, x: str = "cx_um", y: str = "cy_um") -> DataFrame:
     """Adds radius: distance from the image centre over half the diagonal; needs width and height."""
-    return objects.withColumn("radius", F.hypot(F.col(x) - F.col("width") / 2, F.col(y) - F.col("height") / 2) / (F.hypot("width", "height") / 2))
+    return objects.withColumn("radius", F.try_divide(F.hypot(F.col(x) - F.col("width") / 2, F.col(y) - F.col("height") / 2), F.hypot("width", "height") / 2))
 
 
 def radial_rho(long: DataFrame, min_objects: int = 10) -> DataFrame:

@@ -45,7 +45,7 @@ def split_half_reliability(long: DataFrame, splits: int = 20, min_wells: int = 6
     half = each.withColumn("half", turn).groupBy("feature", "split", "plate", "condition").agg(F.avg(F.when(F.col("half") == 0, F.col("v"))).alias("a"), F.avg(F.when(F.col("half") == 1, F.col("v"))).alias("b"))
     p = Window.partitionBy("feature", "split", "plate")
     half = half.withColumn("a", F.col("a") - F.avg("a").over(p)).withColumn("b", F.col("b") - F.avg("b").over(p))
-    r = half.groupBy("feature", "split").agg(F.when((F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0), F.corr("a", "b")).alias("r"))
+    r = half.groupBy("feature", "split").agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"))
     mean = r.groupBy("feature").agg(F.avg("r").alias("r"))
     return mean.select("feature", F.try_divide(2 * F.col("r"), 1 + F.col("r")).alias("reliability"))
 

@@ -22,5 +22,5 @@ def per_batch(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], out:
 
 def arrivals(stream: DataFrame, time: str = "ts", window: str = "10 minutes", late: str = "30 minutes", keys: tuple[str, ...] = ("plate",)) -> DataFrame:
     """Objects and mean value per window and key, with a watermark for late rows."""
-    w = stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), *keys)
+    w = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), *keys)
     return w.agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), *keys, "n", "mean")
