@@ -65,4 +65,41 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_secrets, op4_licenses, op5_packing, op6_html, op7_near_dedup, op8_neighbours, op9_toxicity, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+
+
+def _license_sql() -> str:
+    """Exact containment of each template's shingles in each window, without min-hashes or anchors."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.TEMPLATES.items()))
+    split = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""
+WITH t(license, body) AS (VALUES {values}),
+ tw AS (SELECT license, {split.format("body")} AS w FROM t),
+ ts AS (SELECT DISTINCT license, len(w) - 4 AS size, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT license, w, unnest(range(len(w) - 4)) AS i FROM tw)),
+ dw AS (SELECT doc_id, {split.format("text")} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+ dg AS (SELECT doc_id, i, len(w) - 4 AS n, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM dw WHERE len(w) > 4)),
+ hits AS (SELECT DISTINCT doc_id, license, size, greatest(1, size // 2) AS stride, i, n, g FROM dg JOIN ts USING (g)),
+ placed AS (SELECT *, unnest(range(CAST(ceil(greatest(i - size - stride + 2, 0) / stride) AS BIGINT), i // stride + 1)) * stride AS s FROM hits),
+ wins AS (SELECT doc_id, license, s, count(DISTINCT g) / (SELECT count(*) FROM ts x WHERE x.license = p.license) AS containment, min(i) AS start_word, max(i) + 5 AS end_word FROM placed p WHERE s < n GROUP BY doc_id, license, s)
+SELECT doc_id, license, round(containment, 6) AS containment, CAST(start_word AS INTEGER) AS start_word, CAST(end_word AS INTEGER) AS end_word FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start_word, end_word DESC) AS r FROM wins WHERE containment >= 0.8) WHERE r = 1"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_licenses": _license_sql(),
+    "op8_neighbours": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 5""",
+    "op10_decontamination": """
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+ bw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+ d AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM dw),
+ b AS (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS j FROM bw WHERE len(w) >= 9),
+ met AS (SELECT DISTINCT doc_id, item_id, n, i - j AS diag, j FROM d JOIN b USING (x)),
+ enough AS (SELECT doc_id, item_id, diag FROM met GROUP BY doc_id, item_id, diag HAVING count(*) >= ceil(least(16, any_value(n)) * 0.8)),
+ runs AS (SELECT doc_id, item_id, n, diag, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY j RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS words FROM met SEMI JOIN enough USING (doc_id, item_id, diag))
+SELECT doc_id, item_id, CAST(words AS INTEGER) AS words, CAST(least(16, n) AS INTEGER) AS "window", CAST(greatest(diag, 0) AS INTEGER) AS start_word FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, greatest(diag, 0)) AS r FROM runs WHERE words >= ceil(least(16, n) * 0.8)) WHERE r = 1""",
+}
