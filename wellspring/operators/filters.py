@@ -104,3 +104,22 @@ def plates_with_value(layout: DataFrame, value: str, columns: Sequence[str] = ("
 
 def status_counts(df: DataFrame, *keys: str, status: str = "status") -> DataFrame:
     return df.groupBy(*keys, status).agg(F.count("*").alias("n"))
+
+
+def require_columns(df: DataFrame, columns: Sequence[str], name: str = "table") -> DataFrame:
+    """``df`` as it is; missing columns are an error that names them."""
+    if gone := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"{name} lacks the columns {gone}")
+    return df
+
+
+def numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns as doubles; what is not a number becomes NULL."""
+    return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
+
+
+def feature_vectors(df: DataFrame, features: Sequence[str] | None = None, embedding: str | None = None, out: str = "vec") -> DataFrame:
+    """``df`` with an array of the named features, or of a stored embedding; rows with a missing entry are an error when read."""
+    v = F.col(embedding).cast("array<double>") if embedding else F.array(*[F.col(f"`{f}`").cast("double") for f in features or ()])
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))
+    return df.withColumn(out, F.when(whole, v).otherwise(F.raise_error(F.lit("a feature is missing or not finite")).cast("array<double>")))

@@ -329,12 +329,12 @@ def activity_pairs(vectors: DataFrame) -> DataFrame:
     return both.select("plate", "condition", "a", "b", (dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).alias("cosine"), own.alias("hit"))
 
 
-def phenotypic_activity(vectors: DataFrame, n_permutations: int = 1000, seed: int = 0, level: float = 0.05) -> DataFrame:
+def phenotypic_activity(vectors: DataFrame, n_permutations: int = 1000, seed: int = 0, level: float = 0.05, centred: bool = False) -> DataFrame:
     """condition, mAP, chance_mAP, chance_95, p, n_wells, n_plates, fdr, active: permutation test per condition.
 
-    Vectors are centred on the plate's controls.  A group is one condition with the controls of its plates.
+    Vectors are centred on the plate's controls unless they are ``centred``.  A group is one condition with the controls of its plates.
     """
-    pairs = activity_pairs(centre_by_plate(vectors, F.col("control")))
+    pairs = activity_pairs(vectors if centred else centre_by_plate(vectors, F.col("control")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         name = str(pdf["condition"].iloc[0])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, stats
 from ..operators import embedding, filters, image, joins, normalize, outliers, presentation, quality, sampling, selection
 from ..sources import plates
-from . import views
+from . import screen, views
 from .views import CONTROL, EV, FEATURES, LONG, OBJ, PIXELS, VEC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,6 +655,46 @@ def transform_histogram(spark, sf_dir):
     return normalize.transform_histograms(views.long_ev(spark, sf_dir), ("value",))
 
 
+# -- the analysis as a whole ------------------------------------------------------------------------------
+
+
+def _long_vec(spark, sf_dir):
+    """Vectors as a screen of objects: label groups as conditions, eight of the components as features."""
+    v = views.vectors(spark, sf_dir)
+    wide = v.select(F.col("id").alias("object_id"), F.lit("P").alias("plate"), F.concat(F.lit("w"), (F.col("id") % 60).cast("string")).alias("well"), F.col("label").cast("string").alias("condition"), (F.col("label") == 0).alias("is_control"), *[F.get("vec", F.lit(i)).alias(f"f{i}") for i in range(8)])
+    return views.melt(wide, [f"f{i}" for i in range(8)], ("object_id", "plate", "well", "condition", "is_control"))
+
+
+@query()
+def find_outlier_objects(spark, sf_dir):
+    return rounded(screen.find_outlier_objects(_long_vec(spark, sf_dir), threshold=1.3), 4)
+
+
+@query()
+def check_labels(spark, sf_dir):
+    return rounded(screen.check_labels(views.long_li(spark, sf_dir)), 4)
+
+
+@query()
+def check_activity(spark, sf_dir):
+    return rounded(screen.check_activity(views.long_li(spark, sf_dir), 200), 4)
+
+
+@query()
+def extract_features(spark, sf_dir):
+    stains = spark.createDataFrame([(0, 1, "DAPI"), (0, 2, "KRT7")], "round int, channel int, stain string")
+    t = spark.createDataFrame([(0, "DAPI", 25.0), (0, "KRT7", 30.0)], "round int, stain string, final double")
+    return rounded(screen.extract_features(views.pixels(spark, sf_dir).drop("over_threshold"), stains, t, skeleton=False), 4)
+
+
+@query()
+def analyse_screen(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir).withColumn("object_id", F.concat_ws("-", "plate", "well", "l_orderkey", "l_linenumber")).withColumn("other", F.lit("d0"))
+    layout = o.select("plate", "well", "medium", "cell_line", "abs", "other").distinct()
+    data = screen.analyse(o, FEATURES, layout, CONTROL, 100, {"l_quantity": (2.0, 49.0)})
+    return rounded(data.side["well_qc"])
+
+
 # -- images -----------------------------------------------------------------------------------------------
 
 GEO = PIXELS + """, m AS (SELECT DISTINCT object_id, y, x FROM px WHERE in_mask),
