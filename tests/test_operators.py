@@ -176,6 +176,10 @@ def test_scalers_centre_controls(spark):
     assert {r["z_scaled"] for r in s.where("feature = 'flat' AND value = 5").collect()} == {2.0}
     bad = normalize.groups_without_controls(long.unionByName(long_frame(spark, [("P9", "A01", "x", False, "f", 1.0)])))
     assert [(r["plate"], r["feature"]) for r in bad.collect()] == [("P9", "f")]
+    lone = long.unionByName(long_frame(spark, [("P9", "A01", "x", False, "f", 1.0)]))
+    with pytest.raises(ValueError, match="no control values"):
+        normalize.normalize_groups(lone)
+    assert normalize.normalize_groups(lone, strict=False).where("plate = 'P9'").first()["z_scaled"] is None
 
 
 def test_skew_decisions(spark):

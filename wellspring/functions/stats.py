@@ -36,9 +36,12 @@ def to_null(df: DataFrame) -> DataFrame:
 
 
 def avg_rank(value: str, *keys: str) -> Column:
-    """Average rank of ``value`` within ``keys``; rows with a NULL value must be filtered out before."""
+    """Average rank of ``value`` within ``keys``; rows with a NULL value must be filtered out before.
+
+    Ties are counted by a frame of the same window, so one shuffle and one sort serve both.
+    """
     order = Window.partitionBy(*keys).orderBy(value)
-    ties = Window.partitionBy(*keys, value)
+    ties = order.rangeBetween(Window.currentRow, Window.currentRow)
     return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0
 
 

@@ -189,8 +189,14 @@ def apply_transform(long: DataFrame, decision: DataFrame, transform: str = "log1
     return out.withColumn("transformed", F.when(F.col("decision") == "transform", new).otherwise(v)).drop("decision", *names)
 
 
-def normalize_groups(long: DataFrame, group: Sequence[str] = ("plate",), control: str | None = "is_control", transform: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """All layers: transformed (where asked for and worth it), robust_scaled, z_scaled, minmax_scaled."""
+def normalize_groups(long: DataFrame, group: Sequence[str] = ("plate",), control: str | None = "is_control", transform: str | None = None, threshold: float = 0.5, strict: bool = True) -> DataFrame:
+    """All layers: transformed (where asked for and worth it), robust_scaled, z_scaled, minmax_scaled.
+
+    ``strict`` refuses groups or features that have values but no control value, naming some of them; without
+    it their layers are NULL.
+    """
+    if strict and control is not None and (bad := groups_without_controls(long, group, control).limit(10).collect()):
+        raise ValueError(f"no control values for {[tuple(r) for r in bad]}")
     if transform == "log1p":
         long = apply_transform(long, skew_decision(long, group, control, threshold), "log1p")
     elif transform == "yeo-johnson":

@@ -350,11 +350,12 @@ def phenotypic_activity(vectors: DataFrame, n_permutations: int = 1000, seed: in
             for _, q in g.sort_values(["a", "cosine", "b"], ascending=[True, False, True]).groupby("a", sort=True):
                 h = q["hit"].to_numpy()
                 observed.append((np.cumsum(h)[h] / (np.flatnonzero(h) + 1)).mean())
-            places = np.sort(np.argsort(rng.random((n_permutations, len(hits), total)), axis=2)[:, :, :k], axis=2) + 1
-            null.append((np.arange(1, k + 1) / places).mean(axis=2))
+            # a random set of k places for each query and permutation, one query at a time
+            draws = (np.sort(np.argpartition(rng.random((n_permutations, total)), k - 1, axis=1)[:, :k], axis=1) + 1 for _ in range(len(hits)))
+            null.append(sum((np.arange(1, k + 1) / d).mean(axis=1) for d in draws))
         if not observed:
             return pd.DataFrame([(name, None, None, None, None, 0, 0)], columns=list(cols))
-        m = np.concatenate(null, axis=1).mean(axis=1)
+        m = sum(null) / wells
         obs = float(np.mean(observed))
         return pd.DataFrame([(name, obs, float(m.mean()), float(np.quantile(m, 0.95)), (1 + int((m >= obs).sum())) / (1 + n_permutations), wells, plates)], columns=list(cols))
 
