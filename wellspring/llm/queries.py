@@ -18,33 +18,33 @@ def tokenizer_path() -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_prob", "keep")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents", spread=True)))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.secret_scan(table(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.secret_scan(table(spark, sf_dir, "documents", spread=True)))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(table(spark, sf_dir, "documents", spread=True))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents", spread=True), tokenizer_path())
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(table(spark, sf_dir, "pages", spread=True))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents", spread=True))
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +54,14 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), where=fold != 0)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.overlaps(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_secrets, op4_licenses, op5_packing, op6_html, op7_near_dedup, op8_neighbours, op9_toxicity, op10_decontamination)}
@@ -85,7 +85,44 @@ SELECT doc_id, license, round(containment, 6) AS containment, CAST(start_word AS
   SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start_word, end_word DESC) AS r FROM wins WHERE containment >= 0.8) WHERE r = 1"""
 
 
+#: Plain forms of the expressions; the operator's own are these without backtracking.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+
+
+def _pii_sql() -> str:
+    """Matches and the text between them give positions by running sums, as in the operator."""
+    found = " UNION ALL ".join(
+        f"SELECT rid, t, '{k}' AS kind, unnest(regexp_extract_all(t, '{p}')) AS hit, unnest(string_split_regex(t, '{p}')) AS gap, unnest(range(len(string_split_regex(t, '{p}')))) AS i FROM doc" for k, p in PLAIN.items()
+    )
+    words = lambda c: " ".join(f"WHEN '{k}' THEN '{w[c]}'" for k, w in pii.WORDS.items())
+    prior = " ".join(f"WHEN '{k}' THEN {v}" for k, v in pii.PRIOR.items())
+    order = " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate((*pii.BASE, *pii.ADDED)))
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+ found AS ({found}),
+ placed AS (SELECT rid, t, kind, hit, CAST(sum(length(gap)) OVER (PARTITION BY rid, kind ORDER BY i) + coalesce(sum(length(hit)) OVER (PARTITION BY rid, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, regexp_replace(hit, '[^0-9]', '', 'g') AS d FROM found),
+ hits AS (SELECT *, s + length(hit) AS e,
+   CASE WHEN kind = 'card' AND length(d) BETWEEN 12 AND 19 THEN list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 0 THEN CAST(d[k] AS INTEGER) WHEN CAST(d[k] AS INTEGER) > 4 THEN 2 * CAST(d[k] AS INTEGER) - 9 ELSE 2 * CAST(d[k] AS INTEGER) END)) % 10 = 0 ELSE false END AS luhn FROM placed WHERE hit IS NOT NULL),
+ named AS (SELECT *, CASE WHEN kind = 'card' AND length(d) < 16 THEN 'localcard' ELSE kind END AS k,
+   CASE WHEN kind = 'iban' THEN list_reduce(list_transform(string_split(replace(hit, ' ', '')[5:] || hit[1:4], ''), lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END), lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1 ELSE true END AS mod97 FROM hits),
+ scored AS (SELECT *, lower(substr(t, greatest(s - {pii.CONTEXT} + 1, 1), least({pii.CONTEXT}, s))) AS near FROM named WHERE CASE k
+   WHEN 'email' THEN true WHEN 'ip' THEN list_bool_and(list_transform(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(left(ltrim(p, '0'), 3) AS INTEGER), 0) <= 255))
+   WHEN 'phone' THEN length(d) BETWEEN 8 AND 15 WHEN 'iban' THEN length(replace(hit, ' ', '')) BETWEEN 15 AND 34 AND mod97 WHEN 'ssn' THEN NOT regexp_matches(hit, '^(000|666|9)|-00-|-0000$') ELSE luhn END),
+ kept AS (SELECT rid, k, s, k || ':' || s || ':' || e AS span, CASE k {order} END AS place FROM scored
+   WHERE k IN ('email', 'ip', 'card', 'phone') OR CASE k {prior} END + CASE WHEN regexp_matches(near, CASE k {words(0)} ELSE '' END) THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(near, CASE k {words(1)} ELSE '' END) THEN 0.3 ELSE 0 END >= {pii.THRESHOLD}),
+ sums AS (SELECT rid, {", ".join(f"count(*) FILTER (k = '{k}') AS n_{k}" for k in (*pii.BASE, *pii.ADDED))}, string_agg(span, ',' ORDER BY place, s) FILTER (place < 4) AS base, string_agg(span, ',' ORDER BY place, s) AS spans FROM kept GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.ADDED)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM doc LEFT JOIN sums USING (rid)"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_pii": _pii_sql(),
     "op4_licenses": _license_sql(),
     "op8_neighbours": """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
