@@ -244,7 +244,10 @@ def range_match_pairs(spark, sf_dir):
     return rounded(joins.range_pairs(_customers(spark, sf_dir), _suppliers(spark, sf_dir), 500.0, keys=("plate",)))
 
 
-@query()
+@query("""SELECT p.plate, p.id1, p.id2, round(p.distance, 6) AS distance FROM g JOIN pairs p ON g.plate = p.plate AND g.i = p.i WHERE g.taken""", """RECURSIVE pairs AS (
+    SELECT plate, id1, id2, distance, row_number() OVER (PARTITION BY plate ORDER BY distance, id1, id2) AS i FROM (SELECT c_nationkey AS plate, c_custkey AS id1, s_suppkey AS id2, abs(c_acctbal - s_acctbal) AS distance FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 500)),
+ g AS (SELECT DISTINCT plate, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS u1, CAST([] AS BIGINT[]) AS u2, false AS taken FROM pairs
+   UNION ALL SELECT p.plate, p.i, CASE WHEN NOT list_contains(u1, id1) AND NOT list_contains(u2, id2) THEN list_append(u1, id1) ELSE u1 END, CASE WHEN NOT list_contains(u1, id1) AND NOT list_contains(u2, id2) THEN list_append(u2, id2) ELSE u2 END, NOT list_contains(u1, id1) AND NOT list_contains(u2, id2) FROM g JOIN pairs p ON p.plate = g.plate AND p.i = g.i + 1)""")
 def greedy_match(spark, sf_dir):
     pairs = joins.range_pairs(_customers(spark, sf_dir), _suppliers(spark, sf_dir), 500.0, keys=("plate",))
     return rounded(joins.greedy_match(pairs))
@@ -540,17 +543,21 @@ def average_precision(spark, sf_dir):
     return rounded(quality.average_precisions(quality.activity_pairs(v), ("condition",)).withColumnRenamed("condition", "label"))
 
 
-@query("""SELECT a.label, a.id, round(d_own, 6) AS d_own, round(d_other, 6) AS d_other, closest FROM (
-    SELECT label, id, sqrt(sum(pow(x - loo, 2))) AS d_own FROM (SELECT label, id, x, (sum(x) OVER w - x) / (count(*) OVER w - 1) AS loo FROM (SELECT label, id, unnest(range(64)) AS i, unnest(vec) AS x FROM vec) WINDOW w AS (PARTITION BY label, i)) GROUP BY 1, 2) a JOIN (
-    SELECT id, arg_min(other, d * 1000 + other / 1e9) AS closest, min(d) AS d_other FROM (SELECT v.id, c.other, sqrt(sum(pow(v.x - c.c, 2))) AS d FROM (SELECT label, id, unnest(range(64)) AS i, unnest(vec) AS x FROM vec) v
-      JOIN (SELECT label AS other, i, avg(x) AS c FROM (SELECT label, unnest(range(64)) AS i, unnest(vec) AS x FROM vec) GROUP BY 1, 2) c ON v.i = c.i AND v.label <> c.other GROUP BY 1, 2) GROUP BY id) b USING (id)""", VEC)
+LABELS = VEC + """, lv AS (SELECT label, id, unnest(range(64)) AS i, unnest(vec) AS x FROM vec),
+ own AS (SELECT label, id, sqrt(sum(pow(x - loo, 2))) AS d_own FROM (SELECT label, id, x, (sum(x) OVER w - x) / (count(*) OVER w - 1) AS loo FROM lv WINDOW w AS (PARTITION BY label, i)) GROUP BY 1, 2),
+ oth AS (SELECT id, arg_min(other, d * 1000 + other / 1e9) AS closest, min(d) AS d_other FROM (SELECT v.id, c.other, sqrt(sum(pow(v.x - c.c, 2))) AS d FROM lv v JOIN (SELECT label AS other, i, avg(x) AS c FROM lv GROUP BY 1, 2) c ON v.i = c.i AND v.label <> c.other GROUP BY 1, 2) GROUP BY id)"""
+
+
+@query("SELECT label, id, round(d_own, 6) AS d_own, round(d_other, 6) AS d_other, closest FROM own JOIN oth USING (id)", LABELS)
 def label_distance(spark, sf_dir):
     v = views.vectors(spark, sf_dir).select(F.lit("P").alias("plate"), F.col("id").alias("well"), F.col("label").alias("condition"), "vec")
     d = quality.label_distances(v)
     return rounded(d.select(F.col("condition").alias("label"), F.col("well").alias("id"), "d_own", "d_other", F.col("closest_other_condition").alias("closest")))
 
 
-@query()
+@query("""SELECT 'P' AS plate, id AS well, label AS condition, round((r - rm) / (1.4826 * rs), 6) + 0.0 AS match_z, round((z - zm) / (1.4826 * zs), 6) + 0.0 AS distance_z, closest AS closest_other_condition, d_other < d_own AS closer_to_other,
+    (r - rm) / (1.4826 * rs) >= 3.5 AND (z - zm) / (1.4826 * zs) >= 2 AND d_other < d_own AS flagged
+  FROM (SELECT *, median(abs(r - rm)) OVER () AS rs, median(abs(z - zm)) OVER () AS zs FROM (SELECT *, median(r) OVER () AS rm, median(z) OVER () AS zm FROM (SELECT *, ln(d_own / d_other) AS r, ln(d_own) AS z FROM own JOIN oth USING (id))))""", LABELS)
 def label_consistency(spark, sf_dir):
     v = views.vectors(spark, sf_dir).select(F.lit("P").alias("plate"), F.col("id").alias("well"), F.col("label").alias("condition"), "vec")
     return rounded(quality.label_consistency(v))
@@ -562,7 +569,12 @@ def phenotypic_activity(spark, sf_dir):
     return rounded(quality.phenotypic_activity(vec, 200))
 
 
-@query()
+@query("""SELECT feature, round(b.control, 6) AS control_before, round(b.others, 6) AS others_before, round(a.others, 6) AS others_after, b.plates, b.shared AS n_shared_conditions FROM (SELECT feature, sum(eta2 * n) FILTER (own) / sum(n) FILTER (own AND eta2 IS NOT NULL) AS control, sum(eta2 * n) FILTER (NOT own) / sum(n) FILTER (NOT own AND eta2 IS NOT NULL) AS others, max(np) AS plates, count(DISTINCT condition) FILTER (NOT own) AS shared FROM eb GROUP BY 1) b
+  JOIN (SELECT feature, sum(eta2 * n) FILTER (NOT own) / sum(n) FILTER (NOT own AND eta2 IS NOT NULL) AS others FROM ea GROUP BY 1) a USING (feature)""", FIT + "".join(f""",
+ {k}q AS (SELECT *, quantile_cont({c}, 0.2) OVER (PARTITION BY plate, well, feature) AS lo, quantile_cont({c}, 0.8) OVER (PARTITION BY plate, well, feature) AS hi FROM scaled),
+ {k}w AS (SELECT plate, well, feature, min(condition) AS condition, avg({c}) AS value FROM {k}q WHERE {c} BETWEEN lo AND hi GROUP BY 1, 2, 3),
+ {k}m AS (SELECT *, avg(value) OVER (PARTITION BY condition, feature) AS gm, avg(value) OVER (PARTITION BY condition, feature, plate) AS pm FROM {k}w),
+ {k} AS (SELECT condition, feature, condition = 'AFRICA' AS own, sum(pow(pm - gm, 2)) / nullif(sum(pow(value - gm, 2)), 0) AS eta2, count(*) AS n, count(DISTINCT plate) AS np FROM {k}m GROUP BY 1, 2 HAVING count(DISTINCT plate) >= 2)""" for k, c in (("eb", "value"), ("ea", "z_scaled"))))
 def batch_effects(spark, sf_dir):
     return rounded(quality.batch_effects(normalize.scale(views.long_li(spark, sf_dir))))
 
@@ -598,7 +610,9 @@ def lof_scores(spark, sf_dir):
     return rounded(outliers.lof(joins.knn_edges(v, v, 10, keys=("label",), same=True), ("label",)).select("label", "id", "lof"))
 
 
-@query()
+@query("""SELECT 'P' AS plate, label AS condition, id AS object_id, round(m / l, 6) AS outlier_score, m / l >= 1.2 AS organoid_outlier, CASE WHEN m / l >= 1.2 THEN 'outlier' ELSE 'typical' END AS outlier_class FROM (SELECT n.label, n.src AS id, avg(b.lrd) AS m, any_value(a.lrd) AS l FROM nn n JOIN lrd b ON n.dst = b.id JOIN lrd a ON n.src = a.id GROUP BY 1, 2)""", VEC + """,
+ nn AS (SELECT * FROM (SELECT a.label, a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS r FROM vec a JOIN vec b ON a.label = b.label AND a.id <> b.id) WHERE r <= 20),
+ kd AS (SELECT src AS id, max(d) AS kd FROM nn GROUP BY 1), lrd AS (SELECT src AS id, 1.0 / (avg(greatest(kd, d)) + 1e-10) AS lrd FROM nn JOIN kd ON dst = id GROUP BY 1)""")
 def outlier_objects(spark, sf_dir):
     v = views.vectors(spark, sf_dir).select(F.lit("P").alias("plate"), F.col("label").alias("condition"), F.col("id").alias("object_id"), "vec")
     return rounded(outliers.find_outliers(v, threshold=1.2).drop("vec"))
