@@ -74,10 +74,12 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, b
     size = 1 << bits
     if len(levels) < 2:
         return OrdinalModel(tuple(int(x) for x in levels), np.zeros(size, dtype=np.float32), np.zeros(0), bits)
-    idx = np.concatenate([r[0] for r in rows]).astype(np.intp)
-    val = np.concatenate([r[1] for r in rows]).astype(np.float32)
-    sizes = np.array([len(r[0]) for r in rows])
-    ends = np.cumsum(sizes)
+    # rows stay in blocks, so that what a step needs besides the data is a block's worth
+    blocks = []
+    for at in range(0, len(rows), 256):
+        part = rows[at : at + 256]
+        ends = np.concatenate([[0], np.cumsum([len(r[0]) for r in part])])
+        blocks.append((slice(at, at + len(part)), np.concatenate([r[0] for r in part]).astype(np.int32), np.concatenate([r[1] for r in part]).astype(np.float32), ends))
     n, cuts = len(rows), len(levels) - 1
     share = np.cumsum(np.bincount(k, minlength=cuts + 1))[:-1] / n
     start = np.log(share / (1 - share))
@@ -87,14 +89,17 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, b
     sig = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, steps + 1):
         t = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
-        run = np.cumsum(val * w[idx])  # sums of rows from running sums; a row may be empty
-        z = np.diff(np.concatenate([[0.0], run])[np.concatenate([[0], ends])])
+        z = np.zeros(n)
+        for own, idx, val, ends in blocks:  # a row's sum is a difference of running sums; a row may be empty
+            z[own] = np.diff(np.concatenate([[0.0], np.cumsum(val * w[idx])])[ends])
         up = np.where(k < cuts, sig(t[np.minimum(k, cuts - 1)] - z), 1.0)  # P(grade <= k)
         down = np.where(k > 0, sig(t[np.maximum(k - 1, 0)] - z), 0.0)
         p = np.maximum(up - down, 1e-12)
         du, dd = up * (1 - up) / p, down * (1 - down) / p
         gz = (du - dd) / n  # derivative of -log p by z
-        gw = np.bincount(idx, weights=val * np.repeat(gz.astype(np.float32), sizes), minlength=size) + l2 * w
+        gw = l2 * w
+        for own, idx, val, ends in blocks:
+            gw += np.bincount(idx, weights=val * np.repeat(gz[own], np.diff(ends)), minlength=size)
         gt = np.bincount(np.minimum(k, cuts - 1), weights=np.where(k < cuts, -du, 0.0) / n, minlength=cuts)
         gt += np.bincount(np.maximum(k - 1, 0), weights=np.where(k > 0, dd, 0.0) / n, minlength=cuts)
         back = np.cumsum(gt[::-1])[::-1]
@@ -116,11 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", where: Col
 
     def make(b: pa.RecordBatch) -> dict:
         rows = [hashed(t, bits) for t in b.column(1).to_pylist()]
-        return {"doc_id": b.column(0), "grade": b.column(2), "idx": [r[0].astype("<u4").tobytes() for r in rows], "val": [r[1].astype("<f4").tobytes() for r in rows]}
+        return {"doc_id": b.column(0), "grade": b.column(2), "idx": [r[0].astype("<u2" if bits <= 16 else "<u4").tobytes() for r in rows], "val": [r[1].astype("<f2").tobytes() for r in rows]}
 
     made = map_batches(drawn.select("doc_id", "text", F.col(grade).cast("int").alias("grade")), "doc_id long, grade int, idx binary, val binary", make)
     got = sorted(made.collect(), key=lambda r: (r["doc_id"], r["idx"]))
-    rows = [(np.frombuffer(r["idx"], "<u4"), np.frombuffer(r["val"], "<f4")) for r in got]
+    rows = [(np.frombuffer(r["idx"], "<u2" if bits <= 16 else "<u4"), np.frombuffer(r["val"], "<f2").astype(np.float32)) for r in got]
     return fit_ordinal(rows, np.array([r["grade"] for r in got], dtype=np.int64), bits)
 
 
