@@ -176,6 +176,18 @@ def test_html(spark):
     assert got[5]["text"] == "just text & no tags" and got[6]["text"] == "deep"
 
 
+def test_html_wrappers_and_comments():
+    body = "<p>" + "A sentence of the article itself, long enough to weigh. " * 4 + "</p>"
+    clean = ("A sentence of the article itself, long enough to weigh. " * 4).strip()
+    page = lambda inner: html_text.main_text(f"<html><body>{inner}</body></html>")
+    assert page(f'<div class="layout has-sidebar"><article>{body}</article><div class="sidebar">Side text</div></div>') == clean
+    assert page(f'<article><div class="entry-header"><h1>Head</h1></div>{body}</article><section class="comments"><article class="comment"><p>{"Reader says something long. " * 20}</p></article></section>') == "Head " + clean
+    assert page(f'<article>{body}</article><div class="related"><article><p>Teaser text of another story</p></article></div><article><p>More</p></article>') == clean
+    assert page(f"<article>{body}</article><article>{body}</article>") == f"{clean} {clean}"
+    assert page(f'<main><div class="notice">Site notice</div>{body}<div class="ad">Buy now</div></main>') == clean
+    assert html_text.main_text("<article><p>one</p>tail &lt;b&gt; &#233;&#x1F600;</article>") == "one tail <b> é😀"
+
+
 def test_neighbours_edges(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 8))

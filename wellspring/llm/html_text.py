@@ -41,28 +41,35 @@ PARTS = set(
     "sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social "
     "comment comments commentlist disqus replies reply related recommended recommendations trending pagination pager toolbar skip complementary contentinfo dialog".split()
 )
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Those that also mark an ``article`` as not the page's own, and that no article inside them escapes.
+OTHERS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted comment comments commentlist disqus replies reply related recommended recommendations trending teaser teasers popup modal overlay".split())
 _SPACE = re.compile(r"\s+")
 SIGMA = 1.0
 
 
-def boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_main: bool) -> bool:
+def marks(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Words of an element's class, id and role."""
+    return {p.lower() for k, v in attrs if v and k in ("class", "id", "role", "aria-label") for p in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", v)}
+
+
+def boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_main: bool) -> int:
+    """0 for content; 1 for a part that a page may wrap around its article; 2 for what is never content."""
     if tag in BOILER:
-        return True
-    if tag == "header":
-        return not inside_main
-    if tag in ("html", "body", "article", "main"):
-        return False
+        return 2
     for k, v in attrs:
         if k == "hidden" or k == "aria-hidden" and (v or "").lower() == "true":
-            return True
+            return 2
         if v and k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
-            return True
-        if v and k in ("class", "id", "role", "aria-label"):
-            parts = {p.lower() for w in v.split() for p in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", w)}
-            if parts & PARTS:
-                return True
-    return False
+            return 2
+    words = marks(attrs)
+    if tag in ("html", "body", "main", "article"):
+        return 2 if tag == "article" and words & OTHERS else 0
+    if words & OTHERS:
+        return 2
+    found = words & PARTS - ({"header", "notice", "notices"} if inside_main and tag in ("header", "hgroup") else {"header"} if inside_main else set())
+    if found or tag == "header" and not inside_main:
+        return 1
+    return 0
 
 
 class Lines(HTMLParser):
@@ -70,7 +77,7 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, boilerplate, main
+        self.stack: list[tuple[str, int, int, bool]] = []  # tag, number, boilerplate, main
         self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.tags = self.links = self.count = self.silent = 0
@@ -80,7 +87,7 @@ class Lines(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.links, bool(self.stack) and self.stack[-1][2], tuple(s[1] for s in self.stack)))
+                self.lines.append((text, self.tags, self.links, bool(self.stack) and self.stack[-1][2] > 0, tuple(s[1] for s in self.stack)))
         self.parts = []
         self.tags = self.links = 0
 
@@ -107,13 +114,15 @@ class Lines(HTMLParser):
                     break
                 if not shut:
                     break
-        top = self.stack[-1] if self.stack else ("", 0, False, False)
-        main = top[3] or tag in ("article", "main") or ("role", "main") in attrs
+        top = self.stack[-1] if self.stack else ("", 0, 0, False)
+        own_main = tag in ("article", "main") or ("role", "main") in attrs
+        main = top[3] or own_main
         self.count += 1
-        dull = top[2] or boilerplate(tag, attrs, top[3])
+        # an article stands out from a wrapper that merely names a side part
+        dull = max(0 if own_main and top[2] == 1 else top[2], boilerplate(tag, attrs, top[3]))
         if tag in INLINE and dull and not top[2] and tag != "a":
             self.end_line()
-        if (tag in ("article", "main") or ("role", "main") in attrs) and not dull:
+        if own_main and not dull:
             self.mains.add(self.count)
         self.stack.append((tag, self.count, dull, main))
         self.silent += tag in SILENT
@@ -172,9 +181,11 @@ def main_text(html: str | None) -> str:
     mains = [m for m in p.mains if m in held]
     if mains:
         best = max(mains, key=lambda m: (held[m], -m))
-        # articles side by side are parts of one page: the outermost ones that hold content
-        if sum(m != best and not any(m in x[4] and best in x[4] for x in good) for m in mains):
-            chosen = [x for x in good if any(m in x[4] for m in mains)]
+        apart = lambda m: not any(m in x[4] and best in x[4] for x in good)
+        # articles side by side are parts of one page if they weigh alike; a wrapper of articles is left for them
+        peers = [m for m in mains if m == best or apart(m) and 3 * held[m] >= held[best]]
+        if len(peers) > 1:
+            chosen = [x for x in good if any(m in x[4] for m in peers)]
         else:
             outer = min((m for m in mains if any(m in x[4] and best in x[4] for x in good)), default=best)
             chosen = [x for x in good if outer in x[4]]
