@@ -246,3 +246,20 @@ def test_held_out_accuracy(spark):
     model = quality.train(d, lab, where=fold != 0)
     q = quality.score(d.where(fold == 0), model).toPandas().merge(labels, on="doc_id")
     assert (q.keep == (q.quality == 1)).mean() > 0.95
+
+
+def test_toxic_features_undo_disguises():
+    at = dict(zip(toxicity.NAMES, range(len(toxicity.NAMES))))
+    lex = toxicity.Lexicon(frozenset({"zorgle"}), frozenset({"blarg*"}))
+    f = lambda t: toxicity.features(t, lex)
+    assert f("you are an 1d10t and st*pid")[at["hits"]] == 2 and f("what an i d i o t here")[at["hits"]] == 1 and f("stuuuupid")[at["hits"]] == 1
+    assert f("a zorgle and blarging")[at["hits"]] == 2 and f("plain words only")[at["hits"]] == 0
+    assert f("you idiot")[at["near_you"]] > f("idiot is far away from the word you")[at["near_you"]] > 0
+    assert f("SHOUT LOUD NOW")[at["shout"]] == 1.0 and f("")[at["words"]] == 0
+    for t in ("a" + "1" * 200_000, "a-" * 100_000, "x y " * 100_000, "=:" * 50_000):
+        f(t)
+
+
+def test_secret_lexer_on_long_noise():
+    for t in ("=" * 100_000, "a:" * 50_000, 'k="' * 30_000, "password:" * 20_000, "\'" * 100_000 + "="):
+        secrets.scan(t)
