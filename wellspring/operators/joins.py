@@ -191,11 +191,11 @@ def knn_edges(queries: DataFrame, reference: DataFrame, k: int, q_id: str = "id"
     meet by an equi-join, a tile is one matrix product, and each tile hands on k rows per query, so no task
     holds more than two blocks however large a group is.  All vectors have one length.
     """
-    q, r = _blocks(queries, q_id, vec, keys, "q_", blocks), _blocks(reference, r_id, vec, keys, "r_", blocks)
+    n = blocks if keys else blocks or max(1, math.ceil(reference.count() / BLOCK))
+    q, r = _blocks(queries, q_id, vec, keys, "q_", blocks), _blocks(reference, r_id, vec, keys, "r_", n)
     if keys:
         tiles = q.join(r, list(keys))
     else:
-        n = blocks or max(1, math.ceil(reference.count() / BLOCK))
         tiles = q.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(r, F.col("__at") == F.col("r_block"))
     kinds = {f.name: f.dataType for f in tiles.schema}
     want = T.StructType([*[T.StructField(c, kinds[c]) for c in keys], T.StructField("src", kinds["q_ids"].elementType), T.StructField("dst", kinds["r_ids"].elementType), T.StructField("distance", T.DoubleType())])
