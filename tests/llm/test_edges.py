@@ -91,6 +91,25 @@ def test_trie_pairs_match_brute_force():
         assert got == want
 
 
+@pytest.mark.parametrize("hot", [0, 1, 3, None])
+def test_links_connect_what_brute_force_connects(spark, hot):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64) * np.uint64(2)
+    near = [b ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j)) for b in base[:30] for i, j in rng.integers(0, 64, (5, 2))]
+    fps = np.unique(np.array([*base, *near], dtype=np.uint64)).view(np.int64).tolist()
+    got = {(r["node"]): r["root"] for r in near_dedup.connected_components(near_dedup.trie_links(spark.createDataFrame([(f,) for f in fps], "fp long"), hot)).collect()}
+    from test_contracts import brute_components
+
+    want = brute_components(dict(enumerate(f & (2**64 - 1) for f in fps)))
+    groups = lambda of: {frozenset(v) for v in of.values() if len(v) > 1}
+    a, b = {}, {}
+    for i, r in want.items():
+        a.setdefault(r, set()).add(fps[i])
+    for f, r in got.items():
+        b.setdefault(r, set()).add(f)
+    assert groups(a) == groups(b) and all(min(v) == r for r, v in b.items())
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(-5, 7), (300, 300), (41, 300)]
     got = {r["node"]: r["root"] for r in near_dedup.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -7,9 +7,11 @@ null one has fingerprint zero).  A fingerprint bit is set where over half of the
 
 How it scales.  Equal fingerprints are folded first, so copies never meet each other.  Of four 16-bit
 blocks two links share at least two, so each distinct fingerprint is dealt to six tries, one for each pair
-of blocks, keyed by those 32 bits.  A task walks the tries of its keys, two nodes at a time, with an error
-budget for the other 32 bits, and hands on only a spanning star of what it has linked.  A fingerprint has
-at most 2,080 others within two bits, so links grow with distinct fingerprints, never with their square.
+of blocks, keyed by those 32 bits.  A key with over ``HOT`` fingerprints is split once more in the same way
+by its other 32 bits; such a part agrees in 48 bits, so it holds at most 65,536.  A task walks the tries of
+its keys, two nodes at a time, with an error budget for the other bits, and hands on only a spanning star of
+what it has linked.  A fingerprint has at most 2,080 others within two bits, so links grow with distinct
+fingerprints, never with their square.
 Components come from alternating large-star and small-star rounds over tables in the shared folder.
 
 Defined results.  Null text counts as empty.  Rows with a null doc_id get a fingerprint and the smallest
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, map_batches, materialize
@@ -33,7 +35,8 @@ SEED = 42
 SHINGLE = 3
 BUDGET = 2
 PIECE = 1 << 16
-#: Pairs of the four 16-bit blocks that two linked fingerprints must share one of.
+HOT = 100_000
+#: Pairs of the four blocks that two linked fingerprints must share one of.
 BLOCK_PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
 
@@ -128,24 +131,28 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def trie_links(fps: DataFrame) -> DataFrame:
-    """a, b: spanning links between distinct fingerprints (column fp) within the budget."""
-    block = lambda i: F.shiftrightunsigned(F.col("fp"), 16 * (3 - i)).bitwiseAND(F.lit(0xFFFF))
-    turned = []
+def _turnings(value: Column, size: int) -> Column:
+    """Array of (way, turned): the lowest 4 * size bits with each pair of their four blocks moved to the front."""
+    block = lambda i: F.shiftrightunsigned(value, size * (3 - i)).bitwiseAND(F.lit((1 << size) - 1)).cast("long")
+    high = F.shiftleft(F.shiftrightunsigned(value, 4 * size), 4 * size) if 4 * size < 64 else F.lit(0).cast("long")
+    out = []
     for n, pair in enumerate(BLOCK_PAIRS):
-        order = [*pair, *[i for i in range(4) if i not in pair]]
-        value = F.lit(0).cast("long")
-        for at, i in enumerate(order):
-            value = value.bitwiseOR(F.shiftleft(block(i).cast("long"), 16 * (3 - at)))
-        turned.append(F.struct(F.lit(n).alias("way"), value.alias("turned")))
-    dealt = fps.select("fp", F.explode(F.array(*turned)).alias("t")).select(F.col("t.way").alias("way"), F.col("t.turned").alias("turned"), F.shiftrightunsigned("t.turned", 32).alias("key"), "fp")
-    dealt = dealt.repartition("way", "key").sortWithinPartitions("way", "key", F.col("turned") < 0, "turned")
-
-    def walk(way: np.ndarray, turned: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        turned = high
+        for at, i in enumerate([*pair, *[i for i in range(4) if i not in pair]]):
+            turned = turned.bitwiseOR(F.shiftleft(block(i), size * (3 - at)))
+        out.append(F.struct(F.lit(n).alias("way"), turned.alias("turned")))
+    return F.array(*out)
+
+
+def _walk_tries(dealt: DataFrame, depth: int) -> DataFrame:
+    """a, b: spanning links within runs of (way, turned, fp) that agree in way and the first ``depth`` bits."""
+    dealt = dealt.withColumn("key", F.shiftrightunsigned("turned", 64 - depth))
+    dealt = dealt.repartition("way", "key").sortWithinPartitions("way", "key", F.col("turned") < 0, "turned").select("way", "turned", "key", "fp")
+
+    def walk(way: np.ndarray, turned: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = turned.astype(np.int64).view(np.uint64)
-        step = (way[1:] != way[:-1]) | ((keys[1:] >> np.uint64(32)) != (keys[:-1] >> np.uint64(32)))
-        bounds = np.concatenate([[0], np.flatnonzero(step) + 1, [len(keys)]])
-        root = _roots(len(keys), trie_pairs(keys, bounds, 32, BUDGET))
+        bounds = np.concatenate([[0], np.flatnonzero((way[1:] != way[:-1]) | (key[1:] != key[:-1])) + 1, [len(keys)]])
+        root = _roots(len(keys), trie_pairs(keys, bounds, depth, BUDGET))
         moved = root != np.arange(len(root))
         return fp[moved], fp[root[moved]]
 
@@ -158,10 +165,11 @@ def trie_links(fps: DataFrame) -> DataFrame:
             cols = [np.concatenate(x) for x in zip(*held)]
             till = len(cols[0])
             if not last:  # the last run may go on in the next batch
-                till = int(np.flatnonzero((cols[0] != cols[0][-1]) | (cols[2] != cols[2][-1]))[-1] + 1) if ((cols[0] != cols[0][-1]) | (cols[2] != cols[2][-1])).any() else 0
+                before = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[2] != cols[2][-1]))
+                till = int(before[-1] + 1) if len(before) else 0
             held[:] = [[c[till:] for c in cols]] if till < len(cols[0]) else []
             if till:
-                a, b = walk(cols[0][:till], cols[1][:till], cols[3][:till])
+                a, b = walk(*[c[:till] for c in cols])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         size = 0
@@ -176,6 +184,21 @@ def trie_links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def trie_links(fps: DataFrame, hot: int | None = None) -> DataFrame:
+    """a, b: spanning links between distinct fingerprints (column fp) within the budget."""
+    dealt = fps.select("fp", F.explode(_turnings(F.col("fp"), 16)).alias("t")).select("t.way", "t.turned", "fp")
+    key = F.shiftrightunsigned("turned", 32)
+    full = dealt.groupBy("way", key.alias("hot_key")).agg(F.count("*").alias("n")).where(F.col("n") > (HOT if hot is None else hot))
+    full = materialize(full.select(F.col("way").alias("hot_way"), "hot_key"), "hot")
+    if full.isEmpty():
+        return _walk_tries(dealt, 32)
+    full = F.broadcast(full)  # at most six for every HOT fingerprints, 12 bytes each
+    same = (F.col("way") == F.col("hot_way")) & (key == F.col("hot_key"))
+    split = dealt.join(full, same, "left_semi").select("way", "fp", F.explode(_turnings(F.col("turned"), 8)).alias("t"))
+    split = split.select((F.col("way") * 8 + F.col("t.way")).alias("way"), F.col("t.turned").alias("turned"), "fp")
+    return _walk_tries(dealt.join(full, same, "left_anti"), 32).union(_walk_tries(split, 48))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node reachable) for each node of an edge; ids are longs.
 
