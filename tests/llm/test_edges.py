@@ -269,7 +269,7 @@ def test_held_out_accuracy(spark):
 
 def test_toxic_features_undo_disguises():
     at = dict(zip(toxicity.NAMES, range(len(toxicity.NAMES))))
-    lex = toxicity.Lexicon(frozenset({"zorgle"}), frozenset({"blarg*"}))
+    lex = toxicity.Lexicon(frozenset({"zorgle", "idiot", "stupid"}), frozenset({"blarg*"}))
     f = lambda t: toxicity.features(t, lex)
     assert f("you are an 1d10t and st*pid")[at["hits"]] == 2 and f("what an i d i o t here")[at["hits"]] == 1 and f("stuuuupid")[at["hits"]] == 1
     assert f("a zorgle and blarging")[at["hits"]] == 2 and f("plain words only")[at["hits"]] == 0

@@ -1,7 +1,7 @@
 """Toxicity: boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a whole text: densities of a seed lexicon and of a lexicon learnt from labelled rows (words and
-word beginnings of four to six letters), also after common disguises are undone; how near second-person
+Features of a whole text: densities of a lexicon (words and word beginnings of four to six letters) that is
+learnt from the labelled rows alone, none is written by hand, also after common disguises are undone; how near second-person
 words stand to lexicon words; shares of capitals, shouted words, exclamation and question marks, other
 punctuation and digits; rates of disguised words; length.
 
@@ -36,11 +36,6 @@ SAMPLE = 18_000
 LEXICON = 4_000
 PARTS = 3
 HEADS = (4, 5, 6)
-#: Insults that count before any label is seen.
-SEED_WORDS = frozenset(
-    "idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash garbage clown clowns disgusting filth filthy vermin ugly hate "
-    "imbecile fool fools jerk creep freak pig pigs dirtbag scumbag lowlife degenerate parasite coward liar ignorant retard retarded bastard bitch damn crap shit fuck fucking asshole kill die".split()
-)
 SECOND_PERSON = frozenset("you your yours yourself u ur youre yall du dein deine dir dich ihr euch tu toi ton ta tes vous votre tú ti te usted vosotros".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"[\w@$*!|+-]+")
@@ -50,7 +45,7 @@ DISGUISE = 40
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W\d_])")
 _UNDO = str.maketrans("@4$51!|0378", "aassiiioetb")
 _REPEAT = re.compile(r"(.)\1{2,}")
-NAMES = ("seed", "learnt", "begin", "any", "undone", "near_you", "you", "caps", "shout", "bang", "ask", "punct", "digit", "odd", "spaced", "repeat", "words", "hits", "word_len")
+NAMES = ("learnt", "begin", "any", "undone", "near_you", "you", "caps", "shout", "bang", "ask", "punct", "digit", "odd", "spaced", "repeat", "words", "hits", "word_len")
 
 
 def beginnings(w: str) -> list[str]:
@@ -69,10 +64,9 @@ def features(text: str | None, lex: Lexicon) -> list[float]:
     n = len(words) or 1
     chars = len(t) or 1
     counts = Counter(words)
-    seed_w = {w for w in counts if w in SEED_WORDS}
     learnt_w = {w for w in counts if w in lex.words}
     begin_w = {w for w in counts if len(w) > 4 and any(b in lex.begins for b in beginnings(w))}
-    bad = seed_w | learnt_w | begin_w
+    bad = learnt_w | begin_w
     total = lambda s: sum(counts[w] for w in s)
     you = {w for w in counts if w in SECOND_PERSON}
     near = 0.0
@@ -84,8 +78,8 @@ def features(text: str | None, lex: Lexicon) -> list[float]:
         near = float((1.0 / (1.0 + gap)).sum())
     odd = [w.lower() for w in _RUN.findall(t) if len(w) <= DISGUISE and _MIXED.search(w)] if _MIXED.search(t) else []
     spaced = [re.sub(r"[ .\-_*]", "", m[0]).lower() for m in _SPACED.finditer(t)]
-    known = lambda w: w in SEED_WORDS or w in lex.words or any(x in lex.begins for x in beginnings(w))
-    masked = lambda w: "*" in w and any(len(x) == len(w) and re.fullmatch(re.escape(w).replace(r"\*", "."), x) for x in SEED_WORDS)
+    known = lambda w: w in lex.words or any(x in lex.begins for x in beginnings(w))
+    masked = lambda w: "*" in w and any(len(x) == len(w) and re.fullmatch(re.escape(w).replace(r"\*", "."), x) for x in lex.words)
     undone = sum(known(_REPEAT.sub(r"\1", w.translate(_UNDO))) or masked(w) for w in odd) + sum(known(w) for w in spaced)
     repeats = [w for w in counts if _REPEAT.search(w)]
     undone += sum(known(_REPEAT.sub(r"\1", w)) for w in repeats)
@@ -95,7 +89,7 @@ def features(text: str | None, lex: Lexicon) -> list[float]:
     k = 100.0 / n
     hits = total(bad) + undone
     return [
-        total(seed_w) * k, total(learnt_w) * k, total(begin_w) * k, hits * k, undone * k, near * k, total(you) * k, caps / chars, shout / n, t.count("!") * k, t.count("?") * k, punct / chars,
+        total(learnt_w) * k, total(begin_w) * k, hits * k, undone * k, near * k, total(you) * k, caps / chars, shout / n, t.count("!") * k, t.count("?") * k, punct / chars,
         sum(t.count(c) for c in "0123456789") / chars, len(odd) * k, len(spaced) * k, len(repeats) * k, float(np.log1p(len(words))), float(min(hits, 20)), sum(map(len, words)) / n,
     ]
 
