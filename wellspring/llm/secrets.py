@@ -17,7 +17,6 @@ rows and ties pass through row by row; other columns are ignored; an empty table
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
