@@ -243,3 +243,25 @@ def test_word_cache_is_exact(sf):
     for at in range(0, len(sample), 50):
         for t, got in zip(sample[at : at + 50], cache.encode(sample[at : at + 50])):
             assert np.frombuffer(got, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_pii_on_random_texts(spark):
+    """The rewritten expressions find what their plain forms find."""
+    import random
+
+    from wellspring.llm import pii
+
+    rng = random.Random(11)
+    alphabets = ["a1.@-_%+b ", "0123456789. ", "0189 -+().", "aB9@.é😀\n\t+-", "+1(2) 34.-5x", "@.ab"]
+    by_id = {n: "".join(rng.choice(alphabets[n % len(alphabets)]) for _ in range(rng.randrange(90))) for n in range(6000)}
+    for n in range(300):  # numbers that pass Luhn, with separators between
+        digits = [rng.randrange(10) for _ in range(rng.randrange(14, 20))]
+        digits = next(d for d in ("".join(map(str, [*digits[:-1], c])) for c in range(10)) if luhn(d))
+        by_id[10_000 + n] = "x " + "".join(c + rng.choice(["", "", "", " ", "-"]) for c in digits[:-1]) + digits[-1] + rng.choice([" y", "", ".5", "é", "-"])
+    for n in range(600):  # dotted numbers, some too large, with runs of more or fewer parts
+        parts = [rng.choice([str(rng.randrange(300)), "0" * rng.randrange(4) + str(rng.randrange(260)), str(rng.randrange(10))]) for _ in range(rng.randrange(3, 10))]
+        by_id[20_000 + n] = rng.choice(["", "v", "é", ".", "1"]) + ".".join(parts) + rng.choice(["", ".", "..7", " 1.2.3.4", "a"])
+    df = spark.createDataFrame(list(by_id.items()), "doc_id long, text string").repartition(4)
+    found = pii.digest(pii.personal_data(df)).toPandas()
+    assert found.n_card.sum() >= 150 and found.n_email.sum() > 100 and found.n_ip.sum() > 100 and found.n_phone.sum() > 100
+    check_pii(found, by_id)
