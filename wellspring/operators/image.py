@@ -428,7 +428,10 @@ def over_threshold(pixels: DataFrame, thresholds: DataFrame, sigma: float = 3.0)
 
 
 def estimate_thresholds(pixels: DataFrame, stains: DataFrame, q: float = 0.5, sigma: float = 3.0) -> DataFrame:
-    """round, stain, channel, raw (each object's triangle threshold), final (their quantile)."""
+    """round, stain, channel, raw (each object's triangle threshold), final (their quantile).
+
+    ``pixels`` holds a sample of objects (``sampling.sample_per_group``), which bounds ``raw``.
+    """
     named = pixels.join(F.broadcast(stains.where("stain <> ''")), ["round", "channel"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

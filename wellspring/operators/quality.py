@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import PLATE_SHAPES, well_col, well_row
 from ..functions.stats import MAD_SCALE, avg_rank, bh_fdr, normal_scores, robust_z, t_ppf, t_two_sided
+from ..sources.shared import materialize
 
 
 def well_table(objects: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -332,35 +333,37 @@ def activity_pairs(vectors: DataFrame) -> DataFrame:
 def phenotypic_activity(vectors: DataFrame, n_permutations: int = 1000, seed: int = 0, level: float = 0.05, centred: bool = False) -> DataFrame:
     """condition, mAP, chance_mAP, chance_95, p, n_wells, n_plates, fdr, active: permutation test per condition.
 
-    Vectors are centred on the plate's controls unless they are ``centred``.  A group is one condition with the controls of its plates.
+    Vectors are centred on the plate's controls unless they are ``centred``.  A group is one condition on one
+    plate; it hands on sums, which are added over plates in the JVM.
     """
     pairs = activity_pairs(vectors if centred else centre_by_plate(vectors, F.col("control")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf["condition"].iloc[0])
-        rng = np.random.default_rng([seed, *name.encode()])
-        observed, null, wells, plates = [], [], 0, 0
-        for _, g in pdf.groupby("plate", sort=True):
-            hits = g.groupby("a")["hit"].sum()
-            k, total = int(hits.iloc[0]), len(g) // len(hits)
-            if k < 1 or total <= k:
-                continue
-            plates += 1
-            wells += len(hits)
-            for _, q in g.sort_values(["a", "cosine", "b"], ascending=[True, False, True]).groupby("a", sort=True):
-                h = q["hit"].to_numpy()
-                observed.append((np.cumsum(h)[h] / (np.flatnonzero(h) + 1)).mean())
-            # a random set of k places for each query and permutation, one query at a time
-            draws = (np.sort(np.argpartition(rng.random((n_permutations, total)), k - 1, axis=1)[:, :k], axis=1) + 1 for _ in range(len(hits)))
-            null.append(sum((np.arange(1, k + 1) / d).mean(axis=1) for d in draws))
-        if not observed:
-            return pd.DataFrame([(name, None, None, None, None, 0, 0)], columns=list(cols))
-        m = sum(null) / wells
-        obs = float(np.mean(observed))
-        return pd.DataFrame([(name, obs, float(m.mean()), float(np.quantile(m, 0.95)), (1 + int((m >= obs).sum())) / (1 + n_permutations), wells, plates)], columns=list(cols))
-
-    cols = ("condition", "mAP", "chance_mAP", "chance_95", "p", "n_wells", "n_plates")
-    out = pairs.groupBy("condition").applyInPandas(one, "condition string, mAP double, chance_mAP double, chance_95 double, p double, n_wells int, n_plates int")
+        name, plate = str(pdf["condition"].iloc[0]), str(pdf["plate"].iloc[0])
+        hits = pdf.groupby("a")["hit"].sum()
+        k, total = int(hits.iloc[0]), len(pdf) // len(hits)
+        if k < 1 or total <= k:
+            return pd.DataFrame([(name, plate, 0, 0.0, [])], columns=["condition", "plate", "n", "observed", "null"])
+        observed = 0.0
+        for _, q in pdf.sort_values(["a", "cosine", "b"], ascending=[True, False, True]).groupby("a", sort=True):
+            h = q["hit"].to_numpy()
+            observed += float((np.cumsum(h)[h] / (np.flatnonzero(h) + 1)).mean())
+        # a random set of k places for each query and permutation, one query at a time
+        rng = np.random.default_rng([seed, *name.encode(), 0, *plate.encode()])
+        null = np.zeros(n_permutations)
+        for _ in range(len(hits)):
+            places = np.sort(np.argpartition(rng.random((n_permutations, total)), k - 1, axis=1)[:, :k], axis=1) + 1
+            null += (np.arange(1, k + 1) / places).mean(axis=1)
+        return pd.DataFrame([(name, plate, len(hits), observed, null.tolist())], columns=["condition", "plate", "n", "observed", "null"])
+
+    kinds = dict(pairs.dtypes)
+    parts = pairs.groupBy("condition", "plate").applyInPandas(one, "condition string, plate string, n long, observed double, null array<double>")
+    parts = materialize(parts, "activity")
+    total = parts.groupBy("condition").agg(F.sum("n").alias("n_wells"), F.count_if(F.col("n") > 0).alias("n_plates"), F.try_divide(F.sum("observed"), F.sum("n")).alias("mAP"))
+    drawn = parts.select("condition", F.posexplode("null").alias("i", "v")).groupBy("condition", "i").agg(F.sum("v").alias("v"))
+    drawn = drawn.join(total, "condition").withColumn("m", F.col("v") / F.col("n_wells"))
+    null = drawn.groupBy("condition").agg(F.avg("m").alias("chance_mAP"), F.percentile("m", 0.95).alias("chance_95"), ((1 + F.count_if(F.col("m") >= F.col("mAP"))) / (1 + F.count("*"))).alias("p"))
+    out = total.join(null, "condition", "left").select(F.col("condition").cast(kinds["condition"]).alias("condition"), "mAP", "chance_mAP", "chance_95", "p", "n_wells", "n_plates")
     return bh_fdr(out, "p").withColumn("active", F.coalesce(F.col("fdr") < level, F.lit(False)))
 
 
