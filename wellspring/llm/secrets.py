@@ -5,8 +5,9 @@ Base spans (leftmost, not overlapping, per kind; failing matches are dropped and
 capitals or digits, 18 characters or more; ``hex`` 16 or more digits 0-9a-f.
 
 The lexer adds ``literal`` spans.  At every ``=`` or ``:`` outside a literal it reads the name to the left
-(dotted, quoted or bracketed) and the expression to the right: quoted literals, bare words and ``+`` or
-``.`` chains of them.  A name on the right takes the literals bound to it earlier (constants propagate, also
+(dotted, quoted or bracketed) and the expression to the right: quoted or triple-quoted literals, bare words
+and ``+`` or ``.`` chains of them, also where they begin on the next line; indented blocks (after ``|`` or
+``>``, or of bare words below the name).  No length is bounded: literals run to their delimiters.  A name on the right takes the literals bound to it earlier (constants propagate, also
 through several names).  A literal scores by the sensitive words of its target's name, by its length and
 character entropy, less for placeholders; from ``THRESHOLD`` on it is reported, unless a base ``assign``
 span holds it.  Positions are code points, ends exclusive.
@@ -39,11 +40,20 @@ SENSITIVE = {
     "key": 0.3, "signature": 0.2, "session": 0.2, "cookie": 0.2, "salt": 0.25, "private": 0.25, "access": 0.15, "api": 0.15,
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:changeme|example|placeholder|none|null|true|false|todo|x{3,}|\*{3,}|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w+\)?s?)$")
+PEM = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
 THRESHOLD = 0.5
-REACH = 160
-
-_NAME = re.compile(r"""(?:^|[^\w.$-])["'`]?([A-Za-z_$][\w$.-]{0,99})["'`]?(?:\[["'](\w{1,60})["']\]|\s*:\s*[A-Za-z_][\w.\[\]]{0,40})?[ \t]{0,8}$""")
-_ITEM = re.compile(r"""[ \t]*(?:\(?[ \t]*)(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`]{0,4096})`|([A-Za-z0-9_$][\w$./+-]{0,4095}=*))""")
+REACH = 160  # a step to the left for a name; names that begin before it are read whole
+
+_NAME = re.compile(r"""(?:^|[^\w.$-])["'`]?([A-Za-z_$][\w$.-]*+)["'`]?(?:\[["'](\w++)["']\]|[ \t]*:[ \t]*[A-Za-z_][\w.\[\]]*+)?[ \t]*$""")
+_ITEM = re.compile(
+    r"""[ \t]*(?:\(?[ \t]*)(?:\"""((?:[^"\\]|\\[\s\S]|"(?!""))*+)\"""|\'\'\'((?:[^'\\]|\\[\s\S]|'(?!''))*+)\'\'\'"""
+    r"""|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`]*+)`|([A-Za-z0-9_$][\w$./+-]*+=*+))"""
+)
+_BARE = 6  # its last group
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[+-]?[ \t]*\r?\n")
+_NEXT = re.compile(r"[ \t]*[(\\]?[ \t]*\r?\n")
+_QUOTE = re.compile(r"[ \t]*[\"'`]")
+_ALONE = re.compile(r"[A-Za-z0-9_$+/][\w$./+-]*+=*+|-----[A-Z0-9 ]+-----")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|\|\|)[ \t]*(?=[\"'`A-Za-z_$])")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -63,12 +73,55 @@ def name_weight(name: str) -> float:
 def literal_score(name: str, value: str) -> float:
     """How likely ``value`` is a secret when bound to ``name``, from 0 to 1."""
     weight = name_weight(name)
+    if "-----" in value:
+        value = PEM.sub("", value)
+    if "\n" in value:
+        value = "\n".join(line.strip() for line in value.split("\n"))
     if not weight or len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip():
         return 0.0
     mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
     return min(1.0, weight + 0.06 * min(entropy(value), 4.0) + 0.05 * mixed - (0.35 if mixed < 2 else 0.0) - (0.1 if len(value) < 8 else 0.0))
 
 
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" \t"))
+
+
+def _block(text: str, at: int, pos: int, plain: bool) -> tuple[int, int] | None:
+    """Span of the lines from ``pos`` on that are indented deeper than the line of ``at``; of bare words alone if ``plain``."""
+    base = _indent(text[text.rfind("\n", 0, at) + 1 : at])
+    first, end = -1, -1
+    while pos < len(text):
+        stop = text.find("\n", pos)
+        line = text[pos : stop if stop >= 0 else len(text)]
+        body = line.strip()
+        if body:
+            if _indent(line) <= base or plain and not _ALONE.fullmatch(body):
+                break
+            first, end = first if first >= 0 else pos + _indent(line), pos + len(line.rstrip())
+        elif plain:
+            break
+        pos += len(line) + 1
+    return (first, end) if first >= 0 else None
+
+
+def _name(text: str, at: int) -> re.Match | None:
+    """The name to the left of ``at``."""
+    end = at
+    while end and text[end - 1] == ":":
+        end -= 1
+    while end and text[end - 1] in " \t":
+        end -= 1
+    lo = end
+    for _ in range(2):  # the second step is for what a long key or type stands behind
+        if 0 < end - lo <= REACH:
+            break
+        lo = max(0, lo - REACH)
+        while lo and (text[lo - 1].isalnum() or text[lo - 1] in "_.$-"):
+            lo -= 1
+    return _NAME.search(text[lo:end])
+
+
 def literals(text: str) -> list[tuple[int, int, float]]:
     """start, end and score of literals bound, at first or second hand, to sensitive names."""
     found: dict[tuple[int, int], float] = {}
@@ -82,16 +135,26 @@ def literals(text: str) -> list[tuple[int, int, float]]:
         if text[at + 1 : at + 2] in ("=", ":") or text[at - 1 : at] in ("!", "<", ">"):
             at += text[at + 1 : at + 2] == "="
             continue
-        name = _NAME.search(text[max(0, at - REACH) : at].rstrip(":"))
+        name = _name(text, at)
         if not name:
             continue
         target, pos = ".".join(x for x in name.groups() if x), at + 1 + (text[at + 1 : at + 2] == ">")
         spans: list[tuple[int, int]] = []
+        if text[at] == ":" and (m := _BLOCK.match(text, pos)):
+            spans = [b] if (b := _block(text, at, m.end(), False)) else []
+            pos = len(text)
+        elif m := _NEXT.match(text, pos):
+            if _QUOTE.match(text, m.end()):
+                pos = m.end()
+            else:
+                if b := _block(text, at, m.end(), True):
+                    spans = list(bound.get(text[b[0] : b[1]], [b]))
+                pos = len(text)
         while m := _ITEM.match(text, pos):
             g = m.lastindex
-            if g == 4 and m[4] in bound:
-                spans += bound[m[4]]
-            elif g < 4 or not _JOIN.match(text, m.end()):
+            if g == _BARE and m[g] in bound:
+                spans += bound[m[g]]
+            elif g < _BARE or not _JOIN.match(text, m.end()):
                 spans.append(m.span(g))
             pos = m.end()
             if not (j := _JOIN.match(text, pos)):
@@ -99,7 +162,9 @@ def literals(text: str) -> list[tuple[int, int, float]]:
             pos = j.end()
         if not spans:
             continue
-        bound[target] = spans[:16]
+        bound[target] = list(dict.fromkeys(spans))
+        if not name_weight(target):
+            continue
         whole = "".join(text[s:e] for s, e in spans)
         score = max([literal_score(target, whole), *(literal_score(target, text[s:e]) for s, e in spans)])
         if score >= THRESHOLD:
