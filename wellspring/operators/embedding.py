@@ -89,14 +89,14 @@ def pca_scores(df: DataFrame, model: PcaModel, out: str = "x_pca") -> DataFrame:
     return df.withColumn(out, F.array(*comp))
 
 
-def kmeans(df: DataFrame, k: int, vec: str = "vec", starts: int = 10, seed: int = 0, out: str = "cluster") -> DataFrame:
+def kmeans(df: DataFrame, k: int, vec: str = "vec", starts: int = 10, seed: int = 0, out: str = "cluster", max_iter: int = 300) -> DataFrame:
     """Adds cluster labels as strings: the best of several k-means++ starts by cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     x = df.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
     x.persist()
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__c", maxIter=50).fit(x) for i in range(starts)]
+    fits = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__c", maxIter=max_iter).fit(x) for i in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     x.unpersist()
     return best.transform(x).withColumn(out, F.col("__c").cast("string")).drop("__v", "__c")

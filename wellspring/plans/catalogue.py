@@ -566,7 +566,7 @@ def label_consistency(spark, sf_dir):
 @query()
 def phenotypic_activity(spark, sf_dir):
     vec = quality.profile_vectors(quality.well_profiles(views.long_li(spark, sf_dir)))
-    return rounded(quality.phenotypic_activity(vec, 200))
+    return rounded(quality.phenotypic_activity(vec))
 
 
 @query("""SELECT feature, round(b.control, 6) AS control_before, round(b.others, 6) AS others_before, round(a.others, 6) AS others_after, b.plates, b.shared AS n_shared_conditions FROM (SELECT feature, sum(eta2 * n) FILTER (own) / sum(n) FILTER (own AND eta2 IS NOT NULL) AS control, sum(eta2 * n) FILTER (NOT own) / sum(n) FILTER (NOT own AND eta2 IS NOT NULL) AS others, max(np) AS plates, count(DISTINCT condition) FILTER (NOT own) AS shared FROM eb GROUP BY 1) b
@@ -634,7 +634,7 @@ def pca_scores(spark, sf_dir):
 
 @query()
 def kmeans_labels(spark, sf_dir):
-    return embedding.kmeans(views.vectors(spark, sf_dir), 10, starts=3).groupBy("cluster").agg(F.count("*").alias("n"))
+    return embedding.kmeans(views.vectors(spark, sf_dir), 10).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -691,14 +691,14 @@ def check_labels(spark, sf_dir):
 
 @query()
 def check_activity(spark, sf_dir):
-    return rounded(screen.check_activity(views.long_li(spark, sf_dir), 200), 4)
+    return rounded(screen.check_activity(views.long_li(spark, sf_dir)), 4)
 
 
 @query()
 def extract_features(spark, sf_dir):
     stains = spark.createDataFrame([(0, 1, "DAPI"), (0, 2, "KRT7")], "round int, channel int, stain string")
     t = spark.createDataFrame([(0, "DAPI", 25.0), (0, "KRT7", 30.0)], "round int, stain string, final double")
-    return rounded(screen.extract_features(views.pixels(spark, sf_dir).drop("over_threshold"), stains, t, skeleton=False), 4)
+    return rounded(screen.extract_features(views.pixels(spark, sf_dir).drop("over_threshold"), stains, t), 4)
 
 
 @query()
@@ -762,7 +762,7 @@ def wide_feature_names(spark, sf_dir):
 
 @query()
 def morphology(spark, sf_dir):
-    return rounded(image.morphology(views.pixels(spark, sf_dir).where("channel = 1"), skeleton=False), 4)
+    return rounded(image.morphology(views.pixels(spark, sf_dir).where("channel = 1")), 4)
 
 
 @query()
