@@ -1,6 +1,6 @@
 """Embeddings, clusters and trajectories over object vectors.
 
-PCA, k-means and neighbour graphs are distributed.  Diffusion maps, t-SNE, UMAP and principal curves have no
+PCA, k-means and neighbour graphs are distributed.  Diffusion maps, t-SNE and UMAP have no
 Spark form: they are fitted on a bounded sample (``max_rows``, a parameter; more rows are an error, never a
 silent cut) by one task and carried over to all rows through ``operators.joins.knn_edges``.
 """
@@ -341,6 +341,7 @@ def cluster_tree(df: DataFrame, cluster: str = "cluster", vec: str = "vec") -> l
 def lineages(df: DataFrame, start: str, cluster: str = "cluster", id_col: str = "object_id", vec: str = "vec") -> DataFrame:
     """id, lineage, pseudotime (0 to 1), weight: arc length of the nearest point on each root-to-leaf path of the cluster tree.
 
+    A polyline approximation: paths run straight through the centroids, no principal curves are fitted.
     Paths and centroids are tiny and go to the tasks; each object is placed by plain NumPy in one pass.
     """
     tree = cluster_tree(df, cluster, vec)
