@@ -96,19 +96,22 @@ def range_pairs(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str] =
     return a.join(b, [*keys, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select(*keys, "id1", "id2", "distance")
 
 
-def greedy_match(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def greedy_match(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """One-to-one pairs as taking them by (distance, id1, id2) would give, in rounds of locally dominant edges.
 
     An edge that is the least at both its ends is taken; edges that touch a taken end go; repeat.  Each round
-    is a table in the shared folder, so lost executors cost one round at most.
+    is a table in the shared folder, so lost executors cost one round at most.  Rounds go on until no edge is
+    left; a stated ``max_rounds`` that does not suffice is an error.
     """
     keys = [c for c in pairs.columns if c not in ("id1", "id2", "distance")]
     order = F.struct("distance", "id1", "id2")
     left = materialize(pairs, "pairs")
     taken: DataFrame | None = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    rounds = 0
+    while not left.isEmpty():
+        if rounds == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+        rounds += 1
         ends = left.withColumn("e", order)
         ends = ends.withColumn("m1", F.min("e").over(Window.partitionBy(*keys, "id1"))).withColumn("m2", F.min("e").over(Window.partitionBy(*keys, "id2")))
         won = materialize(ends.where((F.col("e") == F.col("m1")) & (F.col("e") == F.col("m2"))).select(*pairs.columns), "won")
