@@ -16,7 +16,7 @@ lines above it are the content cluster.  The main element is the ``article`` or
 the cluster's text, and the page's text is every line of it that is not boilerplate, so a short paragraph
 between long ones stays; an ``h1`` just before it belongs to it if it has none.  Without such an element the
 deepest element that holds most of the cluster is taken: of its lines those of the cluster, headings and
-paragraphs, and what stands between lines of the cluster, less what is mostly links outside the cluster.
+paragraphs, and what stands between lines of the cluster, less what is mostly links.
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed and joined
 by one space in page order.
@@ -289,18 +289,18 @@ def _in_mains(p: Lines, mains: list[int], held: list[int], last: list[int], good
     return chosen
 
 
-def _around(p: Lines, cluster: set[int], last: list[int], good: list[int], size: list[int]) -> list[int]:
+def _around(p: Lines, cluster: list[int], last: list[int], good: list[int], size: list[int]) -> list[int]:
     """Lines of the deepest element that holds most of the cluster."""
-    held = _held(p, size, sorted(cluster))
+    held = _held(p, size, cluster)
     top = max(i for i, h in enumerate(held) if 2 * h > held[0])  # such elements are nested, the last is the deepest
     while top and (p.tag[top] in INLINE or p.tag[top] in PARAGRAPHS):
         top = p.parent[top]
-    low, high = min(cluster), max(cluster)
+    low, high = cluster[0], cluster[-1]
     out = []
     for n in good:
         if top <= p.at[n] <= last[top]:
             tag = p.tag[p.block[n]]
-            if n in cluster or tag in HEADINGS or (low < n < high or tag in PARAGRAPHS) and p.links[n] <= 0.5 * size[n]:
+            if tag in HEADINGS or p.links[n] <= 0.5 * size[n] and (low <= n <= high or tag in PARAGRAPHS):
                 out.append(n)
     return out
 
@@ -328,7 +328,7 @@ def main_text(html: str | None) -> str:
     cluster = [n for n, a in zip(good, above) if a]
     held = _held(p, size, cluster)
     mains = [i for i, m in enumerate(p.mains) if m and not dull[i] and held[i]]
-    chosen = _in_mains(p, mains, held, last, good, size) if mains else _around(p, set(cluster), last, good, size)
+    chosen = _in_mains(p, mains, held, last, good, size) if mains else _around(p, cluster, last, good, size)
     return " ".join([p.text[n] for n in chosen])
 
 
