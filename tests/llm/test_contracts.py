@@ -184,7 +184,7 @@ def brute_leaks(docs, items):
             for diag in {i - j for j, x in enumerate(v) for i in where.get(x, ())}:
                 agree = [0 <= diag + j < len(w) and w[diag + j] == x for j, x in enumerate(v)]
                 best = max(best, *(sum(agree[a : a + win]) for a in range(len(v) - win + 1)))
-            if len(v) >= 9 and best >= np.ceil(0.8 * win):
+            if v and best >= np.ceil(0.8 * win):
                 out[d, q] = best
     return out
 
@@ -204,7 +204,7 @@ def test_masks_find_every_window():
 @pytest.mark.parametrize("carry", [True, False])
 def test_decontamination_substitutions(spark, monkeypatch, carry):
     if not carry:
-        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     rng = np.random.default_rng(3)
     vocab = [f"w{i}" for i in range(500)]
     item = rng.choice(vocab, 24).tolist()

@@ -4,10 +4,12 @@ import itertools
 import math
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
-from wellspring.llm import decontaminate
+from wellspring.llm import decontaminate, queries
 
 
 @pytest.mark.parametrize("n", range(1, 17))
@@ -35,7 +37,7 @@ def brute(docs, items):
 @pytest.mark.parametrize("carry", [True, False])
 def test_items_of_every_length(spark, monkeypatch, carry):
     if not carry:
-        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(400)]
     docs, items = {}, {0: "...", 99: "机器学习模型的训练数据应当去除测试题目", 98: "これはテストです"}
@@ -52,4 +54,9 @@ def test_items_of_every_length(spark, monkeypatch, carry):
     got = decontaminate.overlaps(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
     got = {(r["doc_id"], r["item_id"]): (r["words"], r["window"], r["start_word"]) for r in got.collect()}
     assert got == brute(docs, items)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": docs.keys(), "text": docs.values()}))
+    con.register("benchmark", pd.DataFrame({"item_id": items.keys(), "text": items.values()}))
+    sql = con.sql(queries.ORACLES["op10_decontamination"]).df()
+    assert got == {(r.doc_id, r.item_id): (r.words, r.window, r.start_word) for r in sql.itertuples()}
     assert (5000, 99) in got and (5002, 98) in got and (5001, 99) not in got

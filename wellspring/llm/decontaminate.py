@@ -9,11 +9,13 @@ words as the threshold allows, in a window of 16 or in a shorter item whole, lea
 all of them for 1 to 16 words), so verification sees every window that it would accept.  Text written
 without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) counts each letter as a word.
 
-How it scales.  Test items are few: their seeds are broadcast after a check of their number, else both
-sides are shuffled by seed.  The corpus gets seeds under those masks alone that the lengths of the items at
-hand call for, which is two unless there are items of under nine words or of ten.  Of a run of hits on one diagonal only the first is kept, by comparing the seed
-before it on both sides, so a passage yields a row per item and document, not per word.  A document's word
-hashes ride along inside one stage and are never shuffled on the broadcast path.
+How it scales.  Test items are few: their seeds (four numbers each) and, apart from them, each item's word
+hashes once are broadcast if both together stay below ``BROADCAST_BYTES``; else both sides are shuffled by
+seed and a salt, so that a common seed is spread over tasks.  The corpus gets seeds under those masks alone
+that the lengths of the items at hand call for, which is two unless there are items of under nine words or of
+ten.  Of a run of hits on one diagonal only the first is kept, by comparing the seed before it on both sides,
+so a passage yields a row per item and document, not per word.  A document's word hashes ride along inside
+one stage and are never shuffled on the broadcast path.
 
 Defined results.  Null texts, ids or items yield nothing, nor do items without a word.  An item of one to
 four words leaks where it stands verbatim.  Repeated rows of a document or item are
@@ -35,7 +37,11 @@ SHORT = {
 _NUMBER = {m: i for i, m in enumerate(dict.fromkeys([*MASKS, *(m for masks in SHORT.values() for m in masks)]))}
 WINDOW = 16
 AGREE = 0.8
-BROADCAST_SEEDS = 2_000_000
+#: Bound of what is broadcast: seeds at SEED_BYTES each and word hashes at 8.
+BROADCAST_BYTES = 64 << 20
+SEED_BYTES = 48
+#: Parts that a seed's documents are spread over where both sides are shuffled.
+SALTS = 8
 
 
 #: Letters of scripts written without spaces.
@@ -84,7 +90,7 @@ def _seed_at(seed):
 
 
 def _item_seeds(bench: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """item_id, bw (hashes of the item), b_seed, before (the seed one place before, under the same mask), off."""
+    """item_id, item (which text of that id), b_seed, before (the seed one place before, under the same mask), off."""
     n = F.size("hs")
     parts = []
     for mask in masks:
@@ -93,7 +99,7 @@ def _item_seeds(bench: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
         last = F.greatest(n - mask[-1] - 1, F.lit(0))
         parts.append(F.when(F.least(n, F.lit(WINDOW)).isin(lengths), F.transform(F.sequence(F.lit(0), last), _seed_at(_masked(mask)))))
     none = F.array().cast("array<struct<b_seed:bigint,before:bigint,off:int>>")
-    return bench.select("item_id", F.col("hs").alias("bw"), F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("s")).select("item_id", "bw", "s.*")
+    return bench.select("item_id", "item", F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("s")).select("item_id", "item", "s.*")
 
 
 def _seeds(hashed: DataFrame, *keep: str) -> DataFrame:
@@ -114,27 +120,32 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs: doc_id, text.  items: item_id, text.
     """
     bench = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t"))
-    bench = _hashes(bench, "item_id", "t").dropDuplicates(["item_id", "hs"])
+    bench = _hashes(bench, "item_id", "t").dropDuplicates(["item_id", "hs"]).withColumn("item", F.xxhash64("hs"))
     n = F.size("hs")
     sizes = bench.where(n > 0).groupBy(F.least(n, F.lit(WINDOW)).alias("n")).agg(F.count("*").alias("items"), F.sum(n).alias("words")).collect()
     masks = list(dict.fromkeys(m for r in sorted(sizes) for m in masks_for(r["n"]))) or list(MASKS)
-    small = sum(r["words"] - r["items"] * m[-1] for r in sizes for m in masks_for(r["n"])) <= BROADCAST_SEEDS
+    seeds = sum(r["words"] - r["items"] * m[-1] for r in sizes for m in masks_for(r["n"]))
+    small = SEED_BYTES * seeds + 8 * sum(r["words"] for r in sizes) <= BROADCAST_BYTES
     b = _item_seeds(bench, masks)
+    whole = bench.select("item_id", "item", F.col("hs").alias("bw"))
 
     d = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
     d = _seeded(_hashes(d, "doc_id", "t"), masks)
     s = _seeds(d, "doc_id", "hs", "seeds")
     prior = F.get("seeds", F.col("pos") - 1)
-    new_run = F.col("before").isNull() | prior.isNull() | (prior != F.col("before"))
     if small:
+        new_run = F.col("before").isNull() | prior.isNull() | (prior != F.col("before"))
         hits = s.join(F.broadcast(b), (s["seed"] == b["b_seed"]) & new_run)
-        hits = hits.select("doc_id", "item_id", "hs", "bw", (_place(F.col("pos"), F.size("hs"), masks) - F.col("off")).alias("diag"))
+        hits = hits.select("doc_id", "item_id", "item", "hs", (_place(F.col("pos"), F.size("hs"), masks) - F.col("off")).alias("diag"))
+        hits = hits.join(F.broadcast(whole), ["item_id", "item"])
     else:  # ids and seeds alone are shuffled; word hashes join the hits later
-        thin = _seeds(d, "doc_id", "hs", "seeds").select("doc_id", "seed", prior.alias("prior"), _place(F.col("pos"), F.size("hs"), masks).alias("at"))
-        ids = b.select("item_id", "b_seed", "before", "off")
+        salt = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).cast("int")
+        thin = s.select("doc_id", "seed", prior.alias("prior"), _place(F.col("pos"), F.size("hs"), masks).alias("at"), salt.alias("salt"))
+        b = b.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         new_run = F.col("before").isNull() | F.col("prior").isNull() | (F.col("prior") != F.col("before"))
-        met = thin.join(ids, (F.col("seed") == F.col("b_seed")) & new_run).select("doc_id", "item_id", (F.col("at") - F.col("off")).alias("diag")).distinct()
-        hits = met.join(d.select("doc_id", "hs"), "doc_id").join(bench.select("item_id", F.col("hs").alias("bw")), "item_id")
+        met = thin.join(b, (F.col("seed") == F.col("b_seed")) & (F.col("salt") == F.col("b_salt")) & new_run)
+        met = met.select("doc_id", "item_id", "item", (F.col("at") - F.col("off")).alias("diag")).distinct()
+        hits = met.join(d.select("doc_id", "hs"), "doc_id").join(whole, ["item_id", "item"])
     n = F.size("bw")
     agree = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when((F.col("diag") + j >= 0) & (F.get("hs", F.greatest(F.col("diag") + j, F.lit(0))) == F.get("bw", j)), 1).otherwise(0))
     laid = hits.select("doc_id", "item_id", "diag", n.alias("n"), agree.alias("agree"))

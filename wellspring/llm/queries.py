@@ -130,13 +130,13 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id) AS rank
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 5""",
     "op10_decontamination": """
-WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
- bw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '<unspaced>', ' \\0 ', 'g')), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+ bw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(regexp_replace(text, '<unspaced>', ' \\0 ', 'g')), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
  d AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM dw),
- b AS (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS j FROM bw WHERE len(w) >= 9),
+ b AS (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS j FROM bw),
  met AS (SELECT DISTINCT doc_id, item_id, n, i - j AS diag, j FROM d JOIN b USING (x)),
  enough AS (SELECT doc_id, item_id, diag FROM met GROUP BY doc_id, item_id, diag HAVING count(*) >= ceil(least(16, any_value(n)) * 0.8)),
  runs AS (SELECT doc_id, item_id, n, diag, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY j RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS words FROM met SEMI JOIN enough USING (doc_id, item_id, diag))
 SELECT doc_id, item_id, CAST(words AS INTEGER) AS words, CAST(least(16, n) AS INTEGER) AS "window", CAST(greatest(diag, 0) AS INTEGER) AS start_word FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, greatest(diag, 0)) AS r FROM runs WHERE words >= ceil(least(16, n) * 0.8)) WHERE r = 1""",
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, greatest(diag, 0)) AS r FROM runs WHERE words >= ceil(least(16, n) * 0.8)) WHERE r = 1""".replace("<unspaced>", decontaminate.UNSPACED),
 }
