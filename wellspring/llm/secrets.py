@@ -7,10 +7,14 @@ capitals or digits, 18 characters or more; ``hex`` 16 or more digits 0-9a-f.
 The lexer adds ``literal`` spans.  At every ``=`` or ``:`` outside a literal it reads the name to the left
 (dotted, quoted or bracketed) and the expression to the right: quoted or triple-quoted literals, bare words
 and ``+`` or ``.`` chains of them, also where they begin on the next line; indented blocks (after ``|`` or
-``>``, or of bare words below the name).  No length is bounded: literals run to their delimiters.  A name on the right takes the literals bound to it earlier (constants propagate, also
-through several names).  A literal scores by the sensitive words of its target's name, by its length and
-character entropy, less for placeholders; from ``THRESHOLD`` on it is reported, unless a base ``assign``
-span holds it.  Positions are code points, ends exclusive.
+``>``, or of bare words below the name).  No length is bounded: literals run to their delimiters.  A name on
+the right stands for what was bound to it last, or is bound to it first further down (constants propagate,
+also through several names).  A literal scores by the most sensitive name that it reaches, by its length and
+character entropy, less for placeholders, and so do the parts of an expression together; from ``THRESHOLD``
+on they are reported, unless a base ``assign`` span holds them.  Positions are code points, ends exclusive.
+
+How it scales.  Bindings form a graph whose nodes each hold their own literals; weights and findings go along
+its edges once, so time grows with the text whatever is bound to what.  Nothing is shuffled.
 
 Defined results.  Null text counts as empty: no spans, the digest of the empty string.  Null ids, repeated
 rows and ties pass through row by row; other columns are ignored; an empty table gives an empty result.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -58,29 +63,35 @@ _JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|\|\|)[ \t]*(?=[\"'`A-Za-z_$])")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
-def entropy(s: str) -> float:
-    """Shannon entropy of the characters, in bits."""
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
-
-
 def name_weight(name: str) -> float:
     words = [w.lower() for w in _CAMEL.findall(name)]
     pairs = [a + b for a, b in zip(words, words[1:])]
     return min(0.7, max((SENSITIVE.get(w, 0.0) for w in words + pairs), default=0.0) + 0.1 * (sum(w in SENSITIVE for w in words) > 1))
 
 
-def literal_score(name: str, value: str) -> float:
-    """How likely ``value`` is a secret when bound to ``name``, from 0 to 1."""
-    weight = name_weight(name)
+def _worth(weight: float, counts: Counter) -> float:
+    """Score of characters bound to a name of that weight."""
+    n = counts.total()
+    kinds = set("a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in counts)
+    entropy = math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n
+    return min(1.0, weight + 0.06 * min(entropy, 4.0) + 0.05 * len(kinds) - (0.35 if len(kinds) < 2 else 0.0) - (0.1 if n < 8 else 0.0))
+
+
+def _scored(weight: float, value: str) -> float:
+    if not weight:
+        return 0.0
     if "-----" in value:
         value = PEM.sub("", value)
     if "\n" in value:
         value = "\n".join(line.strip() for line in value.split("\n"))
-    if not weight or len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip():
+    if len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip():
         return 0.0
-    mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, weight + 0.06 * min(entropy(value), 4.0) + 0.05 * mixed - (0.35 if mixed < 2 else 0.0) - (0.1 if len(value) < 8 else 0.0))
+    return _worth(weight, Counter(value))
+
+
+def literal_score(name: str, value: str) -> float:
+    """How likely ``value`` is a secret when bound to ``name``, from 0 to 1."""
+    return _scored(name_weight(name), value)
 
 
 def _indent(line: str) -> int:
@@ -122,24 +133,68 @@ def _name(text: str, at: int) -> re.Match | None:
     return _NAME.search(text[lo:end])
 
 
-def literals(text: str) -> list[tuple[int, int, float]]:
-    """start, end and score of literals bound, at first or second hand, to sensitive names."""
-    found: dict[tuple[int, int], float] = {}
-    bound: dict[str, list[tuple[int, int]]] = {}
+class Binding:
+    """A name bound to literals and to other bindings; counts are of the characters of all of them."""
+
+    __slots__ = ("weight", "spans", "parts", "counts", "hot")
+
+    def __init__(self, weight: float, spans: list[tuple[int, int]], parts: list[Binding], text: str):
+        self.weight, self.spans, self.parts, self.hot = weight, spans, parts, False
+        if len(spans) + len(parts) == 1:
+            self.counts = parts[0].counts if parts else Counter(text[spans[0][0] : spans[0][1]])
+        else:
+            self.counts = Counter()
+            for s, e in spans:
+                self.counts.update(text[s:e])
+            for x in dict.fromkeys(parts):
+                if len(self.counts) < 256:  # more letters than that tell nothing new
+                    self.counts.update(x.counts)
+
+    def score(self, text: str) -> float:
+        """The best of its literals' scores and of that of all together."""
+        best = max((_scored(self.weight, text[s:e]) for s, e in self.spans), default=0.0)
+        if len(self.spans) + len(self.parts) > 1 and " " not in self.counts:
+            best = max(best, _worth(self.weight, self.counts))
+        return best
+
+
+def bindings(text: str) -> list[Binding]:
+    """All assignments of literals or of names that are bound somewhere to literals."""
+    out: list[Binding] = []
+    bound: dict[str, Binding] = {}
+    later: dict[str, list[Binding]] = {}  # who names what is not bound yet
     at = -1
+    eq, colon = text.find("="), text.find(":")
     while True:
-        nexts = [p for p in (text.find("=", at + 1), text.find(":", at + 1)) if p >= 0]
-        if not nexts:
+        if 0 <= eq <= at:
+            eq = text.find("=", at + 1)
+        if 0 <= colon <= at:
+            colon = text.find(":", at + 1)
+        if eq < 0 and colon < 0:
             break
-        at = min(nexts)
-        if text[at + 1 : at + 2] in ("=", ":") or text[at - 1 : at] in ("!", "<", ">"):
-            at += text[at + 1 : at + 2] == "="
+        at = min(p for p in (eq, colon) if p >= 0)
+        two = text[at : at + 2]
+        if two == ":=":  # an assignment too, as the = that it is read from
+            at += 1
+        elif two in ("==", "::") or text[max(at - 1, 0) : at] in ("!", "<", ">", "="):
+            at += two in ("==", "::")
             continue
         name = _name(text, at)
         if not name:
             continue
         target, pos = ".".join(x for x in name.groups() if x), at + 1 + (text[at + 1 : at + 2] == ">")
         spans: list[tuple[int, int]] = []
+        parts: list[Binding] = []
+        open_names: list[str] = []
+
+        def bare(s: int, e: int) -> None:
+            word = text[s:e]
+            if word in bound:
+                parts.append(bound[word])
+            else:
+                spans.append((s, e))
+                open_names.append(word)
+
         if text[at] == ":" and (m := _BLOCK.match(text, pos)):
             spans = [b] if (b := _block(text, at, m.end(), False)) else []
             pos = len(text)
@@ -148,29 +203,55 @@ def literals(text: str) -> list[tuple[int, int, float]]:
                 pos = m.end()
             else:
                 if b := _block(text, at, m.end(), True):
-                    spans = list(bound.get(text[b[0] : b[1]], [b]))
+                    bare(*b)
                 pos = len(text)
         while m := _ITEM.match(text, pos):
             g = m.lastindex
-            if g == _BARE and m[g] in bound:
-                spans += bound[m[g]]
-            elif g < _BARE or not _JOIN.match(text, m.end()):
+            if g < _BARE:
                 spans.append(m.span(g))
+            elif m[g] in bound or not _JOIN.match(text, m.end()):
+                bare(*m.span(g))
+            else:
+                open_names.append(m[g])
             pos = m.end()
             if not (j := _JOIN.match(text, pos)):
                 break
             pos = j.end()
-        if not spans:
-            continue
-        bound[target] = list(dict.fromkeys(spans))
-        if not name_weight(target):
+        if not spans and not parts and not open_names:
             continue
-        whole = "".join(text[s:e] for s, e in spans)
-        score = max([literal_score(target, whole), *(literal_score(target, text[s:e]) for s, e in spans)])
-        if score >= THRESHOLD:
-            for s in spans:
-                if s[1] - s[0] >= 6:
-                    found[s] = max(found.get(s, 0.0), score)
+        new = Binding(name_weight(target), spans, parts, text)
+        out.append(new)
+        for x in later.pop(target, ()):  # names used before they were bound
+            x.parts.append(new)
+        for x in open_names:
+            if x != target:
+                later.setdefault(x, []).append(new)
+        bound[target] = new
+    return out
+
+
+def literals(text: str) -> list[tuple[int, int, float]]:
+    """start, end and score of literals bound, at first or second hand, to sensitive names."""
+    every = bindings(text)
+    todo = [b for b in every if b.weight]
+    while todo:  # weights go down to what a name was bound to; each rises a few times at most
+        b = todo.pop()
+        for x in b.parts:
+            if x.weight < b.weight:
+                x.weight = b.weight
+                todo.append(x)
+    found: dict[tuple[int, int], float] = {}
+    for b in every:
+        if b.weight and (score := b.score(text)) >= THRESHOLD:
+            todo = [b]
+            while todo:  # a secret's parts are secret, each is visited once
+                x = todo.pop()
+                for s in x.spans:
+                    if s[1] - s[0] >= 6:
+                        found[s] = max(found.get(s, 0.0), score if x is b else THRESHOLD)
+                todo += [y for y in x.parts if not y.hot]
+                for y in x.parts:
+                    y.hot = True
     return sorted((s, e, v) for (s, e), v in found.items())
 
 
@@ -178,11 +259,15 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     """kind, start, end of all spans, by start, then kind as listed."""
     t = text or ""
     spans = [("assign", *m.span()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    held = [s[1:] for s in spans]
+    starts = [s for s, _ in held]
     spans += [("access", *m.span()) for m in ACCESS.finditer(t) if m.end() - m.start() >= 18]
     spans += [("hex", *m.span()) for m in HEX.finditer(t)]
     if "=" in t or ":" in t:
-        held = [s[1:] for s in spans if s[0] == "assign"]
-        spans += [("literal", s, e) for s, e, _ in literals(t) if not any(a <= s and e <= b for a, b in held)]
+        for s, e, _ in literals(t):
+            n = bisect_right(starts, s)  # base spans don't overlap, so only the last one before can hold it
+            if not n or e > held[n - 1][1]:
+                spans.append(("literal", s, e))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
