@@ -19,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset, a temporary one on a local master, whose tasks run on this machine, and an error on a
+    cluster, whose executors could not see it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -47,10 +53,10 @@ def discard(df: DataFrame) -> None:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int, where=None, salt: int = 0) -> DataFrame:
-    """At most ``limit`` labelled documents, drawn by a hash of the id: doc_id, text and ``columns``.
+    """At most ``limit`` labelled documents, drawn by a hash of the id: doc_id, text and ``columns``, a row per id.
 
     The drawn labels are at most ``limit`` rows of a few numbers, hence the broadcast.  Rows without id or
-    label are left out; of an id's repeated labels or texts one is taken.
+    label are left out; of an id's repeated labels or texts the smallest is taken.
     """
     few = labels.where(F.col("doc_id").isNotNull())
     for c in columns:
@@ -60,7 +66,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], limi
     few = few.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in columns])
     few = few.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(limit)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(few), "doc_id").select("doc_id", "text", *columns)
+    met = texts.join(F.broadcast(few), "doc_id")
+    return met.groupBy("doc_id", *columns).agg(F.min("text").alias("text")).select("doc_id", "text", *columns)
 
 
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict]) -> DataFrame:
