@@ -7,9 +7,9 @@ sequence that fits under every capacity and is best by the rule: ``norm`` (least
 left over) or ``dot`` (largest weighted product of demand and residual).
 
 How it scales.  Tokens are counted and check-summed where the text is read; only five numbers a piece
-travel.  Pieces are dealt by hash into bins of about ``group_pieces`` pieces, whatever their source or
-length, and each bin is packed by one task, so a task's rows have a bound and the loss is at most a part
-of one sequence in thousands.
+travel.  Pieces are dealt evenly, whatever their source or length, into groups of at most about
+``group_pieces`` pieces, a group to a task, so a task's rows have a bound and the loss is at most a part of one
+sequence in thousands.
 
 Defined results.  Null text counts as empty (one piece holding id 1).  Repeated rows are packed each.
 Null ids pass through.  Other columns are ignored.  An empty table gives an empty result.
@@ -17,17 +17,20 @@ Null ids pass through.  Other columns are ignored.  An empty table gives an empt
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
 import unicodedata
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,14 @@ CACHE_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
+#: The rules of the tokenizer that the cache repeats.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+SPECIAL = {"<|startoftext|>", "<|endoftext|>"}
+
 #: Where splitting at white space and lower-casing a word by itself is the tokenizer's own normalisation:
 #: below U+0250, without the four separator controls, the dotted capital I and special-token brackets.
 _PLAIN = re.compile("[^\x00-\x1b\x20-;=-įı-ɏ]")
@@ -62,7 +73,8 @@ class WordCache:
 
     The tokenizer lower-cases, drops white space and never joins across it, so a plain text's ids are those
     of its words in a row; a new word is cut by the tokenizer's pattern and its parts go to the tokenizer's
-    model.  Any other text goes to the tokenizer as it is.  The cache has two generations of ``limit`` words:
+    model.  Any other text, and every text where the tokenizer's own rules are others than these, goes to the
+    tokenizer as it is.  The cache has two generations of ``limit`` words:
     when the younger is full it becomes the older, and words still in use move back.
     """
 
@@ -72,6 +84,8 @@ class WordCache:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model, self.pattern, self.letters = self.tokenizer.model, _pattern(), _byte_letters()
+        own = json.loads(self.tokenizer.to_str())
+        self.known = own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and {t["content"] for t in own["added_tokens"]} == SPECIAL
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -97,7 +111,7 @@ class WordCache:
             self.words, self.older = {}, self.words
         out = []
         for t in texts:
-            if _PLAIN.search(t):
+            if not self.known or _PLAIN.search(t):
                 out.append(self._whole(t))
                 continue
             split = t.lower().split()
@@ -177,13 +191,14 @@ def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int | None =
     """Sequence and offset for each piece of a stored table of pieces."""
     groups = max(1, math.ceil(parts.count() / group_pieces))
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        seq, off = best_fit(pdf["length"].to_numpy(), max_tokens, max_docs, max_cost, rule)
-        return pdf.drop(columns="bin").assign(sequence_id=(int(key[0]) << 32) + seq, offset=off)
+    def one(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p for p in pdfs if len(p)]
+        if held:
+            pdf = pd.concat(held).sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+            seq, off = best_fit(pdf["length"].to_numpy(), max_tokens, max_docs, max_cost, rule)
+            yield pdf.assign(sequence_id=(TaskContext.get().partitionId() << 32) + seq, offset=off)
 
-    salted = parts.withColumn("bin", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-    return salted.groupBy("bin").applyInPandas(one, PACKED)
+    return parts.repartition(groups).mapInPandas(one, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max_docs: int | None = None, max_cost: float | None = None, rule: str = "norm") -> DataFrame:
