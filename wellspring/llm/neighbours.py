@@ -3,13 +3,14 @@
 Vectors are scaled to unit length and packed into blocks.  A tile is a block of queries against a block of
 candidates: an int8 product gives each pair's cosine within a bound that follows from the rounding errors
 (if u = s*a + e and v = t*b + f, then u.v - s*t*a.b = s*a.f + e.v, at most |u|'|f| + |e||v|).  A pair whose
-upper bound is below the tile's k-th best lower bound is dropped; what is left is recomputed in double
-precision on the original vectors, and heaps merge the tiles' best per query.
+upper bound is below the k-th best lower bound of its query, in the tile and then over all tiles, is dropped;
+what is left is recomputed in double precision on the original vectors and merged by heaps.
 
 How it scales.  Candidate blocks are dealt to tiles by an equi-join on the block number; a task holds two
-blocks.  Equal candidate vectors in a block are folded to the k + 1 smallest ids, beyond which a copy can
-never be among the k nearest (the query itself may be one).  A tile hands on k rows per query, so what is
-shuffled is queries x blocks x k.
+blocks of codes, an eighth of the vectors' size, and original vectors are fetched for surviving pairs alone.
+Equal candidate vectors in a block are folded to the k + 1 smallest ids, beyond which a copy can never be
+among the k nearest (the query itself may be one).  A tile hands on little more than k rows per query, so
+what is shuffled is four numbers for queries x blocks x k.
 
 Defined results.  Vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do null ids or vectors whose length differs from the query's.  Of repeated ids one vector counts (the
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -44,8 +45,34 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"))
 
 
-def pack_blocks(rows: DataFrame, n_blocks: int, prefix: str) -> DataFrame:
-    """One row per block and vector length: block number, dim, ids and vectors as bytes; at most about BLOCK vectors."""
+def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes, scale and length of the rounding error of each vector at unit length."""
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # first, so that squares can't overflow
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    scale = np.abs(unit).max(axis=1) / 127.0
+    codes = np.rint(unit / scale[:, None]).astype(np.int8)
+    return codes, scale, np.linalg.norm(unit - codes * scale[:, None], axis=1)
+
+
+def pack_blocks(rows: DataFrame, n_blocks: int, prefix: str, copies: int | None = None) -> DataFrame:
+    """One row per block and vector length, of about ``BLOCK`` vectors: block number, dim, ids, codes, scales and errors as bytes.
+
+    With ``copies``, of equal vectors in a block that many are kept, those of the smallest ids.
+    """
+    names = [f"{prefix}{n}" for n in ("block", "dim", "ids", "codes", "scales", "errors")]
+
+    def pack(blk: int, dim: int, ids: list[int], vecs: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.argsort(np.array(ids), kind="stable")
+        i, v = np.array(ids, dtype="<i8")[order], np.stack(vecs)[order]
+        if copies is not None:
+            _, same = np.unique(v.view([("", v.dtype)] * dim).ravel(), return_inverse=True)
+            by = np.argsort(same, kind="stable")
+            first = np.concatenate([[0], np.cumsum(np.bincount(same))])
+            place = np.empty(len(v), dtype=np.int64)
+            place[by] = np.arange(len(v)) - first[same[by]]
+            i, v = i[place < copies], v[place < copies]
+        codes, scale, error = quantise(v)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((blk, dim, i.tobytes(), codes.tobytes(), scale.tobytes(), error.tobytes()), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[list, list]] = {}
@@ -55,23 +82,19 @@ def pack_blocks(rows: DataFrame, n_blocks: int, prefix: str) -> DataFrame:
                 ids.append(i)
                 vecs.append(np.asarray(v.values, dtype="<f8"))
         for (blk, dim), (ids, vecs) in held.items():
-            order = np.argsort(np.array(ids), kind="stable")
-            yield pa.RecordBatch.from_pydict({f"{prefix}block": [blk], f"{prefix}dim": [dim], f"{prefix}ids": [np.array(ids, dtype="<i8")[order].tobytes()], f"{prefix}vecs": [np.stack(vecs)[order].tobytes()]}, schema=schema)
+            yield pack(blk, dim, ids, vecs)
 
-    schema = pa.schema([(f"{prefix}block", pa.int32()), (f"{prefix}dim", pa.int32()), (f"{prefix}ids", pa.binary()), (f"{prefix}vecs", pa.binary())])
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).select("block", "vec_id", "embedding")
-    return dealt.repartition(n_blocks, "block").mapInArrow(run, f"{prefix}block int, {prefix}dim int, {prefix}ids binary, {prefix}vecs binary")
-
-
-def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scale and length of the rounding error of each unit vector."""
-    scale = np.abs(unit).max(axis=1) / 127.0
-    codes = np.rint(unit / scale[:, None]).astype(np.int8)
-    return codes, scale, np.linalg.norm(unit - codes * scale[:, None], axis=1)
+    return dealt.repartition(n_blocks, "block").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, ["int", "int", *["binary"] * 4])))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of rows, components summed in their order in double precision."""
+    """Cosine of rows, components summed in their order in double precision.
+
+    Rows are first scaled by powers of two, which changes no digit of the result and keeps squares in range.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) for x in (a, b))
     ab, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for d in range(a.shape[1]):
         x, y = a[:, d], b[:, d]
@@ -81,42 +104,27 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ab / np.sqrt(aa * bb)
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query id, candidate id and cosine of the k nearest candidates of each query in a block, ids ascending in c."""
-    _, first, same = np.unique(c.view([("", c.dtype)] * c.shape[1]).ravel(), return_index=True, return_inverse=True)
-    order = np.argsort(same, kind="stable")
-    rank = np.empty(len(c), dtype=np.int64)
-    run = np.concatenate([[0], np.cumsum(np.bincount(same))])
-    rank[order] = np.arange(len(c)) - run[same[order]]
-    c_ids, c = c_ids[rank <= k], c[rank <= k]
-    largest = lambda m: m / np.abs(m).max(axis=1, keepdims=True)  # noqa: E731  first, so that squares can't overflow
-    qu, cu = largest(q), largest(c)
-    qu /= np.linalg.norm(qu, axis=1, keepdims=True)
-    cu /= np.linalg.norm(cu, axis=1, keepdims=True)
-    qa, qs, qe = quantise(qu)
-    ca, cs, ce = quantise(cu)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    cf = ca.astype(np.float32).T  # products of int8 codes are whole numbers below 2**24 up to 1,040 components
-    for at in range(0, len(q), 256):
+Coded = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # ids, codes, scales, errors
+
+
+def tile(q: Coded, c: Coded, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """query id, candidate id, least and largest cosine of the pairs of a tile that may be among the k nearest."""
+    q_ids, qa, qs, qe = q
+    c_ids, ca, cs, ce = c
+    # products of int8 codes are whole numbers below 2**24 up to 1,040 components
+    kind = np.float32 if qa.shape[1] <= 1040 else np.float64
+    columns = ca.astype(kind).T
+    out = []
+    for at in range(0, len(q_ids), 256):
         s = slice(at, at + 256)
-        dot = (qa[s].astype(np.float32) @ cf).astype(np.float64) if q.shape[1] <= 1040 else qa[s].astype(np.float64) @ ca.astype(np.float64).T
-        near = dot * qs[s, None] * cs[None, :]
+        near = (qa[s].astype(kind) @ columns).astype(np.float64) * qs[s, None] * cs[None, :]
         slack = (1.0 + qe[s, None]) * ce[None, :] + qe[s, None] + 1e-9
         near[q_ids[s, None] == c_ids[None, :]] = -np.inf
         low = near - slack
         kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
         i, j = np.nonzero((near + slack >= kth[:, None]) & np.isfinite(near))
-        for p in range(0, len(i), 1 << 16):
-            ii, jj = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
-            out.append((at + ii, jj, cosine(q[at + ii], c[jj])))
-    if not out:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-    i, j, score = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((c_ids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    best = place < k
-    return q_ids[i[best]], c_ids[j[best]], score[best]
+        out.append((q_ids[at + i], c_ids[j], low[i, j], (near + slack)[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def merge_heaps(found: DataFrame, k: int) -> DataFrame:
@@ -148,14 +156,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK
     rows = materialize(vectors.groupBy("vec_id").agg(first.alias("embedding")), "vectors")
     queries = rows.where(is_query)
     n_c, n_q = max(1, -(-rows.count() // block)), max(1, -(-queries.count() // QUERY_BLOCK))
-    cands = pack_blocks(rows, n_c, "c_")
-    asks = pack_blocks(queries, n_q, "q_").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    tiles = asks.withColumnRenamed("c_block", "at").join(cands, (F.col("at") == F.col("c_block")) & (F.col("q_dim") == F.col("c_dim")))
+    cands = pack_blocks(rows, n_c, "c_", k + 1)
+    asks = pack_blocks(queries, n_q, "q_").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    tiles = asks.join(cands, (F.col("at") == F.col("c_block")) & (F.col("q_dim") == F.col("c_dim")))
+    parts = [f"{side}{n}" for side in "qc" for n in ("_ids", "_codes", "_scales", "_errors")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(dim: int, ids: bytes, codes: bytes, scales: bytes, errors: bytes) -> Coded:
+        return np.frombuffer(ids, "<i8"), np.frombuffer(codes, np.int8).reshape(-1, dim), np.frombuffer(scales, "<f8"), np.frombuffer(errors, "<f8")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qd, qi, qv, ci, cv in zip(*(b.column(n).to_pylist() for n in ("q_dim", "q_ids", "q_vecs", "c_ids", "c_vecs"))):
-                got = tile(np.frombuffer(qi, "<i8"), np.frombuffer(qv, "<f8").reshape(-1, qd), np.frombuffer(ci, "<i8"), np.frombuffer(cv, "<f8").reshape(-1, qd), k)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(got[2])], names=["query_id", "vec_id", "score"])
+            for dim, *x in zip(*(b.column(n).to_pylist() for n in ("q_dim", *parts))):
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in tile(coded(dim, *x[:4]), coded(dim, *x[4:]), k)], names=["query_id", "vec_id", "low", "high"])
 
-    return merge_heaps(tiles.select("q_dim", "q_ids", "q_vecs", "c_ids", "c_vecs").mapInArrow(run, FOUND), k)
+    pairs = tiles.select("q_dim", *parts).mapInArrow(meet, "query_id long, vec_id long, low double, high double")
+    # over all tiles again: a pair below the k-th best least cosine of its query can't be among the k
+    by_query = Window.partitionBy("query_id")
+    pairs = pairs.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("low")))).withColumn("kth", F.max(F.when(F.col("r") == k, F.col("low"))).over(by_query))
+    pairs = pairs.where(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("query_id", "vec_id")
+    pairs = pairs.join(rows.select("vec_id", F.col("embedding").alias("cv")), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = [b.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("qv", "cv")]
+            size = np.diff(b.column("qv").offsets.to_numpy())
+            ends, score = np.concatenate([[0], np.cumsum(size)]), np.zeros(b.num_rows)
+            for dim in np.unique(size):
+                own = np.flatnonzero(size == dim)
+                at = ends[own][:, None] + np.arange(dim)
+                score[own] = cosine(flat[0][at], flat[1][at])
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return merge_heaps(pairs.select("query_id", "vec_id", "qv", "cv").mapInArrow(exact, FOUND), k)
