@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,9 @@ PARTS = 3
 HEADS = (4, 5, 6)
 SECOND_PERSON = frozenset("you your yours yourself u ur youre yall du dein deine dir dich ihr euch tu toi ton ta tes vous votre tú ti te usted vosotros".split())
 _WORD = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"[\w@$*!|+-]+")
-_MIXED = re.compile(r"[^\W\d_][@$*!|0-9+-]+[^\W\d_]|\d[^\W\d_]+\d")
-#: A disguised word is no longer than this.
-DISGUISE = 40
+#: Words with signs or digits for letters; a hyphen or underscore parts words.
+_RUN = re.compile(r"(?:[^\W_]|[@$*!|+])+")
+_MIXED = re.compile(r"[^\W\d_][@$*!|0-9+]+[^\W\d_]|\d[^\W\d_]+\d")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W\d_])")
 _UNDO = str.maketrans("@4$51!|0378", "aassiiioetb")
 _REPEAT = re.compile(r"(.)\1{2,}")
@@ -57,6 +57,11 @@ class Lexicon:
     words: frozenset[str]
     begins: frozenset[str]
 
+    @cached_property
+    def by_length(self) -> dict[int, str]:
+        """Words of each length, a line each."""
+        return {n: "\n".join(sorted(w for w in self.words if len(w) == n)) for n in {len(w) for w in self.words}}
+
 
 def features(text: str | None, lex: Lexicon) -> list[float]:
     t = text or ""
@@ -76,11 +81,11 @@ def features(text: str | None, lex: Lexicon) -> list[float]:
         p = np.searchsorted(y, b)
         gap = np.minimum(np.abs(b - y[np.minimum(p, len(y) - 1)]), np.abs(b - y[np.maximum(p - 1, 0)]))
         near = float((1.0 / (1.0 + gap)).sum())
-    odd = [w.lower() for w in _RUN.findall(t) if len(w) <= DISGUISE and _MIXED.search(w)] if _MIXED.search(t) else []
+    odd = [w.lower() for w in _RUN.findall(t) if _MIXED.search(w)] if _MIXED.search(t) else []
     spaced = [re.sub(r"[ .\-_*]", "", m[0]).lower() for m in _SPACED.finditer(t)]
     known = lambda w: w in lex.words or any(x in lex.begins for x in beginnings(w))
-    masked = lambda w: "*" in w and any(len(x) == len(w) and re.fullmatch(re.escape(w).replace(r"\*", "."), x) for x in lex.words)
-    undone = sum(known(_REPEAT.sub(r"\1", w.translate(_UNDO))) or masked(w) for w in odd) + sum(known(w) for w in spaced)
+    masked = lambda w: "*" in w and len(w) in lex.by_length and re.search("^" + re.escape(w).replace(r"\*", ".") + "$", lex.by_length[len(w)], re.M)
+    undone = sum(known(_REPEAT.sub(r"\1", w.translate(_UNDO))) or bool(masked(w)) for w in odd) + sum(known(w) for w in spaced)
     repeats = [w for w in counts if _REPEAT.search(w)]
     undone += sum(known(_REPEAT.sub(r"\1", w)) for w in repeats)
     caps = sum(map(str.isupper, t)) if not t.isascii() else sum(t.count(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
