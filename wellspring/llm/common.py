@@ -35,10 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    return store(df, path)
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to and read from ``path``."""
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 

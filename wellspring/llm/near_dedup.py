@@ -12,7 +12,9 @@ by its other 32 bits; such a part agrees in 48 bits, so it holds at most 65,536.
 its keys, two nodes at a time, with an error budget for the other bits, and hands on only a spanning star of
 what it has linked.  A fingerprint has at most 2,080 others within two bits, so links grow with distinct
 fingerprints, never with their square.
-Components come from alternating large-star and small-star rounds over tables in the shared folder.
+Components come from alternating large-star and small-star rounds over tables in the shared folder; a round's
+joins bring one number to each edge, and adaptive execution splits what a hub makes large.  A fingerprint
+that very many documents share gets its component by a broadcast.
 
 Defined results.  Null text counts as empty.  Rows with a null doc_id get a fingerprint and the smallest
 id of their component (null if it has none).  Repeated rows stay as they are.  Other columns are ignored.
@@ -36,6 +38,8 @@ SHINGLE = 3
 BUDGET = 2
 PIECE = 1 << 16
 HOT = 100_000
+#: A fingerprint of more copies than this is told its component by a broadcast, not by a join on the fingerprint.
+COPIES = 20_000
 #: Pairs of the four blocks that two linked fingerprints must share one of.
 BLOCK_PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
@@ -221,18 +225,32 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         state = seen
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out.stored_at = now.stored_at
+    return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 lower-case hex digits), component_id, fp for each row of ``docs``."""
-    prints = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+def fingerprint_components(prints: DataFrame) -> DataFrame:
+    """fp, component_id, copies: a stored row for each distinct fingerprint of (doc_id, fp)."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "distinct")
     comps = connected_components(trie_links(distinct.select("fp")))
-    led = distinct.join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    led = distinct.join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "copies")
     least = led.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = led.join(least, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = materialize(led.join(least, "root").select("fp", "component_id", "copies"), "components")
+    discard(comps)
+    discard(distinct)
+    return out
+
+
+def near_duplicates(docs: DataFrame, copies: int = COPIES) -> DataFrame:
+    """doc_id, fingerprint (16 lower-case hex digits), component_id for each row of ``docs``."""
+    prints = materialize(fingerprints(docs), "fingerprints")
+    comps = fingerprint_components(prints)
+    # at most a row for every ``copies`` documents, so that no task gets all copies of a text
+    hot = F.broadcast(comps.where(F.col("copies") > copies).select("fp", "component_id"))
+    rest = comps.where(F.col("copies") <= copies).select("fp", "component_id")
+    out = prints.join(hot, "fp").union(prints.join(hot, "fp", "left_anti").join(rest, "fp").select("fp", "doc_id", "component_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -242,8 +260,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first by a hash of its columns stays.
     """
     cols = docs.columns
-    found = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    prints = materialize(fingerprints(docs), "fingerprints")
+    found = fingerprint_components(prints).where("component_id IS NOT NULL").select(F.col("component_id").alias("kept_id")).distinct()
+    discard(prints)
     rows = docs.join(found, docs["doc_id"] == found["kept_id"], "inner").select(*[docs[c] for c in cols])
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in cols]))
-    rows = rows.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*cols)
+    place = "row_" + "_".join(cols)  # a name that no column has
+    rows = rows.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*cols)
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))

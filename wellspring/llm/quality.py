@@ -19,7 +19,7 @@ label everything is kept with a null grade.  An empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -195,3 +195,17 @@ def score(docs: DataFrame, model: OrdinalModel, wanted: int | None = None, least
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return map_batches(docs, schema + ", expected_grade double, tail_prob double, keep boolean", one)
+
+
+def keep_good(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose probability of the highest grade is at least ``least``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(sent.value.grades) < 2:
+                yield b
+            else:
+                yield b.filter(pa.array([bool(sent.value.tails(t)[-1] >= least) for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
