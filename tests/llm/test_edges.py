@@ -259,7 +259,11 @@ def test_held_out_accuracy(spark):
     labels = pd.read_parquet(f"{at}/labels.parquet")
     tox = queries.op9_toxicity(spark, at).toPandas().merge(labels, on="doc_id")
     held = tox[tox.held_out]
-    assert (held.predicted == held.toxic).mean() > 0.9
+    assert (held.predicted == held.toxic).mean() > 0.95
+    assert held.predicted[held.toxic == 1].mean() > 0.75 and held.predicted[held.toxic == 0].mean() < 0.02
+    ranks = held.score.rank()
+    n1, n0 = (held.toxic == 1).sum(), (held.toxic == 0).sum()
+    assert (ranks[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.95
     d, lab = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     model = quality.train(d, lab, where=fold != 0)
@@ -272,6 +276,7 @@ def test_toxic_features_undo_disguises():
     lex = toxicity.Lexicon(frozenset({"zorgle", "idiot", "stupid"}), frozenset({"blarg*"}))
     f = lambda t: toxicity.features(t, lex)
     assert f("you are an 1d10t and st*pid")[at["hits"]] == 2 and f("what an i d i o t here")[at["hits"]] == 1 and f("stuuuupid")[at["hits"]] == 1
+    assert f("a well-known state-of-the-art follow-up")[at["odd"]] == 0 and f("x" * 60 + "1y_an_1d10t")[at["hits"]] == 1
     assert f("a zorgle and blarging")[at["hits"]] == 2 and f("plain words only")[at["hits"]] == 0
     assert f("you idiot")[at["near_you"]] > f("idiot is far away from the word you")[at["near_you"]] > 0
     assert f("SHOUT LOUD NOW")[at["shout"]] == 1.0 and f("")[at["words"]] == 0

@@ -158,6 +158,5 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` into which no item has leaked, null ids and texts included."""
-    cols = docs.columns
-    bad = overlaps(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti").select(*cols)
+    bad = overlaps(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
