@@ -257,13 +257,13 @@ def test_held_out_accuracy(spark):
     if not os.path.isdir(at):
         pytest.skip("no test tables")
     labels = pd.read_parquet(f"{at}/labels.parquet")
-    tox = queries.op9_toxicity(spark, at).toPandas().merge(labels, on="doc_id")
+    more = "/root/testdata/sf0.1"  # 0.01 has six toxic rows held out
+    tox = queries.op9_toxicity(spark, more).toPandas().merge(pd.read_parquet(f"{more}/labels.parquet"), on="doc_id")
     held = tox[tox.held_out]
-    assert (held.predicted == held.toxic).mean() > 0.95
-    assert held.predicted[held.toxic == 1].mean() > 0.75 and held.predicted[held.toxic == 0].mean() < 0.02
+    assert held.predicted[held.toxic == 1].mean() > 0.85 and held.predicted[held.toxic == 0].mean() < 0.02
     ranks = held.score.rank()
     n1, n0 = (held.toxic == 1).sum(), (held.toxic == 0).sum()
-    assert (ranks[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.95
+    assert (ranks[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.97
     d, lab = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     model = quality.train(d, lab, where=fold != 0)
