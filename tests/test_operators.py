@@ -84,7 +84,7 @@ def test_planted_well_is_flagged(spark):
     long = long_frame(spark, rows)
     wells = quality.well_table(long.where("feature = 'f_mean'"), spark.createDataFrame([("P0", "A06", 15), ("P0", "H12", 0)], "plate string, well string, organoid_no long"))
     flags = {r["well"]: r for r in quality.well_flags(long, wells).collect()}
-    assert flags["A06"]["flagged"] and "stain dropout: f_mean, g_mean" in flags["A06"]["reasons"] and flags["A06"]["deviating_fraction"] == 1.0
+    assert flags["A06"]["flagged"] and "stain dropout: f_mean (d=-1.00), g_mean (d=-1.00)" in flags["A06"]["reasons"] and flags["A06"]["deviating_fraction"] == 1.0
     assert flags["H12"]["condition"] == "unknown" and flags["H12"]["reasons"] == "no organoids"
     assert not flags["A02"]["flagged"]
     marked = quality.mark_flagged(long, quality.well_flags(long, wells))
@@ -295,16 +295,70 @@ def test_sampling(spark):
 
 def test_feature_selection(spark):
     rng = np.random.default_rng(0)
-    rows, wide = [], []
-    for p, w, i in itertools.product(range(2), range(16), range(10)):
+    rows = []
+    for n, (p, w, i) in enumerate(itertools.product(range(2), range(16), range(10))):
         cond = f"c{w % 4}"
         base = float(w % 4) * 3 + rng.normal()
-        vals = {"good": base, "twin": base * 2 + 1e-3 * rng.normal(), "const": 1.0, "noise_hole": None if i == 0 else rng.normal(), "plate_name": base + rng.normal()}
-        rows += [(f"P{p}", f"A{w:02d}", cond, False, f, None if v is None else float(v)) for f, v in vals.items()]
-        wide.append({k: 0.0 if v is None else float(v) for k, v in vals.items()})
-    got = {r["feature"]: r["reason"] for r in selection.select_features(long_frame(spark, rows), spark.createDataFrame(pd.DataFrame(wide)), ["plate"]).collect()}
-    assert got["const"] == "near-constant" and got["noise_hole"] == "missing values" and got["plate_name"] == "name"
-    assert sorted(str(got[k]) for k in ("good", "twin")) in (["None", "redundant with good"], ["None", "redundant with twin"])
+        vals = {"good": base, "twin": base * 2 + 1e-3 * rng.normal(), "const": 1.0, "noise_hole": None if i == 0 else rng.normal(), "plate_name": base + rng.normal(), "by_well": 50.0 * (w * 7 % 16) + rng.normal(), "noise": rng.normal()}
+        rows += [(n, f"P{p}", f"A{w:02d}", cond, f, None if v is None else float(v)) for f, v in vals.items()]
+    long = spark.createDataFrame(rows, "object_id long, plate string, well string, condition string, feature string, value double")
+    got = {r["feature"]: r for r in selection.select_features(long, ["plate"]).collect()}
+    reason = {k: r["reason"] for k, r in got.items()}
+    assert reason["const"] == "near-constant" and reason["noise_hole"] == "missing values" and reason["plate_name"] == "removed by name"
+    assert reason["by_well"] == "well effect" and got["by_well"]["well_effect"] > 0.85 and got["good"]["well_effect"] < 0.3 and got["const"]["well_effect"] is None
+    assert sorted(reason[k] for k in ("good", "twin")) in (["kept", "redundant with good"], ["kept", "redundant with twin"])
+    free = {r["feature"]: r["reason"] for r in selection.select_features(long, max_effect=None, min_reliability=None, max_corr=None).collect()}
+    assert {k for k, v in free.items() if v == "kept"} == {"good", "twin", "plate_name", "by_well", "noise"}
+
+
+def test_activity_null_keeps_wells_that_resemble_one_another(spark):
+    """Wells come in groups that look alike, whatever their condition: the null must not call them active."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(60):  # each condition meets controls of a plate of its own
+        centres = rng.normal(size=(4, 5))
+        for i in range(26):
+            rows.append((f"P{c:02d}", f"w{i:02d}", f"c{c:02d}" if i < 6 else "ctrl", i >= 6, (centres[rng.integers(4)] + 0.2 * rng.normal(size=5)).tolist()))
+    v = spark.createDataFrame(rows, "plate string, well string, condition string, control boolean, vec array<double>")
+    p = [r["p"] for r in quality.phenotypic_activity(v, 200, centred=True).collect()]
+    assert len(p) == 60 and sum(x <= 0.05 for x in p) <= 8 and 0.35 < np.mean(p) < 0.65
+
+
+def test_precisions_against_plain_ones():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 3))
+    x[4] = 0
+    with np.errstate(invalid="ignore"):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    labels = rng.random((6, 12)) < 0.4
+    got = quality._precisions(unit, labels)
+    for r, i in itertools.product(range(6), range(12)):
+        order = sorted((j for j in range(12) if j != i), key=lambda j: -np.nan_to_num(unit[i] @ unit[j], nan=-np.inf))
+        hits = [labels[r, j] for j in order]
+        want = [sum(hits[: n + 1]) / (n + 1) for n, h in enumerate(hits) if h]
+        assert np.isnan(got[r, i]) if not labels[r, i] or not want else np.isclose(got[r, i], np.mean(want))
+
+
+def test_plate_formats(spark):
+    wells = lambda *w: spark.createDataFrame([("P", x) for x in w], "plate string, well string")
+    got = quality.well_geometry(wells("A01", "C03"), 384).first()
+    assert (got["rows"], got["cols"]) == (16, 24) and quality.well_geometry(wells("A01", "C03")).first()["rows"] == 3
+    for bad, size in ((wells("A01", "?"), None), (wells("A01"), 100), (wells("C03"), 6)):
+        with pytest.raises(ValueError):
+            quality.well_geometry(bad, size)
+
+
+def test_neighbours_of_large_groups_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 50)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(330, 4))
+    group = np.where(np.arange(330) < 260, "a", "b")
+    v = spark.createDataFrame([(i, str(g), r.tolist()) for i, (g, r) in enumerate(zip(group, x))], "id long, g string, vec array<double>")
+    got = joins.knn_edges(v, v, 3, keys=("g",), same=True).toPandas()
+    assert len(got) == 990
+    for i in range(330):
+        d = np.where((group == group[i]) & (np.arange(330) != i), np.linalg.norm(x - x[i], axis=1), np.inf)
+        assert got[got.src == i].sort_values("rank").dst.tolist() == np.argsort(d)[:3].tolist()
 
 
 def test_pca(spark):

@@ -49,7 +49,7 @@ def with_image_size(df: DataFrame, stored: DataFrame | None = None, plate: str =
     if stored is None:
         return df
     stored = stored.select(F.col(plate).alias("__p"), F.col("width").alias("__w"), F.col("height").alias("__h"))
-    out = df.join(F.broadcast(stored), F.col(plate) == F.col("__p"), "left")  # one row per plate
+    out = df.join(stored, F.col(plate) == F.col("__p"), "left")  # one row per plate
     return out.withColumn("width", F.coalesce("__w", "width")).withColumn("height", F.coalesce("__h", "height")).drop("__p", "__w", "__h")
 
 
@@ -85,7 +85,7 @@ def outgrowth(objects: DataFrame, layout: DataFrame, n_seeded: int, removed: Dat
 def threshold_override(thresholds: DataFrame, changes: DataFrame) -> DataFrame:
     """``final`` replaced where ``changes`` (round, stain, final) has another value."""
     new = changes.select("round", "stain", F.col("final").alias("__final"))
-    return thresholds.join(F.broadcast(new), ["round", "stain"], "left").withColumn("final", F.coalesce("__final", "final")).drop("__final")
+    return thresholds.join(new, ["round", "stain"], "left").withColumn("final", F.coalesce("__final", "final")).drop("__final")
 
 
 def missing_thresholds(panel: DataFrame, thresholds: DataFrame) -> DataFrame:

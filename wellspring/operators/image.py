@@ -105,7 +105,7 @@ def intensity_stats(pixels: DataFrame, quantiles: Sequence[float] = (0.05, 0.25,
 def wide_features(stats: DataFrame, stains: DataFrame, keys: Sequence[str] = ("object_id",)) -> DataFrame:
     """Long (keys, feature, value) with names ``R{round}__{stain}_{statistic}``; stains: (round, channel, stain), gaps dropped."""
     values = [c for c in stats.columns if c not in (*keys, "round", "channel")]
-    named = stats.join(F.broadcast(stains.where("stain <> ''")), ["round", "channel"])  # a panel has a few dozen stains
+    named = stats.join(stains.where("stain <> ''"), ["round", "channel"])
     pairs = F.array(*[F.struct(F.lit(c).alias("s"), F.col(c).cast("double").alias("v")) for c in values])
     each = named.select(*keys, "round", "stain", F.explode(pairs).alias("p"))
     return each.select(*keys, F.concat(F.lit("R"), F.col("round").cast("string"), F.lit("__"), F.col("stain"), F.lit("_"), F.col("p.s")).alias("feature"), F.col("p.v").alias("value"))
@@ -413,7 +413,7 @@ def morphology(pixels: DataFrame, spacing: float = 1.0, sigma: float = 3.0, skel
 def over_threshold(pixels: DataFrame, thresholds: DataFrame, sigma: float = 3.0) -> DataFrame:
     """``pixels`` with over_threshold: blurred value inside the mask above the channel's threshold; stains come from (round, channel, final)."""
     t = thresholds.select("round", "channel", F.col("final").cast("double").alias("__final"))
-    joined = pixels.join(F.broadcast(t), ["round", "channel"], "left")  # a few dozen rows
+    joined = pixels.join(t, ["round", "channel"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -432,7 +432,7 @@ def estimate_thresholds(pixels: DataFrame, stains: DataFrame, q: float = 0.5, si
 
     ``pixels`` holds a sample of objects (``sampling.sample_per_group``), which bounds ``raw``.
     """
-    named = pixels.join(F.broadcast(stains.where("stain <> ''")), ["round", "channel"])
+    named = pixels.join(stains.where("stain <> ''"), ["round", "channel"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"round": int(pdf["round"].iloc[0]), "stain": pdf["stain"].iloc[0], "channel": int(pdf["channel"].iloc[0]), "t": triangle_threshold(gaussian_blur(_grid(pdf, "value"), sigma).ravel())}])

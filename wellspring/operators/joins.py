@@ -58,12 +58,12 @@ def zip_tables(tables: Sequence[DataFrame], key: str = "label", where: Sequence[
 def candidate_folders(plates: DataFrame, folders: DataFrame) -> DataFrame:
     """plate, folder, tier: 1 where the plate's key (hint, else its id) is part of the folder's name, 2 of its whole path.
 
-    Both sides are lists of plates on the driver's scale (hundreds), so the substring join is a small nested loop.
+    Both sides are lists of plates (hundreds), so the planner broadcasts one for the substring join; it decides by size.
     """
     key = match_key(F.coalesce(F.col("hint"), F.col("plate")))
     p = plates.select("plate", key.alias("__key"))
     f = folders.select("folder", match_key(F.element_at(F.split("folder", "/"), -1)).alias("__name"), match_key(F.col("folder")).alias("__path"))
-    both = p.join(F.broadcast(f), F.col("__path").contains(F.col("__key")) & (F.col("__key") != ""))
+    both = p.join(f, F.col("__path").contains(F.col("__key")) & (F.col("__key") != ""))
     tier = F.when(F.col("__name").contains(F.col("__key")), 1).otherwise(2)
     ranked = both.select("plate", "folder", tier.alias("tier"))
     best = F.min("tier").over(Window.partitionBy("plate"))
@@ -194,12 +194,14 @@ def knn_edges(queries: DataFrame, reference: DataFrame, k: int, q_id: str = "id"
     meet by an equi-join, a tile is one matrix product, and each tile hands on k rows per query, so no task
     holds more than two blocks however large a group is.  All vectors have one length.
     """
-    n = blocks if keys else blocks or max(1, math.ceil(reference.count() / BLOCK))
+    n = blocks or (None if keys else max(1, math.ceil(reference.count() / BLOCK)))
     q, r = _blocks(queries, q_id, vec, keys, "q_", blocks), _blocks(reference, r_id, vec, keys, "r_", n)
-    if keys:
-        tiles = q.join(r, list(keys))
+    if n is None:  # each block of queries meets each of its group's blocks by their numbers
+        q = q.join(reference.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("__n")), list(keys))
     else:
-        tiles = q.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(r, F.col("__at") == F.col("r_block"))
+        q = q.withColumn("__n", F.lit(n))
+    q = q.withColumn("r_block", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))))
+    tiles = q.join(r, [*keys, "r_block"])
     kinds = {f.name: f.dataType for f in tiles.schema}
     want = T.StructType([*[T.StructField(c, kinds[c]) for c in keys], T.StructField("src", kinds["q_ids"].elementType), T.StructField("dst", kinds["r_ids"].elementType), T.StructField("distance", T.DoubleType())])
     arrow = to_arrow_schema(want)
@@ -231,13 +233,14 @@ def knn_label_transfer(reference: DataFrame, target: DataFrame, label: str, k: i
     return best.select(F.col("src").alias(target_id), "label", "share")
 
 
-def cosine_pairs(wells: DataFrame, keys: Sequence[str] = ("plate",), id_col: str = "well", vec: str = "vec") -> DataFrame:
-    """keys, a, b, cosine of all pairs of different wells on a plate (a plate has at most 1,536)."""
+def cosine_neighbours(wells: DataFrame, k: int, keys: Sequence[str] = ("plate",), id_col: str = "well", vec: str = "vec") -> DataFrame:
+    """keys, a, b, cosine: the k most similar other wells of each, ties to the smaller id; wells without a length take no part."""
     v = F.col(vec).cast("array<double>")
-    unit = wells.select(*keys, F.col(id_col).alias("__id"), v.alias("__v"), F.sqrt(dot(v, v)).alias("__n")).where("__n > 0")
-    a = unit.select(*keys, F.col("__id").alias("a"), F.col("__v").alias("va"), F.col("__n").alias("na"))
-    b = unit.select(*keys, F.col("__id").alias("b"), F.col("__v").alias("vb"), F.col("__n").alias("nb"))
-    return a.join(b, list(keys)).where("a <> b").select(*keys, "a", "b", (dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).alias("cosine"))
+    norm = wells.select(*keys, F.col(id_col).alias("id"), v.alias("v"), F.sqrt(dot(v, v)).alias("n")).where("n > 0")
+    unit = norm.select(*keys, "id", F.transform("v", lambda x: x / F.col("n")).alias("vec"))
+    near = knn_edges(unit, unit, k, keys=keys, same=True)
+    # between unit vectors the squared distance is 2 - 2 cos
+    return near.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b"), (1.0 - F.col("distance") * F.col("distance") / 2.0).alias("cosine"))
 
 
 def pair_correlations(vectors: DataFrame, keys: Sequence[str] = ("object_id",), pixel: Sequence[str] = ("y", "x")) -> DataFrame:

@@ -6,6 +6,7 @@ keys are (plate, condition, feature) for ranks and (plate, feature) for spreads.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -70,12 +71,11 @@ def count_scores(wells: DataFrame) -> DataFrame:
     return w.select("plate", "well", F.when(F.col("__s") > 0, F.col("residual") / F.col("__s")).alias("count_z"))
 
 
-def top_features(scores: DataFrame, n: int = 3, keys: Sequence[str] = ("plate", "well")) -> DataFrame:
-    """keys, top_features: the n features with the largest |z|, ties by name, joined with their values."""
+def top_features(scores: DataFrame, n: int = 3, keys: Sequence[str] = ("plate", "well"), form: str = "%s (d=%+.2f)", show: str = "delta") -> DataFrame:
+    """keys, top_features: the n features with the largest |z|, ties by name, each with its ``show`` value."""
     w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("z")), "feature")
     best = scores.where("z IS NOT NULL").withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
-    text = F.format_string("%s (%+.2f)", F.col("feature"), F.col("z"))
-    rows = F.array_sort(F.collect_list(F.struct("r", text.alias("t"))))
+    rows = F.array_sort(F.collect_list(F.struct("r", F.format_string(form, F.col("feature"), F.col(show)).alias("t"))))
     return best.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda s: s["t"]), ", ").alias("top_features"))
 
 
@@ -85,16 +85,16 @@ def well_flags(long: DataFrame, wells: DataFrame, z_threshold: float = 3.5, anom
     if intensity is None:
         intensity = F.col("feature").endswith("_mean") & ~F.col("feature").endswith("_T_mean")
     drop = intensity & (F.col("z") <= -z_threshold) & (F.col("delta") <= -dropout_delta)
-    per = scores.groupBy("plate", "well").agg(F.count("z").alias("features_assessed"), F.count_if(F.abs("z") >= z_threshold).alias("deviating"), F.array_join(F.array_sort(F.collect_set(F.when(drop, F.col("feature")))), ", ").alias("stain_dropout"))
+    per = scores.groupBy("plate", "well").agg(F.count("z").alias("features_assessed"), F.count_if(F.abs("z") >= z_threshold).alias("deviating"), F.array_join(F.array_sort(F.collect_set(F.when(drop, F.format_string("%s (d=%+.2f)", F.col("feature"), F.col("delta"))))), ", ").alias("stain_dropout"))
     out = wells.join(count_scores(wells), ["plate", "well"], "left").join(per, ["plate", "well"], "left").join(top_features(scores), ["plate", "well"], "left")
     share = F.when(F.col("features_assessed") > 0, F.col("deviating") / F.col("features_assessed"))
     out = out.withColumn("deviating_fraction", share)
     reasons = F.concat_ws(
         "; ",
         F.when(F.col("n_organoids") == 0, "no organoids"),
-        F.when(F.abs("count_z") >= z_threshold, "count"),
+        F.when(F.abs("count_z") >= z_threshold, F.format_string("%s organoid count (z=%+.1f)", F.when(F.col("count_z") < 0, "low").otherwise("high"), F.col("count_z"))),
         F.when(F.coalesce(F.col("stain_dropout"), F.lit("")) != "", F.concat(F.lit("stain dropout: "), F.col("stain_dropout"))),
-        F.when(F.col("deviating_fraction") >= anomaly_fraction, "deviating features"),
+        F.when(F.col("deviating_fraction") >= anomaly_fraction, F.format_string("deviates in %d%% of features, most: %s", F.bround(100 * F.col("deviating_fraction")).cast("int"), F.coalesce("top_features", F.lit("")))),
     )
     return out.select("plate", "well", "condition", "control", "n_organoids", "n_measured", "count_z", F.coalesce("features_assessed", F.lit(0)).alias("features_assessed"), "deviating_fraction", F.coalesce("stain_dropout", F.lit("")).alias("stain_dropout"), F.coalesce("top_features", F.lit("")).alias("top_features"), (reasons != "").alias("flagged"), reasons.alias("reasons"))
 
@@ -108,18 +108,30 @@ def mark_flagged(objects: DataFrame, flags: DataFrame, remove: bool = False) ->
     return out.withColumn("well_qc_pass", F.col("__bad").isNull()).drop("__bad")
 
 
-def well_geometry(wells: DataFrame) -> DataFrame:
+def well_geometry(wells: DataFrame, plate_format: int | None = None) -> DataFrame:
     """plate, well, row, col, rows, cols, row_pos, col_pos, ring of used wells.
 
-    ``ring`` wells have a side next to the outside: unused places that reach the edge of the plate.  Plates
-    have at most 1,536 places, so each is flooded by one small task.
+    All plates have one shape: that of ``plate_format``, else the smallest usual one that holds all wells, else
+    the used rows and columns.  Wells without a readable name, or beyond the format, are an error.  ``ring``
+    wells have a side next to the outside: unused places that reach the edge of the plate.  Plates have at
+    most 1,536 places, so each is flooded by one small task.
     """
-    used = wells.select("plate", "well", well_row(F.col("well")).alias("row"), well_col(F.col("well")).alias("col")).where("row IS NOT NULL").distinct()
+    if plate_format is not None and plate_format not in PLATE_SHAPES:
+        raise ValueError(f"plate_format is one of {list(PLATE_SHAPES)}, not {plate_format}")
+    used = wells.select("plate", "well").distinct().select("plate", "well", well_row(F.col("well")).alias("row"), well_col(F.col("well")).alias("col"))
+    if bad := [r["well"] for r in used.where("row IS NULL OR col IS NULL").select("well").limit(5).collect()]:
+        raise ValueError(f"wells without a readable name: {bad}")
+    top = used.agg(F.max("row"), F.max("col")).first()
+    high, wide = (top[0] or 0) + 1, (top[1] or 0) + 1
+    if plate_format is not None:
+        rows, cols = PLATE_SHAPES[plate_format]
+        if high > rows or wide > cols:
+            raise ValueError(f"{high} rows and {wide} columns do not fit a plate of {plate_format} wells")
+    else:
+        rows, cols = next((s for _, s in sorted(PLATE_SHAPES.items()) if s[0] >= high and s[1] >= wide), (high, wide))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        fits = [s for _, s in sorted(PLATE_SHAPES.items()) if s[0] > r.max() and s[1] > c.max()]
-        rows, cols = fits[0] if fits else (int(r.max()) + 1, int(c.max()) + 1)
         taken = np.zeros((rows + 2, cols + 2), dtype=bool)
         taken[r + 1, c + 1] = True
         outside = np.zeros_like(taken)
@@ -277,25 +289,39 @@ def profile_vectors(profiles: DataFrame) -> DataFrame:
     return out
 
 
+def _mean_vectors(vectors: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """keys, ``name`` (mean vector), ``name``_n (rows) of each group."""
+    long = vectors.select(*keys, F.posexplode("vec").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+    means = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
+    return long.groupBy(*keys).agg(means.alias(name), F.max("n").alias(f"{name}_n"))
+
+
 def centre_by_plate(vectors: DataFrame, where: Column | None = None) -> DataFrame:
     """``vec`` minus the plate's mean vector (of the rows where ``where`` holds); plates without such rows are dropped."""
-    long = vectors.select("plate", "well", F.posexplode("vec").alias("i", "x"), (where if where is not None else F.lit(True)).alias("use"))
-    mean = long.where("use").groupBy("plate", "i").agg(F.avg("x").alias("m"))
-    rows = long.join(mean, ["plate", "i"]).groupBy("plate", "well").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("x") - F.col("m")).alias("x")))), lambda s: s["x"]).alias("vec"))
-    return vectors.drop("vec").join(rows, ["plate", "well"])
+    mean = _mean_vectors(vectors if where is None else vectors.where(where), ["plate"], "__mean")
+    centred = F.zip_with("vec", "__mean", lambda x, m: x - m)
+    return vectors.join(mean, "plate").withColumn("vec", centred).select(*vectors.columns)
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
 
 
 def label_distances(vectors: DataFrame, min_own: int = 3, min_other: int = 2) -> DataFrame:
-    """plate, well, condition, d_own, d_other, closest: distances to the own (leave-one-out) and the nearest other condition's centroid."""
-    long = vectors.select("plate", "condition", "well", F.posexplode("vec").alias("i", "x"))
-    g = Window.partitionBy("plate", "condition", "i")
-    n = F.count("*").over(g)
-    own = long.withColumn("n", n).withColumn("loo", F.when(n >= min_own, (F.sum("x").over(g) - F.col("x")) / (n - 1)))
-    d_own = own.groupBy("plate", "condition", "well").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("loo"), 2))).alias("d_own"))
-    cent = long.groupBy("plate", F.col("condition").alias("other"), "i").agg(F.avg("x").alias("c"), F.count("*").alias("k")).where(F.col("k") >= min_other)
-    pairs = long.join(cent, ["plate", "i"]).where("condition <> other").groupBy("plate", "condition", "well", "other").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("c"), 2))).alias("d"))
-    near = pairs.groupBy("plate", "condition", "well").agg(F.min(F.struct("d", "other")).alias("m"))
-    return d_own.join(near, ["plate", "condition", "well"], "left").select("plate", "well", "condition", "d_own", F.col("m.d").alias("d_other"), F.col("m.other").alias("closest_other_condition"))
+    """plate, well, condition, d_own, d_other, closest: distances to the own (leave-one-out) and the nearest other condition's centroid.
+
+    Wells of a condition with fewer than ``min_own`` wells on the plate are not compared.  A plate has at most
+    1,536 wells, hence at most as many centroids, which each well meets as one list.
+    """
+    cent = _mean_vectors(vectors, ["plate", "condition"], "c")
+    lists = cent.groupBy("plate").agg(F.collect_list(F.struct("condition", "c", F.col("c_n").alias("n"))).alias("cents"))
+    own = vectors.join(cent, ["plate", "condition"]).join(lists, "plate")
+    n, ok = F.col("c_n"), F.col("c_n") >= min_own
+    loo = F.zip_with("c", "vec", lambda m, x: (m * n - x) / (n - 1))
+    others = F.filter("cents", lambda s: (s["condition"] != F.col("condition")) & (s["n"] >= min_other))
+    near = F.array_min(F.transform(others, lambda s: F.struct(_distance(F.col("vec"), s["c"]).alias("d"), s["condition"].alias("other"))))
+    out = own.select("plate", "well", "condition", F.when(ok, _distance(F.col("vec"), loo)).alias("d_own"), F.when(ok, near).alias("m"))
+    return out.select("plate", "well", "condition", "d_own", F.col("m.d").alias("d_other"), F.col("m.other").alias("closest_other_condition"))
 
 
 def label_consistency(vectors: DataFrame, z_threshold: float = 3.5, distance_threshold: float = 2.0, min_own: int = 3, min_other: int = 2) -> DataFrame:
@@ -308,62 +334,103 @@ def label_consistency(vectors: DataFrame, z_threshold: float = 3.5, distance_thr
     return d.select("plate", "well", "condition", "match_z", "distance_z", "closest_other_condition", closer.alias("closer_to_other"), flagged.alias("flagged"))
 
 
-def average_precisions(pairs: DataFrame, keys: Sequence[str] = ("plate",)) -> DataFrame:
-    """keys, a, ap: how early wells of the query's condition come among neighbours by cosine, controls else.
+def _precisions(unit: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Average precision of each row as a query for the other rows of its label (True), for each labelling (rows of ``labels``).
+
+    Other rows are ranked by cosine, ties in their order; rows without a length come last.  NaN where the
+    query's label is False or no other row has it.  Memory is that of the labellings, one query at a time.
+    """
+    n = len(unit)
+    out = np.full(labels.shape, np.nan)
+    ranks = np.arange(1, n, dtype=np.float64)
+    for i in range(n):
+        use = np.flatnonzero(labels[:, i])
+        if not len(use):
+            continue
+        near = np.where(np.isfinite(c := unit @ unit[i]), c, -np.inf)
+        order = np.argsort(-near, kind="stable")
+        hits = labels[np.ix_(use, order[order != i])]
+        total = hits.sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[use, i] = np.where(total > 0, (np.cumsum(hits, axis=1) / ranks * hits).sum(axis=1) / total, np.nan)
+    return out
+
+
+def relabelled(wells: Sequence[str], k: int, n: int, *salt: object) -> np.ndarray:
+    """n labellings (rows) that each give True to k of the wells: those of the smallest MD5 of salt, number and well."""
+    head = "|".join(map(str, salt))
+    out = np.zeros((n, len(wells)), dtype=bool)
+    for r in range(n):
+        digest = [hashlib.md5(f"{head}|{r}|{w}".encode()).digest() for w in wells]
+        out[r, sorted(range(len(wells)), key=digest.__getitem__)[:k]] = True
+    return out
+
+
+def activity_groups(vectors: DataFrame) -> DataFrame:
+    """plate, condition, wells, vecs, controls, control_vecs: a row for each condition on each plate that has controls.
 
-    pairs: keys, a, b, cosine, hit (b has a's condition).
+    A plate has at most 1,536 wells, which bounds a row.
     """
-    w = Window.partitionBy(*keys, "a").orderBy(F.desc("cosine"), "b")
-    ranked = pairs.withColumn("r", F.row_number().over(w)).withColumn("h", F.sum(F.col("hit").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.where("hit").groupBy(*keys, "a").agg(F.avg(F.col("h") / F.col("r")).alias("ap"))
+    rows = F.array_sort(F.collect_list(F.struct("well", "vec"))).alias("r")
+    own = vectors.where("NOT control").groupBy("plate", "condition").agg(rows)
+    own = own.select("plate", "condition", F.transform("r", lambda s: s["well"]).alias("wells"), F.transform("r", lambda s: s["vec"]).alias("vecs"))
+    ctrl = vectors.where("control").groupBy("plate").agg(rows)
+    return own.join(ctrl.select("plate", F.transform("r", lambda s: s["well"]).alias("controls"), F.transform("r", lambda s: s["vec"]).alias("control_vecs")), "plate")
+
+
+def _over_groups(vectors: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` (plate, condition, wells, unit vectors, number of own wells) of each condition on each plate; own wells stand first."""
 
+    def run(batches):
+        for pdf in batches:
+            for g in pdf.itertuples(index=False):
+                x = np.array([*map(list, g.vecs), *map(list, g.control_vecs)], dtype=float)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                yield pd.DataFrame(fn(g.plate, g.condition, [*map(str, g.wells), *map(str, g.controls)], unit, len(g.wells)), columns=names)
 
-def activity_pairs(vectors: DataFrame) -> DataFrame:
-    """plate, condition, a, b, cosine, hit: condition wells as queries against their own kind and controls."""
-    from .joins import dot
+    names = [part.split()[0] for part in schema.split(", ")]
+    groups = activity_groups(vectors).select("plate", "condition", "wells", "vecs", "controls", "control_vecs")
+    # a group's work grows with the square of its wells: groups are dealt over all tasks
+    return groups.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "plate", "condition").mapInPandas(run, schema)
 
-    v = vectors.select("plate", "well", "condition", "control", "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm")).where("norm > 0")
-    a = v.where("NOT control").select("plate", F.col("condition"), F.col("well").alias("a"), F.col("vec").alias("va"), F.col("norm").alias("na"))
-    b = v.select("plate", F.col("condition").alias("cb"), F.col("control").alias("kb"), F.col("well").alias("b"), F.col("vec").alias("vb"), F.col("norm").alias("nb"))
-    own = (F.col("cb") == F.col("condition")) & ~F.col("kb")
-    both = a.join(b, "plate").where((F.col("a") != F.col("b")) & (own | F.col("kb")))
-    return both.select("plate", "condition", "a", "b", (dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).alias("cosine"), own.alias("hit"))
+
+def average_precisions(vectors: DataFrame) -> DataFrame:
+    """plate, condition, well, ap: how early a well's own condition comes among neighbours by cosine, controls else."""
+
+    def one(plate, condition, wells, unit, k):
+        ap = _precisions(unit, np.arange(len(wells))[None, :] < k)[0, :k]
+        return [(plate, condition, w, float(v)) for w, v in zip(wells, ap) if not math.isnan(v)]
+
+    kinds = dict(vectors.dtypes)
+    return _over_groups(vectors, one, f"plate string, condition {kinds['condition']}, well string, ap double")
 
 
 def phenotypic_activity(vectors: DataFrame, n_permutations: int = 1000, seed: int = 0, level: float = 0.05, centred: bool = False) -> DataFrame:
     """condition, mAP, chance_mAP, chance_95, p, n_wells, n_plates, fdr, active: permutation test per condition.
 
-    Vectors are centred on the plate's controls unless they are ``centred``.  A group is one condition on one
-    plate; it hands on sums, which are added over plates in the JVM.
+    Vectors are centred on the plate's controls unless they are ``centred``.  The null relabels a condition's
+    wells and the plate's controls and takes the same mean over the same similarities, so wells that resemble
+    one another do so in it too.  A group is one condition on one plate, of two wells and one control at least;
+    it hands on sums, which are added over plates in the JVM.
     """
-    pairs = activity_pairs(vectors if centred else centre_by_plate(vectors, F.col("control")))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, plate = str(pdf["condition"].iloc[0]), str(pdf["plate"].iloc[0])
-        hits = pdf.groupby("a")["hit"].sum()
-        k, total = int(hits.iloc[0]), len(pdf) // len(hits)
-        if k < 1 or total <= k:
-            return pd.DataFrame([(name, plate, 0, 0.0, [])], columns=["condition", "plate", "n", "observed", "null"])
-        observed = 0.0
-        for _, q in pdf.sort_values(["a", "cosine", "b"], ascending=[True, False, True]).groupby("a", sort=True):
-            h = q["hit"].to_numpy()
-            observed += float((np.cumsum(h)[h] / (np.flatnonzero(h) + 1)).mean())
-        # a random set of k places for each query and permutation, one query at a time
-        rng = np.random.default_rng([seed, *name.encode(), 0, *plate.encode()])
-        null = np.zeros(n_permutations)
-        for _ in range(len(hits)):
-            places = np.sort(np.argpartition(rng.random((n_permutations, total)), k - 1, axis=1)[:, :k], axis=1) + 1
-            null += (np.arange(1, k + 1) / places).mean(axis=1)
-        return pd.DataFrame([(name, plate, len(hits), observed, null.tolist())], columns=["condition", "plate", "n", "observed", "null"])
-
-    kinds = dict(pairs.dtypes)
-    parts = pairs.groupBy("condition", "plate").applyInPandas(one, "condition string, plate string, n long, observed double, null array<double>")
+    def one(plate, condition, wells, unit, k):
+        if k < 2:
+            return []
+        own = np.arange(len(wells))[None, :] < k
+        ap = _precisions(unit, own)
+        null = _precisions(unit, relabelled(wells, k, n_permutations, seed, plate, condition))
+        return [(condition, plate, k, int((~np.isnan(ap)).sum()), float(np.nansum(ap)), np.nansum(null, axis=1).tolist(), (~np.isnan(null)).sum(axis=1).tolist())]
+
+    kind = dict(vectors.dtypes)["condition"]
+    parts = _over_groups(vectors if centred else centre_by_plate(vectors, F.col("control")), one, f"condition {kind}, plate string, wells long, n long, observed double, null array<double>, null_n array<long>")
     parts = materialize(parts, "activity")
-    total = parts.groupBy("condition").agg(F.sum("n").alias("n_wells"), F.count_if(F.col("n") > 0).alias("n_plates"), F.try_divide(F.sum("observed"), F.sum("n")).alias("mAP"))
-    drawn = parts.select("condition", F.posexplode("null").alias("i", "v")).groupBy("condition", "i").agg(F.sum("v").alias("v"))
-    drawn = drawn.join(total, "condition").withColumn("m", F.col("v") / F.col("n_wells"))
-    null = drawn.groupBy("condition").agg(F.avg("m").alias("chance_mAP"), F.percentile("m", 0.95).alias("chance_95"), ((1 + F.count_if(F.col("m") >= F.col("mAP"))) / (1 + F.count("*"))).alias("p"))
-    out = total.join(null, "condition", "left").select(F.col("condition").cast(kinds["condition"]).alias("condition"), "mAP", "chance_mAP", "chance_95", "p", "n_wells", "n_plates")
+    total = parts.groupBy("condition").agg(F.sum("wells").alias("n_wells"), F.count("*").alias("n_plates"), F.try_divide(F.sum("observed"), F.sum("n")).alias("mAP"))
+    drawn = parts.select("condition", F.posexplode(F.arrays_zip("null", "null_n")).alias("i", "v")).groupBy("condition", "i").agg(F.try_divide(F.sum("v.null"), F.sum("v.null_n")).alias("m"))
+    drawn = drawn.join(total.select("condition", "mAP"), "condition")
+    null = drawn.groupBy("condition").agg(F.avg("m").alias("chance_mAP"), F.percentile("m", 0.95).alias("chance_95"), ((1 + F.count_if(F.col("m") >= F.col("mAP") - 1e-12)) / (1 + F.count("*"))).alias("p"))
+    out = total.join(null, "condition", "left").select("condition", "mAP", "chance_mAP", "chance_95", "p", "n_wells", "n_plates")
     return bh_fdr(out, "p").withColumn("active", F.coalesce(F.col("fdr") < level, F.lit(False)))
 
 

@@ -83,12 +83,11 @@ def cut_objects_by_border(spark, sf_dir):
     return cut.groupBy("plate").agg(F.count("*").alias("n_cut"), F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reasons"))
 
 
-@query("""SELECT t.plate, u.well, count(e.object_id) AS organoid_no, CAST(20 AS BIGINT) AS cells_seeded, round(count(e.object_id) * 100.0 / 20, 6) AS pct_outgrowth
-  FROM (SELECT DISTINCT plate FROM ev) t CROSS JOIN (SELECT DISTINCT well FROM ev) u LEFT JOIN ev e ON e.plate = t.plate AND e.well = u.well AND e.value >= 20 GROUP BY t.plate, u.well""", EV)
+@query("""SELECT t.plate, t.well, count(e.object_id) AS organoid_no, CAST(20 AS BIGINT) AS cells_seeded, round(count(e.object_id) * 100.0 / 20, 6) AS pct_outgrowth
+  FROM (SELECT DISTINCT plate, well FROM ev) t LEFT JOIN ev e ON e.plate = t.plate AND e.well = t.well AND e.value >= 20 GROUP BY t.plate, t.well""", EV)
 def outgrowth_with_empty_wells(spark, sf_dir):
     e = views.long_ev(spark, sf_dir)
-    plates = e.select("plate").distinct().agg(F.collect_list("plate").alias("p"))  # plates of a screen
-    layout = e.select("well").distinct().join(F.broadcast(plates)).select("well", F.explode("p").alias("plate"))
+    layout = e.select("well", "plate").distinct()
     out = filters.outgrowth(e.where("value >= 20"), layout, 20, keys=("well", "plate"))
     return rounded(out)
 
@@ -268,12 +267,19 @@ def knn_label_transfer(spark, sf_dir):
     return rounded(joins.knn_label_transfer(v.where("id % 2 = 0"), v.where("id % 2 = 1"), "label"))
 
 
+def _plated(spark, sf_dir):
+    """Vectors as wells: every 384 are a plate, label groups are conditions and label 0 is the control."""
+    v = views.vectors(spark, sf_dir)
+    return v.select(F.floor(F.col("id") / 384).cast("string").alias("plate"), F.col("id").alias("well"), F.col("label").alias("condition"), (F.col("label") == 0).alias("control"), "vec")
+
+
+PLATED = VEC + ", plated AS (SELECT *, CAST(id // 384 AS VARCHAR) AS plate FROM vec)"
+
+
 @query("""SELECT plate, a, b, round(cosine, 6) AS cosine FROM (
-    SELECT x.label AS plate, x.id AS a, y.id AS b, list_cosine_similarity(x.vec, y.vec) AS cosine, row_number() OVER (PARTITION BY x.id ORDER BY list_cosine_similarity(x.vec, y.vec) DESC, y.id) AS r FROM vec x JOIN vec y ON x.label = y.label AND x.id <> y.id) WHERE r <= 3""", VEC)
+    SELECT x.plate, x.id AS a, y.id AS b, list_cosine_similarity(x.vec, y.vec) AS cosine, row_number() OVER (PARTITION BY x.id ORDER BY list_cosine_similarity(x.vec, y.vec) DESC, y.id) AS r FROM plated x JOIN plated y ON x.plate = y.plate AND x.id <> y.id) WHERE r <= 3""", PLATED)
 def cosine_topk(spark, sf_dir):
-    pairs = joins.cosine_pairs(views.vectors(spark, sf_dir).select(F.col("label").alias("plate"), F.col("id").alias("well"), "vec"))
-    w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return rounded(pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r"))
+    return rounded(joins.cosine_neighbours(_plated(spark, sf_dir), 3))
 
 
 @query("""SELECT object_id, a, b, CASE WHEN stddev_pop(va) > 0 AND stddev_pop(vb) > 0 THEN round(corr(va, vb), 6) END AS r, a || '--' || b || '_PearsonR' AS feature FROM (
@@ -324,12 +330,13 @@ def count_z(spark, sf_dir):
 
 
 @query("""SELECT w.plate, w.well, w.condition, w.condition = 'AFRICA' AS control, w.n AS n_organoids, CASE WHEN rs.s > 0 THEN round(rs.residual / rs.s, 6) + 0.0 END AS count_z, coalesce(f.assessed, 0) AS features_assessed,
-    round(f.deviating / nullif(f.assessed, 0), 6) AS deviating_fraction, concat_ws('; ', CASE WHEN abs(CASE WHEN rs.s > 0 THEN rs.residual / rs.s END) >= 1.5 THEN 'count' END, CASE WHEN f.deviating / nullif(f.assessed, 0) >= 0.1 THEN 'deviating features' END) AS reasons
-  FROM wells w LEFT JOIN rs ON w.plate = rs.plate AND w.well = rs.well LEFT JOIN (SELECT plate, well, count(z) AS assessed, count_if(abs(z) >= 1.5) AS deviating FROM scores GROUP BY 1, 2) f ON w.plate = f.plate AND w.well = f.well""", DELTAS + ", " + COUNTS.format(src="obj"))
+    round(f.deviating / nullif(f.assessed, 0), 6) AS deviating_fraction, concat_ws('; ', CASE WHEN abs(CASE WHEN rs.s > 0 THEN rs.residual / rs.s END) >= 1.5 THEN CASE WHEN rs.residual < 0 THEN 'low' ELSE 'high' END || ' organoid count' END, CASE WHEN f.deviating / nullif(f.assessed, 0) >= 0.1 THEN 'deviates in ' || CAST(round_even(100 * f.deviating / f.assessed, 0) AS INTEGER) || '% of features, most: ' || f.top END) AS reasons
+  FROM wells w LEFT JOIN rs ON w.plate = rs.plate AND w.well = rs.well LEFT JOIN (SELECT plate, well, count(z) AS assessed, count_if(abs(z) >= 1.5) AS deviating, string_agg(feature, ', ' ORDER BY abs(z) DESC, feature) FILTER (r <= 3) AS top FROM (SELECT *, row_number() OVER (PARTITION BY plate, well ORDER BY abs(z) DESC NULLS LAST, feature) AS r FROM scores) WHERE z IS NOT NULL GROUP BY 1, 2) f ON w.plate = f.plate AND w.well = f.well""", DELTAS + ", " + COUNTS.format(src="obj"))
 def well_flags(spark, sf_dir):
     long = views.long_li(spark, sf_dir)
     wells = quality.well_table(long.where(F.col("feature") == FEATURES[0]))
     flags = quality.well_flags(long, wells, z_threshold=1.5)
+    flags = flags.withColumn("reasons", F.regexp_replace("reasons", r" \([^)]*\)", ""))  # their last digits may round either way
     return rounded(flags.select("plate", "well", "condition", "control", "n_organoids", "count_z", "features_assessed", "deviating_fraction", "reasons"))
 
 
@@ -517,7 +524,16 @@ def icc_well_effect(spark, sf_dir):
     return rounded(selection.well_effect(views.long_li(spark, sf_dir)))
 
 
-@query()
+def _half(src: str, splits: int = 20) -> str:
+    return f""", hw AS (SELECT feature, plate, condition, well, avg(value) AS v FROM {src} WHERE value IS NOT NULL GROUP BY ALL),
+ hk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS every FROM (SELECT *, count(*) OVER (PARTITION BY feature, plate, condition) AS k FROM hw) WHERE k >= 2) WHERE every >= 6),
+ hs AS (SELECT feature, split, plate, condition, v, row_number() OVER (PARTITION BY feature, split, plate, condition ORDER BY md5('0|' || split || '|' || plate || '|' || well)) % 2 AS half FROM hk CROSS JOIN (SELECT unnest(range({splits})) AS split)),
+ hm AS (SELECT feature, split, plate, condition, avg(v) FILTER (half = 0) AS a, avg(v) FILTER (half = 1) AS b FROM hs GROUP BY ALL),
+ hc AS (SELECT feature, split, a - avg(a) OVER (PARTITION BY feature, split, plate) AS a, b - avg(b) OVER (PARTITION BY feature, split, plate) AS b FROM hm),
+ rel AS (SELECT feature, 2 * avg(r) / (1 + avg(r)) AS reliability FROM (SELECT feature, split, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS r FROM hc GROUP BY ALL) GROUP BY feature)"""
+
+
+@query("SELECT feature, round(reliability, 6) + 0.0 AS reliability FROM rel", LONG + _half("long"))
 def split_half_reliability(spark, sf_dir):
     return rounded(selection.split_half_reliability(views.long_li(spark, sf_dir)))
 
@@ -536,11 +552,11 @@ def bh_fdr(spark, sf_dir):
     return rounded(stats.bh_fdr(s, "p"))
 
 
-@query("""SELECT label, a, round(avg(h / r), 6) AS ap FROM (SELECT *, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY a ORDER BY r) AS h FROM (
-    SELECT x.label, x.id AS a, x.label = y.label AS hit, row_number() OVER (PARTITION BY x.id ORDER BY list_cosine_similarity(x.vec, y.vec) DESC, y.id) AS r FROM vec x JOIN vec y ON x.id <> y.id WHERE x.label > 0 AND (y.label = x.label OR y.label = 0))) WHERE hit GROUP BY 1, 2""", VEC)
+@query("""SELECT plate, condition, well, round(avg(h / r), 6) AS ap FROM (SELECT *, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY well ORDER BY r) AS h FROM (
+    SELECT x.plate, x.label AS condition, CAST(x.id AS VARCHAR) AS well, x.label = y.label AS hit, row_number() OVER (PARTITION BY x.id ORDER BY list_cosine_similarity(x.vec, y.vec) DESC, y.id) AS r
+    FROM plated x JOIN plated y ON x.plate = y.plate AND x.id <> y.id WHERE x.label > 0 AND (y.label = x.label OR y.label = 0) AND x.plate IN (SELECT plate FROM plated WHERE label = 0))) WHERE hit GROUP BY 1, 2, 3""", PLATED)
 def average_precision(spark, sf_dir):
-    v = views.vectors(spark, sf_dir).select(F.lit("P").alias("plate"), F.col("id").alias("well"), F.col("label").alias("condition"), (F.col("label") == 0).alias("control"), "vec")
-    return rounded(quality.average_precisions(quality.activity_pairs(v), ("condition",)).withColumnRenamed("condition", "label"))
+    return rounded(quality.average_precisions(_plated(spark, sf_dir)))
 
 
 LABELS = VEC + """, lv AS (SELECT label, id, unnest(range(64)) AS i, unnest(vec) AS x FROM vec),
@@ -563,12 +579,6 @@ def label_consistency(spark, sf_dir):
     return rounded(quality.label_consistency(v))
 
 
-@query()
-def phenotypic_activity(spark, sf_dir):
-    vec = quality.profile_vectors(quality.well_profiles(views.long_li(spark, sf_dir)))
-    return rounded(quality.phenotypic_activity(vec))
-
-
 @query("""SELECT feature, round(b.control, 6) AS control_before, round(b.others, 6) AS others_before, round(a.others, 6) AS others_after, b.plates, b.shared AS n_shared_conditions FROM (SELECT feature, sum(eta2 * n) FILTER (own) / sum(n) FILTER (own AND eta2 IS NOT NULL) AS control, sum(eta2 * n) FILTER (NOT own) / sum(n) FILTER (NOT own AND eta2 IS NOT NULL) AS others, max(np) AS plates, count(DISTINCT condition) FILTER (NOT own) AS shared FROM eb GROUP BY 1) b
   JOIN (SELECT feature, sum(eta2 * n) FILTER (NOT own) / sum(n) FILTER (NOT own AND eta2 IS NOT NULL) AS others FROM ea GROUP BY 1) a USING (feature)""", FIT + "".join(f""",
  {k}q AS (SELECT *, quantile_cont({c}, 0.2) OVER (PARTITION BY plate, well, feature) AS lo, quantile_cont({c}, 0.8) OVER (PARTITION BY plate, well, feature) AS hi FROM scaled),
@@ -593,10 +603,60 @@ def mode_fraction(spark, sf_dir):
     return rounded(selection.mode_fraction(views.long_li(spark, sf_dir)))
 
 
-@query()
-def select_features(spark, sf_dir):
+ACTIVITY = PROFILES + """, pc AS (SELECT *, profile - avg(profile) FILTER (control) OVER (PARTITION BY plate, feature) AS x FROM prof),
+ pv AS (SELECT plate, well, min(condition) AS condition, bool_or(control) AS control, list(x ORDER BY feature) AS vec FROM pc GROUP BY 1, 2),
+ gr AS (SELECT plate, condition FROM pv WHERE NOT control GROUP BY 1, 2 HAVING count(*) >= 2),
+ mem AS (SELECT g.plate, g.condition, v.well, v.vec, NOT v.control AS own FROM gr g JOIN pv v ON v.plate = g.plate AND (v.control OR v.condition = g.condition)),
+ siz AS (SELECT plate, condition, count_if(own) AS k FROM mem GROUP BY 1, 2),
+ lab AS (SELECT plate, condition, well, -1 AS r, own FROM mem UNION ALL
+   SELECT plate, condition, well, r, row_number() OVER (PARTITION BY plate, condition, r ORDER BY md5('0|' || plate || '|' || condition || '|' || r || '|' || well)) <= k FROM (SELECT plate, condition, well, k, unnest(range(1000)) AS r FROM mem JOIN siz USING (plate, condition))),
+ ord AS (SELECT a.plate, a.condition, a.well AS a, b.well AS b, row_number() OVER (PARTITION BY a.plate, a.condition, a.well ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.own DESC, b.well) AS pos FROM mem a JOIN mem b ON a.plate = b.plate AND a.condition = b.condition AND a.well <> b.well),
+ hit AS (SELECT o.plate, o.condition, x.r, o.a, o.pos, row_number() OVER (PARTITION BY o.plate, o.condition, x.r, o.a ORDER BY o.pos) AS h FROM ord o JOIN lab x ON x.own AND x.plate = o.plate AND x.condition = o.condition AND x.well = o.a JOIN lab y ON y.own AND y.plate = o.plate AND y.condition = o.condition AND y.well = o.b AND y.r = x.r),
+ aps AS (SELECT plate, condition, r, a, avg(h / pos) AS ap FROM hit GROUP BY ALL),
+ map AS (SELECT condition, r, sum(ap) / count(*) AS m FROM aps GROUP BY ALL),
+ act AS (SELECT condition, m AS observed, (SELECT count(*) FROM mem w WHERE w.own AND w.condition = o.condition) AS n_wells, (SELECT count(*) FROM gr WHERE gr.condition = o.condition) AS n_plates FROM map o WHERE r = -1),
+ nul AS (SELECT condition, avg(m) AS chance, quantile_cont(m, 0.95) AS chance_95, (1 + count_if(m >= observed - 1e-12)) / (1 + count(*)) AS p FROM map JOIN act USING (condition) WHERE r >= 0 GROUP BY 1),
+ fd AS (SELECT *, least(1.0, min(q) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS fdr FROM (SELECT *, p * count(*) OVER () / max(i) OVER (PARTITION BY p) AS q FROM (SELECT *, row_number() OVER (ORDER BY p) AS i FROM act JOIN nul USING (condition))))"""
+
+
+@query('SELECT condition, round(observed, 6) AS "mAP", round(chance, 6) AS "chance_mAP", round(chance_95, 6) AS chance_95, round(p, 6) AS p, n_wells, n_plates, round(fdr, 6) AS fdr, fdr < 0.05 AS active FROM fd', ACTIVITY)
+def phenotypic_activity(spark, sf_dir):
+    vec = quality.profile_vectors(quality.well_profiles(views.long_li(spark, sf_dir)))
+    return rounded(quality.phenotypic_activity(vec))
+
+
+def _objects_long(spark, sf_dir):
     o = views.objects_li(spark, sf_dir)
-    return rounded(selection.select_features(views.melt(o), o, drop_names=("tax",)))
+    return views.melt(o.withColumn("object_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), keep=("object_id", "plate", "well", "condition"))
+
+
+_P = "(rank() OVER (PARTITION BY {0}, feature ORDER BY value) + (count(*) OVER (PARTITION BY {0}, feature, value) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY {0}, feature)"
+#: Statistics of the features that no early reason drops; the redundancy pass is written out for the three of them.
+SELECTION = OBJ + ", flong AS (" + " UNION ALL ".join(f"SELECT l_orderkey * 10 + l_linenumber AS id, plate, well, condition, '{f}' AS feature, {f} AS value FROM obj" for f in FEATURES if f != "l_tax") + f"""),
+ fp AS (SELECT *, {_P.format("plate, condition")} AS pw, {_P.format("plate")} AS pp FROM flong), fz AS (SELECT *, {stats.normal_ppf_sql("pw")} AS zw, {stats.normal_ppf_sql("pp")} AS value_p FROM fp),
+ fscore AS (SELECT feature, plate, condition, well, value_p AS value FROM fz),
+ icc AS (SELECT feature, CASE WHEN (msb - msw) / (msb + (n / wells - 1.0) * msw) > 0 THEN (msb - msw) / (msb + (n / wells - 1.0) * msw) ELSE 0.0 END AS well_effect FROM (
+    SELECT feature, ssb / nullif(wells - groups, 0) AS msb, ssw / nullif(n - wells, 0) AS msw, n, wells FROM (SELECT feature, sum(k * pow(m - gm, 2)) AS ssb, sum(ss - k * m * m) AS ssw, sum(k) AS n, count(*) AS wells, count(DISTINCT plate || condition) AS groups FROM (
+      SELECT *, sum(s) OVER (PARTITION BY feature, plate, condition) / sum(k) OVER (PARTITION BY feature, plate, condition) AS gm, s / k AS m FROM (SELECT feature, plate, condition, well, count(*) AS k, sum(zw) AS s, sum(zw * zw) AS ss FROM fz GROUP BY 1, 2, 3, 4)) GROUP BY feature)))""" + _half("fscore") + """,
+ md AS (SELECT feature, max(n) / sum(n) AS mode_fraction FROM (SELECT feature, value, count(*) AS n FROM flong GROUP BY 1, 2 UNION ALL SELECT 'l_tax', l_tax, count(*) FROM obj GROUP BY 2) GROUP BY feature),
+ st AS (SELECT *, CASE WHEN mode_fraction > 0.95 THEN 'near-constant' WHEN well_effect > {effect} THEN 'well effect' WHEN reliability < {reliable} THEN 'not reproducible' END AS early FROM md JOIN icc USING (feature) JOIN rel USING (feature)),
+ rk AS (SELECT *, row_number() OVER (ORDER BY reliability DESC NULLS LAST, feature) AS o FROM st WHERE early IS NULL),
+ cr AS (SELECT a.feature AS f, b.feature AS g, abs(corr(a.value_p, b.value_p)) AS c FROM fz a JOIN fz b ON a.id = b.id AND a.feature <> b.feature GROUP BY 1, 2),
+ d2 AS (SELECT x.feature, y.feature AS kept FROM rk x JOIN rk y ON x.o = 2 AND y.o = 1 JOIN cr ON f = x.feature AND g = y.feature AND c > 0.9),
+ d3 AS (SELECT x.feature, arg_max(y.feature, c) AS kept FROM rk x JOIN rk y ON x.o = 3 AND y.o < 3 AND y.feature NOT IN (SELECT feature FROM d2) JOIN cr ON f = x.feature AND g = y.feature AND c > 0.9 GROUP BY 1),
+ sel AS (SELECT feature, CASE WHEN early IS NOT NULL THEN early WHEN kept IS NOT NULL THEN 'redundant with ' || kept ELSE 'kept' END AS reason, mode_fraction, well_effect, reliability FROM st LEFT JOIN (FROM d2 UNION ALL FROM d3) USING (feature)
+   UNION ALL SELECT feature, 'removed by name', mode_fraction, NULL, NULL FROM md WHERE feature = 'l_tax')"""
+_SELECTED = "SELECT feature, reason, round(mode_fraction, 6) AS mode_fraction, round(well_effect, 6) + 0.0 AS well_effect, round(reliability, 6) + 0.0 AS reliability FROM sel"
+
+
+@query(_SELECTED, SELECTION.format(effect=0.3, reliable=0.2))
+def select_features(spark, sf_dir):
+    return rounded(selection.select_features(_objects_long(spark, sf_dir), drop_names=("tax",)))
+
+
+@query(_SELECTED, SELECTION.format(effect=0.3, reliable=-1e9))
+def select_features_any_reliability(spark, sf_dir):
+    return rounded(selection.select_features(_objects_long(spark, sf_dir), drop_names=("tax",), min_reliability=None))
 
 
 # -- vectors, sampling ------------------------------------------------------------------------------------

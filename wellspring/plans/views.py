@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def objects_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide objects: plate, well, layout columns, condition, is_control, box, four features."""
     li, s, n, r = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
-    dims = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])  # 25 nations, 5 regions
+    dims = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])  # 25 nations, 5 regions
     dims = dims.select("s_suppkey", F.col("r_name").alias("medium"), F.col("n_name").alias("cell_line"))
     o = li.join(dims, li["l_suppkey"] == dims["s_suppkey"])
     key = F.col("l_suppkey")
