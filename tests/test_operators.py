@@ -408,6 +408,18 @@ def test_layouts_keep_blobs_apart(spark, blobs):
     assert np.abs(np.stack(moved.x_emb) - np.stack(truth.vec)).mean() < 0.5
 
 
+def test_layouts_cover_every_row(blobs):
+    n = blobs.count()
+    whole = embedding.sweep(blobs, embedding.umap, "x_umap", [{"n_neighbors": 10, "epochs": 30}, {"n_neighbors": 5, "epochs": 30}], 10_000)
+    assert whole.count() == 2 * n and whole.where("last").select("settings").distinct().first()[0] == "n_neighbors=5, epochs=30"
+    part = embedding.laid_out(blobs, embedding.diffusion_map, "x_diffmap", n // 2, n_comps=2, k=10)
+    assert part.count() == n == part.select("id").distinct().count() and part.where("size(x_diffmap) <> 2").isEmpty()
+    with pytest.raises(ValueError):
+        embedding.sweep(blobs, embedding.umap, "x_umap", [], 100)
+    got = embedding.kmeans_sweep(blobs, [2, 3], starts=2)
+    assert got.select("cluster_k2").distinct().count() == 2 and got.where("cluster <> cluster_k3").isEmpty() and got.select("cluster").distinct().count() == 3
+
+
 def test_lineages(blobs):
     df = blobs.withColumnRenamed("truth", "cluster")
     assert {frozenset(e[:2]) for e in embedding.cluster_tree(df)} == {frozenset("01"), frozenset("12")}

@@ -1,5 +1,6 @@
 """Readers, writers and streams."""
 
+import gzip
 import json
 import os
 import zipfile
@@ -7,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from wellspring.sources import plates, tables
@@ -124,10 +126,32 @@ def zarr_array(path, data, chunks, codec):
         cut = data[tuple(slice(a * c, a * c + c) for a, c in zip(i, chunks))]
         part[tuple(slice(0, n) for n in cut.shape)] = cut
         with open(f"{path}/" + ".".join(map(str, i)), "wb") as f:
-            f.write(zlib.compress(part.tobytes()) if codec else part.tobytes())
+            f.write({None: bytes, "blosc": bytes, "zlib": zlib.compress, "gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress}[codec](part.tobytes()))
 
 
-@pytest.mark.parametrize("codec", [None, "zlib"])
+def zarr_array_3(path, data, chunks, codec):
+    """The same array as version 3 stores it."""
+    zarr_array(path, data, chunks, codec)
+    os.remove(f"{path}/.zarray")
+    codecs = [{"name": "bytes", "configuration": {"endian": "little"}}] + ([{"name": codec}] if codec else [])
+    meta = {"zarr_format": 3, "node_type": "array", "shape": data.shape, "data_type": "uint16", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunks}}, "chunk_key_encoding": {"name": "default"}, "codecs": codecs, "fill_value": 0}
+    with open(f"{path}/zarr.json", "w") as f:
+        json.dump(meta, f)
+    for name in [n for n in os.listdir(path) if n[0].isdigit()]:
+        to = f"{path}/c/" + name.replace(".", "/")
+        os.makedirs(os.path.dirname(to), exist_ok=True)
+        os.rename(f"{path}/{name}", to)
+
+
+@pytest.mark.parametrize("codec", [None, "gzip", "zstd"])
+def test_zarr_3(spark, tmp_path, codec):
+    img = np.arange(2 * 1 * 7 * 9, dtype="<u2").reshape(2, 1, 7, 9)
+    zarr_array_3(f"{tmp_path}/a", img, (1, 1, 4, 4), codec)
+    crop = tables.crop_pixels(spark, f"{tmp_path}/a", 2, 3, 2, 2, pad=1, channel=1)
+    assert {(r["y"], r["x"]): r["value"] for r in crop.collect()} == {(y, x): float(img[1, 0, y, x]) for y in range(1, 5) for x in range(2, 6)}
+
+
+@pytest.mark.parametrize("codec", [None, "zlib", "gzip", "zstd"])
 def test_zarr(spark, tmp_path, codec):
     img = np.arange(2 * 1 * 7 * 9, dtype="<u2").reshape(2, 1, 7, 9)
     zarr_array(f"{tmp_path}/a", img, (1, 1, 4, 4), codec)
@@ -148,6 +172,15 @@ def test_roi_scan(spark, tmp_path):
     layout = spark.createDataFrame([("P", "A01", "m", "ab", "c", "o")], "plate string, well string, medium string, abs string, cell_line string, other string")
     r = tables.roi_scan(spark, {("P", "A01"): f"{tmp_path}/r.parquet", ("P", "A02"): f"{tmp_path}/r.parquet"}, layout).collect()
     assert len(r) == 1 and r[0]["object_id"] == "P-A01-7" and r[0]["cx_um"] == 3.0
+    one = spark.createDataFrame([("8", 5.0, 1.0)], "label string, x_um double, extra double")
+    at = f"{tmp_path}/with space+plus"
+    one.coalesce(1).write.json(f"{at}/t.json")
+    one.write.option("header", True).csv(f"{at}/t.csv")
+    one.write.parquet(f"{at}/t.parquet")
+    many = {("P", "A01"): f"{tmp_path}/r.parquet", ("P", "A02"): f"{at}/t.json", ("P", "A03"): f"{at}/t.csv", ("P", "A04"): f"{at}/t.parquet", ("Q", "A01"): f"{tmp_path}/r.parquet"}
+    wells = spark.createDataFrame([(p, w) for p, w in many], "plate string, well string")
+    rows = tables.roi_scan(spark, many, wells.withColumns({"len_x_um_": F.lit(0)})).collect()
+    assert sorted((r["plate"], r["well"], r["label"], r["x_um"], r["extra"]) for r in rows) == [("P", "A01", "7", 1.0, None), *[("P", f"A0{i}", "8", 5.0, 1.0) for i in (2, 3, 4)], ("Q", "A01", "7", 1.0, None)]
 
 
 def test_streams(spark, sf, tmp_path):

@@ -1,12 +1,14 @@
 """Embeddings, clusters and trajectories over object vectors.
 
 PCA, k-means and neighbour graphs are distributed.  Diffusion maps, t-SNE and UMAP have no
-Spark form: they are fitted on a bounded sample (``max_rows``, a parameter; more rows are an error, never a
-silent cut) by one task and carried over to all rows through ``operators.joins.knn_edges``.
+Spark form: one task fits them on at most ``max_rows`` rows (a parameter; more are an error).  ``laid_out``
+fits a larger table on a sample of that many rows and carries the layout over to every row through
+``operators.joins.knn_edges``; ``sweep`` does so for several settings side by side.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
 from .joins import knn_edges
+from .sampling import sample_n
 
 MAX_ROWS = 20_000
 
@@ -102,6 +105,13 @@ def kmeans(df: DataFrame, k: int, vec: str = "vec", starts: int = 10, seed: int
     return best.transform(x).withColumn(out, F.col("__c").cast("string")).drop("__v", "__c")
 
 
+def kmeans_sweep(df: DataFrame, ks: Sequence[int], vec: str = "vec", starts: int = 10, seed: int = 0, out: str = "cluster") -> DataFrame:
+    """Adds ``out``_k{k} for each k, and the last one under ``out`` too."""
+    for k in ks:
+        df = kmeans(df, k, vec, starts, seed, f"{out}_k{k}")
+    return df.withColumn(out, F.col(f"{out}_k{ks[-1]}"))
+
+
 def jaccard_graph(edges: DataFrame) -> DataFrame:
     """src, dst, weight (src < dst): shared share of the neighbour lists of rows that are neighbours."""
     lists = edges.groupBy("src").agg(F.collect_set("dst").alias("near"))
@@ -120,7 +130,6 @@ def _move_nodes(both: DataFrame, total: float, rounds: int) -> DataFrame:
     """
     degree = materialize(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "degree")
     labels = degree.select("id", F.col("id").alias("label"))
-    still = 0
     for r in range(rounds):
         sizes = labels.join(degree, "id").groupBy("label").agg(F.sum("k").alias("tot"))
         links = both.where("src <> dst").join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
@@ -132,9 +141,9 @@ def _move_nodes(both: DataFrame, total: float, rounds: int) -> DataFrame:
         turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
         after = materialize(best.select("id", F.when(turn, F.col("new")).otherwise(F.col("own")).alias("label"), (F.col("new") != F.col("own")).alias("wants")), "labels")
         labels = after.select("id", "label")
-        still = still + 1 if not after.where("wants").limit(1).count() else 0
-        if still:
-            break
+        if after.where("wants").isEmpty():
+            return labels
+    warnings.warn(f"nodes still wanted to move after {rounds} rounds", stacklevel=2)
     return labels
 
 
@@ -321,6 +330,28 @@ def carry_over(df: DataFrame, fitted: DataFrame, sample: DataFrame, column: str,
     return each.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(column))
 
 
+def laid_out(df: DataFrame, fit: Callable[..., DataFrame], column: str, max_rows: int, id_col: str = "object_id", vec: str = "vec", seed: int = 0, **settings) -> DataFrame:
+    """id, ``column`` for all rows: the layout of ``fit`` on all of them, or on a sample of ``max_rows``, carried over."""
+    rows = df.select(F.col(id_col), F.col(vec).cast("array<double>").alias(vec))
+    if df.count() <= max_rows:
+        return fit(rows, id_col=id_col, vec=vec, max_rows=max_rows, **settings)
+    sample = materialize(sample_n(rows, max_rows, id_col, seed), "sample")
+    fitted = materialize(fit(sample, id_col=id_col, vec=vec, max_rows=max_rows, **settings), "layout")
+    return carry_over(rows, fitted, sample, column, id_col=id_col, vec=vec)
+
+
+def sweep(df: DataFrame, fit: Callable[..., DataFrame], column: str, grid: Sequence[dict], max_rows: int, id_col: str = "object_id", vec: str = "vec", seed: int = 0) -> DataFrame:
+    """id, ``column``, settings (as text), last (whether of the last of the grid): a layout for each setting of the grid."""
+    out: DataFrame | None = None
+    for n, settings in enumerate(grid):
+        name = ", ".join(f"{k}={v}" for k, v in settings.items())
+        part = laid_out(df, fit, column, max_rows, id_col, vec, seed, **settings).withColumns({"settings": F.lit(name), "last": F.lit(n == len(grid) - 1)})
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("a sweep needs settings")
+    return out
+
+
 def cluster_tree(df: DataFrame, cluster: str = "cluster", vec: str = "vec") -> list[tuple[str, str, float]]:
     """Minimum spanning tree over cluster centroids (a few dozen points on the driver)."""
     rows = df.select(cluster, F.posexplode(vec).alias("i", "x")).groupBy(cluster, "i").agg(F.avg("x").alias("x")).collect()

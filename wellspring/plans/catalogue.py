@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names, stats
 from ..operators import embedding, filters, image, joins, normalize, outliers, presentation, quality, sampling, selection
-from ..sources import plates
+from ..sources import plates, tables
+from ..sources.shared import shared_dir
 from . import screen, views
 from .views import CONTROL, EV, FEATURES, LONG, OBJ, PIXELS, VEC
 
@@ -346,12 +347,23 @@ def top_features_per_well(spark, sf_dir):
     return top.select("plate", "well", F.regexp_replace(F.regexp_replace("top_features", r" \([^)]*\)", ""), ", ", ",").alias("top"))
 
 
-@query("""SELECT feature, CAST(count(*) AS BIGINT) AS n_wells, round(sum(x), 6) + 0.0 AS s_row, round(sum(y), 6) + 0.0 AS s_col, round(sum(x * delta), 6) + 0.0 AS s_row_delta FROM (
-    SELECT feature, delta, (ascii(well[1]) - 65) / 15.0 - 0.5 AS x, (CAST(well[2:] AS INTEGER) - 1) / 23.0 - 0.5 AS y FROM deltas WHERE delta IS NOT NULL AND CAST(well[2:] AS INTEGER) <= 24) GROUP BY feature""", DELTAS)
-def position_sums(spark, sf_dir):
-    d = quality.well_deltas(views.long_li(spark, sf_dir)).where("delta IS NOT NULL").where(names.well_col(F.col("well")) < 24)
-    d = d.withColumn("x", names.well_row(F.col("well")) / 15.0 - 0.5).withColumn("y", names.well_col(F.col("well")) / 23.0 - 0.5)
-    return rounded(d.groupBy("feature").agg(F.count("*").alias("n_wells"), F.sum("x").alias("s_row"), F.sum("y").alias("s_col"), F.sum(F.col("x") * F.col("delta")).alias("s_row_delta")))
+#: Used wells of these plates leave no hole, so a well is at the border if one of its four neighbours is not used.
+#: Least squares of three centred terms by determinants.
+SLOPES = DELTAS + """, uw AS (SELECT DISTINCT plate, well, ascii(well[1]) - 65 AS r, CAST(well[2:] AS INTEGER) - 1 AS c FROM obj),
+ sh AS (SELECT h, w FROM (VALUES (2, 3), (3, 4), (4, 6), (6, 8), (8, 12), (16, 24), (32, 48)) f(h, w) WHERE h > (SELECT max(r) FROM uw) AND w > (SELECT max(c) FROM uw) ORDER BY h LIMIT 1),
+ gm AS (SELECT a.plate, a.well, a.r / (h - 1.0) - 0.5 AS y, a.c / (w - 1.0) - 0.5 AS x, CASE WHEN (SELECT count(*) FROM uw b WHERE b.plate = a.plate AND abs(a.r - b.r) + abs(a.c - b.c) = 1) < 4 THEN 1.0 ELSE 0.0 END AS e FROM uw a, sh),
+ ce AS (SELECT feature, e - avg(e) OVER f AS e, y - avg(y) OVER f AS r, x - avg(x) OVER f AS c, delta - avg(delta) OVER f AS d FROM deltas JOIN gm USING (plate, well) WHERE delta IS NOT NULL WINDOW f AS (PARTITION BY feature)),
+ sm AS (SELECT feature, count(*) AS n, sum(e * e) AS ee, sum(e * r) AS er, sum(e * c) AS ec, sum(r * r) AS rr, sum(r * c) AS rc, sum(c * c) AS cc, sum(e * d) AS ed, sum(r * d) AS rd, sum(c * d) AS cd, sum(d * d) AS dd FROM ce GROUP BY 1),
+ dt AS (SELECT *, ee * (rr * cc - rc * rc) - er * (er * cc - rc * ec) + ec * (er * rc - rr * ec) AS det FROM sm),
+ be AS (SELECT *, (ed * (rr * cc - rc * rc) - er * (rd * cc - rc * cd) + ec * (rd * rc - rr * cd)) / det AS b_e, (ee * (rd * cc - rc * cd) - ed * (er * cc - rc * ec) + ec * (er * cd - rd * ec)) / det AS b_r, (ee * (rr * cd - rd * rc) - er * (er * cd - rd * ec) + ed * (er * rc - rr * ec)) / det AS b_c FROM dt),
+ va AS (SELECT *, (dd - b_e * ed - b_r * rd - b_c * cd) / (n - 4) AS s2 FROM be)"""
+
+
+@query("""SELECT feature, n AS n_wells, round(b_e, 6) + 0.0 AS edge, round(sqrt(s2 * (rr * cc - rc * rc) / det), 6) AS edge_se, round(b_r, 6) + 0.0 AS row, round(sqrt(s2 * (ee * cc - ec * ec) / det), 6) AS row_se, round(b_c, 6) + 0.0 AS col, round(sqrt(s2 * (ee * rr - er * er) / det), 6) AS col_se FROM va""", SLOPES)
+def position_slopes(spark, sf_dir):
+    long = views.long_li(spark, sf_dir)
+    got = quality.position_effects(quality.well_deltas(long), quality.well_geometry(long))
+    return rounded(got.select("feature", "n_wells", *[f"{t}{x}" for t in ("edge", "row", "col") for x in ("", "_se")]))
 
 
 @query()
@@ -692,6 +704,15 @@ def pca_scores(spark, sf_dir):
     return rounded(embedding.pca_scores(o, embedding.pca_fit(o, list(FEATURES), 2)).select("plate", "well", F.get("x_pca", F.lit(0)).alias("pc1"), F.get("x_pca", F.lit(1)).alias("pc2")), 4)
 
 
+@query("""SELECT plate, well, round((q - mq) * ux + (p - mp) * uy, 4) + 0.0 AS pc1, round((q - mq) * vx + (p - mp) * vy, 4) + 0.0 AS pc2 FROM (SELECT plate, well, l_quantity AS q, l_extendedprice AS p FROM obj),
+  (SELECT mq, mp, CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END * x AS ux, CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END * y AS uy, CASE WHEN abs(y) >= abs(x) THEN sign(-y) ELSE sign(x) END * -y AS vx, CASE WHEN abs(y) >= abs(x) THEN sign(-y) ELSE sign(x) END * x AS vy FROM (
+    SELECT mq, mp, b / sqrt(pow(lam - a, 2) + b * b) AS x, (lam - a) / sqrt(pow(lam - a, 2) + b * b) AS y FROM (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS lam FROM (
+      SELECT avg(l_quantity) AS mq, avg(l_extendedprice) AS mp, var_samp(l_quantity) AS a, covar_samp(l_quantity, l_extendedprice) AS b, var_samp(l_extendedprice) AS c FROM obj))))""", OBJ)
+def pca_scores_two(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir)
+    return rounded(embedding.pca_scores(o, embedding.pca_fit(o, ["l_quantity", "l_extendedprice"], 2)).select("plate", "well", F.get("x_pca", F.lit(0)).alias("pc1"), F.get("x_pca", F.lit(1)).alias("pc2")), 4)
+
+
 @query()
 def kmeans_labels(spark, sf_dir):
     return embedding.kmeans(views.vectors(spark, sf_dir), 10).groupBy("cluster").agg(F.count("*").alias("n"))
@@ -704,7 +725,30 @@ def phenograph_clusters(spark, sf_dir):
 
 @query()
 def diffusion_map(spark, sf_dir):
-    return embedding.diffusion_map(views.vectors(spark, sf_dir), 3, id_col="id").select("id", F.round(F.get("x_diffmap", F.lit(0)), 4).alias("dc1"))
+    d = embedding.laid_out(views.vectors(spark, sf_dir), embedding.diffusion_map, "x_diffmap", 5_000, "id", n_comps=3)
+    return d.select("id", F.round(F.get("x_diffmap", F.lit(0)), 4).alias("dc1"))
+
+
+def _points(layout):
+    x = [c for c in layout.columns if c.startswith("x_")][0]
+    return layout.select("id", "settings", "last", *[F.round(F.get(x, F.lit(i)), 4).alias(n) for i, n in enumerate(("x", "y"))])
+
+
+@query()
+def umap_sweep(spark, sf_dir):
+    grid = [{"n_neighbors": n, "min_dist": d} for n in (10, 30) for d in (0.1, 0.5)]
+    return _points(embedding.sweep(views.vectors(spark, sf_dir), embedding.umap, "x_umap", grid, 5_000, "id"))
+
+
+@query()
+def tsne_sweep(spark, sf_dir):
+    return _points(embedding.sweep(views.vectors(spark, sf_dir), embedding.tsne, "x_tsne", [{"perplexity": p} for p in (10.0, 30.0)], 1_000, "id"))
+
+
+@query()
+def lineages(spark, sf_dir):
+    v = views.vectors(spark, sf_dir).withColumn("cluster", F.col("label").cast("string"))
+    return rounded(embedding.lineages(v, "0", id_col="id"), 4)
 
 
 @query("SELECT plate, least(count(*), 7) AS n FROM ev GROUP BY plate", EV)
@@ -855,6 +899,40 @@ def image_index(spark, sf_dir):
     return plates.image_index(n.select(path.alias("path")))
 
 
+def _stored(spark, name: str) -> str:
+    """A free place in the shared folder."""
+    return tables.free_path(spark, f"{shared_dir(spark).rstrip('/')}/tables/{name}")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, CAST(n_nationkey AS VARCHAR) AS label, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey / 8.0 END AS score FROM nation")
+def csv_round_trip(spark, sf_dir):
+    n = views.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey", F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey") / 8).otherwise(float("nan")).alias("score"))
+    back = tables.read_table(spark, tables.save_csv(n, _stored(spark, "nations")), index="n_nationkey")
+    return back.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"), "label", "score")
+
+
+@query("SELECT plate, well, count(*) AS n, round(sum(l_quantity), 2) AS quantity, 'AFRICA' AS control, (SELECT count(*) FROM obj WHERE l_quantity > 49) AS n_removed FROM obj WHERE l_quantity <= 49 GROUP BY 1, 2", OBJ)
+def dataset_round_trip(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir).select("plate", "well", "l_quantity")
+    data = tables.Dataset(o.where("l_quantity <= 49"), o.where("l_quantity > 49"), {"wells": o.select("plate", "well").distinct()}, CONTROL)
+    back = tables.load_dataset(spark, tables.save_dataset(data, _stored(spark, "screen")))
+    wells = back.objects.join(back.side["wells"], ["plate", "well"]).groupBy("plate", "well").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return wells.select("*", F.lit(back.config["medium"]).alias("control"), F.lit(back.removed.count()).alias("n_removed"))
+
+
+@query("""SELECT plate, well, plate || '-' || well || '-' || label AS object_id, medium, round(x + w / 2, 6) AS cx_um, round(y + h / 2, 6) AS cy_um FROM (SELECT 'P' || CAST(r_regionkey AS VARCHAR) AS plate, 'A0' || CAST(n_nationkey % 3 + 1 AS VARCHAR) AS well, CAST(s_suppkey AS VARCHAR) AS label, r_name AS medium,
+    s_suppkey * 1.5 AS x, s_suppkey * 0.25 AS y, 3.0 AS w, 5.0 AS h, r_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) WHERE r_regionkey < 3""")
+def roi_tables(spark, sf_dir):
+    s, n, r = (views.table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    k = F.col("s_suppkey")
+    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("P"), F.col("n_regionkey").cast("string")).alias("p"), F.concat(F.lit("A0"), (F.col("n_nationkey") % 3 + 1).cast("string")).alias("w"), k.cast("string").alias("label"), (k * 1.5).alias("x_micrometer"), (k * 0.25).alias("y_micrometer"), F.lit(3.0).alias("len_x_micrometer"), F.lit(5.0).alias("len_y_micrometer"))
+    at = _stored(spark, "rois")
+    rows.repartition("p", "w").write.partitionBy("p", "w").parquet(at)
+    where = {(x["p"], x["w"]): f"{at}/p={x['p']}/w={x['w']}" for x in rows.select("p", "w").distinct().collect()}
+    layout = r.where("r_regionkey < 3").select(F.concat(F.lit("P"), F.col("r_regionkey").cast("string")).alias("plate"), F.col("r_name").alias("medium"), F.explode(F.array(F.lit("A01"), F.lit("A02"), F.lit("A03"))).alias("well"))
+    return rounded(tables.roi_scan(spark, where, layout).select("plate", "well", "object_id", "medium", "cx_um", "cy_um"))
+
+
 # -- tables for figures -----------------------------------------------------------------------------------
 
 
