@@ -131,6 +131,15 @@ def test_licenses(spark, docs):
         licenses.anchors("too short")
 
 
+def test_every_template_is_found_in_running_text(spark):
+    filler = "some words of another text stand around it and go on for a while "
+    rows = [(n, filler * 3 + t + " " + filler * 3) for n, t in enumerate(licenses.TEMPLATES.values())]
+    got = {(r["doc_id"], r["license"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(n, k) for n, k in enumerate(licenses.TEMPLATES)} <= got
+    other = dict(zip(licenses.TEMPLATES, range(len(rows))))
+    assert (other["GPL-2.0-or-later clause"], "GPL-3.0-or-later clause") not in got and (other["MIT disclaimer"], "BSD disclaimer") not in got
+
+
 def test_license_scan_equals_plain_containment(spark, sf):
     import re
 
