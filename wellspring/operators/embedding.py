@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize
+from ..sources.shared import discard, materialize
 from .joins import knn_edges
 from .sampling import sample_n
 
@@ -139,11 +139,15 @@ def _move_nodes(both: DataFrame, total: float, rounds: int) -> DataFrame:
         gain = F.round(F.col("w") - F.col("k") * rest / total, 9)
         best = options.withColumn("gain", gain).groupBy("id").agg(F.max_by("label", F.struct("gain", F.col("label") == F.col("own"), F.xxhash64("label"))).alias("new"), F.max("own").alias("own"))
         turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        after = materialize(best.select("id", F.when(turn, F.col("new")).otherwise(F.col("own")).alias("label"), (F.col("new") != F.col("own")).alias("wants")), "labels")
+        before, after = labels, materialize(best.select("id", F.when(turn, F.col("new")).otherwise(F.col("own")).alias("label"), (F.col("new") != F.col("own")).alias("wants")), "labels")
         labels = after.select("id", "label")
+        labels.stored_at = after.stored_at
+        discard(before)
         if after.where("wants").isEmpty():
-            return labels
-    warnings.warn(f"nodes still wanted to move after {rounds} rounds", stacklevel=2)
+            break
+    else:
+        warnings.warn(f"nodes still wanted to move after {rounds} rounds", stacklevel=2)
+    discard(degree)
     return labels
 
 
@@ -161,9 +165,12 @@ def graph_clusters(graph: DataFrame, nodes: DataFrame, min_size: int = 10, round
         n, k = moved.agg(F.count("*"), F.count_distinct("label")).first()
         if n == k:
             break
-        where = materialize(where.join(moved.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
+        before, where = where, materialize(where.join(moved.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
+        discard(before)
         a, b = moved.select(F.col("id").alias("src"), F.col("label").alias("la")), moved.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
-        both = materialize(both.join(a, "src").join(b, "dst").groupBy(F.col("la").alias("src"), F.col("lb").alias("dst")).agg(F.sum("weight").alias("weight")), "graph")
+        before, both = both, materialize(both.join(a, "src").join(b, "dst").groupBy(F.col("la").alias("src"), F.col("lb").alias("dst")).agg(F.sum("weight").alias("weight")), "graph")
+        discard(before)
+        discard(moved)
     sizes = where.groupBy("label").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy(F.col("n") >= min_size).orderBy(F.desc("n"), "label")) - 1)
     return where.join(sizes, "label").select("id", F.when(F.col("n") >= min_size, F.col("k")).otherwise(-1).cast("string").alias("cluster"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.names import match_key
-from ..sources.shared import materialize
+from ..sources.shared import discard, materialize
 
 
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -116,7 +116,8 @@ def greedy_match(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
         ends = ends.withColumn("m1", F.min("e").over(Window.partitionBy(*keys, "id1"))).withColumn("m2", F.min("e").over(Window.partitionBy(*keys, "id2")))
         won = materialize(ends.where((F.col("e") == F.col("m1")) & (F.col("e") == F.col("m2"))).select(*pairs.columns), "won")
         taken = won if taken is None else taken.unionByName(won)
-        left = materialize(left.join(won.select(*keys, "id1"), [*keys, "id1"], "left_anti").join(won.select(*keys, "id2"), [*keys, "id2"], "left_anti"), "pairs")
+        before, left = left, materialize(left.join(won.select(*keys, "id1"), [*keys, "id1"], "left_anti").join(won.select(*keys, "id2"), [*keys, "id2"], "left_anti"), "pairs")
+        discard(before)
     return taken if taken is not None else left
 
 
