@@ -113,6 +113,14 @@ def natural_sort_keys(spark, sf_dir):
     return p.select("p_name", "p_brand", F.regexp_extract(names.natural_key(F.col("p_brand")), r"(\d+)", 1).alias("digits"))
 
 
+@query("SELECT 'r' || n_nationkey % 3 || 'c' || n_nationkey AS name, CAST(row_number() OVER (ORDER BY n_nationkey % 3, n_nationkey) AS INTEGER) AS place FROM nation UNION ALL SELECT 'plate' || n_nationkey, CAST(n_nationkey + 101 AS INTEGER) FROM nation")
+def natural_order(spark, sf_dir):
+    k = views.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("k"))
+    ranked = lambda name: k.select(name.alias("name")).withColumn("place", F.row_number().over(Window.orderBy(names.natural_key(F.col("name")))))  # noqa: E731  25 names
+    cells = ranked(F.concat(F.lit("r"), (F.col("n_nationkey") % 3).cast("string"), F.lit("c"), "k"))
+    return cells.union(ranked(F.concat(F.lit("plate"), "k")).withColumn("place", F.col("place") + 100))
+
+
 @query("SELECT plate, well, label, uid FROM (SELECT DISTINCT plate || '-' || well || '-' || CAST(l_linenumber AS VARCHAR) AS uid, plate, well, CAST(l_linenumber AS VARCHAR) AS label FROM obj)", OBJ)
 def object_id_parts(spark, sf_dir):
     o = views.objects_li(spark, sf_dir).select(names.object_id(F.col("plate"), F.col("well"), F.col("l_linenumber").cast("string")).alias("uid")).distinct()
@@ -191,7 +199,7 @@ def rounds_inner(spark, sf_dir):
 @query("SELECT CAST('N' AS VARCHAR) AS source, plate, count(*) AS n, count(extra) AS n_extra FROM (SELECT plate, NULL AS extra FROM obj WHERE plate = 'N' UNION ALL SELECT plate, l_tax FROM obj WHERE plate <> 'N') GROUP BY plate", OBJ)
 def union_by_name_plates(spark, sf_dir):
     o = views.objects_li(spark, sf_dir)
-    both = o.where("plate = 'N'").select("plate").unionByName(o.where("plate <> 'N'").select("plate", F.col("l_tax").alias("extra")), allowMissingColumns=True)
+    both = tables.concat_plates([o.where("plate = 'N'").select("plate"), o.where("plate <> 'N'").select("plate", F.col("l_tax").alias("extra"))])
     return both.groupBy(F.lit("N").alias("source"), "plate").agg(F.count("*").alias("n"), F.count("extra").alias("n_extra"))
 
 
@@ -244,15 +252,31 @@ def range_match_pairs(spark, sf_dir):
     return rounded(joins.range_pairs(_customers(spark, sf_dir), _suppliers(spark, sf_dir), 500.0, keys=("plate",)))
 
 
-@query("""SELECT p.plate, p.id1, p.id2, round(p.distance, 6) AS distance FROM g JOIN pairs p ON g.plate = p.plate AND g.i = p.i WHERE g.taken""", """RECURSIVE pairs AS (
+GREEDY = """RECURSIVE pairs AS (
     SELECT plate, id1, id2, distance, row_number() OVER (PARTITION BY plate ORDER BY distance, id1, id2) AS i FROM (SELECT c_nationkey AS plate, c_custkey AS id1, s_suppkey AS id2, abs(c_acctbal - s_acctbal) AS distance FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 500)),
  g AS (SELECT DISTINCT plate, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS u1, CAST([] AS BIGINT[]) AS u2, false AS taken FROM pairs
-   UNION ALL SELECT p.plate, p.i, CASE WHEN NOT list_contains(u1, id1) AND NOT list_contains(u2, id2) THEN list_append(u1, id1) ELSE u1 END, CASE WHEN NOT list_contains(u1, id1) AND NOT list_contains(u2, id2) THEN list_append(u2, id2) ELSE u2 END, NOT list_contains(u1, id1) AND NOT list_contains(u2, id2) FROM g JOIN pairs p ON p.plate = g.plate AND p.i = g.i + 1)""")
+   UNION ALL SELECT p.plate, p.i, CASE WHEN NOT list_contains(u1, id1) AND NOT list_contains(u2, id2) THEN list_append(u1, id1) ELSE u1 END, CASE WHEN NOT list_contains(u1, id1) AND NOT list_contains(u2, id2) THEN list_append(u2, id2) ELSE u2 END, NOT list_contains(u1, id1) AND NOT list_contains(u2, id2) FROM g JOIN pairs p ON p.plate = g.plate AND p.i = g.i + 1)"""
+
+
+@query("""SELECT p.plate, p.id1, p.id2, round(p.distance, 6) AS distance FROM g JOIN pairs p ON g.plate = p.plate AND g.i = p.i WHERE g.taken""", GREEDY)
 def greedy_match(spark, sf_dir):
     pairs = joins.range_pairs(_customers(spark, sf_dir), _suppliers(spark, sf_dir), 500.0, keys=("plate",))
     return rounded(joins.greedy_match(pairs))
 
 
+@query("""SELECT p.id1, p.id2, round(p.distance, 6) AS distance, c_name AS "A_name", s_name AS "B_name" FROM g JOIN pairs p ON g.plate = p.plate AND g.i = p.i JOIN customer ON c_custkey = p.id1 JOIN supplier ON s_suppkey = p.id2 WHERE g.taken""", GREEDY)
+def merge_matched(spark, sf_dir):
+    found, _ = joins.match_one_to_one(_customers(spark, sf_dir), _suppliers(spark, sf_dir), 500.0, keys=("plate",))
+    c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return rounded(joins.merge_matched(c, s, found).select("id1", "id2", "distance", "A_name", "B_name"))
+
+
+@query("""SELECT c_custkey AS id, c_nationkey AS plate FROM customer WHERE c_custkey NOT IN (SELECT p.id1 FROM g JOIN pairs p ON g.plate = p.plate AND g.i = p.i WHERE g.taken)""", GREEDY)
+def unmatched(spark, sf_dir):
+    return joins.match_one_to_one(_customers(spark, sf_dir), _suppliers(spark, sf_dir), 500.0, keys=("plate",))[1].select("id", "plate")
+
+
 @query("""SELECT src, dst, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
     SELECT a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS rank FROM vec a JOIN vec b ON a.id <> b.id) WHERE rank <= 10""", VEC)
 def knn_edges(spark, sf_dir):
@@ -341,6 +365,16 @@ def well_flags(spark, sf_dir):
     return rounded(flags.select("plate", "well", "condition", "control", "n_organoids", "count_z", "features_assessed", "deviating_fraction", "reasons"))
 
 
+@query("""SELECT o.plate, o.well, NOT coalesce(f.bad, false) AS well_qc_pass, count(*) AS n FROM obj o LEFT JOIN (
+    SELECT w.plate, w.well, coalesce(abs(rs.residual / nullif(rs.s, 0)) >= 1.5, false) OR coalesce(f.deviating / nullif(f.assessed, 0) >= 0.1, false) AS bad
+    FROM wells w LEFT JOIN rs ON w.plate = rs.plate AND w.well = rs.well LEFT JOIN (SELECT plate, well, count(z) AS assessed, count_if(abs(z) >= 1.5) AS deviating FROM scores GROUP BY 1, 2) f ON w.plate = f.plate AND w.well = f.well) f ON o.plate = f.plate AND o.well = f.well GROUP BY ALL""", DELTAS + ", " + COUNTS.format(src="obj"))
+def flagged_wells(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir)
+    long = views.melt(o)
+    flags = quality.well_flags(long, quality.well_table(o), z_threshold=1.5)
+    return quality.mark_flagged(o, flags).groupBy("plate", "well", "well_qc_pass").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT plate, well, string_agg(feature, ',' ORDER BY r) AS top FROM (SELECT plate, well, feature, row_number() OVER (PARTITION BY plate, well ORDER BY abs(z) DESC, feature) AS r FROM scores WHERE z IS NOT NULL) WHERE r <= 3 GROUP BY 1, 2""", DELTAS)
 def top_features_per_well(spark, sf_dir):
     top = quality.top_features(quality.deviation_scores(quality.well_deltas(views.long_li(spark, sf_dir))))
@@ -467,9 +501,9 @@ def control_check(spark, sf_dir):
     return rounded(normalize.control_check(normalize.scale(views.long_li(spark, sf_dir))))
 
 
-@query("SELECT plate, feature FROM long GROUP BY 1, 2 HAVING NOT bool_or(is_control)", LONG)
+@query("SELECT plate, feature FROM long GROUP BY 1, 2 HAVING NOT bool_or(is_control AND plate <> 'R')", LONG)
 def groups_without_controls(spark, sf_dir):
-    return normalize.groups_without_controls(views.long_li(spark, sf_dir))
+    return normalize.groups_without_controls(views.long_li(spark, sf_dir).withColumn("is_control", F.col("is_control") & (F.col("plate") != "R")))
 
 
 @query("SELECT plate, well, count(*) AS n, round(avg(ln(1 + greatest(value, 0))), 6) AS mean_log FROM ev GROUP BY 1, 2", EV)
@@ -713,6 +747,12 @@ def pca_scores_two(spark, sf_dir):
     return rounded(embedding.pca_scores(o, embedding.pca_fit(o, ["l_quantity", "l_extendedprice"], 2)).select("plate", "well", F.get("x_pca", F.lit(0)).alias("pc1"), F.get("x_pca", F.lit(1)).alias("pc2")), 4)
 
 
+@query("SELECT plate, count(*) AS n, round(sum(l_quantity), 2) AS first, round(sum(l_tax), 2) AS last FROM obj GROUP BY plate", OBJ)
+def feature_vectors(spark, sf_dir):
+    v = filters.feature_vectors(filters.require_columns(views.objects_li(spark, sf_dir), FEATURES), FEATURES)
+    return v.groupBy("plate").agg(F.count("*").alias("n"), F.round(F.sum(F.get("vec", F.lit(0))), 2).alias("first"), F.round(F.sum(F.get("vec", F.lit(3))), 2).alias("last"))
+
+
 @query()
 def kmeans_labels(spark, sf_dir):
     return embedding.kmeans(views.vectors(spark, sf_dir), 10).groupBy("cluster").agg(F.count("*").alias("n"))
