@@ -206,17 +206,19 @@ def hull_points(points: np.ndarray) -> np.ndarray:
 
 
 def _corners(mask: np.ndarray) -> np.ndarray:
-    y, x = np.nonzero(mask)
-    return np.concatenate([np.stack([y + a, x + b], axis=1) for a in (0, 1) for b in (0, 1)])
+    """Corners of the first and last pixel of each row: no other corner is on the hull."""
+    y = np.flatnonzero(mask.any(axis=1))
+    first, last = mask[y].argmax(axis=1), mask.shape[1] - mask[y][:, ::-1].argmax(axis=1)
+    return np.concatenate([np.stack([y + a, x], axis=1) for a in (0, 1) for x in (first, last)])
 
 
 def polygon_area(p: np.ndarray) -> float:
     return 0.5 * abs(float((p[:, 0] * np.roll(p[:, 1], -1) - p[:, 1] * np.roll(p[:, 0], -1)).sum())) if len(p) > 2 else 0.0
 
 
-def hull_mask(mask: np.ndarray) -> np.ndarray:
+def hull_mask(mask: np.ndarray, hull: np.ndarray | None = None) -> np.ndarray:
     """Pixels whose centre lies in the hull of the mask's pixel squares."""
-    p = hull_points(_corners(mask))
+    p = hull_points(_corners(mask)) if hull is None else hull
     yy, xx = np.mgrid[: mask.shape[0], : mask.shape[1]] + 0.5
     inside = np.ones(mask.shape, dtype=bool)
     for a, b in zip(p, np.roll(p, -1, axis=0)):
@@ -232,38 +234,31 @@ def perimeter(mask: np.ndarray) -> float:
     return float(math.pi / 8 * (n0 + n90 + (n45 + n135) / math.sqrt(2)))
 
 
-def feret(mask: np.ndarray) -> float:
+def feret(mask: np.ndarray, hull: np.ndarray | None = None) -> float:
     """Largest distance between corners of the hull."""
-    p = hull_points(_corners(mask))
+    p = hull_points(_corners(mask)) if hull is None else hull
     return float(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)).max()) if len(p) else 0.0
 
 
 def distance_transform(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance to the nearest pixel outside (Felzenszwalb's lower envelopes)."""
+    """Exact Euclidean distance to the nearest pixel outside.
+
+    Distances along columns come from one pass down and one up; each is then seen from as many columns to the
+    left and right as the largest distance found so far reaches.
+    """
     m = np.pad(mask, 1)
-    big = float(sum(m.shape) ** 2)
-    f = np.where(m, big, 0.0)
-
-    def line(v: np.ndarray) -> np.ndarray:
-        n = len(v)
-        k, at, z = 0, [0] * n, [-np.inf, np.inf] + [0.0] * n
-        for q in range(1, n):
-            s = ((v[q] + q * q) - (v[at[k]] + at[k] ** 2)) / (2 * q - 2 * at[k])
-            while s <= z[k]:
-                k -= 1
-                s = ((v[q] + q * q) - (v[at[k]] + at[k] ** 2)) / (2 * q - 2 * at[k])
-            k += 1
-            at[k], z[k], z[k + 1] = q, s, np.inf
-        out, k = np.empty(n), 0
-        for q in range(n):
-            while z[k + 1] < q:
-                k += 1
-            out[q] = (q - at[k]) ** 2 + v[at[k]]
-        return out
-
-    f = np.apply_along_axis(line, 0, f)
-    f = np.apply_along_axis(line, 1, f)
-    return np.sqrt(f)[1:-1, 1:-1]
+    far = m.shape[0] + m.shape[1]
+    down, up = np.where(m, far, 0), np.where(m, far, 0)
+    for y in range(1, len(m)):
+        down[y] = np.minimum(down[y], down[y - 1] + 1)
+        up[-1 - y] = np.minimum(up[-1 - y], up[-y] + 1)
+    column = np.minimum(down, up).astype(float) ** 2
+    out, d = column.copy(), 1
+    while d * d < out.max():
+        out[:, d:] = np.minimum(out[:, d:], column[:, :-d] + d * d)
+        out[:, :-d] = np.minimum(out[:, :-d], column[:, d:] + d * d)
+        d += 1
+    return np.sqrt(out)[1:-1, 1:-1]
 
 
 def thin(mask: np.ndarray) -> np.ndarray:
@@ -351,9 +346,10 @@ def shape_features(mask: np.ndarray, spacing: float = 1.0, min_share: float = 0.
     area = float(mask.sum())
     if not area:
         return dict.fromkeys(("area_convex", "solidity", "perimeter", "feret_diameter_max", "circularity", "concavity", "concavity_count", "asymmetry"), 0.0)
-    hull = polygon_area(hull_points(_corners(mask)))
+    corners = hull_points(_corners(mask))
+    hull = polygon_area(corners)
     per = perimeter(mask)
-    filled = hull_mask(mask)
+    filled = hull_mask(mask, corners)
     gap = filled & ~mask
     parts, n = label(gap)
     sizes = np.bincount(parts.ravel())[1:] if n else np.zeros(0)
@@ -361,7 +357,7 @@ def shape_features(mask: np.ndarray, spacing: float = 1.0, min_share: float = 0.
     hy, hx = np.argwhere(filled).mean(0)
     s = spacing
     return {
-        "area_convex": hull * s * s, "solidity": area / hull, "perimeter": per * s, "feret_diameter_max": feret(mask) * s, "circularity": 4 * math.pi * area / per**2,
+        "area_convex": hull * s * s, "solidity": area / hull, "perimeter": per * s, "feret_diameter_max": feret(mask, corners) * s, "circularity": 4 * math.pi * area / per**2,
         "concavity": float(gap.sum() / filled.sum()), "concavity_count": float((sizes > min_share * area).sum()), "asymmetry": float(math.hypot(cy - hy, cx - hx) / math.sqrt(area)),
     }
 
