@@ -49,12 +49,16 @@ def _horner(coefficients: tuple[float, ...], r: Column) -> Column:
     return reduce(lambda acc, c: acc * r + F.lit(c), reversed(coefficients[:-1]), F.lit(coefficients[-1]))
 
 
-def normal_ppf(p: Column) -> Column:
-    """Quantile of the standard normal distribution, in the JVM."""
+def _tail_root(p: Column) -> Column:
+    return F.sqrt(-F.log(F.least(p, 1.0 - p)))
+
+
+def normal_ppf(p: Column, t: Column | None = None) -> Column:
+    """Quantile of the standard normal distribution, in the JVM; ``t``: sqrt(-log(min(p, 1 - p))) where it is at hand."""
     q = p - 0.5
     r = F.lit(0.180625) - q * q
     centre = q * _horner(AS241_CENTRE[0], r) / _horner(AS241_CENTRE[1], r)
-    t = F.sqrt(-F.log(F.least(p, 1.0 - p)))
+    t = _tail_root(p) if t is None else t
     near = _horner(AS241_NEAR[0], t - 1.6) / _horner(AS241_NEAR[1], t - 1.6)
     far = _horner(AS241_FAR[0], t - 5.0) / _horner(AS241_FAR[1], t - 5.0)
     tail = F.when(t <= 5.0, near).otherwise(far) * F.when(q < 0, -1.0).otherwise(1.0)
@@ -77,7 +81,11 @@ def normal_ppf_sql(p: str) -> str:
 def normal_scores(df: DataFrame, value: str, *keys: str, out: str = "score") -> DataFrame:
     """Rank-based inverse-normal scores of non-missing values within ``keys``; missing rows are dropped."""
     n = F.count("*").over(Window.partitionBy(*keys))
-    return df.where(F.col(value).isNotNull()).withColumn(out, normal_ppf((avg_rank(value, *keys) - 0.5) / n))
+    # ranks and the root become columns first: within the quantile each mention would be computed again
+    ranked = df.where(F.col(value).isNotNull()).withColumns({"__rank": avg_rank(value, *keys), "__n": n})
+    ranked = ranked.withColumn("__p", (F.col("__rank") - 0.5) / F.col("__n"))
+    ranked = ranked.withColumn("__t", _tail_root(F.col("__p")))
+    return ranked.withColumn(out, normal_ppf(F.col("__p"), F.col("__t"))).drop("__rank", "__n", "__p", "__t")
 
 
 def with_mad(df: DataFrame, value: str, *keys: str, out: str = "spread") -> DataFrame:
