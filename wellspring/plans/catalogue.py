@@ -382,18 +382,20 @@ def top_features_per_well(spark, sf_dir):
 
 
 #: Used wells of these plates leave no hole, so a well is at the border if one of its four neighbours is not used.
-#: Least squares of three centred terms by determinants.
+#: Least squares of three centred terms by determinants; a constant term stands as one and is left out of the result.
 SLOPES = DELTAS + """, uw AS (SELECT DISTINCT plate, well, ascii(well[1]) - 65 AS r, CAST(well[2:] AS INTEGER) - 1 AS c FROM obj),
  sh AS (SELECT h, w FROM (VALUES (2, 3), (3, 4), (4, 6), (6, 8), (8, 12), (16, 24), (32, 48)) f(h, w) WHERE h > (SELECT max(r) FROM uw) AND w > (SELECT max(c) FROM uw) ORDER BY h LIMIT 1),
  gm AS (SELECT a.plate, a.well, a.r / (h - 1.0) - 0.5 AS y, a.c / (w - 1.0) - 0.5 AS x, CASE WHEN (SELECT count(*) FROM uw b WHERE b.plate = a.plate AND abs(a.r - b.r) + abs(a.c - b.c) = 1) < 4 THEN 1.0 ELSE 0.0 END AS e FROM uw a, sh),
  ce AS (SELECT feature, e - avg(e) OVER f AS e, y - avg(y) OVER f AS r, x - avg(x) OVER f AS c, delta - avg(delta) OVER f AS d FROM deltas JOIN gm USING (plate, well) WHERE delta IS NOT NULL WINDOW f AS (PARTITION BY feature)),
  sm AS (SELECT feature, count(*) AS n, sum(e * e) AS ee, sum(e * r) AS er, sum(e * c) AS ec, sum(r * r) AS rr, sum(r * c) AS rc, sum(c * c) AS cc, sum(e * d) AS ed, sum(r * d) AS rd, sum(c * d) AS cd, sum(d * d) AS dd FROM ce GROUP BY 1),
- dt AS (SELECT *, ee * (rr * cc - rc * rc) - er * (er * cc - rc * ec) + ec * (er * rc - rr * ec) AS det FROM sm),
+ ok AS (SELECT * REPLACE (CASE WHEN ee > 1e-12 THEN ee ELSE 1.0 END AS ee, CASE WHEN rr > 1e-12 THEN rr ELSE 1.0 END AS rr, CASE WHEN cc > 1e-12 THEN cc ELSE 1.0 END AS cc), ee > 1e-12 AS has_e, rr > 1e-12 AS has_r, cc > 1e-12 AS has_c FROM sm),
+ dt AS (SELECT *, ee * (rr * cc - rc * rc) - er * (er * cc - rc * ec) + ec * (er * rc - rr * ec) AS det FROM ok),
  be AS (SELECT *, (ed * (rr * cc - rc * rc) - er * (rd * cc - rc * cd) + ec * (rd * rc - rr * cd)) / det AS b_e, (ee * (rd * cc - rc * cd) - ed * (er * cc - rc * ec) + ec * (er * cd - rd * ec)) / det AS b_r, (ee * (rr * cd - rd * rc) - er * (er * cd - rd * ec) + ed * (er * rc - rr * ec)) / det AS b_c FROM dt),
- va AS (SELECT *, (dd - b_e * ed - b_r * rd - b_c * cd) / (n - 4) AS s2 FROM be)"""
+ va AS (SELECT *, (dd - b_e * ed - b_r * rd - b_c * cd) / (n - 1 - has_e::INT - has_r::INT - has_c::INT) AS s2 FROM be)"""
 
 
-@query("""SELECT feature, n AS n_wells, round(b_e, 6) + 0.0 AS edge, round(sqrt(s2 * (rr * cc - rc * rc) / det), 6) AS edge_se, round(b_r, 6) + 0.0 AS row, round(sqrt(s2 * (ee * cc - ec * ec) / det), 6) AS row_se, round(b_c, 6) + 0.0 AS col, round(sqrt(s2 * (ee * rr - er * er) / det), 6) AS col_se FROM va""", SLOPES)
+@query("""SELECT feature, n AS n_wells, CASE WHEN has_e THEN round(b_e, 6) + 0.0 END AS edge, CASE WHEN has_e THEN round(sqrt(s2 * (rr * cc - rc * rc) / det), 6) END AS edge_se, CASE WHEN has_r THEN round(b_r, 6) + 0.0 END AS row, CASE WHEN has_r THEN round(sqrt(s2 * (ee * cc - ec * ec) / det), 6) END AS row_se,
+    CASE WHEN has_c THEN round(b_c, 6) + 0.0 END AS col, CASE WHEN has_c THEN round(sqrt(s2 * (ee * rr - er * er) / det), 6) END AS col_se FROM va""", SLOPES)
 def position_slopes(spark, sf_dir):
     long = views.long_li(spark, sf_dir)
     got = quality.position_effects(quality.well_deltas(long), quality.well_geometry(long))
