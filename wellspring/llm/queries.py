@@ -1,14 +1,15 @@
-"""The ten registered queries over the standard tables, and their SQL where SQL can express them."""
+"""The registered queries over the standard tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, near_dedup, neighbours, packing, pii, quality, secrets, toxicity
+from . import decontaminate, html_text, licenses, near_dedup, neighbours, packing, pii, quality, secrets, token_files, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path() -> str:
@@ -17,6 +18,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(BYTE_TOKENIZER)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", spread=True)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -64,7 +71,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_secrets, op4_licenses, op5_packing, op6_html, op7_near_dedup, op8_neighbours, op9_toxicity, op10_decontamination)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(table(spark, sf_dir, "documents", spread=True), byte_tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_secrets, op4_licenses, op5_packing, op6_html, op7_near_dedup, op8_neighbours, op9_toxicity, op10_decontamination, op13_token_files)}
 
 
 def _license_sql() -> str:
