@@ -14,7 +14,8 @@ from wellspring.llm import pii, queries
 def same(got, want):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    key = lambda df: sorted((tuple(str(v) for v in r) for r in df[cols].itertuples(index=False)))
+    plain = lambda v: "null" if v is None or v is pd.NA or v != v else str(int(v) if isinstance(v, float) and v.is_integer() else v)
+    key = lambda df: sorted((tuple(map(plain, r)) for r in df[cols].itertuples(index=False)))
     assert key(got) == key(want)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, near_dedup, neighbours, packing, pii, quality, secrets, token_files, toxicity
+from . import decontaminate, html_text, licenses, near_dedup, neighbours, packing, pii, quality, resample, secrets, token_files, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,11 +71,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(table(spark, sf_dir, "documents", spread=True), byte_tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_secrets, op4_licenses, op5_packing, op6_html, op7_near_dedup, op8_neighbours, op9_toxicity, op10_decontamination, op13_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_secrets, op4_licenses, op5_packing, op6_html, op7_near_dedup, op8_neighbours, op9_toxicity, op10_decontamination, op12_resampling, op13_token_files)}
 
 
 def _license_sql() -> str:
@@ -132,7 +136,28 @@ WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.ADDED)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM doc LEFT JOIN sums USING (rid)"""
 
 
+#: Checksums bit by bit from a table of 256 entries, over distinct runs of words.
+RESAMPLING = r"""
+WITH RECURSIVE bits(byte, step, v) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256) UNION ALL SELECT byte, step + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE step < 8),
+ crc AS (SELECT list(v ORDER BY byte) AS t FROM bits WHERE step = 8),
+ texts AS (SELECT false AS aim, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT true, -row_number() OVER (), NULL, text FROM benchmark),
+ words AS (SELECT aim, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+ placed AS (SELECT aim, rid, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+ runs AS (SELECT aim, rid, unnest([w[i], CASE WHEN i < len(w) THEN w[i] || ' ' || w[i + 1] END, CASE WHEN i + 1 < len(w) THEN w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END]) AS g FROM placed),
+ kinds AS (SELECT g, hex(g) AS h FROM (SELECT DISTINCT g FROM runs WHERE g IS NOT NULL)),
+ sums AS (SELECT g, xor(list_reduce(list_transform(range(1, len(h), 2), lambda k: CAST(16 * (strpos('0123456789ABCDEF', h[k]) - 1) + strpos('0123456789ABCDEF', h[k + 1]) - 1 AS BIGINT)), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket FROM kinds, crc),
+ found AS (SELECT aim, rid, bucket, count(*) AS n FROM runs JOIN sums USING (g) GROUP BY ALL),
+ sides AS (SELECT bucket, sum(n) FILTER (NOT aim) AS s, sum(n) FILTER (aim) AS t FROM found GROUP BY bucket),
+ whole AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM sides),
+ gains AS (SELECT bucket, floor(1000 * ln(CAST((coalesce(sides.t, 0) + 1) * (whole.s + 10000) AS DOUBLE) / CAST((coalesce(sides.s, 0) + 1) * (whole.t + 10000) AS DOUBLE))) AS gain FROM sides, whole),
+ weights AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM found JOIN gains USING (bucket) WHERE NOT aim GROUP BY rid),
+ drawn AS (SELECT rid, doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM words LEFT JOIN weights USING (rid) WHERE NOT aim),
+ scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM drawn),
+ ranked AS (SELECT *, row_number() OVER (ORDER BY fit DESC, score DESC, doc_id NULLS LAST) AS r FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * (SELECT count(*) FROM ranked WHERE fit) // 100 THEN r END AS rank FROM ranked"""
+
 ORACLES: dict[str, str] = {
+    "op12_resampling": RESAMPLING,
     "op2_pii": _pii_sql(),
     "op4_licenses": _license_sql(),
     "op8_neighbours": """
