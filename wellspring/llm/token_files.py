@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,7 +31,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_TOKENS = 1 << 18
 SEGMENTS_PER_FILE = 64
-CACHE_PARTS = 300_000
+CACHE_PARTS = 600_000
 CACHED_LENGTH = 64
 HEAD = struct.Struct("<8sQQQQQQQI")
 MAGIC = b"PFOR-1\r\n"
@@ -50,10 +51,16 @@ DOCS = "doc_id long, part long, place long, n_tokens long, ids_crc32 long"
 
 #: The rules of the tokenizer that the cache repeats.
 PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\\s{L}{N}]+|\\s+(?!\\S)|\\s+"
 
 #: Where letters, numbers and white space mean the same to all pattern engines: below U+0250, without separator controls, U+0085 and U+00A0.
-_PLAIN = regex.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]")
+_PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]")
+
+
+def _pattern() -> re.Pattern:
+    """The tokenizer's pattern for plain texts, its letters and numbers written out."""
+    of = lambda kind: "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
+    return re.compile(SPLIT.replace("{L}", of("L")).replace("{N}", of("N")))
 
 
 class PartCache:
@@ -72,7 +79,7 @@ class PartCache:
         own = json.loads(self.tokenizer.to_str())
         self.known = own["normalizer"] is None and own["pre_tokenizer"] == PRE_TOKENIZER
         self.special = [t["content"] for t in own["added_tokens"]]
-        self.model, self.letters, self.split = self.tokenizer.model, _byte_letters(), regex.compile(SPLIT)
+        self.model, self.letters, self.split = self.tokenizer.model, _byte_letters(), _pattern()
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
