@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, near_dedup, neighbours, packing, pii, quality, resample, secrets, token_files, toxicity
+from . import decontaminate, html_text, licenses, near_dedup, neighbours, packing, pii, quality, resample, secrets, token_files, toxicity, turns
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired(table(spark, sf_dir, "conversations", spread=True))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
@@ -79,7 +83,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(table(spark, sf_dir, "documents", spread=True), byte_tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_secrets, op4_licenses, op5_packing, op6_html, op7_near_dedup, op8_neighbours, op9_toxicity, op10_decontamination, op12_resampling, op13_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_secrets, op4_licenses, op5_packing, op6_html, op7_near_dedup, op8_neighbours, op9_toxicity, op10_decontamination, op11_turns, op12_resampling, op13_token_files)}
 
 
 def _license_sql() -> str:
@@ -156,7 +160,36 @@ WITH RECURSIVE bits(byte, step, v) AS (SELECT CAST(range AS BIGINT), 0, CAST(ran
  ranked AS (SELECT *, row_number() OVER (ORDER BY fit DESC, score DESC, doc_id NULLS LAST) AS r FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * (SELECT count(*) FROM ranked WHERE fit) // 100 THEN r END AS rank FROM ranked"""
 
+#: Layers of a recursive query, which carries audit strings and repaired lines themselves.
+TURNS = r"""
+WITH RECURSIVE bits(byte, step, v) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256) UNION ALL SELECT byte, step + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE step < 8),
+ crc AS (SELECT list(v ORDER BY byte) AS t FROM bits WHERE step = 8),
+ ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+ keyed AS (SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(coalesce(CAST(v.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS h FROM conversations v JOIN ids ON v.conv_id IS NOT DISTINCT FROM ids.conv_id),
+ harm AS (SELECT *, xor(list_reduce(list_transform(range(1, len(h), 2), lambda k: CAST(16 * (strpos('0123456789ABCDEF', h[k]) - 1) + strpos('0123456789ABCDEF', h[k + 1]) - 1 AS BIGINT)), lambda r, b: xor(t[xor(r & 255, b) + 1], r >> 8), 4294967295), 4294967295) % 20 AS kind FROM keyed, crc),
+ damaged AS (SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS nth FROM harm),
+ placed AS (SELECT c, turn, role, left(role, 1) AS i, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text), nth) AS k FROM damaged),
+ judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS kind, lag(i) OVER (PARTITION BY c ORDER BY k) || i AS pair FROM placed),
+ sums AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'b') AS blank, count(*) FILTER (kind = 'd') AS duplicate, count(*) FILTER (kind = 't') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY c),
+ turns(s, e, r) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+ inserts AS (SELECT s, s AS e, '' AS letters, '' AS new FROM turns UNION ALL SELECT s, e, 'I', chr(10) || r || ':' FROM turns UNION ALL SELECT x.s, y.e, 'II', chr(10) || x.r || ':' || chr(10) || y.r || ':' FROM turns x JOIN turns y ON x.e = y.s),
+ ways(c, k, s, cost, audit, lines) AS (
+  SELECT c, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), '', '' FROM ids
+  UNION ALL
+  SELECT c, k, e, cost, audit, lines FROM (
+   SELECT w.c, j.k, m.e, w.cost + 2 * len(x.letters) + m.cost AS cost, w.audit || x.letters || m.letter AS audit, w.lines || x.new || m.new AS lines
+   FROM ways w JOIN judged j ON j.c = w.c AND j.k = w.k + 1 JOIN inserts x ON x.s = w.s
+   JOIN turns y ON y.s = x.e, LATERAL (
+    SELECT 'D' AS letter, x.e AS e, 3 AS cost, '' AS new
+    UNION ALL SELECT 'R', y.e, 2 + CAST(j.kind = 't' AS INTEGER), chr(10) || y.r || ':' || j.text WHERE j.kind NOT IN ('b', 'd')
+    UNION ALL SELECT 'K', j.i, CAST(j.kind = 't' AS INTEGER), chr(10) || j.role || ':' || j.text WHERE j.kind NOT IN ('b', 'd') AND (j.i = y.e OR (j.i = 's' AND x.e = ''))) m)
+  QUALIFY row_number() OVER (PARTITION BY c, e ORDER BY cost, audit) = 1),
+ ended AS (SELECT c, w.cost + 2 * len(letters) AS cost, audit || letters AS audit, lines || new AS lines FROM ways w JOIN inserts USING (s) LEFT JOIN sums USING (c) WHERE w.k = coalesce(n, 0) AND e IN ('', 'a') QUALIFY row_number() OVER (PARTITION BY c ORDER BY w.cost + 2 * len(letters), audit || letters) = 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(substr(lines, 2)) AS repaired_sha256
+FROM ids JOIN ended USING (c) LEFT JOIN sums USING (c)"""
+
 ORACLES: dict[str, str] = {
+    "op11_turns": TURNS,
     "op12_resampling": RESAMPLING,
     "op2_pii": _pii_sql(),
     "op4_licenses": _license_sql(),
