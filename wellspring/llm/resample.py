@@ -6,7 +6,7 @@ The counts are spilled to Parquet, with one row of sums a partition; Spark merge
 over the target, turns each bucket into a gain (log of the ratio of smoothed shares) and scores every document
 from its spilled counts.
 
-How it scales.  Texts are read once and never shuffled; a slice holds a few million characters, and a longer text
+How it scales.  Texts are read once and never shuffled; a slice holds some 400,000 characters, and a longer text
 is cut between words into pieces that see the two words after them, so a task's memory has a bound and no run of
 words is lost.  What is merged is ``buckets`` rows a partition.  Ranks come from a sort by ranges of five numbers
 a document (``operators.ranking``), not from one task.
@@ -33,8 +33,8 @@ from ..operators.ranking import numbered
 from .common import discard, materialize
 
 BUCKETS = 10_000
-SLICE = 2_000_000
-MEMORY = "512MB"
+SLICE = 400_000
+MEMORY = "256MB"
 COUNTS = "doc_id long, n_words long, n_features long, buckets array<int>, counts array<long>, total boolean"
 
 _WORD = re.compile("[A-Za-z0-9\x80-\U0010ffff]+")
