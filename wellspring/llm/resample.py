@@ -6,7 +6,7 @@ The counts are spilled to Parquet, with one row of sums a partition; Spark merge
 over the target, turns each bucket into a gain (log of the ratio of smoothed shares) and scores every document
 from its spilled counts.
 
-How it scales.  Texts are read once and never shuffled; a slice holds some 400,000 characters, and a longer text
+How it scales.  Texts are read once and never shuffled; a slice holds about a million characters, and a longer text
 is cut between words into pieces that see the two words after them, so a task's memory has a bound and no run of
 words is lost.  What is merged is ``buckets`` rows a partition.  Ranks come from a sort by ranges of five numbers
 a document (``operators.ranking``), not from one task.
@@ -23,6 +23,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from ..operators.ranking import numbered
 from .common import discard, materialize
 
 BUCKETS = 10_000
-SLICE = 400_000
+SLICE = 1_000_000
 MEMORY = "256MB"
 COUNTS = "doc_id long, n_words long, n_features long, buckets array<int>, counts array<long>, total boolean"
 
@@ -93,22 +94,29 @@ class _Shifts:
         return out
 
 
+def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+@lru_cache(maxsize=2)
 def _connection(buckets: int):
-    """DuckDB on one thread with the checksum functions; and its query."""
+    """DuckDB on one thread with the checksum functions, one for all tasks of a worker; and its query."""
     import duckdb
 
     shifts, blank = _Shifts(), np.uint32(zlib.crc32(b" "))
 
     def crc(words: pa.ChunkedArray) -> pa.Array:
-        out = []
-        for c in words.chunks if isinstance(words, pa.ChunkedArray) else [words]:
-            out += [zlib.crc32(w.encode()) for w in c.to_pylist()]
-        return pa.array(out, pa.int64())
+        """zlib's checksum of each word, read from the column's own bytes."""
+        raw = _one(words).cast(pa.binary())
+        ends = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].tolist()
+        data = raw.buffers()[2].to_pybytes() if raw.buffers()[2] else b""
+        return pa.array([zlib.crc32(data[x:y]) for x, y in zip(ends, ends[1:])], pa.int64())
 
     def join(a: pa.ChunkedArray, b: pa.ChunkedArray, n: pa.ChunkedArray) -> pa.Array:
         """Checksum of a text, a blank and a word of n bytes, from those of text and word."""
-        there = b.is_valid().to_numpy(zero_copy_only=False) if isinstance(b, pa.Array) else b.combine_chunks().is_valid().to_numpy(zero_copy_only=False)
-        a, b, n = (np.asarray(x.fill_null(0)) for x in (a, b, n))
+        a, b, n = map(_one, (a, b, n))
+        there = b.is_valid().to_numpy(zero_copy_only=False)
+        a, b, n = (x.fill_null(0).to_numpy() for x in (a, b, n))
         spaced = shifts.past(a.astype(np.uint32), np.ones(len(a), dtype=np.int64)) ^ blank
         return pa.array((shifts.past(spaced, n) ^ b.astype(np.uint32)).astype(np.int64), mask=~there)
 
@@ -131,8 +139,8 @@ def pieces(text: str, size: int) -> Iterator[tuple[str, str]]:
     yield text[at:], ""
 
 
-def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, slice_chars: int = SLICE) -> DataFrame:
-    """n_words, n_features and counts of the buckets of each text, spilled; and a row of sums (``total``) a partition."""
+def counter(buckets: int, slice_chars: int):
+    """What a task does with its batches."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, query = _connection(buckets)
@@ -142,7 +150,7 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, slice_chars: int = SL
             con.register("pieces", pa.table({"piece": pa.array(range(len(cut)), pa.int64()), "row": pa.array([c[0] for c in cut], pa.int64()), "body": pa.array([c[1] for c in cut], pa.string()), "next": pa.array([c[2] for c in cut], pa.string())}))
             found = con.sql(query).to_arrow_table()
             row, bucket, n = (found.column(i).to_numpy() for i in range(3))
-            np.add.at(sums, bucket, n)
+            sums[:] += np.bincount(bucket, weights=n, minlength=buckets).astype(np.int64)
             ends = np.searchsorted(row, np.arange(len(ids)), side="right")
             features = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(n)])[ends]]).astype(np.int64))
             # f features of w words: f = w + (w - 1) + (w - 2), without those below zero
@@ -163,13 +171,18 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, slice_chars: int = SL
                     ids, cut, held = [], [], 0
         if ids:
             yield run(ids, cut)
-        con.close()
         some = np.flatnonzero(sums)
         one = [pa.array([v], t) for v, t in ((some, pa.list_(pa.int32())), (sums[some], pa.list_(pa.int64())))]
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([int(sums.sum())]), *one, pa.array([True])], names=NAMES)
 
+    return count
+
+
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, slice_chars: int = SLICE) -> DataFrame:
+    """n_words, n_features and counts of the buckets of each text, spilled; and a row of sums (``total``) a partition."""
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(texts.mapInArrow(count, COUNTS), "bucket_counts")
+    return materialize(texts.mapInArrow(counter(buckets, slice_chars), COUNTS), "bucket_counts")
 
 
 NAMES = ["doc_id", "n_words", "n_features", "buckets", "counts", "total"]
@@ -194,15 +207,11 @@ def gains(target: np.ndarray, corpus: np.ndarray) -> np.ndarray:
 def scored(counted: DataFrame, gain: np.ndarray, seed: int = 42) -> DataFrame:
     """doc_id, n_words, n_features, weight and score of each document from its spilled counts."""
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists, counts = b.column(3), b.column(4)
-            per = gain[lists.flatten().to_numpy()] * counts.flatten().to_numpy()
-            ends = np.concatenate([[0], np.cumsum(per)])
-            size = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(np.diff(ends[size]).astype(np.int64))], names=[*NAMES[:3], "weight"])
-
-    weighed = counted.where(~F.col("total")).mapInArrow(weigh, "doc_id long, n_words long, n_features long, weight long")
+    # a literal of ``buckets`` numbers; rows stay in the JVM
+    table = F.from_json(F.lit(str(gain.tolist())), "array<bigint>")
+    products = F.zip_with("buckets", "counts", lambda b, n: F.get(table, b) * n)
+    weight = F.aggregate(products, F.lit(0).cast("long"), lambda a, x: a + x)
+    weighed = counted.where(~F.col("total")).select("doc_id", "n_words", "n_features", weight.alias("weight"))
     drawn = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((drawn + 0.5) / 4294967296.0)))
     return weighed.withColumn("score", (F.col("weight") + noise).cast("long"))
