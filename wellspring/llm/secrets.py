@@ -27,6 +27,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,7 @@ _NEXT = re.compile(r"[ \t]*[(\\]?[ \t]*\r?\n")
 _QUOTE = re.compile(r"[ \t]*[\"'`]")
 _ALONE = re.compile(r"[A-Za-z0-9_$+/][\w$./+-]*+=*+|-----[A-Z0-9 ]+-----")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|\|\|)[ \t]*(?=[\"'`A-Za-z_$])")
+_INNER = re.compile(r"\S([^\S\n]++)(?=\S)")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -69,51 +71,92 @@ def name_weight(name: str) -> float:
     return min(0.7, max((SENSITIVE.get(w, 0.0) for w in words + pairs), default=0.0) + 0.1 * (sum(w in SENSITIVE for w in words) > 1))
 
 
+def _count(value: str) -> Counter:
+    """How often each character stands in ``value``."""
+    if len(value) < 4096:
+        return Counter(value)
+    codes = np.bincount(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+    return Counter({chr(c): int(codes[c]) for c in np.flatnonzero(codes)})
+
+
 def _worth(weight: float, counts: Counter) -> float:
-    """Score of characters bound to a name of that weight."""
+    """Score of characters bound to a name of that weight; none score 0."""
     n = counts.total()
+    if not n:
+        return 0.0
     kinds = set("a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in counts)
     entropy = math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n
     return min(1.0, weight + 0.06 * min(entropy, 4.0) + 0.05 * len(kinds) - (0.35 if len(kinds) < 2 else 0.0) - (0.1 if n < 8 else 0.0))
 
 
-def _scored(weight: float, value: str) -> float:
-    if not weight:
+def _is_prose(text: str, start: int, end: int) -> bool:
+    """Whether a line holds a blank between other characters, keys' headings aside; stops at the first."""
+    for m in _INNER.finditer(text, start, end):
+        if " " in m[1]:
+            line = text.rfind("\n", start, m.start()) + 1 or start
+            stop = text.find("\n", m.end(), end)
+            if " " in PEM.sub("", text[line : stop if stop >= 0 else end]).strip():
+                return True
+    return False
+
+
+def _scored(weight: float, text: str, start: int, end: int) -> float:
+    """Score of the literal ``text[start:end]``."""
+    if not weight or end - start < 6 or _is_prose(text, start, end):
         return 0.0
+    return _scored_plain(weight, text, start, end)
+
+
+def _scored_plain(weight: float, text: str, start: int, end: int) -> float:
+    value = text[start:end]
     if "-----" in value:
         value = PEM.sub("", value)
     if "\n" in value:
         value = "\n".join(line.strip() for line in value.split("\n"))
     if len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip():
         return 0.0
-    return _worth(weight, Counter(value))
+    return _worth(weight, _count(value))
 
 
 def literal_score(name: str, value: str) -> float:
     """How likely ``value`` is a secret when bound to ``name``, from 0 to 1."""
-    return _scored(name_weight(name), value)
-
-
-def _indent(line: str) -> int:
-    return len(line) - len(line.lstrip(" \t"))
-
-
-def _block(text: str, at: int, pos: int, plain: bool) -> tuple[int, int] | None:
-    """Span of the lines from ``pos`` on that are indented deeper than the line of ``at``; of bare words alone if ``plain``."""
-    base = _indent(text[text.rfind("\n", 0, at) + 1 : at])
-    first, end = -1, -1
-    while pos < len(text):
-        stop = text.find("\n", pos)
-        line = text[pos : stop if stop >= 0 else len(text)]
-        body = line.strip()
-        if body:
-            if _indent(line) <= base or plain and not _ALONE.fullmatch(body):
-                break
-            first, end = first if first >= 0 else pos + _indent(line), pos + len(line.rstrip())
-        elif plain:
-            break
-        pos += len(line) + 1
-    return (first, end) if first >= 0 else None
+    return _scored(name_weight(name), value, 0, len(value))
+
+
+class _Lines:
+    """Lines of a text with the blocks that are indented below them; each is found without reading its lines again."""
+
+    def __init__(self, text: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        lines = [text[a:b] for a, b in zip(self.starts, [*self.starts[1:], len(text)])]
+        self.indent = [len(x) - len(x.lstrip(" \t")) for x in lines]
+        self.stop = [a + len(x.rstrip()) for a, x in zip(self.starts, lines)]
+        bodies = [x.strip() for x in lines]
+        n = len(lines)
+        self.below = [n] * n  # the next line that is not indented deeper
+        self.run = [0] * n  # the end of the run of bare words that begins here
+        self.solid = [n] * (n + 1)  # the first line from here on that holds anything
+        self.filled = [-1] * (n + 1)  # the last line before here that holds anything
+        open_lines: list[int] = []
+        for i in range(n):
+            self.filled[i + 1] = i if bodies[i] else self.filled[i]
+            if bodies[i]:
+                while open_lines and self.indent[open_lines[-1]] >= self.indent[i]:
+                    self.below[open_lines.pop()] = i
+                open_lines.append(i)
+        for i in reversed(range(n)):
+            self.solid[i] = i if bodies[i] else self.solid[i + 1]
+            if bodies[i] and _ALONE.fullmatch(bodies[i]):
+                self.run[i] = self.run[i + 1] if i + 1 < n and self.run[i + 1] else i + 1
+
+    def block(self, at: int, plain: bool) -> tuple[int, int] | None:
+        """Span of the lines below that of ``at`` that are indented deeper; of bare words alone if ``plain``."""
+        i = bisect_right(self.starts, at) - 1
+        end = min(self.below[i], self.run[i + 1]) if plain and i + 1 < len(self.run) else self.below[i]
+        first = self.solid[i + 1]
+        if first >= end:
+            return None
+        return self.starts[first] + self.indent[first], self.stop[self.filled[end]]
 
 
 def _name(text: str, at: int) -> re.Match | None:
@@ -136,23 +179,34 @@ def _name(text: str, at: int) -> re.Match | None:
 class Binding:
     """A name bound to literals and to other bindings; counts are of the characters of all of them."""
 
-    __slots__ = ("weight", "spans", "parts", "counts", "hot")
+    __slots__ = ("weight", "spans", "parts", "hot", "_counts", "_leaf")
 
     def __init__(self, weight: float, spans: list[tuple[int, int]], parts: list[Binding], text: str):
         self.weight, self.spans, self.parts, self.hot = weight, spans, parts, False
-        if len(spans) + len(parts) == 1:
-            self.counts = parts[0].counts if parts else Counter(text[spans[0][0] : spans[0][1]])
-        else:
-            self.counts = Counter()
+        self._counts, self._leaf = None, (text, *spans[0]) if len(spans) == 1 and not parts else None
+        if not self._leaf:
+            self._counts = parts[0].counts if not spans and len(parts) == 1 else Counter()
             for s, e in spans:
-                self.counts.update(text[s:e])
-            for x in dict.fromkeys(parts):
-                if len(self.counts) < 256:  # more letters than that tell nothing new
-                    self.counts.update(x.counts)
+                self._counts.update(self._letters(text, s, e))
+            for x in dict.fromkeys(parts) if len(spans) + len(parts) > 1 else ():
+                if len(self._counts) < 256:  # more letters than that tell nothing new
+                    self._counts.update(x.counts)
+
+    @property
+    def counts(self) -> Counter:
+        """Of a single literal they are made when first asked for."""
+        if self._counts is None:
+            self._counts = self._letters(*self._leaf)
+        return self._counts
+
+    @staticmethod
+    def _letters(text: str, start: int, end: int) -> Counter:
+        """Counts of a literal; of one with blanks only that it has some, for then they are not asked for."""
+        return Counter(" ") if text.find(" ", start, end) >= 0 else _count(text[start:end])
 
     def score(self, text: str) -> float:
         """The best of its literals' scores and of that of all together."""
-        best = max((_scored(self.weight, text[s:e]) for s, e in self.spans), default=0.0)
+        best = max((_scored(self.weight, text, s, e) for s, e in self.spans), default=0.0)
         if len(self.spans) + len(self.parts) > 1 and " " not in self.counts:
             best = max(best, _worth(self.weight, self.counts))
         return best
@@ -161,6 +215,7 @@ class Binding:
 def bindings(text: str) -> list[Binding]:
     """All assignments of literals or of names that are bound somewhere to literals."""
     out: list[Binding] = []
+    lines: _Lines | None = None
     bound: dict[str, Binding] = {}
     later: dict[str, list[Binding]] = {}  # who names what is not bound yet
     at = -1
@@ -196,13 +251,15 @@ def bindings(text: str) -> list[Binding]:
                 open_names.append(word)
 
         if text[at] == ":" and (m := _BLOCK.match(text, pos)):
-            spans = [b] if (b := _block(text, at, m.end(), False)) else []
+            lines = lines or _Lines(text)
+            spans = [b] if (b := lines.block(at, False)) else []
             pos = len(text)
         elif m := _NEXT.match(text, pos):
             if _QUOTE.match(text, m.end()):
                 pos = m.end()
             else:
-                if b := _block(text, at, m.end(), True):
+                lines = lines or _Lines(text)
+                if b := lines.block(at, True):
                     bare(*b)
                 pos = len(text)
         while m := _ITEM.match(text, pos):
