@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,77 +18,20 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, materialize
 from .joins import knn_edges
+from .pca import PcaModel, fit_vectors, score_vectors
 from .sampling import sample_n
 
 MAX_ROWS = 20_000
 
 
-@dataclass(frozen=True)
-class PcaModel:
-    mean: np.ndarray
-    components: np.ndarray  # k x features
-    ratio: np.ndarray
-    names: tuple[str, ...]
-
-    def loadings(self, spark) -> DataFrame:
-        rows = [(f, i + 1, float(v)) for i, c in enumerate(self.components) for f, v in zip(self.names, c)]
-        return spark.createDataFrame(rows, "feature string, pc int, loading double")
-
-
 def pca_fit(df: DataFrame, features: Sequence[str], k: int | None = None, variance: float | None = None, cap: int = 30) -> PcaModel:
-    """Principal components from sums of products in one pass; the sign makes each largest loading positive.
-
-    ``k`` components, or as few as reach ``variance`` (at most ``cap``).
-    """
-    p = len(features)
-    if k is not None and not 2 <= k <= p:
-        raise ValueError("k lies between 2 and the number of features")
-    arr = F.array(*[F.col(f).cast("double") for f in features])
-    n = df.count()
-
-    def part(batches):
-        g, s, m = np.zeros((p, p)), np.zeros(p), 0
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, p))
-            if np.isnan(x).any():
-                raise ValueError("features hold missing values")
-            g += x.T @ x
-            s += x.sum(axis=0)
-            m += len(x)
-        yield pd.DataFrame({"g": [g.ravel().tolist()], "s": [s.tolist()], "n": [m]})
-
-    parts = df.select(arr.alias("x")).mapInPandas(part, "g array<double>, s array<double>, n long")
-    # partial sums are features squared each, however many rows there are; they are added in the JVM
-    add = lambda c: [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(p * p if c == "g" else p)]
-    if p <= 40:
-        row = parts.agg(*add("g"), *add("s")).first()
-        g = np.array([row[f"g{i}"] for i in range(p * p)]).reshape(p, p)
-        s = np.array([row[f"s{i}"] for i in range(p)])
-    else:
-        long = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-        g = np.zeros(p * p)
-        for r in long:
-            g[r["i"]] = r["v"]
-        g = g.reshape(p, p)
-        s = np.zeros(p)
-        for r in parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
-            s[r["i"]] = r["v"]
-    mean = s / n
-    cov = (g - n * np.outer(mean, mean)) / max(n - 1, 1)
-    val, vec = np.linalg.eigh(cov)
-    val, vec = np.maximum(val[::-1], 0), vec[:, ::-1].T
-    ratio = val / val.sum() if val.sum() > 0 else val
-    if k is None:
-        k = min(cap, p, int(np.searchsorted(np.cumsum(ratio), variance or 0.9) + 1))
-    vec = vec[:k] * np.sign(vec[np.arange(k), np.abs(vec[:k]).argmax(axis=1)])[:, None]
-    return PcaModel(mean, vec, ratio[:k], tuple(features))
+    """Principal components of named columns: ``k`` of them, or as few as reach ``variance`` (at most ``cap``)."""
+    return fit_vectors(df, F.array(*[F.col(f"`{f}`").cast("double") for f in features]), k, variance, cap, features)
 
 
 def pca_scores(df: DataFrame, model: PcaModel, out: str = "x_pca") -> DataFrame:
-    """Adds an array of scores; plain column arithmetic within generated code."""
-    centred = [F.col(f) - float(m) for f, m in zip(model.names, model.mean)]
-    comp = [sum((c * float(w) for c, w in zip(centred, row)), F.lit(0.0)) for row in model.components]
-    return df.withColumn(out, F.array(*comp))
+    """Adds an array of scores from the model's named columns."""
+    return score_vectors(df, model, F.array(*[F.col(f"`{f}`").cast("double") for f in model.names]), out)
 
 
 def kmeans(df: DataFrame, k: int, vec: str = "vec", starts: int = 10, seed: int = 0, out: str = "cluster", max_iter: int = 300) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, stats
-from ..operators import embedding, filters, image, joins, normalize, outliers, presentation, quality, sampling, selection
+from ..operators import embedding, filters, image, joins, normalize, outliers, pca, presentation, quality, sampling, selection
 from ..sources import plates, tables
 from ..sources.shared import shared_dir
 from . import screen, views
@@ -734,12 +734,40 @@ def jaccard_graph(spark, sf_dir):
     return rounded(embedding.jaccard_graph(joins.knn_edges(v, v, 10, same=True)))
 
 
-@query()
+#: Components of a matrix ``cov(c)`` (rows of four in one list) and means ``mid(m)``: squared until its largest
+#: component alone is left, then that one is taken out and the next begins.
+COMPONENTS = """eig AS (SELECT 0 AS pc, 0 AS step, c AS base, c AS m, CAST([] AS DOUBLE[]) AS vec, CAST(0 AS DOUBLE) AS val FROM cov
+  UNION ALL SELECT CASE WHEN step = 60 THEN pc + 1 ELSE pc END, CASE WHEN step = 60 THEN 0 ELSE step + 1 END,
+    CASE WHEN step = 60 THEN list_transform(range(16), lambda i: base[i + 1] - val1 * v1[i // 4 + 1] * v1[i % 4 + 1]) ELSE base END,
+    CASE WHEN step = 60 THEN list_transform(range(16), lambda i: base[i + 1] - val1 * v1[i // 4 + 1] * v1[i % 4 + 1]) ELSE
+      list_transform(range(16), lambda i: list_sum(list_transform(range(4), lambda k: m[i // 4 * 4 + k + 1] / big * (m[k * 4 + i % 4 + 1] / big)))) END,
+    CASE WHEN step = 60 THEN v1 ELSE vec END, CASE WHEN step = 60 THEN val1 ELSE val END
+  FROM (SELECT *, list_sum(list_transform(range(16), lambda i: base[i + 1] * v1[i // 4 + 1] * v1[i % 4 + 1])) AS val1 FROM (
+    SELECT *, list_transform(col, lambda x: x / sqrt(list_sum(list_transform(col, lambda y: y * y)))) AS v1 FROM (
+      SELECT *, greatest(list_max(m), -list_min(m), 1e-300) AS big, list_transform(range(4), lambda i: m[i * 4 + top] / greatest(list_max(m), -list_min(m), 1e-300)) AS col FROM (
+        SELECT *, list_position(list_transform(range(4), lambda j: m[j * 5 + 1]), list_max(list_transform(range(4), lambda j: m[j * 5 + 1]))) AS top FROM eig WHERE pc < 4)))))
+, comp AS (SELECT pc, val, list_transform(vec, lambda x: x * CASE WHEN list_max(vec) >= -list_min(vec) THEN 1 ELSE -1 END) AS w FROM eig WHERE step = 0 AND pc > 0)"""
+PAIRS = "[" + ", ".join(f"covar_samp(f{i}, f{j})" for i in range(4) for j in range(4)) + "]"
+
+
+@query("""SELECT plate, well, round(list_sum([(f0 - m[1]) * a.w[1], (f1 - m[2]) * a.w[2], (f2 - m[3]) * a.w[3], (f3 - m[4]) * a.w[4]]), 4) + 0.0 AS pc1, round(list_sum([(f0 - m[1]) * b.w[1], (f1 - m[2]) * b.w[2], (f2 - m[3]) * b.w[3], (f3 - m[4]) * b.w[4]]), 4) + 0.0 AS pc2
+  FROM f, mid, comp a, comp b WHERE a.pc = 1 AND b.pc = 2""", "RECURSIVE " + OBJ + ", f AS (SELECT plate, well, l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3 FROM obj), mid AS (SELECT [avg(f0), avg(f1), avg(f2), avg(f3)] AS m FROM f), cov AS (SELECT " + PAIRS + " AS c FROM f), " + COMPONENTS)
 def pca_scores(spark, sf_dir):
     o = views.objects_li(spark, sf_dir)
     return rounded(embedding.pca_scores(o, embedding.pca_fit(o, list(FEATURES), 2)).select("plate", "well", F.get("x_pca", F.lit(0)).alias("pc1"), F.get("x_pca", F.lit(1)).alias("pc2")), 4)
 
 
+@query("""SELECT plate, well, l_orderkey, l_linenumber, CAST(pc AS INTEGER) AS pc, round(list_sum([(f0 - m[1]) * w[1], (f1 - m[2]) * w[2], (f2 - m[3]) * w[3], (f3 - m[4]) * w[4]]), 6) + 0.0 AS score, round(val / (SELECT sum(val) FROM comp), 6) + 0.0 AS ratio
+  FROM f, mid, comp WHERE pc <= (SELECT count(*) + 1 FROM (SELECT sum(val) OVER (ORDER BY pc) / (SELECT sum(val) FROM comp) AS share FROM comp) WHERE share < 0.8)""", "RECURSIVE " + OBJ + ", f AS (SELECT plate, well, l_orderkey, l_linenumber, l_quantity / 14 AS f0, l_extendedprice / 25000 AS f1, l_discount * 30 AS f2, l_tax * 40 AS f3 FROM obj), mid AS (SELECT [avg(f0), avg(f1), avg(f2), avg(f3)] AS m FROM f), cov AS (SELECT " + PAIRS + " AS c FROM f), " + COMPONENTS)
+def pca_variance_cut(spark, sf_dir):
+    o = views.objects_li(spark, sf_dir)
+    o = o.select("plate", "well", "l_orderkey", "l_linenumber", F.array(F.col("l_quantity") / 14, F.col("l_extendedprice") / 25000, F.col("l_discount") * 30, F.col("l_tax") * 40).alias("vec"))
+    model = pca.fit_vectors(o, variance=0.8)
+    scores = pca.score_vectors(o, model).select("plate", "well", "l_orderkey", "l_linenumber", F.posexplode("x_pca").alias("pc", "score"))
+    ratio = F.get(F.array(*[F.lit(float(r)) for r in model.ratio]), F.col("pc"))
+    return rounded(scores.select("plate", "well", "l_orderkey", "l_linenumber", (F.col("pc") + 1).alias("pc"), "score", ratio.alias("ratio")))
+
+
 @query("""SELECT plate, well, round((q - mq) * ux + (p - mp) * uy, 4) + 0.0 AS pc1, round((q - mq) * vx + (p - mp) * vy, 4) + 0.0 AS pc2 FROM (SELECT plate, well, l_quantity AS q, l_extendedprice AS p FROM obj),
   (SELECT mq, mp, CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END * x AS ux, CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END * y AS uy, CASE WHEN abs(y) >= abs(x) THEN sign(-y) ELSE sign(x) END * -y AS vx, CASE WHEN abs(y) >= abs(x) THEN sign(-y) ELSE sign(x) END * x AS vy FROM (
     SELECT mq, mp, b / sqrt(pow(lam - a, 2) + b * b) AS x, (lam - a) / sqrt(pow(lam - a, 2) + b * b) AS y FROM (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS lam FROM (
