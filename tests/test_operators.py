@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wellspring.operators import embedding, filters, image, joins, normalize, outliers, presentation, quality, sampling, selection
+from wellspring.operators import embedding, filters, image, joins, neighbours, normalize, outliers, presentation, quality, sampling, selection
 
 
 def long_frame(spark, rows):
@@ -349,7 +349,7 @@ def test_plate_formats(spark):
 
 
 def test_neighbours_of_large_groups_meet_block_by_block(spark, monkeypatch):
-    monkeypatch.setattr(joins, "BLOCK", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(330, 4))
     group = np.where(np.arange(330) < 260, "a", "b")

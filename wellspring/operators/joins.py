@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.names import match_key
 from ..sources.shared import discard, materialize
+from .neighbours import knn_edges
 
 
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -143,87 +138,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-BLOCK = 4096
-
-
-def _blocks(df: DataFrame, id_col: str, vec: str, keys: Sequence[str], prefix: str, blocks: int | None) -> DataFrame:
-    """keys, block number, ids and vectors of at most about BLOCK rows of a group, dealt by a hash of the id."""
-    rows = df.select(*keys, F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    if blocks is None and not keys:
-        blocks = max(1, math.ceil(rows.count() / BLOCK))
-    if blocks is not None:
-        rows = rows.withColumn("n", F.lit(blocks))
-    else:
-        sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-        rows = rows.join(sizes, list(keys))
-    rows = rows.withColumn(f"{prefix}block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    packed = rows.groupBy(*keys, f"{prefix}block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("r"))
-    return packed.select(*keys, f"{prefix}block", F.transform("r", lambda x: x["id"]).alias(f"{prefix}ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias(f"{prefix}vecs"))
-
-
-def _nearest_in_tile(q: np.ndarray, r: np.ndarray, k: int, codes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query and reference places and distances of the k nearest of each query; reference rows are in tie order.
-
-    A matrix product finds candidates up to its rounding error; their distances are then summed in order.
-    """
-    out = []
-    norm = (r * r).sum(axis=1)
-    for at in range(0, len(q), 256):
-        part = q[at : at + 256]
-        own = (part * part).sum(axis=1)
-        near = own[:, None] + norm[None] - 2.0 * (part @ r.T)
-        if codes is not None:  # ids as numbers, those of the queries first
-            near[codes[at : at + len(part), None] == codes[None, len(q) :]] = np.inf
-        room = 1e-9 * (own + norm.max(initial=0.0)) + 1e-300
-        kth = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(part), np.inf)
-        i, j = np.nonzero((near <= (kth + room)[:, None]) & np.isfinite(near))
-        d = np.zeros(len(i))
-        for c in range(q.shape[1]):
-            d += (part[i, c] - r[j, c]) ** 2
-        d = np.sqrt(d)
-        order = np.lexsort((j, d, i))
-        i, j, d = i[order], j[order], d[order]
-        best = np.arange(len(i)) - np.searchsorted(i, i) < k
-        out.append((at + i[best], j[best], d[best]))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def knn_edges(queries: DataFrame, reference: DataFrame, k: int, q_id: str = "id", r_id: str = "id", vec: str = "vec", keys: Sequence[str] = (), same: bool = False, blocks: int | None = None) -> DataFrame:
-    """keys, src, dst, distance, rank: the k nearest reference rows of each query, ties to the smaller id.
-
-    Vectors of a group (of all rows without keys) are packed into blocks of at most about BLOCK rows; blocks
-    meet by an equi-join, a tile is one matrix product, and each tile hands on k rows per query, so no task
-    holds more than two blocks however large a group is.  All vectors have one length.
-    """
-    n = blocks or (None if keys else max(1, math.ceil(reference.count() / BLOCK)))
-    q, r = _blocks(queries, q_id, vec, keys, "q_", blocks), _blocks(reference, r_id, vec, keys, "r_", n)
-    if n is None:  # each block of queries meets each of its group's blocks by their numbers
-        q = q.join(reference.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("__n")), list(keys))
-    else:
-        q = q.withColumn("__n", F.lit(n))
-    q = q.withColumn("r_block", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))))
-    tiles = q.join(r, [*keys, "r_block"])
-    kinds = {f.name: f.dataType for f in tiles.schema}
-    want = T.StructType([*[T.StructField(c, kinds[c]) for c in keys], T.StructField("src", kinds["q_ids"].elementType), T.StructField("dst", kinds["r_ids"].elementType), T.StructField("distance", T.DoubleType())])
-    arrow = to_arrow_schema(want)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = {c: b.column(c) for c in b.schema.names}
-            for row in range(b.num_rows):
-                qi, ri = cols["q_ids"][row].values, cols["r_ids"][row].values
-                qv = np.asarray(cols["q_vecs"][row].values, dtype=float).reshape(len(qi), -1)
-                rv = np.asarray(cols["r_vecs"][row].values, dtype=float).reshape(len(ri), -1)
-                codes = pd.factorize(np.array([*qi.to_pylist(), *ri.to_pylist()], dtype=object))[0] if same else None
-                i, j, d = _nearest_in_tile(qv, rv, k, codes)
-                head = [pa.array([cols[c][row].as_py()] * len(i), type=arrow.field(c).type) for c in keys]
-                yield pa.RecordBatch.from_arrays([*head, qi.take(pa.array(i)), ri.take(pa.array(j)), pa.array(d)], schema=arrow)
-
-    both = tiles.select(*keys, "q_ids", "q_vecs", "r_ids", "r_vecs").mapInArrow(run, want)
-    rank = F.row_number().over(Window.partitionBy(*keys, "src").orderBy("distance", "dst"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def knn_label_transfer(reference: DataFrame, target: DataFrame, label: str, k: int = 15, ref_id: str = "id", target_id: str = "id", vec: str = "vec") -> DataFrame:
     """target id, label, share: majority label of the k nearest reference rows, ties to the smaller label."""
     edges = knn_edges(target, reference.where(F.col(label).isNotNull()), k, target_id, ref_id, vec)

@@ -284,6 +284,13 @@ def knn_edges(spark, sf_dir):
     return rounded(joins.knn_edges(v, v, 10, same=True).select("src", "dst", "distance", "rank"))
 
 
+@query("""SELECT label, src, dst, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT a.label, a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS rank FROM vec a JOIN vec b ON a.label = b.label AND a.id <> b.id) WHERE rank <= 5""", VEC)
+def knn_edges_pivots(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    return rounded(joins.knn_edges(v, v, 5, keys=("label",), same=True, blocks=24).select("label", "src", "dst", "distance", "rank"))
+
+
 @query("""SELECT id, label, round(n / total, 6) AS share FROM (
     SELECT src AS id, label, n, sum(n) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS r FROM (
       SELECT src, label, count(*) AS n FROM (SELECT a.id AS src, b.label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS k FROM vec a JOIN vec b ON a.id % 2 = 1 AND b.id % 2 = 0) WHERE k <= 15 GROUP BY src, label)) WHERE r = 1""", VEC)
