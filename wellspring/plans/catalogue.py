@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, stats
-from ..operators import embedding, filters, image, joins, normalize, outliers, pca, presentation, quality, sampling, selection
+from ..operators import crops, embedding, filters, image, joins, normalize, outliers, pca, presentation, quality, sampling, selection
 from ..sources import plates, tables
 from ..sources.shared import shared_dir
 from . import screen, views
@@ -875,6 +875,56 @@ def check_activity(spark, sf_dir):
     return rounded(screen.check_activity(views.long_li(spark, sf_dir)), 4)
 
 
+#: Pixels over their threshold after a blur of sigma 1 (nine taps, reflected), and the least pixel of each component of them.
+OVER = """taps AS (SELECT t, w / sum(w) OVER () AS w FROM (SELECT t, exp(-0.5 * t * t) AS w FROM (SELECT unnest(range(-4, 5)) AS t))),
+ down AS (SELECT p.k, p.r, p.c, p.y, p.x, sum(w * q.v) AS v FROM px p, taps JOIN px q ON q.k = p.k AND q.r = p.r AND q.c = p.c AND q.x = p.x AND q.y = CASE WHEN p.y + t < 0 THEN -1 - p.y - t WHEN p.y + t > 20 THEN 41 - p.y - t ELSE p.y + t END GROUP BY ALL),
+ blurred AS (SELECT p.k, p.r, p.c, p.y, p.x, sum(w * q.v) AS b FROM down p, taps JOIN down q ON q.k = p.k AND q.r = p.r AND q.c = p.c AND q.y = p.y AND q.x = CASE WHEN p.x + t < 0 THEN -1 - p.x - t WHEN p.x + t > 20 THEN 41 - p.x - t ELSE p.x + t END GROUP BY ALL),
+ seen AS (SELECT px.*, stain, m AND coalesce(b > final, false) AS o FROM px JOIN blurred USING (k, r, c, y, x) JOIN panel USING (r, c) WHERE stain <> ''),
+ parts AS (SELECT k, r, c, list(CASE WHEN o THEN y * 21 + x ELSE 1000 END ORDER BY y, x) AS now, CAST([] AS BIGINT[]) AS before FROM seen GROUP BY k, r, c
+   UNION ALL SELECT k, r, c, list_transform(range(441), lambda i: CASE WHEN now[i + 1] = 1000 THEN 1000 ELSE least(now[i + 1], now[now[i + 1] + 1], CASE WHEN i % 21 > 0 THEN now[i] ELSE 1000 END, CASE WHEN i % 21 < 20 THEN now[i + 2] ELSE 1000 END, CASE WHEN i > 20 THEN now[i - 20] ELSE 1000 END, CASE WHEN i < 420 THEN now[i + 22] ELSE 1000 END) END), now FROM parts WHERE now <> before),
+ pieces AS (SELECT k, r, c, len(list_filter(list_distinct(now), lambda v: v < 1000)) AS n_parts FROM parts WHERE now = before)"""
+
+
+def _panel(spark):
+    return spark.createDataFrame(list(views.PANEL), "round int, channel int, stain string, final double")
+
+
+@query("""SELECT object_id, 'R' || r || '__' || stain || '_' || s AS feature, round(value, 6) + 0.0 AS value FROM (UNPIVOT (
+    SELECT k AS object_id, r, stain, min(v) FILTER (m) AS "min", avg(v) FILTER (m) AS "mean", max(v) FILTER (m) AS "max", stddev_pop(v) FILTER (m) AS "std", quantile_cont(v, 0.5) FILTER (m) AS "Q50",
+      coalesce(min(v) FILTER (o), 0) AS "T_min", coalesce(avg(v) FILTER (o), 0) AS "T_mean", coalesce(max(v) FILTER (o), 0) AS "T_max", coalesce(stddev_pop(v) FILTER (o), 0) AS "T_std", coalesce(quantile_cont(v, 0.5) FILTER (o), 0) AS "T_Q50",
+      count(*) FILTER (o) * 0.25 AS "area_T", count(*) FILTER (o) / count(*) FILTER (m) AS "area_T_ratio", avg(v) FILTER (m) * count(*) FILTER (o) * 0.25 AS "potency",
+      coalesce(sqrt(pow(avg(y) FILTER (m) - avg(y) FILTER (o), 2) + pow(avg(x) FILTER (m) - avg(x) FILTER (o), 2)) / sqrt(count(*) FILTER (m)), 1.0) AS "asymmetry",
+      CAST(any_value(n_parts) AS DOUBLE) AS "substructures_count", coalesce(count(*) FILTER (o) * 0.25 / nullif(any_value(n_parts), 0), 0) AS "substructures_size"
+    FROM seen JOIN pieces USING (k, r, c) GROUP BY k, r, stain) ON COLUMNS(* EXCLUDE (object_id, r, stain)) INTO NAME s VALUE value)""", "RECURSIVE " + views.CROPS + ", " + OVER)
+def crop_intensities(spark, sf_dir):
+    return rounded(crops.features(views.crops(spark, sf_dir), _panel(spark), (0.5,), sigma=1.0, spacing=0.5, shape=False, correlate=False))
+
+
+@query("""SELECT k AS object_id, a || '--' || b || '_PearsonR' AS feature, CASE WHEN min(va) < max(va) AND min(vb) < max(vb) THEN round(corr(va, vb), 6) + 0.0 END AS value FROM (
+    SELECT p.k, p.n AS a, q.n AS b, p.v AS va, q.v AS vb FROM named p JOIN named q ON p.k = q.k AND p.y = q.y AND p.x = q.x AND p.n < q.n) GROUP BY 1, 2""", views.CROPS + ", named AS (SELECT k, y, x, v, 'R' || r || '__' || stain AS n FROM px JOIN panel USING (r, c) WHERE m AND stain <> '')")
+def crop_correlations(spark, sf_dir):
+    return rounded(crops.features(views.crops(spark, sf_dir), _panel(spark), shape=False, intensity=False))
+
+
+@query("""SELECT object_id, s AS feature, round(value, 6) + 0.0 AS value FROM (UNPIVOT (SELECT k AS object_id, n * 0.25 AS "area", cy AS "centroid_y", cx AS "centroid_x", CAST(y0 AS DOUBLE) AS "bbox_top", CAST(x0 AS DOUBLE) AS "bbox_left", CAST(y1 AS DOUBLE) AS "bbox_bottom", CAST(x1 AS DOUBLE) AS "bbox_right",
+      (y1 - y0) * (x1 - x0) * 0.25 AS "bbox_area", n / ((y1 - y0) * (x1 - x0)) AS "extent", 2 * sqrt(big) AS "axis_major_length", 2 * sqrt(small) AS "axis_minor_length", sqrt(1 - small / big) AS "eccentricity", sqrt(4 * n / pi()) / 2 AS "equivalent_diameter", sqrt(small) / sqrt(big) AS "AxisRatio", (x1 - x0) / (y1 - y0) AS "aspectRatio"
+    FROM (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS big, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS small FROM (
+      SELECT k, count(*) AS n, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1, var_pop(y) + 1.0 / 12 AS a, var_pop(x) + 1.0 / 12 AS c, covar_pop(y, x) AS b FROM px WHERE m AND r = 0 AND c = 1 GROUP BY k))) ON COLUMNS(* EXCLUDE (object_id)) INTO NAME s VALUE value)""", views.CROPS)
+def crop_geometry(spark, sf_dir):
+    names = ["area", "centroid_y", "centroid_x", "bbox_top", "bbox_left", "bbox_bottom", "bbox_right", "bbox_area", "extent", "axis_major_length", "axis_minor_length", "eccentricity", "equivalent_diameter", "AxisRatio", "aspectRatio"]
+    found = crops.features(views.crops(spark, sf_dir), _panel(spark), spacing=0.5, skeleton=False, intensity=False, correlate=False)
+    return rounded(found.where(F.col("feature").isin(names)))
+
+
+@query("""SELECT k AS object_id, CAST(len(list_filter(list_distinct(now), lambda v: v < 1000)) AS INTEGER) AS pieces, len(list_filter(list_distinct(now), lambda v: v < 1000)) <> 1 AS skipped FROM parts WHERE now = before""", "RECURSIVE " + views.CROPS + """,
+ parts AS (SELECT k, list(CASE WHEN m THEN y * 21 + x ELSE 1000 END ORDER BY y, x) AS now, CAST([] AS BIGINT[]) AS before FROM px WHERE r = 0 AND c = 1 GROUP BY k
+   UNION ALL SELECT k, list_transform(range(441), lambda i: CASE WHEN now[i + 1] = 1000 THEN 1000 ELSE list_min(list_transform(range(9), lambda j: CASE WHEN i // 21 + j // 3 - 1 BETWEEN 0 AND 20 AND i % 21 + j % 3 - 1 BETWEEN 0 AND 20 THEN now[i + (j // 3 - 1) * 21 + j % 3] ELSE 1000 END)) END), now FROM parts WHERE now <> before)""")
+def crop_pieces(spark, sf_dir):
+    c = views.crops(spark, sf_dir)
+    skipped = crops.features(c, _panel(spark), skeleton=False, intensity=False, correlate=False).where("feature = 'solidity'").select("object_id", F.col("value").isNull().alias("skipped"))
+    return crops.pieces(c.where("round = 0")).join(skipped, "object_id").select("object_id", "pieces", "skipped")
+
+
 @query()
 def extract_features(spark, sf_dir):
     stains = spark.createDataFrame([(0, 1, "DAPI"), (0, 2, "KRT7")], "round int, channel int, stain string")

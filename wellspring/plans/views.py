@@ -88,6 +88,31 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("object_id", F.lit(0).alias("round"), "channel", "y", "x", value.alias("value"), inside.alias("in_mask"), (inside & (value > 30)).alias("over_threshold"))
 
 
+#: Stains and thresholds of ``crops``: a channel without stain, a stain without threshold.
+PANEL = tuple((r, c, "" if (r, c) == (1, 5) else f"S{c}", None if (r, c) == (1, 4) else 22.37 + c) for r in (0, 1) for c in range(1, 6))
+
+
+def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops as arrays: each supplier is an object of two rounds and five channels on 21 x 21 pixels, some of two pieces, some with a smaller mask in round 1."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("object_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("round"))
+    k, r, at = F.col("object_id"), F.col("round"), F.sequence(F.lit(0), F.lit(440))
+    y, x = lambda i: F.floor(i / 21), lambda i: i % 21
+
+    def inside(i):
+        ellipse = F.pow((y(i) - 10) / (4 + k % 6), F.lit(2.0)) + F.pow((x(i) - 10) / (3 + k % 5), F.lit(2.0)) <= 1
+        return ellipse & ~((k % 4 == 0) & y(i).between(9, 11)) & ~((r == 1) & (k % 3 == 0) & (x(i) > 12))
+
+    plane = lambda c: F.transform(at, lambda i: ((x(i) * 7 * c + y(i) * 3 * (r + 1) + k * (r + c) + x(i) * y(i) * c) % 50).cast("double"))
+    size = [F.lit(v).cast("int").alias(n) for n, v in (("top", 0), ("left", 0), ("height", 21), ("width", 21))]
+    return s.select("object_id", "round", *size, F.transform(at, inside).alias("mask"), F.array(*[F.lit(c) for c in range(1, 6)]).alias("channels"), F.array(*[plane(c) for c in range(1, 6)]).alias("values"))
+
+
+CROPS = """px AS (SELECT s_suppkey AS k, r, c, y, x, CAST((x * 7 * c + y * 3 * (r + 1) + s_suppkey * (r + c) + x * y * c) % 50 AS DOUBLE) AS v,
+    pow((y - 10) / (4 + s_suppkey % 6), 2) + pow((x - 10) / (3 + s_suppkey % 5), 2) <= 1 AND NOT (s_suppkey % 4 = 0 AND y BETWEEN 9 AND 11) AND NOT (r = 1 AND s_suppkey % 3 = 0 AND x > 12) AS m
+  FROM supplier, (SELECT unnest(range(2)) AS r), (SELECT unnest(range(1, 6)) AS c), (SELECT unnest(range(21)) AS y), (SELECT unnest(range(21)) AS x)),
+ panel(r, c, stain, final) AS (VALUES """ + ", ".join(f"({r}, {c}, '{s}', {'CAST(NULL AS DOUBLE)' if f is None else f})" for r, c, s, f in PANEL) + ")"
+
+
 PIXELS = """px AS (SELECT s_suppkey AS object_id, 0 AS round, c.channel, y.y, x.x, CAST((x.x * 7 * c.channel + y.y * 3 + s_suppkey) % 50 AS DOUBLE) AS value,
     pow((y.y - 10) / (4 + s_suppkey % 6), 2) + pow((x.x - 10) / (3 + s_suppkey % 5), 2) <= 1 AS in_mask
   FROM supplier, (SELECT CAST(unnest(range(21)) AS INTEGER) AS y) y, (SELECT CAST(unnest(range(21)) AS INTEGER) AS x) x, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS channel) c)"""
