@@ -179,3 +179,62 @@ def t_ppf(p: float, df: float) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if t_two_sided(mid, df) > 2 * (1 - p) else (lo, mid)
     return (lo + hi) / 2
+
+
+def let(fn, **values: Column) -> Column:
+    """``fn`` of named columns that are computed once: they are bound as a struct."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), lambda s: fn(*[s[k] for k in values])).getItem(0)
+
+
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function of positive numbers: Stirling's series, ten steps up."""
+    up = [z + float(i) for i in range(10)]
+    product = up[0]
+    for u in up[1:]:
+        product = product * u
+    y = z + 10.0
+    # Stirling's series
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3.0))) + 1 / (1260 * F.pow(y, F.lit(5.0))) - 1 / (1680 * F.pow(y, F.lit(7.0))) + 1 / (1188 * F.pow(y, F.lit(9.0)))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+
+
+def beta_share(a: Column, b: Column, x: Column, steps: int = 400) -> Column:
+    """Regularised incomplete beta function by ``steps`` steps of its continued fraction, within the plan."""
+    safe = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(1e-300)
+
+    def fraction(a, b, x):
+        def step(s, m):
+            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                s = let(lambda d, c, h: F.struct(c.alias("c"), d.alias("d"), (h * d * c).alias("h")), d=1.0 / safe(1.0 + top * s["d"]), c=safe(1.0 + top / s["c"]), h=s["h"])
+            return s
+
+        d = 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
+        begin = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda m: m.cast("double")), begin, step, lambda s: s["h"])
+
+    def whole(a, b, x):
+        far = x >= (a + 1.0) / (a + b + 2.0)
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+        return let(lambda p, q, y, f, far: F.when(far, 1.0 - f * fraction(p, q, y) / p).otherwise(f * fraction(p, q, y) / p), p=F.when(far, b).otherwise(a), q=F.when(far, a).otherwise(b), y=F.when(far, 1.0 - x).otherwise(x), f=front, far=far)
+
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(let(whole, a=a.cast("double"), b=b.cast("double"), x=x.cast("double")))
+
+
+def t_p_value(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t; NULL without degrees of freedom, 0 for an infinite t."""
+    t, df = t.cast("double"), df.cast("double")
+    fine = t.isNotNull() & ~F.isnan(t) & (df > 0)
+    return F.when(fine & (F.abs(t) == float("inf")), 0.0).when(fine, beta_share(df / 2.0, F.lit(0.5), df / (df + t * t)))
+
+
+def t_quantile(tail: float, df: Column, steps: int = 60) -> Column:
+    """The t that two-sided p-value ``tail`` belongs to, by bisection of t / (1 + t)."""
+
+    def halve(s, _):
+        mid = (s["lo"] + s["hi"]) / 2
+        over = t_p_value(mid / (1.0 - mid), df) > tail
+        return let(lambda m, o, lo, hi: F.struct(F.when(o, m).otherwise(lo).alias("lo"), F.when(o, hi).otherwise(m).alias("hi")), m=mid, o=over, lo=s["lo"], hi=s["hi"])
+
+    begin = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    return F.when(df > 0, at / (1.0 - at))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import PLATE_SHAPES, well_col, well_row
-from ..functions.stats import MAD_SCALE, avg_rank, bh_fdr, normal_scores, robust_z, t_ppf, t_two_sided
+from ..functions.stats import MAD_SCALE, avg_rank, bh_fdr, normal_scores, robust_z, t_p_value, t_quantile
 from ..sources.shared import materialize
 
 
@@ -163,13 +163,13 @@ def position_effects(deltas: DataFrame, geometry: DataFrame) -> DataFrame:
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.iloc[0]
-        out: dict = {"feature": s["feature"], "n_wells": int(s["one_one"])}
+        out: dict = {"feature": s["feature"], "n_wells": int(s["one_one"]), "df": None}
         get = lambda a, b: s[f"{a}_{b}"] if f"{a}_{b}" in s else s[f"{b}_{a}"]
         n = s["one_one"]
         use = [t for t in terms if get(t, t) - get("one", t) ** 2 / n > 1e-12]
         cols = ["one", *use]
         for t in terms:
-            out |= {t: None, f"{t}_se": None, f"{t}_p": None}
+            out |= {t: None, f"{t}_se": None}
         if n > len(use) + 3:
             a = np.array([[get(p, q) for q in cols] for p in cols])
             b = np.array([get(p, "y") for p in cols])
@@ -177,12 +177,16 @@ def position_effects(deltas: DataFrame, geometry: DataFrame) -> DataFrame:
             beta = inv @ b
             df = n - len(cols)
             s2 = max(get("y", "y") - beta @ b, 0.0) / df
+            out["df"] = float(df)
             for t, v, e in zip(cols[1:], beta[1:], np.sqrt(np.maximum(s2 * np.diag(inv)[1:], 0))):
-                out |= {t: float(v), f"{t}_se": float(e), f"{t}_p": t_two_sided(v / e if e > 0 else math.inf, df)}
+                out |= {t: float(v), f"{t}_se": float(e)}
         return pd.DataFrame([out])
 
-    schema = "feature string, n_wells long, " + ", ".join(f"{t} double, {t}_se double, {t}_p double" for t in terms)
-    out = agg.groupBy("feature").applyInPandas(solve, schema)
+    schema = "feature string, n_wells long, df double, " + ", ".join(f"{t} double, {t}_se double" for t in terms)
+    solved = agg.groupBy("feature").applyInPandas(solve, schema)
+    p = lambda t: t_p_value(F.when(F.col(f"{t}_se") > 0, F.col(t) / F.col(f"{t}_se")).otherwise(float("inf")), F.col("df"))
+    columns = [c for t in terms for c in (F.col(t), F.col(f"{t}_se"), F.when(F.col(t).isNotNull(), p(t)).alias(f"{t}_p"))]
+    out = materialize(solved.select("feature", "n_wells", *columns), "effects")
     for t in terms:
         out = bh_fdr(out, f"{t}_p", out=f"{t}_fdr")
     return out
@@ -260,19 +264,11 @@ def radial_effects(rho: DataFrame, confidence: float = 0.95) -> DataFrame:
     """feature, rho, low, high, n_wells, p, fdr over wells."""
     spread = fisher_mean(rho)
 
-    @F.pandas_udf("struct<p:double,half:double>")
-    def test(n: pd.Series, m: pd.Series, s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for k, a, b in zip(n, m, s):
-            if k < 2 or not b > 0:
-                rows.append((None, None))
-                continue
-            e = b / math.sqrt(k)
-            rows.append((t_two_sided(a / e, k - 1), t_ppf(0.5 + confidence / 2, k - 1) * e))
-        return pd.DataFrame(rows, columns=["p", "half"])
-
-    t = spread.withColumn("t", test("n_wells", "mean_z", "sd_z"))
-    out = t.select("feature", F.tanh("mean_z").alias("rho"), F.tanh(F.col("mean_z") - F.col("t.half")).alias("low"), F.tanh(F.col("mean_z") + F.col("t.half")).alias("high"), "n_wells", F.col("t.p").alias("p"))
+    error = F.col("sd_z") / F.sqrt("n_wells")
+    fine = (F.col("n_wells") > 1) & (F.col("sd_z") > 0)
+    free = F.col("n_wells") - 1
+    t = spread.withColumn("__p", F.when(fine, t_p_value(F.col("mean_z") / error, free))).withColumn("__half", F.when(fine, t_quantile(1 - confidence, free) * error))
+    out = t.select("feature", F.tanh("mean_z").alias("rho"), F.tanh(F.col("mean_z") - F.col("__half")).alias("low"), F.tanh(F.col("mean_z") + F.col("__half")).alias("high"), "n_wells", F.col("__p").alias("p"))
     return bh_fdr(out, "p")
 
 

@@ -409,7 +409,21 @@ def position_slopes(spark, sf_dir):
     return rounded(got.select("feature", "n_wells", *[f"{t}{x}" for t in ("edge", "row", "col") for x in ("", "_se")]))
 
 
-@query()
+def _within(t: str, df: str) -> str:
+    """SQL: the share of Student's t within -t and t for whole degrees of freedom, as a finite sum."""
+    th = f"atan({t} / sqrt({df}))"
+    even = f"sin({th}) / sqrt(pi()) * list_sum(list_transform(range({df} // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) * pow(cos({th}), 2 * j)))"
+    odd = f"2 / pi() * ({th} + CASE WHEN {df} > 1 THEN sin({th}) * sqrt(pi()) / 2 * list_sum(list_transform(range(({df} - 1) // 2), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow(cos({th}), 2 * j + 1))) ELSE 0 END)"
+    return f"(CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def _fdr(p: str) -> str:
+    """SQL: Benjamini-Hochberg over column ``p`` of table tests, in which NULL takes no part."""
+    return f"(SELECT least(1.0, min(o.{p} * (SELECT count({p}) FROM tests) / (SELECT count(*) FROM tests i WHERE i.{p} <= o.{p}))) FROM tests o WHERE o.{p} >= t.{p})"
+
+
+@query("SELECT feature, n_wells, " + ", ".join(f"round({t}, 6) + 0.0 AS {t}, round({t}_se, 6) AS {t}_se, round({t}_p, 6) + 0.0 AS {t}_p, CASE WHEN {t}_p IS NOT NULL THEN round({_fdr(t + '_p')}, 6) + 0.0 END AS {t}_fdr" for t in ("edge", "row", "col")) + " FROM tests t",
+    SLOPES + ", est AS (SELECT feature, n AS n_wells, n - 1 - has_e::INT - has_r::INT - has_c::INT AS df, " + ", ".join(f"CASE WHEN has_{k} THEN b_{k} END AS {t}, CASE WHEN has_{k} THEN sqrt(s2 * ({m}) / det) END AS {t}_se" for t, k, m in (("edge", "e", "rr * cc - rc * rc"), ("row", "r", "ee * cc - ec * ec"), ("col", "c", "ee * rr - er * er"))) + " FROM va), tests AS (SELECT *, " + ", ".join(f"1 - {_within(f'abs({t} / {t}_se)', 'df')} AS {t}_p" for t in ("edge", "row", "col")) + " FROM est)")
 def position_effects(spark, sf_dir):
     long = views.long_li(spark, sf_dir)
     return rounded(quality.position_effects(quality.well_deltas(long), quality.well_geometry(long)))
@@ -475,7 +489,10 @@ def radial_fisher(spark, sf_dir):
     return rounded(quality.fisher_mean(_radial(spark, sf_dir)))
 
 
-@query()
+@query(f"""SELECT feature, round(tanh(m), 6) + 0.0 AS rho, round(tanh(m - q * e), 6) + 0.0 AS low, round(tanh(m + q * e), 6) + 0.0 AS high, n AS n_wells, round(p, 6) + 0.0 AS p, round({_fdr("p")}, 6) + 0.0 AS fdr FROM tests t""", "RECURSIVE " + RADIAL + f""",
+ z AS (SELECT feature, count(*) AS n, count(*) - 1 AS df, avg(atanh(greatest(-0.999, least(0.999, rho)))) AS m, stddev_samp(atanh(greatest(-0.999, least(0.999, rho)))) / sqrt(count(*)) AS e FROM rho WHERE rho IS NOT NULL GROUP BY 1),
+ halves AS (SELECT feature, df, 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi FROM z UNION ALL SELECT feature, df, step + 1, CASE WHEN 1 - a > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN 1 - a > 0.05 THEN hi ELSE (lo + hi) / 2 END FROM (SELECT *, {_within("(lo + hi) / 2 / (1 - (lo + hi) / 2)", "df")} AS a FROM halves WHERE step < 60)),
+ tests AS (SELECT z.*, (lo + hi) / 2 / (1 - (lo + hi) / 2) AS q, 1 - {_within("abs(m / e)", "z.df")} AS p FROM z JOIN halves USING (feature) WHERE step = 60)""")
 def radial_effects(spark, sf_dir):
     return rounded(quality.radial_effects(_radial(spark, sf_dir)))
 
