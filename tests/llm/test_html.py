@@ -61,3 +61,31 @@ def test_linear(part):
         return time.process_time() - began
 
     assert min(seconds(40_000) for _ in range(2)) < 8 * max(min(seconds(10_000) for _ in range(3)), 0.02)
+
+
+SIDE = [
+    "comment__body", "comments-2021-x", "fb-comments", "wp-block-comments", "comment-form-email", "ad-unit-728x90", "adsbygoogle", "google-ads-iframe", "cookie-law-info-bar", "newsletter-signup-cta", "breadcrumb-trail",
+    "comment-list", "commentlist", "comments-area", "comment-author", "comment-meta", "disqus_thread", "ad", "ads", "ad-slot", "adslot-top", "ad--sticky", "advert", "advertisement-box", "sponsored-posts", "promo-banner", "cookie-notice",
+    "cookie-banner", "cookie__text", "gdpr-consent", "newsletter", "newsletter-form", "subscribe-box", "signup-form", "nav-menu", "navbar", "main-nav", "nav__list", "breadcrumbs", "site-footer", "footer-widgets", "footer__links",
+    "sidebar", "sidebar-left", "widget-area", "related-posts", "related__item", "recommended-articles", "share-buttons", "social-links", "social__icon", "pagination", "pagination-wrapper", "popup-overlay", "modal", "login-form", "search-form",
+]
+TEXT = ["search-methods", "share-price", "no-sidebar", "header-fixed", "has-sidebar", "entry-content", "post-content", "article__body", "story", "content--wide", "text", "lead", "section-2", "commentary", "ad-hoc-report", "cookie-recipe", "related-work", "menu-of-the-day-review", "navigate", "download-form-guide"]
+
+
+@pytest.mark.parametrize("name", SIDE)
+def test_names_of_side_parts(name):
+    assert html_text.main_text(f"<article>{P}<div class='x1 {name}'>{P}</div>{P}</article>") == f"{T} {T}"
+    assert html_text.main_text(f"<article>{P}<div id='{name}'><p>x</p></div></article>") == T
+
+
+@pytest.mark.parametrize("name", TEXT)
+def test_names_of_text(name):
+    assert html_text.main_text(f"<article>{P}<div class='{name}'>{P}</div></article>") == f"{T} {T}"
+
+
+def test_ratios_decide_bare_lines_of_the_article(monkeypatch):
+    page = f"<article><div><a href=/1>Tag</a></div><div><a href=/2>Tag two</a></div><div>x</div><div>{T * 4}</div><div>short</div><div><a href=/3>See</a></div><div>{T * 4}</div>" + "<div><a href=/4>Tag</a></div>" * 5 + "</article>"
+    right = html_text.main_text(page)
+    assert right == " ".join(["x", T * 4, "short", T * 4])
+    monkeypatch.setattr(html_text, "smooth", lambda x: -x)
+    assert html_text.main_text(page) != right

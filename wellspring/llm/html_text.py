@@ -6,15 +6,17 @@ page order, so that what an element holds, and what is inside it, comes from one
 
 Marks.  Navigation, footers, asides, dialogs, scripts, hidden parts, adverts and reader comments are never
 content.  Headers outside the article, forms, and elements whose class, id, role or label names a side part
-are boilerplate that an ``article`` or ``main`` inside them escapes.  A name counts whole: each word of
-``comment-list`` names or qualifies a part, so it marks; ``search-methods`` and ``no-sidebar`` hold a word that
-does neither, so they don't.  A form that holds most of the page's paragraphs, and a named wrapper around
+are boilerplate that an ``article`` or ``main`` inside them escapes.  A name is read without element and modifier
+(after ``__`` or ``--``), vendors, numbers and sizes.  It marks if each word names or qualifies a part
+(``comment-list``), or if it begins with a word that names nothing but such a part (``comments-anything``);
+``search-methods``, ``share-price`` and ``no-sidebar`` do neither.  A form that holds most of the page's paragraphs, and a named wrapper around
 nearly the whole page where no article is, are content.
 
 The other lines' text-to-tag ratios are smoothed with a Gaussian and cut at a threshold from their spread;
 lines above it are the content cluster.  The main element is the ``article`` or ``main`` that holds most of
-the cluster's text, and the page's text is every line of it that is not boilerplate, so a short paragraph
-between long ones stays; an ``h1`` just before it belongs to it if it has none.  Without such an element the
+the cluster's text, and the page's text is its headings, paragraphs and list items that are not boilerplate, so a
+short one stays wherever it is, and of its other lines (bare text of ``div`` and the like) those of the cluster
+and those between them, unless they are mostly links; an ``h1`` just before it belongs to it if it has none.  Without such an element the
 deepest element that holds most of the cluster is taken: of its lines those of the cluster, headings and
 paragraphs, and what stands between lines of the cluster, less what is mostly links.
 
@@ -55,17 +57,25 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p li blockquote pre td th dd dt figcaption".split())
 #: Words of a name that mark a part as boilerplate.
 PARTS = frozenset(
-    "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising adslot banner "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising adslot adsbygoogle banner "
     "sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social "
     "comment comments commentlist disqus replies reply related recommended recommendations trending pagination pager toolbar skip complementary contentinfo dialog".split()
 )
 #: Those that also mark an ``article`` as not the page's own, and that no article inside them escapes.
-OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted comment comments commentlist disqus replies reply related recommended recommendations trending teaser teasers popup modal overlay".split())
+OTHERS = frozenset("ad ads adsbygoogle adslot advert adverts advertisement advertising sponsor sponsored promo promotion promoted comment comments commentlist disqus replies reply related recommended recommendations trending teaser teasers popup modal overlay".split())
 #: Words that qualify a part without naming one.
 WITH = frozenset(
     "site page main top bottom left right primary secondary global local inner outer list lists item items area box bar wrap wrapper container block section group row col column link links icon icons "
-    "button buttons form post posts article articles story stories user reader slot unit content text message google third first second sub mini sticky js the of on to for us our by in and".split()
+    "button buttons form post posts article articles story stories user reader slot unit content text message google third first second sub mini sticky js the of on to for us our by in and "
+    "body author avatar meta date count thread title field input email cta trail iframe frame law info policy settings area zone label hidden visible open closed active".split()
 )
+#: Words that name nothing but a side part, so that a class or id that begins with them is one, whatever follows.
+FIRST = frozenset("comments commentlist disqus adsbygoogle advert adverts advertisement advertising adslot gdpr newsletter breadcrumb breadcrumbs sidebar navbar navigation footer masthead topbar pagination popup sponsored".split())
+#: Those that do so alone, before an element or modifier.
+SINGLE = frozenset("comment ad ads nav menu header cookie promo related share sharing social subscribe signup login banner widget".split())
+#: Makers of page parts, whose names stand before those of the parts.
+VENDORS = frozenset("wp fb google gpt dfp js block facebook twitter jetpack elementor onetrust uc mc mailchimp".split())
+_SIZE = re.compile(r"[0-9]+(?:x[0-9]+)?|.", re.S)
 _SPACE = re.compile(r"\s+")
 _CUT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -81,10 +91,14 @@ def names(attrs: list[tuple[str, str | None]]) -> set[str]:
         if not v or k not in ("class", "id", "role", "aria-label"):
             continue
         for name in [v] if k == "aria-label" else v.split():
-            words = [w for w in (p.lower() for p in _CUT.split(name)) if w and not w.isdigit()]
-            here = {w for w in words if w in PARTS or w in OTHERS}
-            if here and all(w in here or w in WITH for w in words):
-                found |= here
+            block = name.split("__")[0].split("--")[0] if k != "aria-label" else name
+            words = [w for w in (p.lower() for p in _CUT.split(block)) if w and not _SIZE.fullmatch(w)]
+            while len(words) > 1 and words[0] in VENDORS:
+                words = words[1:]
+            here = {w for w in words if w in PARTS or w in OTHERS or w in FIRST}
+            first = bool(words) and words[0] in FIRST or block != name and " ".join(words) in SINGLE
+            if here and (first or all(w in here or w in WITH for w in words)):
+                found |= here & (PARTS | OTHERS) or {"sidebar"}
     return found
 
 
@@ -270,7 +284,7 @@ def _dull(p: Lines, size: list[int], last: list[int]) -> list[int]:
     return out
 
 
-def _in_mains(p: Lines, mains: list[int], held: list[int], last: list[int], good: list[int], size: list[int]) -> list[int]:
+def _in_mains(p: Lines, mains: list[int], held: list[int], last: list[int], good: list[int], size: list[int], cluster: set[int]) -> list[int]:
     """Lines of the main element, or of the articles side by side that weigh alike."""
     best = max(mains, key=lambda m: (held[m], -m))
     peers = [m for m in mains if m == best or (m > last[best] or last[m] < best) and 3 * held[m] >= held[best]]
@@ -281,7 +295,10 @@ def _in_mains(p: Lines, mains: list[int], held: list[int], last: list[int], good
         inside[m] = True
     for i in range(1, len(inside)):
         inside[i] = inside[i] or inside[p.parent[i]]
-    chosen = [n for n in good if inside[p.at[n]]]
+    own = [n for n in good if inside[p.at[n]]]
+    dense = [n for n in own if n in cluster]
+    between = range(dense[0], dense[-1] + 1) if dense else range(0)
+    chosen = [n for n in own if p.tag[p.block[n]] in PARAGRAPHS or (n in cluster or n in between) and p.links[n] <= 0.5 * size[n]]
     if not any(p.tag[p.block[n]] == "h1" for n in chosen):
         first = min(peers)
         before = [n for n in good if p.tag[p.block[n]] == "h1" and p.block[n] < first and p.parent[p.block[n]] <= first <= last[p.parent[p.block[n]]]]
@@ -328,7 +345,7 @@ def main_text(html: str | None) -> str:
     cluster = [n for n, a in zip(good, above) if a]
     held = _held(p, size, cluster)
     mains = [i for i, m in enumerate(p.mains) if m and not dull[i] and held[i]]
-    chosen = _in_mains(p, mains, held, last, good, size) if mains else _around(p, cluster, last, good, size)
+    chosen = _in_mains(p, mains, held, last, good, size, set(cluster)) if mains else _around(p, cluster, last, good, size)
     return " ".join([p.text[n] for n in chosen])
 
 
