@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import knn_edges
+from .ranking import quantiles
 
 TINY = 1e-10
 
@@ -39,9 +40,10 @@ def find_outliers(vectors: DataFrame, n_neighbors: int = 20, threshold: float =
 def score_histogram(scores: DataFrame, threshold: float = 2.0, bins: int = 60, column: str = "outlier_score") -> DataFrame:
     """bin, low, n: counts of scores clipped at the larger of 1.5 thresholds and the 99.9 % quantile."""
     rows = scores.where(F.col(column).isNotNull())
-    top = rows.agg(F.greatest(F.lit(1.5 * threshold), F.percentile(column, 0.999)).alias("top"), F.min(column).alias("lo")).first()
-    if top["lo"] is None:
+    high, least = quantiles(rows, column, (0.999,)).first(), rows.agg(F.min(column)).first()[0]
+    if high is None:
         return rows.select(F.lit(0).alias("bin"), F.lit(0.0).alias("low"), F.lit(0).cast("long").alias("n")).limit(0)
-    width = (top["top"] - top["lo"]) / bins or 1.0
-    at = F.least(F.floor((F.least(F.col(column), F.lit(top["top"])) - top["lo"]) / width), F.lit(bins - 1)).cast("int")
-    return rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).withColumn("low", F.lit(top["lo"]) + F.col("bin") * width)
+    top = max(1.5 * threshold, high["q"][0])
+    width = (top - least) / bins or 1.0
+    at = F.least(F.floor((F.least(F.col(column), F.lit(top)) - least) / width), F.lit(bins - 1)).cast("int")
+    return rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).withColumn("low", F.lit(least) + F.col("bin") * width)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import well_col, well_row
+from .ranking import quantiles
 
 
 def plate_map(wells: DataFrame, value: str = "value", outlined: str = "outlined") -> DataFrame:
@@ -21,8 +22,7 @@ def position_density(objects: DataFrame, bins: int = 40, x: str = "cx_um", y: st
 
 def colour_limits(long: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """feature and its lower and upper percentile."""
-    q = F.percentile("value", F.array(F.lit(low), F.lit(high)))
-    return long.groupBy("feature").agg(q.alias("q")).select("feature", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    return quantiles(long, "value", (low, high), ("feature",)).select("feature", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
 def ecdf(df: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Samples that are exact in number and repeatable: rows are ordered by a hash of seed and id."""
+"""Samples that are exact in number and repeatable: rows are ordered by a hash of seed and id.
+
+A sample is a filter at the hash of its last row, which ``ranking`` finds, so no task holds the sample.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import first_rows, repeatable_draw
+
 
 def sample_n(df: DataFrame, n: int, id_col: str = "object_id", seed: int = 0) -> DataFrame:
     """Exactly n rows without replacement."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)
+    return first_rows(df, n, repeatable_draw(id_col, seed), id_col)
 
 
 def sample_fraction(df: DataFrame, fraction: float, id_col: str = "object_id", seed: int = 0) -> DataFrame:
@@ -25,7 +30,7 @@ def sample_fraction(df: DataFrame, fraction: float, id_col: str = "object_id", s
 
 def sample_per_group(df: DataFrame, n: int, keys: Sequence[str], id_col: str = "object_id", seed: int = 0) -> DataFrame:
     """Up to n rows of each group."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
+    w = Window.partitionBy(*keys).orderBy(repeatable_draw(id_col, seed), id_col)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, stats
-from ..operators import crops, embedding, filters, image, joins, normalize, outliers, pca, presentation, quality, sampling, selection
+from ..operators import crops, embedding, filters, image, joins, normalize, outliers, pca, presentation, quality, ranking, sampling, selection
 from ..sources import plates, tables
 from ..sources.shared import shared_dir
 from . import screen, views
@@ -845,14 +845,23 @@ def lineages(spark, sf_dir):
     return rounded(embedding.lineages(v, "0", id_col="id"), 4)
 
 
-@query("SELECT plate, least(count(*), 7) AS n FROM ev GROUP BY plate", EV)
+DRAW = "CAST('0x' || substr(md5('0:' || object_id), 1, 15) AS BIGINT)"
+
+
+@query(f"SELECT plate, object_id FROM ev QUALIFY row_number() OVER (PARTITION BY plate ORDER BY {DRAW}, object_id) <= 7", EV)
 def sample_per_cluster(spark, sf_dir):
-    return sampling.sample_per_group(views.long_ev(spark, sf_dir), 7, ["plate"]).groupBy("plate").agg(F.count("*").alias("n"))
+    return sampling.sample_per_group(views.long_ev(spark, sf_dir), 7, ["plate"]).select("plate", "object_id")
 
 
-@query("SELECT CAST(round_even(count(*) * 0.35, 0) AS BIGINT) AS n FROM ev", EV)
+@query(f"SELECT plate, object_id FROM ev QUALIFY row_number() OVER (ORDER BY {DRAW}, object_id) <= (SELECT round_even(count(*) * 0.35, 0) FROM ev)", EV)
 def sample_fraction(spark, sf_dir):
-    return sampling.sample_fraction(views.long_ev(spark, sf_dir), 0.35).agg(F.count("*").alias("n"))
+    return sampling.sample_fraction(views.long_ev(spark, sf_dir), 0.35).select("plate", "object_id")
+
+
+@query("""SELECT feature, plate, round(quantile_cont(value, 0.001), 6) AS q001, round(quantile_cont(value, 0.5), 6) AS q500, round(quantile_cont(value, 0.999), 6) AS q999 FROM long GROUP BY 1, 2""", LONG)
+def exact_quantiles(spark, sf_dir):
+    q = ranking.quantiles(views.long_li(spark, sf_dir), "value", (0.001, 0.5, 0.999), ("feature", "plate"))
+    return rounded(q.select("feature", "plate", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q001", "q500", "q999"))]))
 
 
 @query()
