@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import log1p_clipped, skewness, yeo_johnson
+from ..sources.shared import discard, materialize
 
 
 def reference_rows(long: DataFrame, control: str | None = "is_control") -> DataFrame:
@@ -87,86 +86,49 @@ def skew_decision(long: DataFrame, group: Sequence[str] = ("plate",), control: s
     return out.select("feature", "skew_raw", "skew_transformed", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), decision.alias("decision"))
 
 
-def _likelihood(x: np.ndarray, lam: float) -> float:
-    """Negative profile log-likelihood of a Yeo-Johnson transform."""
-    pos, neg = x[x >= 0], x[x < 0]
-    y = np.empty_like(x)
-    y[x >= 0] = np.log1p(pos) if abs(lam) < 1e-8 else (np.power(pos + 1, lam) - 1) / lam
-    y[x < 0] = -np.log1p(-neg) if abs(lam - 2) < 1e-8 else -(np.power(1 - neg, 2 - lam) - 1) / (2 - lam)
-    v = y.var()
-    if not v > 0:
-        return np.inf
-    return 0.5 * len(x) * np.log(v) - (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
-
-
-def fit_lambda(x: np.ndarray, low: float = 0.0, high: float = 2.0, steps: int = 60) -> float:
-    """Maximum-likelihood exponent in [low, high] by golden section."""
-    g = (np.sqrt(5.0) - 1) / 2
-    a, b = low, high
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = _likelihood(x, c), _likelihood(x, d)
-    for _ in range(steps):
-        if fc <= fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = _likelihood(x, c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = _likelihood(x, d)
-    return float((a + b) / 2)
-
-
-def _standard(x: np.ndarray) -> tuple[float, float] | None:
-    q1, q2, q3 = np.percentile(x, [25, 50, 75])
-    s = (q3 - q1) / 1.349 or x.std()
-    return (float(q2), float(s)) if s > 0 else None
-
-
-def _skew(x: np.ndarray, min_cells: int) -> float:
-    m = x - x.mean()
-    v = (m * m).mean() if len(x) else 0.0
-    return float((m**3).mean() / v**1.5) if len(x) >= min_cells and v > 0 else np.nan
+LAMBDA_POINTS = 15
+LAMBDA_PASSES = 6
 
 
 def fit_yeo_johnson(long: DataFrame, group: Sequence[str] = ("plate",), control: str | None = "is_control", trim: float = 0.005, min_cells: int = 20) -> DataFrame:
-    """feature, lambda, center, scale, skew_raw, skew_transformed, decision.
+    """feature, lambda, center, scale, skew_raw, skew_transformed: medians over groups of maximum-likelihood exponents in [0, 2].
 
-    A (group, feature) is one task's array of reference values.  Two placements are tried, as is and
-    standardised; the standardised one is kept if its absolute skew is strictly smaller.
+    Two placements are tried, as is and standardised (median, quartile range); the standardised one is kept if its
+    absolute skew is strictly smaller.  All groups are fitted at once: a pass evaluates the likelihood at
+    ``LAMBDA_POINTS`` exponents of each group's interval by grouped sums, and the interval shrinks to the neighbours
+    of the best; after ``LAMBDA_PASSES`` passes it is below 1e-5.
     """
     keys = [*group, "feature"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["value"].to_numpy(dtype=float)
-        out = {"feature": pdf["feature"].iloc[0], "raw": np.nan, "lam0": np.nan, "skew0": np.nan, "lam1": np.nan, "skew1": np.nan, "center": np.nan, "scale": np.nan}
-
-        def cut(v: np.ndarray) -> np.ndarray:
-            lo, hi = np.quantile(v, [trim, 1 - trim])
-            return v[(v >= lo) & (v <= hi)]
-
-        def after(v: np.ndarray, lam: float) -> float:
-            return _skew(np.where(v >= 0, np.log1p(np.maximum(v, 0)) if abs(lam) < 1e-8 else (np.power(np.maximum(v, 0) + 1, lam) - 1) / lam, -np.log1p(np.maximum(-v, 0)) if abs(lam - 2) < 1e-8 else -(np.power(1 + np.maximum(-v, 0), 2 - lam) - 1) / (2 - lam)), min_cells)
-
-        if len(x) >= min_cells:
-            v = cut(x)
-            out["raw"] = _skew(v, min_cells)
-            if not np.isnan(out["raw"]):
-                out["lam0"] = fit_lambda(v)
-                out["skew0"] = after(v, out["lam0"])
-                if place := _standard(x):
-                    w = cut((x - place[0]) / place[1])
-                    out["lam1"], out["center"], out["scale"] = fit_lambda(w), *place
-                    out["skew1"] = after(w, out["lam1"])
-        return pd.DataFrame([out])
-
-    fits = reference_rows(long, control).select(*keys, "value").groupBy(*keys).applyInPandas(one, "feature string, raw double, lam0 double, skew0 double, lam1 double, skew1 double, center double, scale double")
-    nul = lambda c: F.when(~F.isnan(c), F.col(c))
-    med = fits.groupBy("feature").agg(*[F.median(nul(c)).alias(c) for c in ("raw", "lam0", "skew0", "lam1", "skew1", "center", "scale")])
+    rows = reference_rows(long, control).where(F.col("value").isNotNull()).select(*keys, F.col("value").cast("double").alias("value"))
+    cuts = F.array(*[F.lit(float(q)) for q in (trim, 1 - trim, 0.25, 0.5, 0.75)])
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile("value", cuts).alias("__q"), F.stddev_pop("value").alias("__sd")).where(F.col("__n") >= min_cells)
+    q = [F.get("__q", F.lit(i)) for i in range(5)]
+    spread = (q[4] - q[2]) / 1.349
+    held = rows.join(ends, keys).where(F.col("value").between(q[0], q[1])).withColumns({"center": q[3], "scale": F.when(spread > 0, spread).otherwise(F.col("__sd"))})
+    placed = F.array(F.struct(F.lit(0).alias("at"), F.col("value").alias("x")), F.struct(F.lit(1).alias("at"), F.when(F.col("scale") > 0, (F.col("value") - F.col("center")) / F.col("scale")).alias("x")))
+    values = materialize(held.select(*keys, "center", "scale", F.explode(placed).alias("p")).select(*keys, "center", "scale", "p.at", "p.x").where("x IS NOT NULL"), "placed")
+    each = [*keys, "at"]
+    x = F.col("x")
+    base = values.groupBy(*each).agg(F.count("*").alias("n"), F.var_pop("x").alias("v"), F.skewness("x").alias("raw"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"), F.min("center").alias("center"), F.min("scale").alias("scale"))
+    state = materialize(base.where((F.col("n") >= min_cells) & (F.col("v") > 0)).select(*each, "n", "s", "raw", "center", "scale", F.lit(0.0).alias("lo"), F.lit(2.0).alias("hi")), "exponents")
+    kept = [c for c in state.columns if c not in ("lo", "hi")]
+    width = (F.col("hi") - F.col("lo")) / float(LAMBDA_POINTS + 1)
+    points = F.explode(F.sequence(F.lit(1), F.lit(LAMBDA_POINTS)))
+    for _ in range(LAMBDA_PASSES):
+        tried = state.withColumn("j", points).withColumn("lam", F.col("lo") + width * F.col("j").cast("double"))
+        spreads = values.select(*each, "x").join(tried.select(*each, "j", "lam"), each).groupBy(*each, "j").agg(F.var_pop(yeo_johnson(x, F.col("lam"))).alias("v"))
+        cost = F.when(F.col("v") > 0, 0.5 * F.col("n") * F.log("v") - (F.col("lam") - 1.0) * F.col("s")).otherwise(float("inf"))
+        best = tried.join(spreads, [*each, "j"]).groupBy(*each).agg(F.min_by("j", F.struct(cost, "j")).cast("double").alias("__j")).join(state, each)
+        before, state = state, materialize(best.select(*kept, (F.col("lo") + width * (F.col("__j") - 1.0)).alias("lo"), (F.col("lo") + width * (F.col("__j") + 1.0)).alias("hi")), "exponents")
+        discard(before)
+    lam = (F.col("lo") + F.col("hi")) / 2
+    skews = values.drop("center", "scale").join(state.select(*each, lam.alias("lam")), each).groupBy(*each).agg(F.skewness(yeo_johnson(x, F.col("lam"))).alias("skew"))
+    fits = state.withColumn("lam", lam).join(skews, each)
+    pick = lambda at, c: F.median(F.when(F.col("at") == at, F.col(c)))
+    med = fits.groupBy("feature").agg(pick(0, "raw").alias("raw"), *[pick(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("lam", "skew")], pick(1, "center").alias("center"), pick(1, "scale").alias("scale"))
     use = F.coalesce(F.abs("skew1") < F.abs("skew0"), F.lit(False))
-    skew = F.when(use, F.col("skew1")).otherwise(F.col("skew0"))
-    out = med.select("feature", F.col("raw").alias("skew_raw"), skew.alias("skew_transformed"), F.when(use, F.col("lam1")).otherwise(F.col("lam0")).alias("lambda"), F.when(use, F.col("center")).alias("center"), F.when(use, F.col("scale")).alias("scale"))
-    return out
+    every = long.select("feature").distinct().join(med, "feature", "left")
+    return every.select("feature", F.col("raw").alias("skew_raw"), F.when(use, F.col("skew1")).otherwise(F.col("skew0")).alias("skew_transformed"), F.when(use, F.col("lam1")).otherwise(F.col("lam0")).alias("lambda"), F.when(use, F.col("center")).alias("center"), F.when(use, F.col("scale")).alias("scale"))
 
 
 def yeo_johnson_decision(fit: DataFrame, threshold: float = 0.5) -> DataFrame:

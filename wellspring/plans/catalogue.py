@@ -560,7 +560,20 @@ def yeo_johnson_fixed_lambda(spark, sf_dir):
     return rounded(views.long_ev(spark, sf_dir).select("object_id", stats.yeo_johnson(F.col("value") - 30.0, F.lit(0.3)).alias("y")))
 
 
-@query()
+@query("""SELECT feature, round(raw, 4) + 0.0 AS skew_raw, round(CASE WHEN one THEN skew1 ELSE skew0 END, 4) + 0.0 AS skew_transformed, round(CASE WHEN one THEN lam1 ELSE lam0 END, 4) + 0.0 AS lambda, CASE WHEN one THEN round(center, 4) + 0.0 END AS center, CASE WHEN one THEN round(scale, 4) + 0.0 END AS scale,
+    CASE WHEN raw IS NULL THEN 'not testable' WHEN abs(raw) <= 0.5 THEN 'not skewed' WHEN abs(CASE WHEN one THEN skew1 ELSE skew0 END) < abs(raw) THEN 'transform' ELSE 'no improvement' END AS decision
+  FROM (SELECT *, coalesce(abs(skew1) < abs(skew0), false) AS one FROM (SELECT feature, median(raw) FILTER (pos = 0) AS raw, median(lam) FILTER (pos = 0) AS lam0, median(lam) FILTER (pos = 1) AS lam1, median(skew) FILTER (pos = 0) AS skew0, median(skew) FILTER (pos = 1) AS skew1, median(center) FILTER (pos = 1) AS center, median(scale) FILTER (pos = 1) AS scale FROM done GROUP BY 1))""", "RECURSIVE " + EV + """,
+ ends AS (SELECT plate, feature, quantile_cont(value, 0.005) AS q0, quantile_cont(value, 0.995) AS q1, median(value) AS center, CASE WHEN quantile_cont(value, 0.75) > quantile_cont(value, 0.25) THEN (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 ELSE stddev_pop(value) END AS scale FROM ev WHERE is_control GROUP BY 1, 2 HAVING count(*) >= 20),
+ vals AS (SELECT plate, feature, center, scale, 0 AS pos, value AS x FROM ev JOIN ends USING (plate, feature) WHERE is_control AND value BETWEEN q0 AND q1 UNION ALL SELECT plate, feature, center, scale, 1, (value - center) / scale FROM ev JOIN ends USING (plate, feature) WHERE is_control AND value BETWEEN q0 AND q1 AND scale > 0),
+ base AS (SELECT plate, feature, pos, any_value(center) AS center, any_value(scale) AS scale, count(*) AS n, avg(pow(x - mx, 3)) / pow(avg(pow(x - mx, 2)), 1.5) AS raw, sum(sign(x) * ln(1 + abs(x))) AS s FROM (SELECT *, avg(x) OVER (PARTITION BY plate, feature, pos) AS mx FROM vals) GROUP BY 1, 2, 3 HAVING count(*) >= 20),
+ fit AS (SELECT plate, feature, pos, n, s, 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(2 AS DOUBLE) AS hi FROM base
+  UNION ALL SELECT plate, feature, pos, n, s, step + 1, lo + (hi - lo) / 16 * (j - 1), lo + (hi - lo) / 16 * (j + 1) FROM (
+   SELECT *, 0.5 * n * ln(v) - (lam - 1) * s AS cost FROM (
+    SELECT plate, feature, pos, n, s, step, lo, hi, j, lam, var_pop(CASE WHEN x >= 0 THEN CASE WHEN abs(lam) < 1e-8 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END ELSE CASE WHEN abs(2 - lam) < 1e-8 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END) AS v
+    FROM (SELECT *, lo + (hi - lo) / 16 * j AS lam FROM fit, (SELECT unnest(range(1, 16)) AS j) WHERE step < 6) JOIN (SELECT plate, feature, pos, x FROM vals) USING (plate, feature, pos) GROUP BY plate, feature, pos, n, s, step, lo, hi, j, lam)) QUALIFY row_number() OVER (PARTITION BY plate, feature, pos ORDER BY cost, j) = 1),
+ lams AS (SELECT plate, feature, pos, (lo + hi) / 2 AS lam FROM fit WHERE step = 6),
+ moved AS (SELECT plate, feature, pos, lam, CASE WHEN x >= 0 THEN CASE WHEN abs(lam) < 1e-8 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END ELSE CASE WHEN abs(2 - lam) < 1e-8 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END AS y FROM vals JOIN lams USING (plate, feature, pos)),
+ done AS (SELECT plate, feature, pos, any_value(lam) AS lam, avg(pow(y - my, 3)) / pow(avg(pow(y - my, 2)), 1.5) AS skew, any_value(raw) AS raw, any_value(center) AS center, any_value(scale) AS scale FROM (SELECT *, avg(y) OVER (PARTITION BY plate, feature, pos) AS my FROM moved) JOIN base USING (plate, feature, pos) GROUP BY 1, 2, 3)""")
 def yeo_johnson_fit(spark, sf_dir):
     return rounded(normalize.yeo_johnson_decision(normalize.fit_yeo_johnson(views.long_ev(spark, sf_dir))), 4)
 
