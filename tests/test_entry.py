@@ -48,7 +48,7 @@ def test_same_rows_as_sql(name, spark, sf, duck):
             assert all(x == y or (isinstance(x, float) and y is not None and abs(x - y) < 2e-6 * max(1, abs(x))) for x, y in zip(a, b)), (a, b)
 
 
-@pytest.mark.parametrize("name", ["position_effects", "radial_effects", "find_outlier_objects", "extract_features", "analyse_screen", "check_labels"])
+@pytest.mark.parametrize("name", ["principal_lineages", "find_outlier_objects", "extract_features", "analyse_screen", "check_labels"])
 def test_queries_without_sql_run(name, spark, sf):
     assert name not in catalogue.ORACLES and catalogue.QUERIES[name](spark, sf).count() > 0
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, stats
-from ..operators import crops, embedding, filters, image, joins, normalize, outliers, pca, presentation, quality, ranking, sampling, selection
+from ..operators import crops, curves, embedding, filters, image, joins, normalize, outliers, pca, presentation, quality, ranking, sampling, selection
 from ..sources import plates, tables
 from ..sources.shared import shared_dir
 from . import screen, views
@@ -858,6 +859,22 @@ def lineages(spark, sf_dir):
     return rounded(embedding.lineages(v, "0", id_col="id"), 4)
 
 
+@query("""SELECT id, round(s, 6) + 0.0 AS along, round(d, 6) + 0.0 AS distance FROM (SELECT id, pre + t * len AS s, sqrt(list_sum(list_transform(range(1, len(v) + 1), lambda i: pow(v[i] - a[i] - t * (b[i] - a[i]), 2)))) AS d, k
+    FROM (SELECT *, greatest(0.0, least(1.0, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - a[i]) * (b[i] - a[i]))) / pow(len, 2))) AS t FROM (SELECT id, vec AS v, seg.* FROM vec, seg)))
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(d, 9), k) = 1""", VEC + """, mid AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM vec) GROUP BY 1, 2) GROUP BY 1),
+ seg AS (SELECT k, a, b, len, coalesce(sum(len) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM (SELECT label AS k, c AS a, lead(c) OVER (ORDER BY label) AS b, list_distance(c, lead(c) OVER (ORDER BY label)) AS len FROM mid) WHERE b IS NOT NULL)""")
+def curve_projection(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    centre = curves.centroids(v, "label", "vec")
+    return rounded(curves.projected(v, np.array([centre[c] for c in sorted(centre, key=int)]), "id"))
+
+
+@query()
+def principal_lineages(spark, sf_dir):
+    v = views.vectors(spark, sf_dir).withColumn("cluster", F.col("label").cast("string"))
+    return rounded(curves.principal_lineages(v, "0", id_col="id").select("id", "pseudotime"), 4)
+
+
 DRAW = "CAST('0x' || substr(md5('0:' || object_id), 1, 15) AS BIGINT)"
 
 
@@ -924,7 +941,7 @@ OVER = """taps AS (SELECT t, w / sum(w) OVER () AS w FROM (SELECT t, exp(-0.5 *
  pieces AS (SELECT k, r, c, len(list_filter(list_distinct(now), lambda v: v < 1000)) AS n_parts FROM parts WHERE now = before)"""
 
 
-def _panel(spark):
+def _stains(spark):
     return spark.createDataFrame(list(views.PANEL), "round int, channel int, stain string, final double")
 
 
@@ -936,13 +953,13 @@ def _panel(spark):
       CAST(any_value(n_parts) AS DOUBLE) AS "substructures_count", coalesce(count(*) FILTER (o) * 0.25 / nullif(any_value(n_parts), 0), 0) AS "substructures_size"
     FROM seen JOIN pieces USING (k, r, c) GROUP BY k, r, stain) ON COLUMNS(* EXCLUDE (object_id, r, stain)) INTO NAME s VALUE value)""", "RECURSIVE " + views.CROPS + ", " + OVER)
 def crop_intensities(spark, sf_dir):
-    return rounded(crops.features(views.crops(spark, sf_dir), _panel(spark), (0.5,), sigma=1.0, spacing=0.5, shape=False, correlate=False))
+    return rounded(crops.features(views.crops(spark, sf_dir), _stains(spark), (0.5,), sigma=1.0, spacing=0.5, shape=False, correlate=False))
 
 
 @query("""SELECT k AS object_id, a || '--' || b || '_PearsonR' AS feature, CASE WHEN min(va) < max(va) AND min(vb) < max(vb) THEN round(corr(va, vb), 6) + 0.0 END AS value FROM (
     SELECT p.k, p.n AS a, q.n AS b, p.v AS va, q.v AS vb FROM named p JOIN named q ON p.k = q.k AND p.y = q.y AND p.x = q.x AND p.n < q.n) GROUP BY 1, 2""", views.CROPS + ", named AS (SELECT k, y, x, v, 'R' || r || '__' || stain AS n FROM px JOIN panel USING (r, c) WHERE m AND stain <> '')")
 def crop_correlations(spark, sf_dir):
-    return rounded(crops.features(views.crops(spark, sf_dir), _panel(spark), shape=False, intensity=False))
+    return rounded(crops.features(views.crops(spark, sf_dir), _stains(spark), shape=False, intensity=False))
 
 
 @query("""SELECT object_id, s AS feature, round(value, 6) + 0.0 AS value FROM (UNPIVOT (SELECT k AS object_id, n * 0.25 AS "area", cy AS "centroid_y", cx AS "centroid_x", CAST(y0 AS DOUBLE) AS "bbox_top", CAST(x0 AS DOUBLE) AS "bbox_left", CAST(y1 AS DOUBLE) AS "bbox_bottom", CAST(x1 AS DOUBLE) AS "bbox_right",
@@ -951,7 +968,7 @@ def crop_correlations(spark, sf_dir):
       SELECT k, count(*) AS n, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1, var_pop(y) + 1.0 / 12 AS a, var_pop(x) + 1.0 / 12 AS c, covar_pop(y, x) AS b FROM px WHERE m AND r = 0 AND c = 1 GROUP BY k))) ON COLUMNS(* EXCLUDE (object_id)) INTO NAME s VALUE value)""", views.CROPS)
 def crop_geometry(spark, sf_dir):
     names = ["area", "centroid_y", "centroid_x", "bbox_top", "bbox_left", "bbox_bottom", "bbox_right", "bbox_area", "extent", "axis_major_length", "axis_minor_length", "eccentricity", "equivalent_diameter", "AxisRatio", "aspectRatio"]
-    found = crops.features(views.crops(spark, sf_dir), _panel(spark), spacing=0.5, skeleton=False, intensity=False, correlate=False)
+    found = crops.features(views.crops(spark, sf_dir), _stains(spark), spacing=0.5, skeleton=False, intensity=False, correlate=False)
     return rounded(found.where(F.col("feature").isin(names)))
 
 
@@ -960,7 +977,7 @@ def crop_geometry(spark, sf_dir):
    UNION ALL SELECT k, list_transform(range(441), lambda i: CASE WHEN now[i + 1] = 1000 THEN 1000 ELSE list_min(list_transform(range(9), lambda j: CASE WHEN i // 21 + j // 3 - 1 BETWEEN 0 AND 20 AND i % 21 + j % 3 - 1 BETWEEN 0 AND 20 THEN now[i + (j // 3 - 1) * 21 + j % 3] ELSE 1000 END)) END), now FROM parts WHERE now <> before)""")
 def crop_pieces(spark, sf_dir):
     c = views.crops(spark, sf_dir)
-    skipped = crops.features(c, _panel(spark), skeleton=False, intensity=False, correlate=False).where("feature = 'solidity'").select("object_id", F.col("value").isNull().alias("skipped"))
+    skipped = crops.features(c, _stains(spark), skeleton=False, intensity=False, correlate=False).where("feature = 'solidity'").select("object_id", F.col("value").isNull().alias("skipped"))
     return crops.pieces(c.where("round = 0")).join(skipped, "object_id").select("object_id", "pieces", "skipped")
 
 
