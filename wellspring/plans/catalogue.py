@@ -910,10 +910,10 @@ def transform_histogram(spark, sf_dir):
 
 
 def _long_vec(spark, sf_dir):
-    """Vectors as a screen of objects: label groups as conditions, eight of the components as features."""
+    """Vectors as a screen of objects: label groups as conditions, components as features."""
     v = views.vectors(spark, sf_dir)
-    wide = v.select(F.col("id").alias("object_id"), F.lit("P").alias("plate"), F.concat(F.lit("w"), (F.col("id") % 60).cast("string")).alias("well"), F.col("label").cast("string").alias("condition"), (F.col("label") == 0).alias("is_control"), *[F.get("vec", F.lit(i)).alias(f"f{i}") for i in range(8)])
-    return views.melt(wide, [f"f{i}" for i in range(8)], ("object_id", "plate", "well", "condition", "is_control"))
+    cols = (F.col("id").alias("object_id"), F.lit("P").alias("plate"), F.concat(F.lit("w"), (F.col("id") % 60).cast("string")).alias("well"), F.col("label").cast("string").alias("condition"), (F.col("label") == 0).alias("is_control"))
+    return v.select(*cols, F.posexplode("vec").alias("i", "value")).select("object_id", "plate", "well", "condition", "is_control", F.concat(F.lit("f"), F.col("i").cast("string")).alias("feature"), "value")
 
 
 @query()
@@ -1019,11 +1019,11 @@ def intensity_stats(spark, sf_dir):
     return rounded(st.select("object_id", "round", "channel", "min", "mean", "max", "std", "Q25", "Q95", "T_mean", "T_max", "T_Q25", "area_T", "area_T_ratio", "potency", "asymmetry"))
 
 
-@query("""SELECT object_id, sum(value) AS m00, sum((y - y0) * value) AS m10, sum((x - x0) * value) AS m01, sum((y - y0) * (x - x0) * value) AS m11, sum(pow(y - y0, 2) * value) AS m20 FROM (
-    SELECT *, min(y) OVER (PARTITION BY object_id) AS y0, min(x) OVER (PARTITION BY object_id) AS x0 FROM px WHERE in_mask AND channel = 1) GROUP BY 1""", PIXELS)
+@query("""SELECT object_id, channel, sum(value) AS m00, sum((y - y0) * value) AS m10, sum((x - x0) * value) AS m01, sum((y - y0) * (x - x0) * value) AS m11, sum(pow(y - y0, 2) * value) AS m20 FROM (
+    SELECT *, min(y) OVER (PARTITION BY object_id) AS y0, min(x) OVER (PARTITION BY object_id) AS x0 FROM px WHERE in_mask) GROUP BY 1, 2""", PIXELS)
 def weighted_moments(spark, sf_dir):
-    m = image.raw_moments(views.pixels(spark, sf_dir).where("channel = 1"), 2, True)
-    return m.select("object_id", *[F.col(f"`moments_weighted-{p}-{q}`").alias(f"m{p}{q}") for p, q in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0))])
+    m = image.raw_moments(views.pixels(spark, sf_dir), 2, True, ("object_id", "channel"))
+    return m.select("object_id", "channel", *[F.col(f"`moments_weighted-{p}-{q}`").alias(f"m{p}{q}") for p, q in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0))])
 
 
 @query("""SELECT object_id, round(nt / w, 6) AS "StraightEdge_top", round(nb / w, 6) AS "StraightEdge_bottom", round(nl / h, 6) AS "StraightEdge_left", round(nr / h, 6) AS "StraightEdge_right", round(greatest(nt / w, nb / w, nl / h, nr / h), 6) AS "StraightEdge_longest_fraction", round((nt + nb + nl + nr) / (2 * (h + w)), 6) AS "StraightEdge_total_fraction" FROM (
