@@ -11,7 +11,7 @@ import corpus_pipeline
 
 def test_registered():
     q = __spark_entry__.queries()
-    assert "pipeline" in q and sorted({k.split("_")[0] for k in q if k.startswith("op") and k[2].isdigit()}) == sorted(f"op{n}" for n in range(1, 11))
+    assert "pipeline" in q and sorted({k.split("_")[0] for k in q if k.startswith("op") and k[2].isdigit()}) == sorted(f"op{n}" for n in range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "secret scans", "best-fit packing"]
 
 
