@@ -67,6 +67,11 @@ def _nearest_in_tile(q: np.ndarray, r: np.ndarray, k: int, codes: np.ndarray | N
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))
 
 
+def _small(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A table of at most MAX_PIVOTS rows of numbers where there is but one group, hence the broadcast; else as it is."""
+    return F.broadcast(df) if len(keys) == 1 else df
+
+
 def _celled(df: DataFrame, id_col: str, vec: str, keys: Sequence[str], pivots: np.ndarray, sizes: DataFrame) -> DataFrame:
     """keys, id, v, cell and the distance to the cell's pivot; groups of at most a block are one cell, -1."""
 
@@ -81,7 +86,7 @@ def _celled(df: DataFrame, id_col: str, vec: str, keys: Sequence[str], pivots: n
         return pa.StructArray.from_arrays([pa.array(cells), pa.array(dist)], names=["cell", "d"])
 
     rows = df.select(*keys, F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    rows = rows.join(sizes, list(keys))
+    rows = rows.join(_small(sizes, keys), list(keys))
     if len(pivots) < 2:
         return rows.select(*keys, "id", "v", F.lit(-1).alias("cell"), F.lit(0.0).alias("d"))
     at = rows.withColumn("at", nearest("v"))
@@ -91,7 +96,7 @@ def _celled(df: DataFrame, id_col: str, vec: str, keys: Sequence[str], pivots: n
 def _packed(rows: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     """keys, cell, number, ids and vectors (row after row) of blocks of about BLOCK rows."""
     counts = rows.groupBy(*keys, "cell").agg(F.ceil(F.count("*") / BLOCK).alias("m"))
-    dealt = rows.join(counts, [*keys, "cell"]).withColumn("number", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    dealt = rows.join(_small(counts, keys), [*keys, "cell"]).withColumn("number", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     packed = dealt.groupBy(*keys, "cell", "number", "m").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("r"), F.min("d").alias("low"), F.max("d").alias("high"))
     return packed.select(*keys, "cell", F.col("number").alias(f"{prefix}number"), F.col("m").cast("int").alias(f"{prefix}m"), F.transform("r", lambda x: x["id"]).alias(f"{prefix}ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias(f"{prefix}vecs"), "low", "high")
 
@@ -150,7 +155,7 @@ class MetricIndex:
 
     def wanted(self, first: DataFrame) -> DataFrame:
         """keys, cell and the queries (ids, vectors, bounds) that must meet it; ``seen`` is the block that they have met."""
-        both = first.join(self.cells, self.keys)
+        both = first.join(_small(self.cells, self.keys), self.keys)
         kinds = {f.name: f.dataType for f in both.schema}
         keys, pivots = tuple(self.keys), self.pivots
         want = T.StructType([*[T.StructField(c, kinds[c]) for c in keys], T.StructField("cell", T.IntegerType()), T.StructField("seen", T.IntegerType()), T.StructField("q_ids", kinds["q_ids"]), T.StructField("q_vecs", kinds["q_vecs"]), T.StructField("bound", T.ArrayType(T.DoubleType()))])
