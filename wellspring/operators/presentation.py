@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import well_col, well_row
 from .ranking import quantiles
 
 
-def plate_map(wells: DataFrame, value: str = "value", outlined: str = "outlined") -> DataFrame:
-    """plate, row, col (from 0), value, outlined of each well."""
-    return wells.select("plate", well_row(F.col("well")).alias("row"), well_col(F.col("well")).alias("col"), F.col(value).alias("value"), F.col(outlined).alias("outlined"))
+def plate_map(wells: DataFrame, value: str = "value", outlined: str = "outlined", row: Callable[[Column], Column] = well_row, col: Callable[[Column], Column] = well_col) -> DataFrame:
+    """plate, row, col (from 0, as ``row`` and ``col`` read them off a well's name), value, outlined of each well."""
+    return wells.select("plate", row(F.col("well")).alias("row"), col(F.col("well")).alias("col"), F.col(value).alias("value"), F.col(outlined).alias("outlined"))
 
 
 def position_density(objects: DataFrame, bins: int = 40, x: str = "cx_um", y: str = "cy_um") -> DataFrame:
