@@ -160,8 +160,9 @@ def cosine_neighbours(wells: DataFrame, k: int, keys: Sequence[str] = ("plate",)
 
 def pair_correlations(vectors: DataFrame, keys: Sequence[str] = ("object_id",), pixel: Sequence[str] = ("y", "x")) -> DataFrame:
     """Pearson correlation of each unordered pair of channels over an object's pixels; NULL if one is constant."""
-    a = vectors.select(*keys, *pixel, F.col("channel").alias("a"), F.col("value").alias("va"))
-    b = vectors.select(*keys, *pixel, F.col("channel").alias("b"), F.col("value").alias("vb"))
-    both = a.join(b, [*keys, *pixel]).where("a < b")
+    # a pixel's channels meet in one group, not in a join of the pixels with themselves, one side of which may be broadcast
+    at = vectors.dropna(subset=[*keys, *pixel]).groupBy(*keys, *pixel).agg(F.collect_list(F.struct("channel", "value")).alias("c"))
+    pairs = F.flatten(F.transform("c", lambda p: F.transform(F.filter("c", lambda q: p["channel"] < q["channel"]), lambda q: F.struct(p["channel"].alias("a"), q["channel"].alias("b"), p["value"].alias("va"), q["value"].alias("vb")))))
+    both = at.select(*keys, F.inline(pairs))
     r = F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop("va") * F.stddev_pop("vb"))
     return both.groupBy(*keys, "a", "b").agg(r.alias("r")).withColumn("feature", F.concat("a", F.lit("--"), "b", F.lit("_PearsonR")))
