@@ -1,7 +1,9 @@
 """Screens of more wells, objects and pixels than one plate of the test tables holds."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from wellspring.operators import image, joins, quality
 from wellspring.plans import views
 
 
@@ -10,3 +12,44 @@ def test_wells_beyond_the_alphabet_are_named_as_in_sql(spark):
     k = spark.createDataFrame([(n,) for n in keys], "k long").withColumn("well", views.well_name(F.floor(F.col("k") / 48), F.col("k") % 48))
     got = k.select("k", "well", views.well_row(F.col("well")), views.well_col(F.col("well"))).collect()
     assert [tuple(r) for r in got] == [(n, chr(65 + n // 48) + f"{n % 48 + 1:02d}", n // 48, n % 48) for n in keys]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_count_scores_gather_no_list_of_a_group(spark):
+    wells = spark.range(3000).select(F.lit("P").alias("plate"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("well"), (F.col("id") % 2).cast("string").alias("condition"), (F.col("id") * 7919 % 41).alias("n_organoids"))
+    got = quality.count_scores(wells)
+    assert "collect_list" not in plan(got)
+    pdf = wells.where("n_organoids > 0").toPandas()
+    pdf["v"] = np.log1p(pdf["n_organoids"].astype(float))
+    groups = {c: g["v"].to_numpy() for c, g in pdf.groupby("condition")}
+    at = {c: {w: i for i, w in enumerate(g["well"])} for c, g in pdf.groupby("condition")}
+    pdf["r"] = [v - np.median(np.delete(groups[c], at[c][w])) for w, c, v in zip(pdf["well"], pdf["condition"], pdf["v"])]
+    spread = 1.4826 * np.median(np.abs(pdf["r"] - np.median(pdf["r"])))
+    want = dict(zip(pdf["well"], pdf["r"] / spread))
+    found = {r["well"]: r["count_z"] for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_pixels_are_not_joined_with_themselves(spark, sf):
+    px = views.pixels(spark, sf)
+    for got in (joins.pair_correlations(px), image.raw_moments(px, 2, True, ("object_id", "channel")), image.straight_edges(px)):
+        assert "Join" not in plan(got)
+
+
+def test_few_objects_are_dealt_over_tasks(spark, sf):
+    assert views.pixels(spark, sf).rdd.getNumPartitions() >= 4 and views.crops(spark, sf).rdd.getNumPartitions() >= 4
+
+
+def test_the_panel_meets_the_pixels_not_the_other_way_round(spark, sf):
+    stains = spark.createDataFrame([(0, 1, "DAPI"), (0, 2, "KRT7")], "round int, channel int, stain string")
+    got = image.estimate_thresholds(views.pixels(spark, sf).where("object_id < 3"), stains)
+    physical = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in physical and "BuildLeft" not in physical
+    one = views.pixels(spark, sf).where("object_id = 1 AND channel = 2").toPandas()
+    img = np.zeros((21, 21))
+    img[one["y"], one["x"]] = one["value"]
+    raw = got.where("stain = 'KRT7'").first()["raw"]
+    assert len(raw) == 3 and image.triangle_threshold(image.gaussian_blur(img, 3.0).ravel()) in raw

@@ -157,7 +157,7 @@ def pieces(crops: DataFrame, diagonal: bool = True) -> DataFrame:
 def rounds_of_objects(crops: DataFrame, panel: DataFrame) -> DataFrame:
     """object_id and its rounds in order, each with its stains; panel: (round, channel, stain, final)."""
     named = panel.where("stain <> ''").groupBy("round").agg(F.array_sort(F.collect_list(F.struct("channel", "stain", F.col("final").cast("double").alias("final")))).alias("panel"))
-    met = crops.select("object_id", *COLUMNS).join(named, "round", "left")
+    met = crops.select("object_id", *COLUMNS).join(F.broadcast(named), "round", "left")  # a row a round
     return met.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct(*COLUMNS, "panel"))).alias("rounds"))
 
 

@@ -9,11 +9,12 @@ object's crop, which has a bound, however many objects a well holds.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # -- relational features ----------------------------------------------------------------------------------
@@ -43,12 +44,17 @@ def mask_geometry(pixels: DataFrame, spacing: float = 1.0, keys: Sequence[str] =
     )
 
 
+def _with_box(m: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mask pixels with their object's y0, y1, x0, x1; an object's crop has a bound, so it is one group."""
+    over = Window.partitionBy(*keys)
+    return m.dropna(subset=list(keys)).withColumns({f"{c}{i}": f(c).over(over) for c in "yx" for i, f in enumerate((F.min, F.max))})
+
+
 def raw_moments(pixels: DataFrame, order: int = 3, weighted: bool = False, keys: Sequence[str] = ("object_id",)) -> DataFrame:
     """keys and sum of y^p x^q (times value) for p + q up to ``order``, coordinates from the mask's box."""
-    m = pixels.where("in_mask")
-    corner = m.groupBy(*keys).agg(F.min("y").alias("__y0"), F.min("x").alias("__x0"))
-    m = m.join(corner, list(keys))
-    y, x = (F.col("y") - F.col("__y0")).cast("double"), (F.col("x") - F.col("__x0")).cast("double")
+    # pixels meet their object's corner in one window, not in a join whose side of pixels may be broadcast
+    m = _with_box(pixels.where("in_mask"), keys)
+    y, x = (F.col("y") - F.col("y0")).cast("double"), (F.col("x") - F.col("x0")).cast("double")
     w = F.col("value") if weighted else F.lit(1.0)
     power = lambda v, k: F.lit(1.0) if k == 0 else (v if k == 1 else F.pow(v, F.lit(float(k))))
     name = "moments_weighted" if weighted else "moments"
@@ -57,9 +63,7 @@ def raw_moments(pixels: DataFrame, order: int = 3, weighted: bool = False, keys:
 
 def straight_edges(pixels: DataFrame, keys: Sequence[str] = ("object_id",)) -> DataFrame:
     """keys, share of each side of the box that the mask lies on, the longest share, all edge pixels over the mask's box."""
-    m = pixels.where("in_mask")
-    box = m.groupBy(*keys).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    j = m.join(box, list(keys))
+    j = _with_box(pixels.where("in_mask"), keys)
     sides = {"top": (F.col("y") == F.col("y0"), True), "bottom": (F.col("y") == F.col("y1"), True), "left": (F.col("x") == F.col("x0"), False), "right": (F.col("x") == F.col("x1"), False)}
     g = j.groupBy(*keys).agg(*[F.count_if(c).alias(f"n_{s}") for s, (c, _) in sides.items()], (F.max("y1") - F.max("y0") + 1).alias("h"), (F.max("x1") - F.max("x0") + 1).alias("w"))
     share = {s: F.col(f"n_{s}") / F.col("w" if wide else "h") for s, (_, wide) in sides.items()}
@@ -105,7 +109,7 @@ def intensity_stats(pixels: DataFrame, quantiles: Sequence[float] = (0.05, 0.25,
 def wide_features(stats: DataFrame, stains: DataFrame, keys: Sequence[str] = ("object_id",)) -> DataFrame:
     """Long (keys, feature, value) with names ``R{round}__{stain}_{statistic}``; stains: (round, channel, stain), gaps dropped."""
     values = [c for c in stats.columns if c not in (*keys, "round", "channel")]
-    named = stats.join(stains.where("stain <> ''"), ["round", "channel"])
+    named = stats.join(F.broadcast(stains.where("stain <> ''")), ["round", "channel"])
     pairs = F.array(*[F.struct(F.lit(c).alias("s"), F.col(c).cast("double").alias("v")) for c in values])
     each = named.select(*keys, "round", "stain", F.explode(pairs).alias("p"))
     return each.select(*keys, F.concat(F.lit("R"), F.col("round").cast("string"), F.lit("__"), F.col("stain"), F.lit("_"), F.col("p.s")).alias("feature"), F.col("p.v").alias("value"))
@@ -371,8 +375,8 @@ def substructures(over: np.ndarray, spacing: float = 1.0) -> dict[str, float]:
 # -- one object at a time ---------------------------------------------------------------------------------
 
 
-def _grid(pdf: pd.DataFrame, column: str, fill: float = 0.0) -> np.ndarray:
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+def _grid(pdf: Mapping, column: str, fill: float = 0.0) -> np.ndarray:
+    y, x = np.asarray(pdf["y"]), np.asarray(pdf["x"])
     out = np.full((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), fill, dtype=float)
     out[y - y.min(), x - x.min()] = pdf[column]
     return out
@@ -410,7 +414,7 @@ def morphology(pixels: DataFrame, spacing: float = 1.0, sigma: float = 3.0, skel
 def over_threshold(pixels: DataFrame, thresholds: DataFrame, sigma: float = 3.0) -> DataFrame:
     """``pixels`` with over_threshold: blurred value inside the mask above the channel's threshold; stains come from (round, channel, final)."""
     t = thresholds.select("round", "channel", F.col("final").cast("double").alias("__final"))
-    joined = pixels.join(t, ["round", "channel"], "left")
+    joined = pixels.join(F.broadcast(t), ["round", "channel"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -427,12 +431,21 @@ def over_threshold(pixels: DataFrame, thresholds: DataFrame, sigma: float = 3.0)
 def estimate_thresholds(pixels: DataFrame, stains: DataFrame, q: float = 0.5, sigma: float = 3.0) -> DataFrame:
     """round, stain, channel, raw (each object's triangle threshold), final (their quantile).
 
-    ``pixels`` holds a sample of objects (``sampling.sample_per_group``), which bounds ``raw``.
+    ``pixels`` holds a sample of objects (``sampling.sample_per_group``), which bounds ``raw``.  An object's crop is
+    one row of arrays; a panel has one row a round and channel.
     """
-    named = pixels.join(stains.where("stain <> ''"), ["round", "channel"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"round": int(pdf["round"].iloc[0]), "stain": pdf["stain"].iloc[0], "channel": int(pdf["channel"].iloc[0]), "t": triangle_threshold(gaussian_blur(_grid(pdf, "value"), sigma).ravel())}])
-
-    each = named.select("object_id", "round", "stain", "channel", "y", "x", F.col("value").cast("double").alias("value")).groupBy("object_id", "round", "channel").applyInPandas(one, "round int, stain string, channel int, t double")
+    named = pixels.join(F.broadcast(stains.where("stain <> ''")), ["round", "channel"])
+    spot = F.struct("y", "x", F.col("value").cast("double").alias("value"))
+    crops = named.groupBy("object_id", "round", "channel").agg(F.min("stain").alias("stain"), F.collect_list(spot).alias("at"))
+    kind = dict(named.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for row in b.column("at"):
+                y, x, value = (row.values.field(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "value"))
+                found.append(triangle_threshold(gaussian_blur(_grid({"y": y, "x": x, "value": value}, "value"), sigma).ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("round", "stain", "channel")), pa.array(found, pa.float64())], names=["round", "stain", "channel", "t"])
+
+    each = crops.select("round", "stain", "channel", "at").mapInArrow(run, f"round {kind['round']}, stain string, channel {kind['channel']}, t double")
     return each.groupBy("round", "stain", "channel").agg(F.array_sort(F.collect_list("t")).alias("raw"), F.percentile("t", q).alias("final"))
