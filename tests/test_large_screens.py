@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from wellspring.operators import image, joins, quality
+from wellspring.operators import filters, image, joins, quality
 from wellspring.plans import views
 
 
@@ -53,3 +53,10 @@ def test_the_panel_meets_the_pixels_not_the_other_way_round(spark, sf):
     img[one["y"], one["x"]] = one["value"]
     raw = got.where("stain = 'KRT7'").first()["raw"]
     assert len(raw) == 3 and image.triangle_threshold(image.gaussian_blur(img, 3.0).ravel()) in raw
+
+
+def test_image_sizes_do_not_bring_a_plate_to_one_task(spark):
+    o = spark.createDataFrame([("a", 0.0, 1.0, 2.0, 3.0), ("a", 5.0, 0.0, 1.0, 1.0), (None, 7.0, 7.0, 1.0, 2.0)], "plate string, x_um double, y_um double, len_x_um double, len_y_um double")
+    got = filters.with_image_size(o)
+    assert "Window" not in plan(got)
+    assert sorted((r["plate"] or "", r["x_um"], r["width"], r["height"]) for r in got.collect()) == [("", 7.0, 8.0, 9.0), ("a", 0.0, 6.0, 4.0), ("a", 5.0, 6.0, 4.0)]
