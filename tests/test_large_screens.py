@@ -60,3 +60,10 @@ def test_image_sizes_do_not_bring_a_plate_to_one_task(spark):
     got = filters.with_image_size(o)
     assert "Window" not in plan(got)
     assert sorted((r["plate"] or "", r["x_um"], r["width"], r["height"]) for r in got.collect()) == [("", 7.0, 8.0, 9.0), ("a", 0.0, 6.0, 4.0), ("a", 5.0, 6.0, 4.0)]
+
+
+def test_points_of_one_file_are_dealt_over_tasks(spark):
+    point = lambda n: spark.range(0, n, 1, 1).select(F.lit("P").alias("plate"), "id", (F.col("id") % 5).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    found = joins.range_pairs(point(40), point(30), 5.0, keys=("plate",))
+    assert "RepartitionByExpression" in plan(found)
+    assert found.count() == found.distinct().count() == 40 * 30

@@ -79,11 +79,13 @@ def range_pairs(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str] =
     """keys, id1, id2, distance of all pairs within ``radius`` (inclusive).
 
     Points are binned to a grid of the radius; each point of ``a`` looks into its nine cells, so the join is
-    on (keys, cell) and a crowded well is spread over its cells.
+    on (keys, cell) and a crowded well is spread over its cells.  Points of ``a`` are dealt over all tasks first:
+    where the planner broadcasts ``b``, tasks are those of ``a``, which may be one small file with many pairs.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius) or 1.0))
     a = a.select(*keys, F.col(a_cols[0]).alias("id1"), F.col(a_cols[1]).cast("double").alias("x1"), F.col(a_cols[2]).cast("double").alias("y1")).dropna(subset=["x1", "y1"])
     b = b.select(*keys, F.col(b_cols[0]).alias("id2"), F.col(b_cols[1]).cast("double").alias("x2"), F.col(b_cols[2]).cast("double").alias("y2")).dropna(subset=["x2", "y2"])
+    a = a.repartition(4 * a.sparkSession.sparkContext.defaultParallelism, "id1")
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = a.withColumn("n", F.explode(near)).withColumn("cx", cell("x1") + F.col("n.i")).withColumn("cy", cell("y1") + F.col("n.j")).drop("n")
     b = b.withColumn("cx", cell("x2")).withColumn("cy", cell("y2"))
