@@ -14,6 +14,13 @@ def test_wells_beyond_the_alphabet_are_named_as_in_sql(spark):
     assert [tuple(r) for r in got] == [(n, chr(65 + n // 48) + f"{n % 48 + 1:02d}", n // 48, n % 48) for n in keys]
 
 
+def test_the_row_that_looks_like_a_byte_order_mark_keeps_its_letter(spark):
+    key = (0xFEFF - 65) * 48 + 30
+    well = views.well_name(F.floor(F.col("k") / 48), F.col("k") % 48)
+    got = spark.createDataFrame([(key,)], "k long").select(well.alias("well")).select("well", views.well_row(F.col("well")), views.well_col(F.col("well"))).first()
+    assert tuple(got) == ("\ufeff31", key // 48, 30)
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
