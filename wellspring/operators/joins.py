@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import match_key
 from ..sources.shared import discard, materialize
@@ -118,9 +121,130 @@ def greedy_match(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     return taken if taken is not None else left
 
 
+#: Halvings of the radius that ``greedy_points`` may begin with, and pairs of places that a step may look at: so many a place, in any case so many.
+HALVINGS = 24
+PER_PLACE = 16
+PAIRS = 4_000_000
+
+
+def _placed_points(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """keys, id, x, y, at (least id of the points of this place), r (1, 2, ... by id within the place)."""
+    p = df.select(*keys, F.col(cols[0]).alias("id"), *[(F.col(c).cast("double") + 0.0).alias(n) for c, n in zip(cols[1:], "xy")]).dropna(subset=["x", "y"])
+    place = Window.partitionBy(*keys, "x", "y")
+    return materialize(p.withColumn("at", F.min("id").over(place)).withColumn("r", F.row_number().over(place.orderBy("id")).cast("long")), "points")
+
+
+def _met_cells(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str], levels: int) -> dict[int, int]:
+    """Pairs of places in neighbouring cells, for the radius halved 0 to ``levels`` - 1 times."""
+    level = F.explode(F.array(*[F.lit(i) for i in range(levels)]))
+    cell = lambda c: F.floor(F.col(c) / (F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("level"))))
+    held = [s.withColumn("level", level).groupBy(*keys, "level", cell("x").alias("cx"), cell("y").alias("cy")).agg(F.count("*").alias("n")) for s in (a, b)]
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = held[1].withColumn("d", F.explode(near)).select(*keys, "level", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), F.col("n").alias("m"))
+    return {r["level"]: r["n"] for r in held[0].join(around, [*keys, "level", "cx", "cy"]).groupBy("level").agg(F.sum(F.col("n") * F.col("m")).alias("n")).collect()}
+
+
+def _tied_places(tied: DataFrame, keys: Sequence[str], points: Sequence[DataFrame]) -> DataFrame:
+    """Matches (n = 1) among places that have several others at one least distance, by (id1, id2); those that wait for a nearer pair get none."""
+    for i, p in zip("12", points):
+        at = tied.select(*keys, f"id{i}", f"f{i}").distinct().join(p.select(*keys, F.col("at").alias(f"id{i}"), "id", "r"), [*keys, f"id{i}"]).where(f"r > f{i}")
+        tied = tied.join(at.groupBy(*keys, f"id{i}").agg(F.array_sort(F.collect_list("id")).alias(f"h{i}")), [*keys, f"id{i}"])
+    kinds = {f.name: f.dataType for f in tied.schema}
+    cols = [*keys, "id1", "id2", "distance", "f1", "f2", "n"]
+    want = T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in cols])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second, near, root = {}, {}, {}, {}
+
+        def top(node):
+            while root.setdefault(node, node) != node:
+                node = root[node] = root[root[node]]
+            return node
+
+        for e in pdf.itertuples():
+            root[top((1, e.id1))] = top((2, e.id2))
+            first[e.id1], second[e.id2] = (e.f1, e.h1), (e.f2, e.h2)
+            near.setdefault(e.id1, []).append(e.id2)
+        waits = {top((1, e.id1)) for e in pdf.itertuples() if not e.mutual}
+        used, out = dict.fromkeys(second, 0), []
+        for _, place, rank in sorted((p, a, f + i) for a, (f, h) in first.items() if top((1, a)) not in waits for i, p in enumerate(h)):
+            if free := [(second[b][1][used[b]], b) for b in near[place] if used[b] < len(second[b][1])]:
+                b = min(free)[1]
+                out.append((place, b, rank, second[b][0] + used[b]))
+                used[b] += 1
+        found = pd.DataFrame(out, columns=["id1", "id2", "f1", "f2"])
+        return found.assign(n=1, **{c: pdf[c].iloc[0] for c in [*keys, "distance"]})[cols]
+
+    return tied.groupBy(*keys, "distance").applyInPandas(run, want)
+
+
+def _greedy_places(edges: DataFrame, keys: Sequence[str], points: Sequence[DataFrame]) -> list[DataFrame]:
+    """Runs of matches (id1, id2: places; from their points after f1 and f2 on, n pairs) until no pair of places is left."""
+    cols = edges.columns
+    w = [Window.partitionBy(*keys, f"id{i}") for i in "12"]
+    left, won = materialize(edges, "pairs"), []
+    while not left.isEmpty():
+        least = left.withColumns({"m1": F.min("distance").over(w[0]), "m2": F.min("distance").over(w[1])})
+        is1, is2 = F.col("distance") == F.col("m1"), F.col("distance") == F.col("m2")
+        least = least.where(is1 | is2).withColumns({"t1": F.sum(is1.cast("int")).over(w[0]), "t2": F.sum(is2.cast("int")).over(w[1])})
+        tie = (is1 & (F.col("t1") > 1)) | (is2 & (F.col("t2") > 1))
+        least = materialize(least.where(tie | (is1 & is2)).select(*cols, (is1 & is2).alias("mutual"), tie.alias("tie")), "least")
+        runs = least.where("NOT tie").select(*keys, "id1", "id2", "distance", "f1", "f2", F.least(F.col("c1") - F.col("f1"), F.col("c2") - F.col("f2")).alias("n"))
+        if not (tied := least.where("tie")).isEmpty():
+            runs = runs.unionByName(_tied_places(tied, keys, points))
+        won.append(materialize(runs, "won"))
+        before = left
+        for i in "12":
+            left = left.join(won[-1].groupBy(*keys, f"id{i}").agg(F.sum("n").alias(f"n{i}")), [*keys, f"id{i}"], "left").withColumn(f"f{i}", F.col(f"f{i}") + F.coalesce(f"n{i}", F.lit(0)))
+        left = materialize(left.where("f1 < c1 AND f2 < c2").select(*cols), "pairs")
+        discard(before)
+        discard(least)
+    discard(left)
+    return won
+
+
+def greedy_points(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str] = ("plate", "well"), a_cols: Sequence[str] = ("id", "x", "y"), b_cols: Sequence[str] = ("id", "x", "y")) -> DataFrame:
+    """keys, id1, id2, distance: ``greedy_match`` of ``range_pairs`` without a table of all pairs.
+
+    Points of one place are one: two places that are nearest to each other match their points in the order of ids.
+    Near pairs come before far ones, so a radius at which pairs of places are few is worked off first, then a
+    larger one with the points that are left, up to the whole.  Ids that stand for several points go the plain way.
+    """
+    points = [_placed_points(a, keys, a_cols), _placed_points(b, keys, b_cols)]
+    if any(not p.groupBy(*keys, "id").count().where("count > 1").isEmpty() for p in points):
+        return greedy_match(range_pairs(a, b, radius, keys, a_cols, b_cols))
+    places = [materialize(p.groupBy(*keys, F.col("at").alias("id")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.count("*").alias("c"), F.lit(0).cast("long").alias("f")), "places") for p in points]
+    won: list[DataFrame] = []
+    level = HALVINGS + 1 if radius > 0 else 1
+    while level:
+        met = _met_cells(*places, radius, keys, level) if radius > 0 else {}
+        room = max(PAIRS, PER_PLACE * sum(p.count() for p in places))
+        level = next((i for i in range(level) if met.get(i, 0) <= room), level - 1)
+        edges = range_pairs(*places, radius / 2**level, keys)
+        for i, p in zip("12", places):
+            edges = edges.join(p.select(*keys, F.col("id").alias(f"id{i}"), F.col("c").alias(f"c{i}"), F.col("f").alias(f"f{i}")), [*keys, f"id{i}"])
+        found = _greedy_places(edges, keys, points)
+        won += found
+        if level and found:
+            runs = functools.reduce(DataFrame.unionByName, found)
+            for at, i in enumerate("12"):
+                used = runs.groupBy(*keys, F.col(f"id{i}").alias("id")).agg(F.sum("n").alias("n"))
+                before, places[at] = places[at], materialize(places[at].join(used, [*keys, "id"], "left").withColumn("f", F.col("f") + F.coalesce("n", F.lit(0))).where("f < c").drop("n"), "places")
+                discard(before)
+        if any(p.isEmpty() for p in places):
+            break
+    if not won:
+        return range_pairs(a, b, radius, keys, a_cols, b_cols).limit(0)
+    each = functools.reduce(DataFrame.unionByName, won).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    for i, p in zip("12", points):
+        ranked = p.select(*keys, F.col("at").alias(f"id{i}"), F.col("r").alias(f"r{i}"), F.col("id").alias(f"p{i}"))
+        each = each.withColumn(f"r{i}", F.col(f"f{i}") + F.col("i")).join(ranked, [*keys, f"id{i}", f"r{i}"])
+    return each.select(*keys, F.col("p1").alias("id1"), F.col("p2").alias("id2"), "distance")
+
+
 def match_one_to_one(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str] = ("plate", "well"), a_cols: Sequence[str] = ("id", "x", "y"), b_cols: Sequence[str] = ("id", "x", "y")) -> tuple[DataFrame, DataFrame]:
     """Matches, and the rows of ``a`` without one.  No match at all is an error."""
-    matched = greedy_match(range_pairs(a, b, radius, keys, a_cols, b_cols))
+    matched = greedy_points(a, b, radius, keys, a_cols, b_cols)
     if matched.isEmpty():
         raise ValueError("no pair lies within the radius")
     lost = a.join(matched.select(*keys, F.col("id1").alias(a_cols[0])), [*keys, a_cols[0]], "left_anti")
