@@ -69,3 +69,22 @@ def test_empty_sides(spark):
     assert neighbours.knn_edges(v, v.limit(0), 3).count() == 0
     assert neighbours.knn_edges(v.limit(0), v, 3, blocks=4).count() == 0
     assert neighbours.knn_edges(v, v, 30, same=True, blocks=3).groupBy("src").count().agg(F.min("count"), F.max("count")).first() == (19, 19)
+
+
+def test_a_query_travels_once_a_part_not_once_a_cell(spark):
+    x = np.random.default_rng(8).normal(0, 1, (600, 16))  # bounds exclude next to no cell
+    v = table(spark, x)
+    index = neighbours.MetricIndex(v, "id", "vec", (), 30)
+    first = index.first_pass(v, "id", "vec", 5, True)
+    parts = index.parts.agg(F.max("part") + 1).first()[0]
+    assert index.wanted(first).agg(F.sum(F.size("q_ids"))).first()[0] <= 600 * parts
+
+
+def test_many_parts_and_shares_give_the_same_neighbours(spark, monkeypatch):
+    for name, n in (("BLOCK", 32), ("CELL", 16), ("PART", 70), ("SHARE", 40)):
+        monkeypatch.setattr(neighbours, name, n)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.round(rng.normal(0, 2, (260, 3))), np.zeros((60, 3))])  # ties by id, as text
+    v = table(spark, x).withColumn("id", F.format_string("k%03d", "id"))
+    got = found(neighbours.knn_edges(v, v, 6, same=True))
+    assert got == {f"k{i:03d}": [f"k{j:03d}" for j in near] for i, near in brute(x, x, 6, lambda i, j: i != j).items()}

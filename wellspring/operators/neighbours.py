@@ -26,6 +26,9 @@ BLOCK = 4096
 #: Rows a pivot stands for in groups that are larger than a block, and the most pivots there are.
 CELL = 1024
 MAX_PIVOTS = 512
+#: Reference rows and queries that meet in one task of the second pass.
+PART = 65_536
+SHARE = 32_768
 
 
 def _matrix(column: pa.Array, row: int, n: int) -> np.ndarray:
@@ -93,6 +96,19 @@ def _celled(df: DataFrame, id_col: str, vec: str, keys: Sequence[str], pivots: n
     return at.select(*keys, "id", "v", F.when(F.col("big"), F.col("at.cell")).otherwise(-1).alias("cell"), F.when(F.col("big"), F.col("at.d")).otherwise(0.0).alias("d"))
 
 
+def _need(square: np.ndarray, bound: np.ndarray, own: int, cell: int, low: float, high: float, pivots: np.ndarray) -> np.ndarray:
+    """Which queries of cell ``own`` may have a row within their bound among rows of ``cell`` that lie ``low`` to ``high`` from its pivot; ``square``: squares to all pivots."""
+    if cell < 0 or cell == own:
+        return np.ones(len(bound), dtype=bool)
+    away = np.sqrt(square[:, cell])
+    room = 1e-6 * (1.0 + np.sqrt(square.max(initial=0.0)))  # products round; a cell too many does no harm
+    least = np.maximum(away - high, low - away)
+    apart = np.sqrt(((pivots[own] - pivots[cell]) ** 2).sum())
+    if own >= 0 and apart > 0:
+        least = np.maximum(least, (square[:, cell] - square[:, own]) / (2.0 * apart))
+    return least <= bound + room
+
+
 def _packed(rows: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     """keys, cell, number, ids and vectors (row after row) of blocks of about BLOCK rows."""
     counts = rows.groupBy(*keys, "cell").agg(F.ceil(F.count("*") / BLOCK).alias("m"))
@@ -116,8 +132,15 @@ class MetricIndex:
         drawn = reference.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(pivots).select("v")
         self.pivots = np.unique(np.array([r[0] for r in drawn.collect()], dtype=float).reshape(-1, len(first[0]) if (first := drawn.first()) else 1), axis=0)
         self.blocks = materialize(_packed(_celled(rows, id_col, vec, self.keys, self.pivots, self.sizes), self.keys, "r_"), "index")
-        cells = self.blocks.groupBy(*self.keys, "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("r_m").alias("m"))
-        self.cells = cells.groupBy(*self.keys).agg(F.collect_list(F.struct("cell", "low", "high", "m")).alias("cells"))
+        # parts of blocks and shares of queries: a few tasks for each core, but never more rows than a task holds with ease
+        rows = self.blocks.select(*self.keys, "cell", "r_number", "r_m", "low", "high", F.size("r_ids").cast("long").alias("rows"))
+        least = (rows.agg(F.sum("rows")).first()[0] or 0) / math.sqrt(2 * reference.sparkSession.sparkContext.defaultParallelism)
+        before = F.sum("rows").over(Window.partitionBy(*self.keys).orderBy("cell", "r_number")) - F.col("rows")
+        placed = rows.withColumn("part", F.floor(before / min(PART, max(BLOCK, math.ceil(least)))).cast("int"))
+        self.parts = materialize(placed.select(*self.keys, "cell", "r_number", "part"), "parts")
+        cells = placed.groupBy(*self.keys, "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("r_m").alias("m"), F.sum("rows").alias("rows"), F.collect_set("part").alias("parts"))
+        shares = F.ceil(F.sum("rows") / min(SHARE, max(CELL, math.ceil(least)))).cast("int")
+        self.cells = cells.groupBy(*self.keys).agg(F.collect_list(F.struct("cell", "low", "high", "m", "parts")).alias("cells"), shares.alias("shares"))
 
     def first_pass(self, queries: DataFrame, id_col: str, vec: str, k: int, same: bool) -> DataFrame:
         """Blocks of queries with the edges to one block of their cell and the bound that these give."""
@@ -154,69 +177,92 @@ class MetricIndex:
         return materialize(met.mapInArrow(run, want), "first_pass")
 
     def wanted(self, first: DataFrame) -> DataFrame:
-        """keys, cell and the queries (ids, vectors, bounds) that must meet it; ``seen`` is the block that they have met."""
-        both = first.join(_small(self.cells, self.keys), self.keys)
+        """keys, part, share and the queries (ids, vectors, bounds, own cell and block) that must meet a cell of that part."""
+        both = first.join(_small(self.cells, self.keys), self.keys).withColumn("share", F.pmod(F.xxhash64("cell", "r_number", F.get("q_ids", F.lit(0))), "shares").cast("int"))
         kinds = {f.name: f.dataType for f in both.schema}
         keys, pivots = tuple(self.keys), self.pivots
-        want = T.StructType([*[T.StructField(c, kinds[c]) for c in keys], T.StructField("cell", T.IntegerType()), T.StructField("seen", T.IntegerType()), T.StructField("q_ids", kinds["q_ids"]), T.StructField("q_vecs", kinds["q_vecs"]), T.StructField("bound", T.ArrayType(T.DoubleType()))])
+        want = T.StructType([*[T.StructField(c, kinds[c]) for c in keys], *[T.StructField(c, T.IntegerType()) for c in ("part", "share", "own", "seen")], T.StructField("q_ids", kinds["q_ids"]), T.StructField("q_vecs", kinds["q_vecs"]), T.StructField("bound", T.ArrayType(T.DoubleType()))])
         arrow = to_arrow_schema(want)
-        apart = np.sqrt(_squares(pivots, pivots))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in range(b.num_rows):
                     qi, own = b.column("q_ids")[row].values, b.column("cell")[row].as_py()
                     q, bound = _matrix(b.column("q_vecs"), row, len(qi)), np.asarray(b.column("bound")[row].values, dtype=float)
-                    square = _squares(q, pivots)
-                    away = np.sqrt(square)
-                    room = 1e-6 * (1.0 + away.max(initial=0.0))  # products round; a cell too many does no harm
+                    square, parts = _squares(q, pivots), {}
                     for c in b.column("cells")[row].as_py():
-                        cell, skip = c["cell"], b.column("r_number")[row].as_py() if c["cell"] == own else -1
-                        if cell == own and c["m"] == 1:
-                            continue
-                        if cell < 0 or cell == own:
-                            need = np.arange(len(qi))
-                        else:
-                            least = np.maximum(away[:, cell] - c["high"], c["low"] - away[:, cell])
-                            if own >= 0 and apart[own, cell] > 0:
-                                least = np.maximum(least, (square[:, cell] - square[:, own]) / (2.0 * apart[own, cell]))
-                            need = np.flatnonzero(least <= bound + room)
-                        if not len(need):
+                        if c["cell"] != own or c["m"] > 1:
+                            need = _need(square, bound, own, c["cell"], c["low"], c["high"], pivots)
+                            for part in c["parts"]:
+                                parts[part] = parts.get(part, False) | need
+                    for part, need in parts.items():
+                        if not need.any():
                             continue
-                        lists = [qi.take(pa.array(need)), pa.array(q[need].ravel()), pa.array(bound[need])]
-                        head = [b.column(k).slice(row, 1) for k in keys]
-                        cols = [*head, pa.array([cell], pa.int32()), pa.array([skip], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]]
+                        lists = [qi.take(pa.array(np.flatnonzero(need))), pa.array(q[need].ravel()), pa.array(bound[need])]
+                        head = [*[b.column(k).slice(row, 1) for k in keys], pa.array([part]), b.column("share").slice(row, 1), pa.array([own]), b.column("r_number").slice(row, 1)]
+                        cols = [*head, *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]]
                         yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, arrow)], schema=arrow)
 
-        return both.select(*keys, "cell", "r_number", "q_ids", "q_vecs", "bound", "cells").mapInArrow(run, want)
+        return both.select(*keys, "cell", "r_number", "q_ids", "q_vecs", "bound", "cells", "share").mapInArrow(run, want)
 
     def second_pass(self, wanted: DataFrame, k: int, same: bool) -> DataFrame:
-        """Edges of queries to the blocks of the cells that they must meet, within their bounds."""
-        tiles = wanted.join(self.blocks.select(*self.keys, "cell", "r_number", "r_ids", "r_vecs"), [*self.keys, "cell"]).where("r_number <> seen")
-        kinds = {f.name: f.dataType for f in tiles.schema}
-        keys = tuple(self.keys)
+        """The k nearest, within their bounds, of the queries of a share among the rows of a part: a query travels once a part, a row once a share."""
+        shares = self.cells.select(*self.keys, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        held = self.blocks.join(_small(self.parts, self.keys), [*self.keys, "cell", "r_number"]).join(_small(shares, self.keys), self.keys)
+        kinds = {f.name: f.dataType for f in [*wanted.schema, *held.schema]}
+        keys, pivots, by = tuple(self.keys), self.pivots, [*self.keys, "part", "share"]
         want = T.StructType([*[T.StructField(c, kinds[c]) for c in keys], T.StructField("src", kinds["q_ids"].elementType), T.StructField("dst", kinds["r_ids"].elementType), T.StructField("distance", T.DoubleType())])
         arrow = to_arrow_schema(want)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row in range(b.num_rows):
-                    qi, ri = b.column("q_ids")[row].values, b.column("r_ids")[row].values
-                    bound = np.asarray(b.column("bound")[row].values, dtype=float)
-                    i, j, d = _nearest_in_tile(_matrix(b.column("q_vecs"), row, len(qi)), _matrix(b.column("r_vecs"), row, len(ri)), k, _codes(qi, ri) if same else None, bound)
-                    head = [pa.array([b.column(c)[row].as_py()] * len(i), type=arrow.field(c).type) for c in keys]
-                    yield pa.RecordBatch.from_arrays([*head, qi.take(pa.array(i)), ri.take(pa.array(j)), pa.array(d)], schema=arrow)
-
-        return tiles.select(*keys, "q_ids", "q_vecs", "bound", "r_ids", "r_vecs").mapInArrow(run, want)
+        def run(asked: pa.Table, part: pa.Table) -> pa.Table:
+            out = []
+            if asked.num_rows and part.num_rows:
+                ids = pa.concat_arrays([part.column("r_ids")[r].values for r in range(part.num_rows)])
+                place = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]  # tie order
+                ends = np.cumsum([0, *[len(part.column("r_ids")[r].values) for r in range(part.num_rows)]])
+            for row in range(asked.num_rows if part.num_rows else 0):
+                qi, own, seen = asked.column("q_ids")[row].values, asked.column("own")[row].as_py(), asked.column("seen")[row].as_py()
+                q, bound = _matrix(asked.column("q_vecs"), row, len(qi)), np.array(asked.column("bound")[row].values, dtype=float)
+                square = _squares(q, pivots)
+                i, j, d = np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+                for r in range(part.num_rows):
+                    cell, low, high = (part.column(c)[r].as_py() for c in ("cell", "low", "high"))
+                    if cell == own and part.column("r_number")[r].as_py() == seen:
+                        continue
+                    need = np.flatnonzero(_need(square, bound, own, cell, low, high, pivots))
+                    if not len(need):
+                        continue
+                    ri = part.column("r_ids")[r].values
+                    ni, nj, nd = _nearest_in_tile(q[need], _matrix(part.column("r_vecs"), r, len(ri)), k, _codes(qi.take(pa.array(need)), ri) if same else None, bound[need])
+                    i, j, d = np.concatenate([i, need[ni]]), np.concatenate([j, ends[r] + nj]), np.concatenate([d, nd])
+                    order = np.lexsort((place[j], d, i))
+                    i, j, d = i[order], j[order], d[order]
+                    at = np.arange(len(i)) - np.searchsorted(i, i)
+                    bound[i[at == k - 1]] = np.minimum(bound[i[at == k - 1]], d[at == k - 1])
+                    i, j, d = i[at < k], j[at < k], d[at < k]
+                if len(i):
+                    head = [pa.array([asked.column(c)[row].as_py()] * len(i), type=arrow.field(c).type) for c in keys]
+                    out.append(pa.Table.from_arrays([*head, *[x.cast(arrow.field(c).type) for c, x in (("src", qi.take(pa.array(i))), ("dst", ids.take(pa.array(j))))], pa.array(d)], schema=arrow))
+            return pa.concat_tables(out) if out else arrow.empty_table()
+
+        return wanted.groupBy(*by).cogroup(held.select(*by, "cell", "r_number", "low", "high", "r_ids", "r_vecs").groupBy(*by)).applyInArrow(run, want)
 
     def visited(self, first: DataFrame) -> float:
         """Share of all pairs of queries and reference rows of a group that the search compares."""
         size = lambda c: F.sum(F.size(c).cast("double"))
         asked, held = first.groupBy(*self.keys).agg(size("q_ids").alias("q")), self.blocks.groupBy(*self.keys).agg(size("r_ids").alias("r"))
         whole = asked.join(held, self.keys).agg(F.sum(F.col("q") * F.col("r"))).first()[0]
-        blocks = self.blocks.select(*self.keys, "cell", "r_number", F.size("r_ids").alias("r"))
+        blocks = self.blocks.join(self.parts, [*self.keys, "cell", "r_number"]).select(*self.keys, "part", "cell", "r_number", "low", "high", F.size("r_ids").alias("r"))
+        pivots = self.pivots
+
+        @F.udf("long")
+        def needed(vecs, bound, own, cell, low, high):
+            q = np.asarray(vecs, dtype=float).reshape(len(bound), -1)
+            return int(_need(_squares(q, pivots), np.asarray(bound, dtype=float), own, cell, low, high, pivots).sum())
+
         one = first.join(blocks, [*self.keys, "cell", "r_number"]).agg(F.sum(F.size("q_ids").cast("double") * F.col("r"))).first()[0] or 0.0
-        more = self.wanted(first).join(blocks, [*self.keys, "cell"]).where("r_number <> seen").agg(F.sum(F.size("q_ids").cast("double") * F.col("r"))).first()[0] or 0.0
+        met = self.wanted(first).join(blocks, [*self.keys, "part"]).where("NOT (cell = own AND r_number = seen)")
+        more = met.agg(F.sum(needed("q_vecs", "bound", "own", "cell", "low", "high").cast("double") * F.col("r"))).first()[0] or 0.0
         return (one + more) / whole if whole else 0.0
 
 
