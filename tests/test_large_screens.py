@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from wellspring.functions import stats
 from wellspring.operators import filters, image, joins, quality
+from wellspring.operators.ranking import value_ranks
 from wellspring.plans import views
 
 
@@ -74,3 +76,17 @@ def test_points_of_one_file_are_dealt_over_tasks(spark):
     found = joins.range_pairs(point(40), point(30), 5.0, keys=("plate",))
     assert "RepartitionByExpression" in plan(found)
     assert found.count() == found.distinct().count() == 40 * 30
+
+
+def test_normal_scores_bring_no_group_to_one_task(spark):
+    df = spark.range(0, 4000, 1, 3).select("id", F.when(F.col("id") % 4 > 0, F.lit("p")).alias("k"), F.when(F.col("id") % 11 > 0, (F.col("id") * 7919 % 977) / 8).alias("v"))
+    got = stats.normal_scores(df, "v", "k")
+    assert got.columns == ["id", "k", "v", "score"]
+    old = df.where("v IS NOT NULL").withColumn("r", stats.avg_rank("v", "k")).withColumn("n", F.expr("count(*) OVER (PARTITION BY k)"))
+    want = {r["id"]: r["s"] for r in old.select("id", stats.normal_ppf((F.col("r") - 0.5) / F.col("n")).alias("s")).collect()}
+    found = {r["id"]: r["score"] for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-14 for i in want)
+    parts = value_ranks(df, "v", ["k"])
+    assert sorted(r["n"] for r in parts.groupBy("k").agg(F.max("n").alias("n")).collect()) == sorted(r["n"] for r in df.where("v IS NOT NULL").groupBy("k").agg(F.count("*").alias("n")).collect())
+    windows = [line for line in plan(parts).splitlines() if "Window [sum(__c" in line]
+    assert windows and all("[__part" in line for line in windows)
