@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import stats
 from wellspring.operators import filters, image, joins, quality
 from wellspring.operators.ranking import value_ranks
-from wellspring.plans import views
+from wellspring.plans import screen, views
 
 
 def test_wells_beyond_the_alphabet_are_named_as_in_sql(spark):
@@ -90,3 +90,10 @@ def test_normal_scores_bring_no_group_to_one_task(spark):
     assert sorted(r["n"] for r in parts.groupBy("k").agg(F.max("n").alias("n")).collect()) == sorted(r["n"] for r in df.where("v IS NOT NULL").groupBy("k").agg(F.count("*").alias("n")).collect())
     windows = [line for line in plan(parts).splitlines() if "Window [sum(__c" in line]
     assert windows and all("[__part" in line for line in windows)
+
+
+def test_names_of_complete_features_go_to_the_rows(spark, sf):
+    long = views.long_li(spark, sf).withColumn("value", F.when(~((F.col("feature") == "l_tax") & (F.col("value") > 0.07)), F.col("value")))
+    got = screen.on_complete_features(long)
+    assert "strategy=broadcast" in plan(got)
+    assert {r["feature"] for r in got.select("feature").distinct().collect()} == {"l_quantity", "l_extendedprice", "l_discount"}
