@@ -50,3 +50,17 @@ def test_one_cluster_and_empty_tables(spark):
     assert curves.principal_lineages(df, "0").where(F.col("pseudotime").isNull()).count() == 0
     with pytest.raises(ValueError):
         curves.principal_lineages(df.limit(0), "0")
+
+
+def test_rows_are_projected_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, line = rng.normal(size=(53, 3)), rng.normal(size=(5, 3))
+    whole = curves.project(x, line)
+    monkeypatch.setattr(curves, "ROWS", 10)
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(whole, curves.project(x, line), strict=True))
+    at, away, run = np.zeros(53), np.full(53, np.inf), 0.0
+    for a, b in zip(line, line[1:]):
+        t = np.clip((x - a) @ (b - a) / ((b - a) @ (b - a)), 0, 1)
+        d = np.linalg.norm(x - a - t[:, None] * (b - a), axis=1)
+        at, away, run = np.where(d < away, run + t * np.linalg.norm(b - a), at), np.minimum(d, away), run + np.linalg.norm(b - a)
+    assert np.allclose(whole[0], at) and np.allclose(whole[1], away)

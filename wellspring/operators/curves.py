@@ -50,15 +50,22 @@ def centroids(df: DataFrame, cluster: str, vec: str) -> dict[str, np.ndarray]:
     return {c: np.array([v[i] for i in sorted(v)]) for c, v in found.items()}
 
 
+#: Rows that are projected at a time: their differences to a point stay in a core's cache.
+ROWS = 512
+
+
 def project(x: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Arc length of the nearest point of a polyline and the distance to it, for each row; ties go to the earlier segment."""
-    best, at, run = np.full(len(x), np.inf), np.zeros(len(x)), 0.0
-    for a, b in zip(line, line[1:] if len(line) > 1 else line):
-        length = float(np.linalg.norm(b - a))
-        t = np.clip((x - a) @ (b - a) / length**2, 0, 1) if length > 0 else np.zeros(len(x))
-        d = np.linalg.norm(x - a - t[:, None] * (b - a), axis=1)
-        nearer = d < best - 1e-12
-        at, best, run = np.where(nearer, run + t * length, at), np.where(nearer, d, best), run + length
+    at, best = np.zeros(len(x)), np.full(len(x), np.inf)
+    for first in range(0, len(x), ROWS):
+        part, run = slice(first, first + ROWS), 0.0
+        for a, b in zip(line, line[1:] if len(line) > 1 else line):
+            length, off = float(np.linalg.norm(b - a)), x[part] - a
+            t = np.clip(off @ (b - a) / length**2, 0, 1) if length > 0 else np.zeros(len(off))
+            off -= t[:, None] * (b - a)
+            d = np.sqrt(np.einsum("ij,ij->i", off, off))
+            nearer = d < best[part] - 1e-12
+            at[part], best[part], run = np.where(nearer, run + t * length, at[part]), np.where(nearer, d, best[part]), run + length
     return at, best
 
 
@@ -143,7 +150,10 @@ def fit_curves(df: DataFrame, start: str, cluster: str = "cluster", vec: str = "
             out = np.zeros((k, bins, dims + 1))
             for n, (t, _) in enumerate(placed):
                 at = np.minimum((t / max(ends[n], 1e-12) * bins).astype(int), bins - 1)
-                np.add.at(out[n], at, np.column_stack([w[n][:, None] * x, w[n]]))
+                for first in range(0, len(x), ROWS):
+                    rows = slice(first, first + ROWS)
+                    in_bin = (np.arange(bins)[:, None] == at[rows]) * w[n][rows]
+                    out[n] += np.column_stack([in_bin @ x[rows], in_bin.sum(axis=1)])
             return np.concatenate([out.ravel(), [(nearest[some] ** 2).sum(), some.sum()]])
 
         found = _summed(rows, k + dims, k * bins * (dims + 1) + 2, binned)
