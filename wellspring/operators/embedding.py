@@ -41,7 +41,8 @@ def kmeans(df: DataFrame, k: int, vec: str = "vec", starts: int = 10, seed: int
 
     x = df.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
     x.persist()
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__c", maxIter=max_iter).fit(x) for i in range(starts)]
+    # a table that is itself persisted is decoded again in each round; of another one a fit keeps the vectors
+    fits = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__c", maxIter=max_iter).fit(x.select("__v")) for i in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     x.unpersist()
     return best.transform(x).withColumn(out, F.col("__c").cast("string")).drop("__v", "__c")
