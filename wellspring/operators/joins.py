@@ -78,22 +78,29 @@ def resolve_folders(plates: DataFrame, folders: DataFrame) -> DataFrame:
     return out.select("plate", F.when(problem.isNull(), F.col("folder")).alias("folder"), problem.alias("problem"))
 
 
-def range_pairs(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str] = ("plate", "well"), a_cols: Sequence[str] = ("id", "x", "y"), b_cols: Sequence[str] = ("id", "x", "y")) -> DataFrame:
-    """keys, id1, id2, distance of all pairs within ``radius`` (inclusive).
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that the planner must not broadcast: it goes by the size of files, which for points is some hundredth of their size as rows."""
+    return df.hint("merge")
+
+
+def range_pairs(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str] = ("plate", "well"), a_cols: Sequence[str] = ("id", "x", "y"), b_cols: Sequence[str] = ("id", "x", "y"), a_keep: Sequence[str] = (), b_keep: Sequence[str] = (), broadcast: bool = True) -> DataFrame:
+    """keys, id1, id2, distance of all pairs within ``radius`` (inclusive), with the columns to keep as <name>1 and <name>2.
 
     Points are binned to a grid of the radius; each point of ``a`` looks into its nine cells, so the join is
     on (keys, cell) and a crowded well is spread over its cells.  Points of ``a`` are dealt over all tasks first:
     where the planner broadcasts ``b``, tasks are those of ``a``, which may be one small file with many pairs.
+    Without ``broadcast`` both sides are shuffled, whatever the size of their files.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius) or 1.0))
-    a = a.select(*keys, F.col(a_cols[0]).alias("id1"), F.col(a_cols[1]).cast("double").alias("x1"), F.col(a_cols[2]).cast("double").alias("y1")).dropna(subset=["x1", "y1"])
-    b = b.select(*keys, F.col(b_cols[0]).alias("id2"), F.col(b_cols[1]).cast("double").alias("x2"), F.col(b_cols[2]).cast("double").alias("y2")).dropna(subset=["x2", "y2"])
+    a = a.select(*keys, F.col(a_cols[0]).alias("id1"), F.col(a_cols[1]).cast("double").alias("x1"), F.col(a_cols[2]).cast("double").alias("y1"), *[F.col(c).alias(f"{c}1") for c in a_keep]).dropna(subset=["x1", "y1"])
+    b = b.select(*keys, F.col(b_cols[0]).alias("id2"), F.col(b_cols[1]).cast("double").alias("x2"), F.col(b_cols[2]).cast("double").alias("y2"), *[F.col(c).alias(f"{c}2") for c in b_keep]).dropna(subset=["x2", "y2"])
     a = a.repartition(4 * a.sparkSession.sparkContext.defaultParallelism, "id1")
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = a.withColumn("n", F.explode(near)).withColumn("cx", cell("x1") + F.col("n.i")).withColumn("cy", cell("y1") + F.col("n.j")).drop("n")
     b = b.withColumn("cx", cell("x2")).withColumn("cy", cell("y2"))
     d = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
-    return a.join(b, [*keys, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select(*keys, "id1", "id2", "distance")
+    both = a.join(b if broadcast else shuffled(b), [*keys, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius)
+    return both.select(*keys, "id1", "id2", "distance", *[f"{c}1" for c in a_keep], *[f"{c}2" for c in b_keep])
 
 
 def greedy_match(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -135,20 +142,20 @@ def _placed_points(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
 
 
 def _met_cells(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str], levels: int) -> dict[int, int]:
-    """Pairs of places in neighbouring cells, for the radius halved 0 to ``levels`` - 1 times."""
+    """Pairs of places in neighbouring cells, for the radius halved 0 to ``levels`` - 1 times; a cell of ``b`` is nine rows a level."""
     level = F.explode(F.array(*[F.lit(i) for i in range(levels)]))
     cell = lambda c: F.floor(F.col(c) / (F.lit(float(radius)) / F.pow(F.lit(2.0), F.col("level"))))
     held = [s.withColumn("level", level).groupBy(*keys, "level", cell("x").alias("cx"), cell("y").alias("cy")).agg(F.count("*").alias("n")) for s in (a, b)]
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     around = held[1].withColumn("d", F.explode(near)).select(*keys, "level", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), F.col("n").alias("m"))
-    return {r["level"]: r["n"] for r in held[0].join(around, [*keys, "level", "cx", "cy"]).groupBy("level").agg(F.sum(F.col("n") * F.col("m")).alias("n")).collect()}
+    return {r["level"]: r["n"] for r in held[0].join(shuffled(around), [*keys, "level", "cx", "cy"]).groupBy("level").agg(F.sum(F.col("n") * F.col("m")).alias("n")).collect()}
 
 
 def _tied_places(tied: DataFrame, keys: Sequence[str], points: Sequence[DataFrame]) -> DataFrame:
     """Matches (n = 1) among places that have several others at one least distance, by (id1, id2); those that wait for a nearer pair get none."""
     for i, p in zip("12", points):
-        at = tied.select(*keys, f"id{i}", f"f{i}").distinct().join(p.select(*keys, F.col("at").alias(f"id{i}"), "id", "r"), [*keys, f"id{i}"]).where(f"r > f{i}")
-        tied = tied.join(at.groupBy(*keys, f"id{i}").agg(F.array_sort(F.collect_list("id")).alias(f"h{i}")), [*keys, f"id{i}"])
+        at = tied.select(*keys, f"id{i}", f"f{i}").distinct().join(shuffled(p.select(*keys, F.col("at").alias(f"id{i}"), "id", "r")), [*keys, f"id{i}"]).where(f"r > f{i}")
+        tied = tied.join(shuffled(at.groupBy(*keys, f"id{i}").agg(F.array_sort(F.collect_list("id")).alias(f"h{i}"))), [*keys, f"id{i}"])
     kinds = {f.name: f.dataType for f in tied.schema}
     cols = [*keys, "id1", "id2", "distance", "f1", "f2", "n"]
     want = T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in cols])
@@ -195,7 +202,7 @@ def _greedy_places(edges: DataFrame, keys: Sequence[str], points: Sequence[DataF
         won.append(materialize(runs, "won"))
         before = left
         for i in "12":
-            left = left.join(won[-1].groupBy(*keys, f"id{i}").agg(F.sum("n").alias(f"n{i}")), [*keys, f"id{i}"], "left").withColumn(f"f{i}", F.col(f"f{i}") + F.coalesce(f"n{i}", F.lit(0)))
+            left = left.join(won[-1].groupBy(*keys, f"id{i}").agg(F.sum("n").alias(f"n{i}")).hint("shuffle_hash"), [*keys, f"id{i}"], "left").withColumn(f"f{i}", F.col(f"f{i}") + F.coalesce(f"n{i}", F.lit(0)))
         left = materialize(left.where("f1 < c1 AND f2 < c2").select(*cols), "pairs")
         discard(before)
         discard(least)
@@ -209,6 +216,7 @@ def greedy_points(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str]
     Points of one place are one: two places that are nearest to each other match their points in the order of ids.
     Near pairs come before far ones, so a radius at which pairs of places are few is worked off first, then a
     larger one with the points that are left, up to the whole.  Ids that stand for several points go the plain way.
+    No side of a join is broadcast, so the driver's memory does not grow with the points.
     """
     points = [_placed_points(a, keys, a_cols), _placed_points(b, keys, b_cols)]
     if any(not p.groupBy(*keys, "id").count().where("count > 1").isEmpty() for p in points):
@@ -217,19 +225,22 @@ def greedy_points(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str]
     won: list[DataFrame] = []
     level = HALVINGS + 1 if radius > 0 else 1
     while level:
-        met = _met_cells(*places, radius, keys, level) if radius > 0 else {}
-        room = max(PAIRS, PER_PLACE * sum(p.count() for p in places))
+        sizes = [p.count() for p in places]
+        many, few = (1, 0) if sizes[1] > sizes[0] else (0, 1)
+        met = _met_cells(places[many], places[few], radius, keys, level) if radius > 0 else {}
+        room = max(PAIRS, PER_PLACE * sum(sizes))
         level = next((i for i in range(level) if met.get(i, 0) <= room), level - 1)
-        edges = range_pairs(*places, radius / 2**level, keys)
-        for i, p in zip("12", places):
-            edges = edges.join(p.select(*keys, F.col("id").alias(f"id{i}"), F.col("c").alias(f"c{i}"), F.col("f").alias(f"f{i}")), [*keys, f"id{i}"])
+        # the smaller side looks into its nine cells
+        edges = range_pairs(places[few], places[many], radius / 2**level, keys, a_keep="cf", b_keep="cf", broadcast=False)
+        side = (1, 2) if few == 0 else (2, 1)
+        edges = edges.select(*keys, *[F.col(f"{c}{s}").alias(f"{c}{i}") for c in ("id", "c", "f") for i, s in zip("12", side)], "distance")
         found = _greedy_places(edges, keys, points)
         won += found
         if level and found:
             runs = functools.reduce(DataFrame.unionByName, found)
             for at, i in enumerate("12"):
                 used = runs.groupBy(*keys, F.col(f"id{i}").alias("id")).agg(F.sum("n").alias("n"))
-                before, places[at] = places[at], materialize(places[at].join(used, [*keys, "id"], "left").withColumn("f", F.col("f") + F.coalesce("n", F.lit(0))).where("f < c").drop("n"), "places")
+                before, places[at] = places[at], materialize(places[at].join(used.hint("shuffle_hash"), [*keys, "id"], "left").withColumn("f", F.col("f") + F.coalesce("n", F.lit(0))).where("f < c").drop("n"), "places")
                 discard(before)
         if any(p.isEmpty() for p in places):
             break
@@ -238,7 +249,7 @@ def greedy_points(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str]
     each = functools.reduce(DataFrame.unionByName, won).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     for i, p in zip("12", points):
         ranked = p.select(*keys, F.col("at").alias(f"id{i}"), F.col("r").alias(f"r{i}"), F.col("id").alias(f"p{i}"))
-        each = each.withColumn(f"r{i}", F.col(f"f{i}") + F.col("i")).join(ranked, [*keys, f"id{i}", f"r{i}"])
+        each = each.withColumn(f"r{i}", F.col(f"f{i}") + F.col("i")).join(shuffled(ranked), [*keys, f"id{i}", f"r{i}"])
     return each.select(*keys, F.col("p1").alias("id1"), F.col("p2").alias("id2"), "distance")
 
 
@@ -247,7 +258,7 @@ def match_one_to_one(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[s
     matched = greedy_points(a, b, radius, keys, a_cols, b_cols)
     if matched.isEmpty():
         raise ValueError("no pair lies within the radius")
-    lost = a.join(matched.select(*keys, F.col("id1").alias(a_cols[0])), [*keys, a_cols[0]], "left_anti")
+    lost = a.join(shuffled(matched.select(*keys, F.col("id1").alias(a_cols[0]))), [*keys, a_cols[0]], "left_anti")
     return matched, lost
 
 
@@ -257,7 +268,7 @@ def merge_matched(a: DataFrame, b: DataFrame, matches: DataFrame, a_id: str = "i
     if clash := set(left.columns) & set(right.columns):
         raise ValueError(f"columns clash after prefixing: {sorted(clash)}")
     m = matches.select("id1", "id2", "distance")
-    return m.join(left, m["id1"] == left[prefix_a + a_id]).join(right, m["id2"] == right[prefix_b + b_id])
+    return m.join(shuffled(left), m["id1"] == left[prefix_a + a_id]).join(shuffled(right), m["id2"] == right[prefix_b + b_id])
 
 
 def dot(a: Column, b: Column) -> Column:
