@@ -56,7 +56,11 @@ def kmeans_sweep(df: DataFrame, ks: Sequence[int], vec: str = "vec", starts: int
 
 
 def jaccard_graph(edges: DataFrame) -> DataFrame:
-    """src, dst, weight (src < dst): shared share of the neighbour lists of rows that are neighbours."""
+    """src, dst, weight (src < dst): shared share of the neighbour lists of rows that are neighbours.
+
+    Edges are read three times, so they are stored: their search would run for each list again.
+    """
+    edges = materialize(edges.select("src", "dst"), "edges")
     lists = edges.groupBy("src").agg(F.collect_set("dst").alias("near"))
     pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
     a = lists.select("src", F.col("near").alias("na"))

@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,21 +43,28 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _nearest_in_tile(q: np.ndarray, r: np.ndarray, k: int, codes: np.ndarray | None, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query and reference places and distances of the k nearest of each query, no farther than ``bound``; reference rows are in tie order.
 
-    A matrix product finds candidates up to its rounding error; their distances are then summed in order.
+    A matrix product finds candidates up to its rounding error; their distances are then summed in order.  Where few rows
+    lie within the bounds, these are the candidates; else the k-th of each query is looked for.
     """
     out = []
     norm = (r * r).sum(axis=1)
     for at in range(0, len(q), 256):
         part = q[at : at + 256]
         own = (part * part).sum(axis=1)
-        near = own[:, None] + norm[None] - 2.0 * (part @ r.T)
+        near = (-2.0 * part) @ r.T
+        near += norm
+        near += own[:, None]
         if codes is not None:  # ids as numbers, those of the queries first
             near[codes[at : at + len(part), None] == codes[None, len(q) :]] = np.inf
         room = 1e-9 * (own + norm.max(initial=0.0)) + 1e-300
-        kth = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(part), np.inf)
-        if bound is not None:
-            kth = np.minimum(kth, bound[at : at + len(part)] ** 2)
-        i, j = np.nonzero((near <= (kth + room)[:, None]) & np.isfinite(near))
+        kth = np.full(len(part), np.inf) if bound is None else bound[at : at + len(part)] ** 2
+        within = near <= (kth + room)[:, None]
+        if near.shape[1] > k and np.count_nonzero(within) > 2 * k * len(part):
+            kth = np.minimum(kth, np.partition(near, k - 1, axis=1)[:, k - 1])
+            within = near <= (kth + room)[:, None]
+        i, j = np.nonzero(within)
+        if not np.isfinite(near[i, j]).all():
+            i, j = i[fine := np.isfinite(near[i, j])], j[fine]
         d = np.zeros(len(i))
         for c in range(q.shape[1]):
             d += (part[i, c] - r[j, c]) ** 2
@@ -266,7 +274,10 @@ class MetricIndex:
         return (one + more) / whole if whole else 0.0
 
 
-def _codes(a: pa.Array, b: pa.Array) -> np.ndarray:
+def _codes(a: pa.Array, b: pa.Array) -> np.ndarray | None:
+    """Numbers of the ids, those of ``a`` first; None if the two share no id."""
+    if a.type == b.type and not pc.any(pc.is_in(a, value_set=b)).as_py():
+        return None
     return pd.factorize(np.array([*a.to_pylist(), *b.to_pylist()], dtype=object))[0]
 
 
